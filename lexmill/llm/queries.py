@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, sharding
+from . import line_dedup, near_dedup, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op3_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose key at least 10 documents hold go everywhere."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.digest(line_dedup.drop_repeated_lines(docs, min_chars=1, min_docs=10))
+
+
 def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight equal shards, and where each row goes with a ninth."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 8)
@@ -23,6 +29,7 @@ def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_odd_sketch": op1_odd_sketch,
+    "op3_bloom_lines": op3_bloom_lines,
     "op8_rendezvous": op8_rendezvous,
 }
 
@@ -48,5 +55,18 @@ least_id AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id,
   coalesce(c, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id ON a = d.doc_id
+""",
+    "op3_bloom_lines": r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
+    unnest(string_split(coalesce(text, ''), chr(10))) AS line
+  FROM documents),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FROM common)) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key NOT IN (SELECT key FROM common)), '')) AS kept_sha256
+FROM keyed GROUP BY doc_id
 """,
 }
