@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, sharding
+from . import line_dedup, mixing, near_dedup, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,14 @@ def op3_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_repeated_lines(docs, min_chars=1, min_docs=10))
 
 
+def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix as large as the corpus with weights 5, 2, 1, no source above 3 times its size."""
+    docs = _table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
+    taken = mixing.copies(sized, [5.0, 2.0, 1.0], cap=3.0, size=F.col("size"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight equal shards, and where each row goes with a ninth."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 8)
@@ -30,6 +39,7 @@ def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_odd_sketch": op1_odd_sketch,
     "op3_bloom_lines": op3_bloom_lines,
+    "op4_pivotal_mix": op4_pivotal_mix,
     "op8_rendezvous": op8_rendezvous,
 }
 
