@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, sharding
+from . import line_dedup, mixing, near_dedup, secrets, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text; sources are the owners and documents the repositories."""
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents"), owner="source", repository="doc_id", max_owners=2))
+
+
 def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight equal shards, and where each row goes with a ninth."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 8)
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_odd_sketch": op1_odd_sketch,
     "op3_bloom_lines": op3_bloom_lines,
     "op4_pivotal_mix": op4_pivotal_mix,
+    "op7_ownership": op7_ownership,
     "op8_rendezvous": op8_rendezvous,
 }
 
