@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, secrets, sharding
+from . import line_dedup, mixing, near_dedup, secrets, sharding, token_files
+from .common import new_path
+
+
+#: Folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +22,13 @@ def op1_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as ORC files and read back."""
+    path = new_path(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    return token_files.index_token_files(spark, path)
+
+
 def op3_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose key at least 10 documents hold go everywhere."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,6 +55,7 @@ def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_odd_sketch": op1_odd_sketch,
+    "op2_orc_tokens": op2_orc_tokens,
     "op3_bloom_lines": op3_bloom_lines,
     "op4_pivotal_mix": op4_pivotal_mix,
     "op7_ownership": op7_ownership,
