@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, secrets, sharding, token_files
+from . import fingerprints, line_dedup, mixing, near_dedup, secrets, sharding, token_files
 from .common import new_path
 
 
@@ -43,6 +43,11 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text; sources are the owners and documents the repositories."""
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents"), owner="source", repository="doc_id", max_owners=2))
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_orc_tokens": op2_orc_tokens,
     "op3_bloom_lines": op3_bloom_lines,
     "op4_pivotal_mix": op4_pivotal_mix,
+    "op6_winnowing": op6_winnowing,
     "op7_ownership": op7_ownership,
     "op8_rendezvous": op8_rendezvous,
 }
