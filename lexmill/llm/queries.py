@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, near_dedup, secrets, sharding, token_files
+from . import fingerprints, line_dedup, mixing, near_dedup, secrets, sharding, token_files, toxicity
 from .common import new_path
 
 
@@ -58,6 +58,12 @@ def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 8)
 
 
+def op10_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document, learnt from the labelled rows that are not held out."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.digest(toxicity.score_documents(_table(spark, sf_dir, "documents"), labels))
+
+
 QUERIES = {
     "op1_odd_sketch": op1_odd_sketch,
     "op2_orc_tokens": op2_orc_tokens,
@@ -66,6 +72,7 @@ QUERIES = {
     "op6_winnowing": op6_winnowing,
     "op7_ownership": op7_ownership,
     "op8_rendezvous": op8_rendezvous,
+    "op10_nearest_toxicity": op10_nearest_toxicity,
 }
 
 ORACLES = {
