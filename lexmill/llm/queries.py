@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, near_dedup, secrets, sharding, token_files, toxicity
+from . import embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, secrets, segmentation, sharding, token_files, toxicity
 from .common import new_path
 
 
@@ -43,6 +43,11 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every text."""
+    return segmentation.digest(segmentation.encode_samples(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", k=2))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
@@ -58,6 +63,11 @@ def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), [1.0] * 8)
 
 
+def op9_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of each label at cosine 0.98."""
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every document, learnt from the labelled rows that are not held out."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -69,9 +79,11 @@ QUERIES = {
     "op2_orc_tokens": op2_orc_tokens,
     "op3_bloom_lines": op3_bloom_lines,
     "op4_pivotal_mix": op4_pivotal_mix,
+    "op5_gumbel_pieces": op5_gumbel_pieces,
     "op6_winnowing": op6_winnowing,
     "op7_ownership": op7_ownership,
     "op8_rendezvous": op8_rendezvous,
+    "op9_product_quantisation": op9_product_quantisation,
     "op10_nearest_toxicity": op10_nearest_toxicity,
 }
 
@@ -110,5 +122,21 @@ common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTI
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FROM common)) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key NOT IN (SELECT key FROM common)), '')) AS kept_sha256
 FROM keyed GROUP BY doc_id
+""",
+    "op9_product_quantisation": r"""
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+edges AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a JOIN vecs b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+least_id AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, e.vec_id) AS component_id,
+  coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN least_id l ON l.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
 """,
 }
