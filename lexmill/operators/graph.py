@@ -123,8 +123,9 @@ def statistics(nodes: dict[str, DataFrame], edges: DataFrame, spark: SparkSessio
 def neighbours(edges: DataFrame, rel: str, others: DataFrame, name: str, fields: Sequence[str], reverse: bool = False) -> DataFrame:
     """(id, name): for each node the sorted distinct set of structs of the nodes at the other end of rel."""
     near, far = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
-    joined = edges.filter(F.col("rel") == rel).join(others, F.col(far) == others["id"])
-    return joined.groupBy(F.col(near).alias("id")).agg(F.array_sort(F.collect_set(F.struct(*[others[f] for f in fields]))).alias(name))
+    ends = edges.filter(F.col("rel") == rel).select(F.col(near).alias("__near"), F.col(far).alias("__far"))
+    joined = ends.join(others.select(F.col("id").alias("__far"), *fields), "__far")
+    return joined.groupBy(F.col("__near").alias("id")).agg(F.array_sort(F.collect_set(F.struct(*fields))).alias(name))
 
 
 def expand(hits: DataFrame, sets: Sequence[DataFrame]) -> DataFrame:

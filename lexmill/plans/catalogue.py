@@ -1,6 +1,471 @@
-"""Registered queries over the driver's tables, each with the SQL that checks it."""
+"""Registered queries over the driver's tables, each with the SQL that checks it.
+
+The tables are not legal text, so each query applies an operator of the library, or its shape, to the table whose role
+is nearest: documents are chunks, embeddings a vector index, events versions, orders and lineitem a property graph.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexmill.functions import arabic, articles, coerce
+from lexmill.operators import cases, chunking, dedup, graph, quality, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(values, schema)
+
+
+def literal(values: list[tuple]) -> str:
+    """The rows of VALUES in SQL."""
+    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quote, v)) + ")" for v in values)
+
+
+# Scans, filters, aggregates --------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, source, lang, n_chars FROM documents WHERE lang = 'en' AND source = 'src1'")
+def scan_filter_metadata(spark, sf_dir):
+    return search.matching(table(spark, sf_dir, "documents"), {"lang": "en", "source": "src1", "doc_id": None}).select("doc_id", "source", "lang", "n_chars")
+
+
+@query("""SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, round(avg(n_chars), 4) AS mean, min(n_chars) AS least,
+  max(n_chars) AS greatest FROM documents GROUP BY source, lang""")
+def doc_stats_by_source(spark, sf_dir):
+    size = F.col("n_chars")
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("total"), F.round(F.avg(size), 4).alias("mean"), F.min(size).alias("least"), F.max(size).alias("greatest"))
+
+
+_NODES = ["region", "nation", "customer", "supplier", "part", "orders"]
+_EDGES = [("nation", "n_regionkey"), ("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("orders", "o_custkey"), ("lineitem", "l_partkey")]
+
+
+@query(" UNION ALL ".join([f"SELECT 'node' AS kind, '{t}' AS name, count(*) AS n FROM {t}" for t in _NODES] + [f"SELECT 'edge', '{c}', count({c}) FROM {t}" for t, c in _EDGES]))
+def node_edge_statistics(spark, sf_dir):
+    parts = [table(spark, sf_dir, t).agg(F.lit("node").alias("kind"), F.lit(t).alias("name"), F.count(F.lit(1)).alias("n")) for t in _NODES]
+    parts += [table(spark, sf_dir, t).agg(F.lit("edge").alias("kind"), F.lit(c).alias("name"), F.count(c).alias("n")) for t, c in _EDGES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""SELECT n_name, coalesce(s.names, '') AS suppliers, coalesce(s.n, 0) AS n_suppliers, coalesce(c.n, 0) AS n_customers FROM nation
+  LEFT JOIN (SELECT s_nationkey, string_agg(s_name, '|' ORDER BY s_name) AS names, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey
+  LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey""")
+def neighbors_optional_match(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").withColumn("id", F.col("n_nationkey").cast("string"))
+    supplier = table(spark, sf_dir, "supplier").withColumn("id", F.col("s_suppkey").cast("string"))
+    edges = graph.edge("HAS", supplier, F.col("s_nationkey"), "id")
+    sets = graph.neighbours(edges, "HAS", supplier, "found", ["s_name"])
+    customers = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("id")).agg(F.count(F.lit(1)).alias("n_customers"))
+    found = graph.expand(nation, [sets]).join(customers, "id", "left")
+    return found.select("n_name", F.array_join(F.col("found.s_name"), "|").alias("suppliers"), F.size("found").cast("long").alias("n_suppliers"), F.coalesce("n_customers", F.lit(0).cast("long")).alias("n_customers"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS amended, coalesce(string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)), '') AS affected
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45 GROUP BY 1, 2""")
+def amendments_with_affected(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("amended"))
+    parts = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("parts"))
+    return orders.join(parts, "o_orderkey", "left").select("o_orderkey", "amended", F.coalesce(F.array_join("parts", ","), F.lit("")).alias("affected"))
+
+
+@query("SELECT coalesce(event_type, 'unknown') AS event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE value > 50) AS above FROM events GROUP BY 1")
+def entity_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.coalesce("event_type", F.lit("unknown")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("value") > 50).alias("above"))
+
+
+@query("""SELECT conv_id, bool_or(role = 'system') AS has_system, count(*) AS turns, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY 1""")
+def case_flags(spark, sf_dir):
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("has_system"), F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(ordered, lambda x: x["role"]), ",").alias("roles"))
+
+
+@query("""SELECT source, count(DISTINCT lang) AS langs, count(DISTINCT n_chars) AS lengths, count(*) AS n,
+  rank() OVER (ORDER BY count(*) DESC, source) AS place FROM documents GROUP BY source QUALIFY place <= 5""")
+def law_summary(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_distinct("lang").alias("langs"), F.count_distinct("n_chars").alias("lengths"), F.count(F.lit(1)).alias("n"))
+    best = counts.orderBy(F.desc("n"), "source").limit(5)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "source")).cast("long"))
+
+
+@query("""WITH k AS (SELECT DISTINCT l_suppkey, l_linenumber AS n FROM lineitem WHERE l_linenumber <> 3), s AS (SELECT l_suppkey, min(n) AS lo, max(n) AS hi FROM k GROUP BY 1)
+  SELECT s.l_suppkey, CAST(g AS INTEGER) AS missing FROM s, generate_series(lo, hi) t(g) WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.l_suppkey = s.l_suppkey AND k.n = g)""")
+def numbering_gaps(spark, sf_dir):
+    numbered = table(spark, sf_dir, "lineitem").filter("l_linenumber <> 3").select("l_suppkey", "l_linenumber").distinct()
+    return quality.numbering_gaps(numbered, "l_suppkey", "l_linenumber")
+
+
+@query("""SELECT source AS law_id, count(*) AS articles, count(*) FILTER (WHERE length(text) = 0) AS empty, count(*) FILTER (WHERE length(text) BETWEEN 1 AND 19) AS short,
+  count(*) FILTER (WHERE length(text) > 10000) AS long, CAST(min(length(text)) AS INTEGER) AS least, round(avg(length(text)), 4) AS mean, CAST(max(length(text)) AS INTEGER) AS greatest,
+  (SELECT count(*) FROM (SELECT count(*) AS c FROM documents d WHERE d.source = documents.source GROUP BY n_chars HAVING count(*) > 1)) AS repeated_numbers
+  FROM documents GROUP BY source""")
+def extraction_report(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("law_id"), F.col("n_chars").cast("string").alias("article_number"), "text")
+    return quality.article_report(docs)
+
+
+# Versions, dedup, merge ------------------------------------------------------------------------------------------------
+
+_KEY = ["user_id", "event_type"]
+
+
+@query("""SELECT user_id, event_type, event_id AS latest, first_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY CASE WHEN value > 20 THEN ts END DESC NULLS FIRST, event_id) AS compat
+  FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY CASE WHEN value > 20 THEN ts END DESC NULLS LAST, event_id) = 1""")
+def exact_lookup_latest(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("version", F.when(F.col("value") > 20, F.col("ts")))
+    last = dedup.first_wins(events, _KEY, [F.col("version").desc_nulls_last(), "event_id"]).select(*_KEY, F.col("event_id").alias("latest"))
+    first = dedup.first_wins(events, _KEY, [F.col("version").desc_nulls_first(), "event_id"]).select(*_KEY, F.col("event_id").alias("compat"))
+    return last.join(first, _KEY)
+
+
+@query("""SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type
+  ORDER BY CASE WHEN value > 50 THEN 0 ELSE 1 END, CASE WHEN value > 50 THEN ts END DESC NULLS LAST, event_id) = 1""")
+def latest_version_dedupe(spark, sf_dir):
+    amended = F.col("value") > 50
+    order = [F.when(amended, 0).otherwise(1), F.when(amended, F.col("ts")).desc_nulls_last(), "event_id"]
+    return dedup.first_wins(table(spark, sf_dir, "events"), _KEY, order).select(*_KEY, "event_id", "value")
+
+
+@query("SELECT min(doc_id) AS doc_id, substring(text, 1, 80) AS head FROM documents GROUP BY 2")
+def first_wins_dedupe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("head"))
+    return dedup.first_wins(docs, ["head"], ["doc_id"])
+
+
+@query("""WITH k AS (SELECT event_id, nullif(event_type, 'view') AS kind, nullif(CAST(floor(value / 10) AS BIGINT), 3) AS band FROM events)
+  SELECT event_id, kind, band FROM k WHERE kind IS NULL AND band IS NULL
+  UNION ALL SELECT min(event_id), kind, band FROM k WHERE NOT (kind IS NULL AND band IS NULL) GROUP BY kind, band""")
+def null_key_dedupe(spark, sf_dir):
+    keyed = table(spark, sf_dir, "events").select("event_id", F.nullif("event_type", F.lit("view")).alias("kind"), F.nullif(F.floor(F.col("value") / 10), F.lit(3)).alias("band"))
+    return dedup.by_keys_keep_null(keyed, ["kind", "band"], ["event_id"])
+
+
+@query("""SELECT user_id, min_by(event_type, event_id) FILTER (WHERE value > 30) AS kind, min_by(value, event_id) FILTER (WHERE event_type = 'purchase') AS value FROM events GROUP BY 1""")
+def first_non_null_merge(spark, sf_dir):
+    parts = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("value") > 30, F.col("event_type")).alias("kind"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("value"))
+    return dedup.first_non_null(parts, "user_id", ["kind", "value"], "event_id")
+
+
+@query("""SELECT l_suppkey, max_by(l_partkey, l_orderkey * 10 + l_linenumber) AS l_partkey FROM lineitem GROUP BY 1""")
+def last_write_wins(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return dedup.last_wins(lines, "l_suppkey", "pos").drop("pos")
+
+
+@query("""SELECT DISTINCT a.l_suppkey AS from_key, b.l_suppkey AS to_key FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
+  WHERE a.l_suppkey <> b.l_suppkey AND a.l_quantity >= 49 AND b.l_quantity >= 49""")
+def reference_self_join(spark, sf_dir):
+    big = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_suppkey").distinct()
+    a, b = big.withColumnRenamed("l_suppkey", "from_key"), big.withColumnRenamed("l_suppkey", "to_key")
+    return a.join(b, "l_orderkey").filter("from_key <> to_key").select("from_key", "to_key").distinct()
+
+
+_PAIRS = """SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders"""
+
+
+@query(f"""WITH RECURSIVE p AS ({_PAIRS}), w(start, node, distance) AS (SELECT src, src, 0 FROM p WHERE src LIKE 'r%' UNION SELECT w.start, p.dst, w.distance + 1 FROM w JOIN p ON p.src = w.node WHERE w.distance < 3)
+  SELECT start, distance, count(*) AS n FROM (SELECT start, node, min(distance) AS distance FROM w GROUP BY 1, 2) WHERE distance > 0 GROUP BY 1, 2""")
+def multi_hop_reach(spark, sf_dir):
+    name = lambda letter, column: F.concat(F.lit(letter), F.col(column)).alias
+    ends = [("nation", "r", "n_regionkey", "n", "n_nationkey"), ("supplier", "n", "s_nationkey", "s", "s_suppkey"), ("customer", "n", "c_nationkey", "c", "c_custkey"), ("orders", "c", "o_custkey", "o", "o_orderkey")]
+    pairs = reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select(name(a, x)("src"), name(b, y)("dst")) for t, a, x, b, y in ends])
+    starts = table(spark, sf_dir, "region").select(name("r", "r_regionkey")("node"))
+    return graph.within_hops(pairs, starts, 3).groupBy("start", "distance").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS context FROM conversations""")
+def forward_fill_context(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.col("turn")).alias("context"))
+    return chunking.carried_forward(turns, "context", "conv_id", ["turn", "role"])
+
+
+# Chunks and extraction -------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, pos, sha256(piece) AS piece_sha256 FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS piece FROM documents) WHERE piece <> ''""")
+def sentence_chunks(spark, sf_dir):
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "piece")).filter("piece <> ''")
+    return each.select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2("piece", 256).alias("piece_sha256"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)
+  SELECT doc_id, CAST(s // 260 AS BIGINT) AS pos, len(w[s + 1 : s + 300]) AS words, sha256(array_to_string(w[s + 1 : s + 300], ' ')) AS window_sha256
+  FROM w, generate_series(0, len(w) - 1, 260) t(s)""")
+def word_window_chunks(spark, sf_dir):
+    windows = chunking.word_windows(F.col("text"), 300, 40)
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(windows).alias("pos", "w"))
+    return each.select("doc_id", F.col("pos").cast("long").alias("pos"), F.size(F.split("w", " ")).cast("long").alias("words"), F.sha2("w", 256).alias("window_sha256"))
+
+
+@query()
+def table_line_pack(spark, sf_dir):
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.pack_lines(F.col("text"))).alias("pos", "part"))
+    return each.select("doc_id", "pos", F.length("part").alias("chars"), F.sha2("part", 256).alias("part_sha256"))
+
+
+@query()
+def recursive_word_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.split_recursively(docs, "text", 300, 40).select("doc_id", "pos", F.sha2("page_content", 256).alias("chunk_sha256"))
+
+
+@query(r"""SELECT doc_id, m AS found, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z]+) = ', 1)) AS m FROM documents) GROUP BY 1, 2""")
+def regex_extract_rows(spark, sf_dir):
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+) = "), 1)).alias("found"))
+    return each.groupBy("doc_id", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KINDS = [("license", ["license", "copyright"]), ("secret", ["token", "password"]), ("table", [" | "])]
+
+
+@query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in _KINDS) + " ELSE 'other' END AS kind FROM documents")
+def amendment_type_case(spark, sf_dir):
+    low = F.lower("text")
+    chain = F
+    for kind, words in _KINDS:
+        chain = chain.when(reduce(lambda x, y: x | y, [low.contains(w) for w in words]), kind)
+    return table(spark, sf_dir, "documents").select("doc_id", chain.otherwise("other").alias("kind"))
+
+
+_STEMS = [(1, "Amr_Ihala"), (2, "mahdar dabt 3"), (3, "forensic-report"), (4, "محضر_الاستجواب"), (5, "أقوال_الشهود_2"), (6, "unknown"), (7, "مذكرة الدفاع"), (8, "criminal_record"), (9, None)]
+_ROUTED = {1: "amr_ihala", 2: "mahdar_dabt", 3: "taqrir_tibbi", 4: "mahdar_istijwab", 5: "aqwal_shuhud", 6: None, 7: "mozakeret_difa", 8: "sawabiq", 9: None}
+
+
+@query(f"SELECT * FROM (VALUES {literal([(i, s, _ROUTED[i]) for i, s in _STEMS])}) t(id, stem, document_type)")
+def filename_route(spark, sf_dir):
+    return rows(spark, _STEMS, "id int, stem string").select("id", "stem", coerce.route(F.col("stem")).alias("document_type"))
+
+
+_ARABIC = [(1, "المادّة ١٢ـ مكرر"), (2, "إِرْهابٌ  وأسلحةٌ"), (3, "الآثار ئؤى"), (4, None), (5, "")]
+_PLAIN = {1: "الماده ١٢ مكرر", 2: "ارهاب واسلحه", 3: "الاثار يوي", 4: None, 5: ""}
+
+
+@query(f"SELECT * FROM (VALUES {literal([(i, _PLAIN[i], None if t is None else t.replace('١٢', '12')) for i, t in _ARABIC])}) t(id, plain, digits)")
+def arabic_normalize(spark, sf_dir):
+    text = F.col("text")
+    return rows(spark, _ARABIC, "id int, text string").select("id", arabic.normalize_for_topics(text).alias("plain"), arabic.western_digits(text).alias("digits"))
+
+
+@query("SELECT n_nationkey, substring(sha256(n_name || '|' || CAST(n_regionkey AS VARCHAR) || '|' || coalesce(nullif(n_name, 'FRANCE'), 'None')), 1, 16) AS id FROM nation")
+def stable_ids(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", arabic.stable_id(F.col("n_name"), F.col("n_regionkey"), F.nullif("n_name", F.lit("FRANCE"))).alias("id"))
+
+
+_NUMBERS = [(1, "٧٨أ"), (2, "86 مكررا ( أ )"), (3, "1 ف( 1 )"), (4, "309 / ب"), (5, "25 مكرراً"), (6, "78(أ)"), (7, None), (8, " ")]
+_FORMS = {
+    1: ("78 (أ)", "78 (أ)|78/أ"),
+    2: ("86 مكرر (أ)", "86 مكرر (أ)|86 مكرر/أ"),
+    3: ("1 ف(1)", "1 ف(1)|1 ف 1|1/ف (1)"),
+    4: ("309/ب", "309/ب"),
+    5: ("25 مكرر", "25 مكرر"),
+    6: ("78 (أ)", "78 (أ)|78/أ"),
+    7: (None, ""),
+    8: (None, ""),
+}
+
+
+@query(f"SELECT * FROM (VALUES {literal([(i, *_FORMS[i]) for i, _ in _NUMBERS])}) t(id, standard, variants)")
+def article_number_variants(spark, sf_dir):
+    text = F.col("text")
+    return rows(spark, _NUMBERS, "id int, text string").select("id", articles.normalize_article(text).alias("standard"), F.array_join(articles.article_variants(text), "|").alias("variants"))
+
+
+_VALUES = [(1, "نحو 30", "نعم", "weak"), (2, "٤٥ سنة", "1", "STRONG"), (3, None, None, None), (4, "unknown", "لا", "x"), (5, "7", "No", " moderate ")]
+_READ = [(1, 30, True, True, "WEAK"), (2, 45, True, True, "STRONG"), (3, None, False, None, "MODERATE"), (4, None, False, False, "MODERATE"), (5, 7, False, False, "MODERATE")]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join('NULL' if v is None else repr(v) for v in r) + ')' for r in _READ)}) t(id, age, required, optional, strength)")
+def bool_age_enum_coercion(spark, sf_dir):
+    given = rows(spark, _VALUES, "id int, age string, flag string, strength string")
+    return given.select("id", coerce.age(F.col("age")).alias("age"), coerce.bool_required(F.col("flag")).alias("required"), coerce.bool_optional(F.col("flag")).alias("optional"), coerce.enum_value(F.col("strength"), "strength", ["WEAK", "MODERATE", "STRONG"]).alias("strength"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_parse_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json(coerce.salvage_json(F.col("props")), "k bigint")["k"].alias("k"))
+
+
+# Search ----------------------------------------------------------------------------------------------------------------
+
+_WORDS = r"list_filter(regexp_split_to_array(regexp_replace({0}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+_POSTINGS = f"p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY 1, 2), dl AS (SELECT doc_id, len({_WORDS.format('text')}) AS dl FROM documents)"
+
+
+@query(f"WITH {_POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM p GROUP BY 1")
+def token_df(spark, sf_dir):
+    posted = search.postings(table(spark, sf_dir, "documents"), "doc_id", arabic.tokens(F.col("text")))
+    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+
+
+@query(f"WITH {_POSTINGS} SELECT doc_id, dl FROM dl")
+def doc_len(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(arabic.tokens(F.col("text"))).cast("long").alias("dl"))
+
+
+_BM25 = f"""{_POSTINGS}, n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, n GROUP BY term, n),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_WORDS.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+scores AS (SELECT item_id AS query_id, doc_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM q JOIN idf USING (term) JOIN p USING (term) JOIN dl USING (doc_id), n GROUP BY 1, 2),
+lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scores QUALIFY rank <= 10)"""
+
+
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def _lexical(spark, sf_dir, k=10):
+    scored = search.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir))
+    return search.top(scored.withColumn("score", F.round("score", 6)), k).filter("score > 0")
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lexical WHERE score > 0")
+def bm25_topk(spark, sf_dir):
+    return _lexical(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_VECTOR = """v AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round((1 + list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / 2, 6) AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id < 40),
+vector AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v QUALIFY rank <= 10)"""
+
+
+def _vector(spark, sf_dir, k=10):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = vectors.filter("doc_id < 40").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    score = F.round((1 + search.cosine(F.col("embedding"), F.col("query_embedding"))) / 2, 6)
+    scored = vectors.join(F.broadcast(asked), how="cross").withColumn("score", score).drop("query_embedding")  # 40 queries of a top-k search
+    return search.top(scored, k)
+
+
+@query(f"WITH {_VECTOR} SELECT query_id, doc_id, score, rank FROM vector")
+def vector_cosine_topk(spark, sf_dir):
+    return _vector(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH s AS (SELECT e.vec_id, e.label, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) ** 2)) AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id = 0)
+  SELECT vec_id, label, round(score, 4) AS score FROM (SELECT * FROM s ORDER BY score, vec_id LIMIT 20) WHERE label <= 4""")
+def vector_l2_topk_filtered(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    asked = vectors.filter("doc_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("query_embedding"))
+    best = search.nearest(vectors, asked, 20, measure="l2")
+    return best.filter("label <= 4").select(F.col("doc_id").alias("vec_id"), "label", F.round("score", 4).alias("score"))
+
+
+_FUSED = f"""{_BM25}, {_VECTOR}, l AS (SELECT * FROM lexical WHERE score > 0),
+f AS (SELECT coalesce(l.query_id, vector.query_id) AS query_id, coalesce(l.doc_id, vector.doc_id) AS doc_id,
+  coalesce(0.4 / (60 + l.rank), 0) + coalesce(0.6 / (60 + vector.rank), 0) AS fused FROM l FULL JOIN vector ON l.query_id = vector.query_id AND l.doc_id = vector.doc_id)"""
+
+
+@query(f"""WITH RECURSIVE {_FUSED} SELECT query_id, doc_id, round(fused, 8) AS fused,
+  round((fused - min(fused) OVER w) / CASE WHEN max(fused) OVER w > min(fused) OVER w THEN max(fused) OVER w - min(fused) OVER w ELSE 1e-9 END, 6) AS score FROM f WINDOW w AS (PARTITION BY query_id)""")
+def rrf_hybrid(spark, sf_dir):
+    fused = search.fuse(_lexical(spark, sf_dir), _vector(spark, sf_dir))
+    return fused.select("query_id", "doc_id", F.round("fused", 8).alias("fused"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_FUSED} SELECT query_id, doc_id, round(fused, 8) AS score FROM f")
+def ensemble_hybrid(spark, sf_dir):
+    return search.fuse(_lexical(spark, sf_dir), _vector(spark, sf_dir), normalise=False).select("query_id", "doc_id", F.round("score", 8).alias("score"))
+
+
+@query(f"""WITH {_VECTOR} SELECT 1 AS pinned, 7 AS doc_id, 1.0::DOUBLE AS score UNION ALL SELECT 0, doc_id, score FROM vector WHERE query_id = 0 AND score >= 0.6 AND doc_id <> 7""")
+def threshold_pin_exact(spark, sf_dir):
+    hits = _vector(spark, sf_dir).filter("query_id = 0 AND score >= 0.6").select("doc_id", "score")
+    pins = rows(spark, [(7, 1.0)], "doc_id long, score double")
+    return dedup.pinned_first(hits, pins, ["doc_id"], "score").select("pinned", F.col("doc_id").cast("int").alias("doc_id"), "score")
+
+
+@query(f"""WITH {_VECTOR}, b AS (SELECT query_id, doc_id % 7 AS table_id, doc_id, score FROM vector QUALIFY row_number() OVER (PARTITION BY query_id, doc_id % 7 ORDER BY score DESC, doc_id) = 1)
+  SELECT query_id, table_id, doc_id AS chunk_id, score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, table_id) <= 5""")
+def table_dedupe_top5(spark, sf_dir):
+    hits = _vector(spark, sf_dir).select("query_id", (F.col("doc_id") % 7).alias("table_id"), F.col("doc_id").alias("chunk_id"), "score")
+    return search.best_tables(hits)
+
+
+@query("""WITH b AS (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, length(text) AS chars FROM documents),
+  r AS (SELECT *, sum(chars + 1 + CASE WHEN rank > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b)
+  SELECT query_id, doc_id, CAST(used AS BIGINT) AS used FROM r WHERE used <= 9000""")
+def context_budget(spark, sf_dir):
+    blocks = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", F.col("text").alias("block"))
+    ranked = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    return search.within_budget(ranked).select("query_id", "doc_id", "used")
+
+
+@query(f"""WITH {_VECTOR} SELECT query_id, 'article' AS type, CAST(doc_id AS VARCHAR) AS article_number, printf('%.3f', score) AS score FROM vector WHERE rank <= 3
+  UNION ALL SELECT query_id, 'table', CAST(doc_id AS VARCHAR), printf('%.3f', score) FROM vector WHERE rank > 7""")
+def sources_union_format(spark, sf_dir):
+    shaped = _vector(spark, sf_dir).select("query_id", "rank", "score", F.lit("law").alias("law_id"), F.lit("title").alias("law_title"), F.col("doc_id").cast("string").alias("article_number"), F.lit("").alias("text"))
+    return search.sources(shaped.filter("rank <= 3"), shaped.filter("rank > 7")).select("query_id", "type", "article_number", "score")
+
+
+@query(f"""WITH {_VECTOR}, m AS (SELECT query_id, max(score) AS best FROM vector GROUP BY 1), d AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1)
+  SELECT query_id, doc_id, round(0.5 * score + 0.3 * coalesce(n, 0) / max(coalesce(n, 0)) OVER () + 0.2 * score / best, 5) AS score FROM vector JOIN m USING (query_id) LEFT JOIN d ON l_suppkey = doc_id""")
+def hybrid_rule_score(spark, sf_dir):
+    degree = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("doc_id")).agg(F.count_distinct("l_partkey").alias("n"))
+    hits = _vector(spark, sf_dir).join(degree, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    most, best = F.max("n").over(Window.partitionBy()), F.max("score").over(Window.partitionBy("query_id"))
+    return hits.select("query_id", "doc_id", F.round(0.5 * F.col("score") + 0.3 * F.col("n") / most + 0.2 * F.col("score") / best, 5).alias("score"))
+
+
+# Case files ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id, coalesce(t.toxic = 1, false) AS invalidated FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) t USING (doc_id)")
+def invalidated_semijoin(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("source_document_id"), F.lit(0).alias("case_id"))
+    issues = table(spark, sf_dir, "labels").select(F.lit(0).alias("case_id"), F.col("doc_id").alias("source_document_id"), F.when(F.col("toxic") == 1, "absolute").alias("nullity_type"))
+    return cases.flag_invalidated(docs, cases.void_sources(issues)).select("doc_id", "invalidated")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'judge' ELSE 'continue' END AS route FROM orders")
+def routing_split(spark, sf_dir):
+    audits = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "fatal").alias("pipeline_fatality"))
+    fatal, rest = cases.route_cases(audits)
+    return fatal.select("o_orderkey", F.lit("judge").alias("route")).unionByName(rest.select("o_orderkey", F.lit("continue").alias("route")))
+
+
+@query("""SELECT conv_id AS case_id, array_to_string(list_filter(['user', 'assistant', 'system'], lambda r: NOT list_contains(list(role), r)), ',') AS missing FROM conversations GROUP BY 1""")
+def agent_dag_state(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), "role")
+    branch = lambda role: (role, lambda c: c.filter(F.col("role") == role))
+    done = cases.run_stages(turns, [branch(r) for r in ("user", "assistant", "system")]).distinct()
+    state = turns.select("case_id").distinct().join(done.groupBy("case_id").agg(F.collect_set("agent").alias("completed_agents")), "case_id", "left")
+    return cases.missing_agents(state, ["user", "assistant", "system"]).select("case_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query()
+def pagerank(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-checkpoints-"))
+    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.pagerank(both, rounds=10).select("node", F.round("rank", 6).alias("rank"))
