@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, random_table, staged
 from .components import connected_components
 
-#: 32 bands of 5 samples: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
-BANDS, BAND_ROWS = 32, 5
+#: 42 bands of 6 samples: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42 = 3e-6.
+BANDS, BAND_ROWS = 42, 6
 SAMPLES = BANDS * BAND_ROWS
-#: Bits of an odd sketch, as 8 longs.
-SKETCH_LONGS = 8
-SKETCH_BITS = 64 * SKETCH_LONGS
-#: How far below the threshold a sketch's estimate may be before its pair is dropped: over five standard deviations.
-SKETCH_MARGIN = 0.2
+#: An odd sketch folds a set's least hashes, so many at most, into so many parity bits.
+SKETCH_SAMPLES, SKETCH_BITS = 512, 2048
+#: How far a sketch's estimate may be below the threshold: over four standard deviations, where all of both sets is
+#: folded and where only samples are.
+WHOLE_MARGIN, SAMPLED_MARGIN = 0.04, 0.12
+#: Members of a bucket that meet in one block.
+BLOCK = 256
 
 _BYTE = random_table(256, 1)
 _SPACE = np.zeros(256, bool)
@@ -34,7 +37,6 @@ _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, i, 1 << 64)) for i in range(16)]
 _A = (random_table(SAMPLES, 2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (random_table(SAMPLES, 3) >> np.uint64(32)).astype(np.uint32)
 _BAND_MIX = random_table(BANDS, 4)
-_SAMPLE_MIX = random_table(SAMPLES, 5)
 _SLICE_BYTES = 1 << 20
 _SET_BLOCK = 4096
 
@@ -112,13 +114,38 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mix(key ^ _BAND_MIX).view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """The parity bitmap of (sample number, sample): each flips one bit."""
-    bit = (mix(samples.astype(np.uint64) ^ _SAMPLE_MIX) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """The parity bitmap of a sorted set's least hashes: each flips one bit."""
+    bit = (mix(shingles[:SKETCH_SAMPLES]) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-_SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
+def sketch_similarity(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """The Jaccard similarities that pairs of odd sketches (rows of uint64) and set sizes estimate.
+
+    d = -bits / 2 * ln(1 - 2 flipped / bits) samples are in one of the sketches alone, so (a + b - d) / 2 of their a
+    and b samples are common; samples are all hashes below a threshold, at which the common part of the sets is cut.
+    """
+    flipped = np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
+    apart = -SKETCH_BITS / 2 * np.log(np.maximum(1 - 2 * flipped / SKETCH_BITS, 1e-9))
+    a, b = np.minimum(n_left, SKETCH_SAMPLES), np.minimum(n_right, SKETCH_SAMPLES)
+    share = np.minimum(a / np.maximum(n_left, 1), b / np.maximum(n_right, 1))
+    both = np.maximum(a + b - apart, 0) / 2 / np.maximum(share, 1e-9)
+    return both / np.maximum(n_left + n_right - both, 1e-9)
+
+
+def may_link(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may be linked by their sizes and sketches."""
+    margin = np.where(np.maximum(n_left, n_right) <= SKETCH_SAMPLES, WHOLE_MARGIN, SAMPLED_MARGIN)
+    sized = 100 * np.minimum(n_left, n_right) >= percent * np.maximum(n_left, n_right)
+    return sized & (sketch_similarity(left, right, n_left, n_right) >= percent / 100 - margin)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+
+
+_SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"
 
 
 def _signatures(words: int):
@@ -128,19 +155,12 @@ def _signatures(words: int):
             with np.errstate(over="ignore"):
                 for shingles in shingle_sets(batch.column(1).to_pylist(), words):
                     sizes.append(len(shingles))
-                    if len(shingles):
-                        samples = minhash(shingles)
-                        ids.append(np.array([mix(shingles).sum(), np.bitwise_xor.reduce(mix(shingles ^ _BAND_MIX[0]))], np.uint64).tobytes())
-                        bands.append(band_keys(samples))
-                        sketches.append(odd_sketch(samples))
-                    else:
-                        ids.append(None)
-                        bands.append(None)
-                        sketches.append(np.zeros(SKETCH_LONGS, np.int64))
-            sketch = np.array(sketches, np.int64).reshape(-1, SKETCH_LONGS)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            columns += [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_LONGS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "bands", *(f"s{i}" for i in range(SKETCH_LONGS))])
+                    some = len(shingles) > 0
+                    ids.append(np.array([mix(shingles).sum(), np.bitwise_xor.reduce(mix(shingles ^ _BAND_MIX[0]))], np.uint64).tobytes() if some else None)
+                    bands.append(band_keys(minhash(shingles)) if some else None)
+                    sketches.append(odd_sketch(shingles) if some else None)
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "bands", "sketch"])
 
     return sign
 
@@ -157,11 +177,80 @@ def _sets(words: int):
     return hashed
 
 
-def sketch_similarity(left: list[Column], right: list[Column]) -> Column:
-    """The Jaccard similarity that two odd sketches estimate: 1 + bits / (4 samples) * ln(1 - 2 flipped / bits)."""
-    flipped = reduce(lambda x, y: x + y, [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(left, right, strict=True)])
-    apart = F.greatest(F.lit(1) - F.lit(2.0 / SKETCH_BITS) * flipped, F.lit(1e-9))
-    return F.lit(1) + F.lit(SKETCH_BITS / (4.0 * SAMPLES)) * F.log(apart)
+def _sketched(percent: int):
+    """Keeps the pairs (a, b, na, nb, sa, sb) that may be linked."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            near = may_link(_sketches(batch.column(4)), _sketches(batch.column(5)), na, nb, percent)
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    return keep
+
+
+def _crossing(percent: int):
+    """Streams blocks of a bucket's members, ordered by block, and yields the pairs across components that may be linked.
+
+    A pair that shares several buckets is looked at in the first of its bands alone. In a block of two parts, pairs
+    within a part are left to that part's own block.
+    """
+
+    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        ids, comps, sizes, part = (block.column(x).to_numpy() for x in ("id", "component", "n_shingles", "part"))
+        band, bands = block.column("band")[0].as_py(), np.stack(block.column("bands").to_numpy(zero_copy_only=False))
+        sketches = _sketches(block.column("sketch"))
+        one = block.column("low")[0].as_py() == block.column("high")[0].as_py()
+        a, b = [], []
+        for i in range(len(ids)):
+            j = np.arange(i + 1, len(ids))
+            j = j[(comps[j] != comps[i]) & (one | (part[j] != part[i]))]
+            j = j[may_link(sketches[j], sketches[i], sizes[j], np.full(len(j), sizes[i]), percent)]
+            if len(j):
+                same = bands[j] == bands[i]
+                j = j[bands[i][same.argmax(axis=1)] == band]
+                a.append(np.full(len(j), ids[i]))
+                b.append(ids[j])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(x).to_numpy() for x in ("band", "low", "high")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and at != tuple(keys[i]):
+                    yield pairs(held)
+                    held = []
+                at = tuple(keys[i])
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield pairs(held)
+
+    return cross
+
+
+@contextmanager
+def _reduced_join(spark: SparkSession) -> Iterator[None]:
+    """Joins run within test the large side with a Bloom filter of the small side's keys before it is shuffled.
+
+    Spark bounds the filter (spark.sql.optimizer.runtime.bloomFilter.maxNumBits); a full one only lets more rows pass.
+    """
+    names = ("applicationSideScanSizeThreshold", "creationSideThreshold")
+    names = [f"spark.sql.optimizer.runtime.bloomFilter.{x}" for x in names]
+    before = [spark.conf.get(x) for x in names]
+    for name, value in zip(names, ("0", "1g"), strict=True):
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
 
 
 def _confirm(percent: int):
@@ -186,18 +275,13 @@ def _confirm(percent: int):
     return confirm
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked; odd sketches drop most of the others before any set is moved."""
-    names = [f"s{i}" for i in range(SKETCH_LONGS)]
-    a = sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), *(F.col(x).alias(f"a{x}") for x in names))
-    b = sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), *(F.col(x).alias(f"b{x}") for x in names))
-    estimate = sketch_similarity([F.col(f"a{x}") for x in names], [F.col(f"b{x}") for x in names])
-    near = pairs.join(a, "a").join(b, "b").filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate >= percent / 100 - SKETCH_MARGIN))
-    near = staged(near.select("a", "b"), "near-pairs")
-    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    sets = staged(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(words), "id long, shingles binary"), "sets")
-    part = F.pmod(F.xxhash64("b"), F.lit(64))
-    near = near.withColumn("part", part)
+def _confirmed(near: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of near whose full sets are linked. Each set is made once, and moved once for each pair's b and
+    for each a and 64th of its partners."""
+    ids = staged(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "near-ids").filter(F.col("id") > -(1 << 63))
+    with _reduced_join(near.sparkSession):
+        sets = staged(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(words), "id long, shingles binary"), "sets")
+    near = near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)))
     members = near.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", F.col("b").alias("member"), "shingles")
     pivots = near.select("a", "part").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("member"), "shingles")
     rows = pivots.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("member").asc_nulls_first())
@@ -216,37 +300,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Steps: (1) classes of equal sets; (2) band keys of each class's MinHash samples, and in each bucket the pairs of
     its smallest member, the pivot, with the others; (3) the odd sketches' estimate, then the full sets, confirm
-    links; (4) components; (5) buckets whose other members still lie in several components give the pairs across
-    components, confirmed likewise. Every pair of a bucket is thus either confirmed, refuted or already connected.
+    links; (4) components; (5) buckets whose other members still lie in several components are compared in blocks by
+    their sketches, and what may be linked across components is confirmed likewise. Every pair of a bucket is thus
+    either confirmed, refuted or already connected.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = staged(texts.mapInArrow(_signatures(words), _SIGNATURE), "signatures")
-    sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
     whole = signed.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    classes = staged(
-        whole.groupBy("set_id").agg(F.min_by(F.struct("n_shingles", "bands", *sketch), "doc_id").alias("x"), F.min("doc_id").alias("id"))
-        .select("set_id", "id", "x.*"),
-        "classes",
-    )
+    first = F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("x")
+    classes = staged(whole.groupBy("set_id").agg(first, F.min("doc_id").alias("id")).select("set_id", "id", "x.*"), "classes")
+    texts = texts.withColumnRenamed("doc_id", "id")
+
     banded = classes.select("id", F.explode("bands").alias("band"))
-    pivots = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pivots = staged(banded.groupBy("band").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "pivots")
     buckets = staged(banded.join(pivots, "band").filter("id <> pivot").select("band", "pivot", "id"), "buckets")
-    sketches = classes.select("id", "n_shingles", *sketch)
-    firsts = texts.withColumnRenamed("doc_id", "id")
-    pairs = buckets.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = _links(pairs, sketches, firsts, words, percent)
-    component = connected_components(links)
+    pairs = staged(buckets.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    sides = [classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
+    sketched = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "sa", "sb")
+    links = _confirmed(staged(sketched.mapInArrow(_sketched(percent), "a long, b long"), "near-pairs"), texts, words, percent)
+    component = staged(connected_components(links), "components")
 
     named = buckets.join(component.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    left = staged(named.join(mixed, "band"), "mixed-buckets")
-    other = left.select("band", F.col("id").alias("b"), F.col("component").alias("cb"))
-    across = left.select("band", F.col("id").alias("a"), F.col("component").alias("ca")).join(other, "band").filter("a < b AND ca <> cb")
-    if left.limit(1).count():
-        more = _links(across.select("a", "b").distinct(), sketches, firsts, words, percent)
-        component = connected_components(links.unionByName(more))
-
-    ids = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
+    named = staged(named, "named-buckets")
+    spread = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+    mixed = staged(spread.filter("x <> y").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "mixed-buckets")
+    if mixed.limit(1).count():
+        left = named.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        left = left.join(classes.select("id", "n_shingles", "bands", "sketch"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        left = left.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "component", "n_shingles", "bands", "sketch")
+        blocks = left.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+        across = staged(blocks.mapInArrow(_crossing(percent), "a long, b long"), "near-pairs")
+        if across.limit(1).count():
+            links = links.unionByName(_confirmed(across, texts, words, percent))
+            component = staged(connected_components(links), "components")
+
+    ids = staged(classes.select("set_id", "id").join(component.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component")), "set-components")
     placed = signed.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left")
     home = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", home.alias("component_id"), F.coalesce(F.col("doc_id") == home, F.lit(True)).alias("kept"))
