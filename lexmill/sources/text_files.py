@@ -17,12 +17,17 @@ MAX_UPLOAD_BYTES = 20 << 20
 
 
 def decoder(encodings: Sequence[str]):
-    """A column function that decodes bytes by the first encoding that fits, at last as UTF-8 with replacements."""
+    """A column function that decodes bytes by the first encoding that fits, at last as UTF-8 with replacements.
+
+    UTF-16 fits only with a byte order mark, as most bytes of even length could be UTF-16 without one.
+    """
 
     def decode_one(data: bytes | None) -> str | None:
         if data is None:
             return None
         for encoding in encodings:
+            if encoding == "utf-16" and bytes(data[:2]) not in (b"\xff\xfe", b"\xfe\xff"):
+                continue
             try:
                 return bytes(data).decode(encoding)
             except UnicodeError:
