@@ -48,25 +48,28 @@ def source_targets(sized: DataFrame, weights: Sequence[float], cap: float) -> Da
 def pivot(weights: np.ndarray, p: np.ndarray, random: np.random.Generator, tail: float = 0.0, tail_p: float = 0.0) -> tuple[np.ndarray, float]:
     """The probabilities after pairing each unit, in the order given, with the pool of all later ones and the tail.
 
-    A pairing moves weight * probability from one side to the other, at random so that every probability keeps its
-    expectation, until the unit is integral or the whole pool is. All units but at most one end at 0 or 1; the total of
-    weight * probability does not change. Returns the probabilities and that of the tail.
+    A pairing moves weight * probability between the unit and the pool, whose members share it by p * (1 - p), one way
+    or the other at random so that every probability keeps its expectation, until the unit or a member is integral.
+    All units but at most one end at 0 or 1; the total of weight * probability does not change. Returns the
+    probabilities and that of the tail.
     """
     w, p = np.append(weights, tail).astype(float), np.append(p, tail_p).astype(float)
     for i in range(len(w) - 1):
-        pool = slice(i + 1, None)
-        down, up = float(w[pool] @ p[pool]), float(w[pool] @ (1 - p[pool]))
-        if not 0 < p[i] < 1 or down + up <= 0:
-            continue
-        gain, loss = min(w[i] * (1 - p[i]), down), min(w[i] * p[i], up)
-        if gain + loss <= 0:
-            continue
-        if random.random() * (gain + loss) < loss:
-            p[pool] = p[pool] * (1 - gain / down) if gain < down else 0.0
-            p[i] = 1.0 if gain == w[i] * (1 - p[i]) else p[i] + gain / w[i]
-        else:
-            p[pool] = p[pool] + (1 - p[pool]) * (loss / up) if loss < up else 1.0
-            p[i] = 0.0 if loss == w[i] * p[i] else p[i] - loss / w[i]
+        while 0 < p[i] < 1:
+            pool = i + 1 + np.flatnonzero((p[i + 1 :] > 0) & (p[i + 1 :] < 1) & (w[i + 1 :] > 0))
+            if not len(pool):
+                break
+            share = p[pool] * (1 - p[pool])
+            all_share = float(w[pool] @ share)
+            gain = min(w[i] * (1 - p[i]), all_share / float((1 - p[pool]).max()))
+            loss = min(w[i] * p[i], all_share / float(p[pool].max()))
+            if random.random() * (gain + loss) < loss:
+                p[pool] -= share * (gain / all_share)
+                p[i] += gain / w[i]
+            else:
+                p[pool] += share * (loss / all_share)
+                p[i] -= loss / w[i]
+            p[p < 1e-12], p[p > 1 - 1e-12] = 0.0, 1.0
     return p[:-1], float(p[-1])
 
 
