@@ -139,4 +139,5 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, e.vec_id
   coalesce(c, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN least_id l ON l.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
 """,
+    "op7_ownership": secrets.oracle_sql(max_owners=2),
 }

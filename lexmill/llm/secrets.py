@@ -131,3 +131,37 @@ def digest(scanned: DataFrame) -> DataFrame:
         F.col("live").alias("n_live"),
         F.col("widespread").alias("n_widespread"),
     )
+
+
+def oracle_sql(max_owners: int = 2) -> str:
+    """The SQL that gives digest(scan(documents)) in DuckDB, whose patterns have no look-behind and need none here."""
+    marked = []
+    for rank, kind in enumerate(KINDS):
+        pattern = kind.pattern.replace("(?<![0-9a-f])", "").replace("(?<![A-Za-z0-9+/_=-])", "").replace("'", "''")
+        mark = f"regexp_replace(translate(text, chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)), '{pattern}', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g')"
+        marked.append(f"SELECT doc_id, source, {rank} AS rank, '{kind.name}' AS kind, {kind.least} AS least, string_split({mark}, chr(1)) AS parts FROM texts")
+    return f"""
+WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+marked AS ({' UNION ALL '.join(marked)}),
+parts AS (SELECT doc_id, source, rank, kind, least, generate_subscripts(parts, 1) AS pos, unnest(parts) AS part FROM marked WHERE len(parts) > 1),
+placed AS (
+  SELECT *, sum(length(part) - CASE WHEN pos > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id, rank ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start,
+    length(split_part(part, chr(2), 1)) AS head, split_part(split_part(part, chr(3), 1), chr(2), 2) AS value FROM parts),
+spans AS (
+  SELECT doc_id, source, rank, kind, CAST(start AS BIGINT) AS start, CAST(start + head + length(value) AS BIGINT) AS stop, sha256(value) AS hash,
+    regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AS varied FROM placed WHERE pos > 1 AND length(value) >= least),
+candidates AS (
+  SELECT * FROM spans s WHERE kind <> '{TOKEN.name}' OR (varied AND NOT EXISTS (
+    SELECT 1 FROM spans b WHERE b.doc_id = s.doc_id AND b.kind <> '{TOKEN.name}' AND b.start < s.stop AND s.start < b.stop))),
+owned AS (SELECT hash, count(DISTINCT source) AS owners FROM candidates GROUP BY hash),
+judged AS (SELECT c.*, owners, varied AND owners <= {max_owners} AS live, c.kind || ':' || start || ':' || stop AS span FROM candidates c JOIN owned USING (hash)),
+found AS (
+  SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in KINDS if k.base)},
+    coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE kind <> '{TOKEN.name}'), '') AS base,
+    coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE kind <> '{TOKEN.name}' OR live), '') AS spans,
+    count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE owners > {max_owners}) AS n_widespread
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in KINDS if k.base)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_widespread, 0) AS n_widespread
+FROM documents LEFT JOIN found USING (doc_id)
+"""
