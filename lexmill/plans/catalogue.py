@@ -222,7 +222,13 @@ def word_window_chunks(spark, sf_dir):
     return each.select("doc_id", F.col("pos").cast("long").alias("pos"), F.size(F.split("w", " ")).cast("long").alias("words"), F.sha2("w", 256).alias("window_sha256"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM (
+    SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
+  r AS (SELECT doc_id, i, 0 AS part, length(line) AS used FROM l WHERE i = 1 UNION ALL
+    SELECT l.doc_id, l.i, CASE WHEN r.used + 1 + length(l.line) <= 1200 THEN r.part ELSE r.part + 1 END, CASE WHEN r.used + 1 + length(l.line) <= 1200 THEN r.used + 1 ELSE 0 END + length(l.line)
+    FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
+  SELECT doc_id, CAST(part AS INTEGER) AS pos, CAST(length(string_agg(line, chr(10) ORDER BY i)) AS INTEGER) AS chars, sha256(string_agg(line, chr(10) ORDER BY i)) AS part_sha256
+  FROM r JOIN l USING (doc_id, i) GROUP BY doc_id, part""")
 def table_line_pack(spark, sf_dir):
     each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.pack_lines(F.col("text"))).alias("pos", "part"))
     return each.select("doc_id", "pos", F.length("part").alias("chars"), F.sha2("part", 256).alias("part_sha256"))
@@ -460,7 +466,14 @@ def agent_dag_state(spark, sf_dir):
     return cases.missing_agents(state, ["user", "assistant", "system"]).select("case_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query()
+def _unrolled(rounds: int) -> str:
+    steps = [f"r{i} AS (SELECT node, 0.15 + 0.85 * coalesce(given, 0) AS rank FROM nodes LEFT JOIN (SELECT dst AS node, sum(rank / degree) AS given FROM links JOIN r{i - 1} ON src = node GROUP BY 1) USING (node))" for i in range(1, rounds + 1)]
+    return ", ".join(steps)
+
+
+@query(f"""WITH one AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), pairs AS (SELECT p AS src, s AS dst FROM one UNION ALL SELECT s, p FROM one),
+  links AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM pairs), nodes AS (SELECT DISTINCT src AS node FROM pairs), r0 AS (SELECT node, 1.0::DOUBLE AS rank FROM nodes),
+  {_unrolled(10)} SELECT node, round(rank, 6) AS rank FROM r10""")
 def pagerank(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
     if not spark.sparkContext.getCheckpointDir():
