@@ -106,3 +106,27 @@ def salvage_json(text: Column) -> Column:
 def retry_after(error: Column) -> Column:
     """Seconds that an error message asks to wait."""
     return F.regexp_extract(error, r"(?i)retry[- ]after\D{0,5}(\d+(?:\.\d+)?)", 1).try_cast("double")
+
+
+def _field(json: Column, *names: str) -> Column:
+    return F.coalesce(*[blank_to_null(F.get_json_object(json, f"$['{n}']")) for n in names])
+
+
+def name_with_title(json: Column) -> Column:
+    """A person's name: of an object name and title joined by a dash, of an array its strings joined by Arabic commas."""
+    parts = F.concat_ws(" - ", _field(json, "name", "الاسم"), _field(json, "title", "الصفة", "role", "صفة"))
+    listed = F.array_join(string_list(json), "، ")
+    chosen = F.when(F.trim(json).startswith("{"), parts).when(F.trim(json).startswith("["), listed).otherwise(F.trim(json))
+    return F.nullif(chosen, F.lit(""))
+
+
+def factor(json: Column) -> Column:
+    """A factor of a sentence as text: an object's factor, else its description, else the value itself."""
+    return F.when(F.trim(json).startswith("{"), F.coalesce(_field(json, "factor", "description"), json)).otherwise(blank_to_null(json))
+
+
+def statement_summary(json: Column) -> Column:
+    """A statement as text: questions and answers of an array of objects line by line, other values as they are."""
+    pairs = F.from_json(json, "array<struct<question string, answer string>>")
+    lines = F.transform(pairs, lambda p: F.concat_ws("\n", F.concat(F.lit("س: "), p["question"]), F.concat(F.lit("ج: "), p["answer"])))
+    return F.when(F.trim(json).startswith("["), F.nullif(F.array_join(lines, "\n"), F.lit(""))).otherwise(blank_to_null(json))

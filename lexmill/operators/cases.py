@@ -161,3 +161,25 @@ def run_stages(cases: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame
             one = cases.select("case_id", F.lit(name).alias("agent"), F.lit(str(e)[:200]).alias("status"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def sanitised(messages: Sequence[Mapping[str, object]]) -> list[dict[str, str]]:
+    """Messages with a known role and text that is not blank; other roles count as the user's."""
+    texts = [(str(m.get("role") or "user"), str(m.get("content") or "").strip()) for m in messages]
+    return [{"role": role if role in ("system", "user", "assistant") else "user", "content": text} for role, text in texts if text]
+
+
+def transformed_queries(answers: DataFrame) -> DataFrame:
+    """answers (query_id, question, answer) with article_query and principle_query; the question where the model gave none."""
+    json = salvage_json(F.col("answer"))
+    asked = [F.coalesce(*[F.nullif(F.trim(F.get_json_object(json, f"$.{n}")), F.lit("")) for n in names], F.col("question")).alias(names[0]) for names in (("article_query", "articles"), ("principle_query", "principles"))]
+    return answers.select("query_id", "question", *asked)
+
+
+def evidence_scores(answers: DataFrame) -> DataFrame:
+    """(case_id, evidence_id, strength, admissibility) from the analyst's answers, an array for each incident flattened."""
+    json = salvage_json(F.col("answer"))
+    items = "array<struct<evidence_id string, strength string, admissibility string>>"
+    nested = F.from_json(F.get_json_object(json, "$.incidents"), f"array<struct<evidences {items}>>")
+    flat = F.coalesce(F.flatten(F.transform(nested, lambda i: i["evidences"])), F.from_json(F.get_json_object(json, "$.evidences"), items))
+    return answers.select("case_id", F.explode(flat).alias("e")).select("case_id", "e.*")

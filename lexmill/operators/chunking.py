@@ -237,3 +237,31 @@ def merge_short_sentences(text: Column, least: int = 40) -> Column:
         return F.when((F.size(done) > 0) & (F.length(piece) < least), joined).otherwise(F.concat(done, F.array(piece)))
 
     return F.aggregate(pieces, F.array().cast("array<string>"), add)
+
+
+def char_windows(text: Column, size: int = 2000, overlap: int = 200) -> Column:
+    """Windows of so many characters, each starting size - overlap after the one before."""
+    n = F.length(text)
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap))
+    return F.when(n > 0, F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def ruling_parts(rulings: DataFrame, key: str, text: str, whole_words: int = RULING_WORDS, overlap: int = RULING_OVERLAP) -> DataFrame:
+    """rulings with sub_index, chunk_total, word_count, chunk_id: whole if short, else in word windows."""
+    parts = rulings.select("*", F.posexplode(word_windows(F.col(text), whole_words, overlap)).alias("sub_index", "page_content"))
+    total = F.count(F.lit(1)).over(Window.partitionBy(key))
+    words = F.size(F.split("page_content", " "))
+    chunk = F.substring(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col("sub_index").cast("string"), "page_content"), 256), 1, 16)
+    return parts.select("*", total.alias("chunk_total"), words.alias("word_count"), chunk.alias("chunk_id")).drop(text)
+
+
+def sections(text: Column, heads: dict[str, str]) -> list[Column]:
+    """A column for each named head: the text from its pattern to the next head or the end, or null."""
+    later = "|".join(heads.values())
+    return [F.trim(extract(text, rf"(?Us)(?:{head})\s*[:：]?\s*(.*?)(?={later}|$)")).alias(name) for name, head in heads.items()]
+
+
+def of_version(chunks: DataFrame, mode: str = "all") -> DataFrame:
+    """Chunks to index: all of them, the latest version of each article, the original ones, or the amended ones."""
+    amended = F.col("chunk_type") == "amended_article"
+    return {"all": lambda: chunks, "latest": lambda: latest_versions(chunks), "original": lambda: chunks.filter(~amended), "amended": lambda: chunks.filter(amended)}[mode]()

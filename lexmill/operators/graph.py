@@ -185,3 +185,43 @@ def pagerank(pairs: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
         if i % 5 == 4:
             ranks = ranks.checkpoint()
     return ranks
+
+
+def article_history(articles: DataFrame, edges: DataFrame, law_id: str, number: str) -> DataFrame:
+    """All versions of an article by date, with the amendments on each and the versions before and after it."""
+    own = articles.filter((F.col("law_id") == law_id) & (F.col("article_number") == number))
+
+    def ends(rel: str, near: str, far: str, name: str) -> DataFrame:
+        return edges.filter(F.col("rel") == rel).groupBy(F.col(near).alias("id")).agg(F.array_sort(F.collect_set(far)).alias(name))
+
+    sets = [ends("AMENDED_BY", "src_id", "dst_id", "amendments"), ends("SUPERSEDES", "src_id", "dst_id", "supersedes"), ends("SUPERSEDES", "dst_id", "src_id", "superseded_by")]
+    return expand(own, sets).orderBy(F.col("version").asc_nulls_first(), "id")
+
+
+def linked_articles(edges: DataFrame, articles: DataFrame, rel: str, targets: DataFrame, most: int | None = None) -> DataFrame:
+    """Articles that rel leads from to any of targets (id), each once: by topic, by concept, by term."""
+    ends = edges.filter(F.col("rel") == rel).select(F.col("src_id").alias("id"), F.col("dst_id").alias("__to"))
+    found = articles.join(ends.join(targets.select(F.col("id").alias("__to")).distinct(), "__to").select("id").distinct(), "id", "left_semi")
+    return found if most is None else found.orderBy("law_id", "article_number", "id").limit(most)
+
+
+def with_references(articles: DataFrame, edges: DataFrame) -> DataFrame:
+    """articles with referenced: the sorted numbers of the articles that each mentions."""
+    return expand(articles, [neighbours(edges, "REFERENCES", articles, "referenced", ["article_number"])])
+
+
+def allowed(nodes: DataFrame, edges: DataFrame, labels: Sequence[str], rels: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label) of allowed labels, and edges of allowed relations between them."""
+    kept = nodes.filter(F.col("label").isin(list(labels)))
+    ids = kept.select("id").distinct()
+    between = edges.filter(F.col("rel").isin(list(rels))).join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
+    return kept, between
+
+
+def schedule_graph(entries: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """ScheduleEntry and Substance nodes and their edges, from (law_id, table_number, entry_number, name, latin_name)."""
+    e = entries.withColumn("schedule_id", stable_id(F.col("law_id"), F.col("table_number"))).withColumn("id", stable_id(F.col("law_id"), F.col("table_number"), F.col("entry_number")))
+    e = e.withColumn("substance_id", stable_id(F.coalesce("latin_name", "name")))
+    nodes = {"ScheduleEntry": e.select("id", "law_id", "table_number", "entry_number", "name", "latin_name"), "Substance": e.select(F.col("substance_id").alias("id"), F.coalesce("latin_name", "name").alias("name")).dropDuplicates(["id"])}
+    edges = edge("HAS_SCHEDULE", e, "law_id", "schedule_id").unionByName(edge("CONTAINS_ENTRY", e, "schedule_id", "id", position=F.col("entry_number")))
+    return nodes, edges.unionByName(edge("DEFINES_SUBSTANCE", e, "id", "substance_id"))
