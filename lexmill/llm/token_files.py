@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -15,14 +18,23 @@ from pyspark.sql import functions as F
 #: What a file's rows are: the file's number, the document, the ids of the file's documents before it, its ids.
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
 #: Words whose ids a worker keeps; when they are more, it starts anew.
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 400_000
+#: Marks that may follow a run of letters and are a pre-token of their own.
+_TAIL = string.punctuation
+#: How the vocabulary marks the last token of a word.
+_WORD_END = "</w>"
+
+
+def _lower(text: str) -> str:
+    """The text in lower case, as the tokenizer makes it anyway, or as it is where the order of its steps could matter."""
+    return text if "\u03a3" in text or "\u0130" in text or "<|" in text or not unicodedata.is_normalized("NFC", text) else text.lower()
 _BATCH_ROWS = 256
 
-_loaded: dict[str, tuple[object, dict[str, bytes]]] = {}
+_loaded: dict[str, tuple[object, dict[str, bytes], np.ndarray]] = {}
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizers file whose tokens never cross white space, keeping the ids of words.
+    """Encodes texts with a tokenizers file whose tokens never cross white space and mark word ends, keeping words' ids.
 
     Texts are cut at spaces and newlines alone, where the pre-tokenizer cuts anyway, so the ids are those of the
     whole text.
@@ -33,23 +45,49 @@ class WordEncoder:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            _loaded[path] = (Tokenizer.from_file(path), {"": b""})
-        self._tokenizer, self._words = _loaded[path]
+            tokenizer = Tokenizer.from_file(path)
+            is_end = np.zeros(tokenizer.get_vocab_size(), bool)
+            is_end[[i for token, i in tokenizer.get_vocab().items() if token.endswith(_WORD_END)]] = True
+            _loaded[path] = (tokenizer, {"": b""}, is_end)
+        self._tokenizer, self._words, self._is_end = _loaded[path]
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts the ids of words into the cache: runs of letters, one pre-token each, many in one call."""
+        tails = {w: len(w.rstrip(_TAIL)) for w in words}
+        cut = {w: (w[:n], w[n:]) for w, n in tails.items() if 0 < n < len(w) and w[:n].isalpha()}
+        words = (words - cut.keys()) | {x for pair in cut.values() for x in pair if x not in self._words}
+        letters, others = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        for i in range(0, len(letters), 4096):
+            part = letters[i : i + 4096]
+            (found,) = self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self._is_end[ids]) + 1
+            if len(ends) != len(part):  # a letter's lower case can be more than letters
+                others += part
+                continue
+            data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            for word, a, b in zip(part, bounds[:-1], bounds[1:], strict=True):
+                self._words[word] = data[a:b]
+        for i in range(0, len(others), 4096):
+            part = others[i : i + 4096]
+            for word, found in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self._words[word] = np.array(found.ids, "<u4").tobytes()
+        for word, (head, tail) in cut.items():
+            self._words[word] = self._words[head] + self._words[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        gc.disable()  # nothing here is cyclic, and the many short lists would have the cache searched again and again
+        split = [_lower(text).replace("\n", " ").split(" ") for text in texts]
         if len(self._words) > _CACHED_WORDS:
             self._words.clear()
             self._words[""] = b""
         words = self._words
-        new = list({w for ws in split for w in ws if w not in words})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                words[word] = np.array(found.ids, "<u4").tobytes()
+        self._learn({w for ws in split for w in ws if w not in words})
         get = words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        out = [b"".join(map(get, ws)) for ws in split]
+        gc.enable()
+        return out
 
 
 def _encoder(path: str, end_id: int):

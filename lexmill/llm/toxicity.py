@@ -145,6 +145,19 @@ def _counted(terms: dict[str, int]):
     return count
 
 
+def _frequencies(n: int):
+    """(term, rows): in how many rows of a task each term is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).values.to_numpy(zero_copy_only=False), minlength=n)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["term", "rows"])
+
+    return count
+
+
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [sorted(set(words(t))) for t in batch.column(1).to_pylist()]
@@ -167,8 +180,8 @@ def choose_examples(labels: DataFrame) -> DataFrame:
 
 
 def choose_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
-    """At most MAX_TERMS words that tell toxic from clean examples, by chi-square."""
-    rows = _rows(docs).join(F.broadcast(examples), "doc_id")  # at most MAX_EXAMPLES rows of 12 bytes
+    """At most MAX_TERMS words that tell toxic from clean examples, by chi-square; examples of one text count once."""
+    rows = _rows(docs).join(F.broadcast(examples), "doc_id").dropDuplicates(["text_id"])  # at most MAX_EXAMPLES rows
     each = rows.select("toxic", "text").mapInArrow(_distinct_words, "toxic int, words array<string>")
     each = staged(each, "example-words")
     total = each.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
@@ -190,8 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     counted = staged(_rows(docs).mapInArrow(_counted(terms), "doc_id long, text_id long, terms array<int>, counts array<int>"), "term-counts")
     n = counted.count()
     df = np.zeros(len(terms))
-    for row in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        df[row.term] = row["count"]
+    frequencies = counted.select("terms").mapInArrow(_frequencies(len(terms)), "term int, rows long")
+    for row in frequencies.groupBy("term").agg(F.sum("rows").alias("rows")).collect():
+        df[row.term] = row["rows"]
     known = counted.join(F.broadcast(examples), "doc_id").select("doc_id", "toxic", "terms", "counts").dropDuplicates(["doc_id"]).collect()
     model = Model(terms, np.log((1 + n) / (1 + df)) + 1, None, 0.0, 0.0, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
     groups: dict[tuple, list] = {}
