@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes, calibration."""
+"""Toxicity by nearest labelled examples: exact cosine of weighted TF-IDF vectors over a block-max inverted index, votes, calibration."""
 
 from __future__ import annotations
 
@@ -9,18 +9,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Bounds of what is learnt: labelled examples (those of the smallest hash of doc_id) and terms (the most telling).
-MAX_EXAMPLES, MAX_TERMS = 8000, 512
-#: A term tells when its chi-square against the label is at least this and at least so many examples have it.
-LEAST_CHI2, LEAST_EXAMPLES = 20.0, 3
+#: Bound of what is learnt: labelled examples (those of the smallest hash of doc_id), with all their words.
+MAX_EXAMPLES = 8000
 NEIGHBOURS, BLOCK = 15, 64
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 50_000
+#: Scores that a task keeps by text, and rows that it handles at once.
+_CACHE, _SLICE = 50_000, 512
+#: Terms and weights of a vector, in arrays.
+Vector = tuple[np.ndarray, np.ndarray]
 
 
 def words(text: str | None) -> list[str]:
@@ -33,82 +35,113 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    size = ends - starts
+    return np.arange(size.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(size) else np.zeros(0, np.int64)
+
+
+def _arrays(vector: dict[int, float] | Vector) -> Vector:
+    if isinstance(vector, dict):
+        return np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
+    return vector
+
+
 class BlockMaxIndex:
     """Unit vectors in blocks, with each term's greatest weight in each block; finds the nearest by exact cosine."""
 
-    def __init__(self, vectors: list[dict[int, float]], toxic: np.ndarray, clean: np.ndarray, ids: list[int]):
-        order = sorted(range(len(vectors)), key=lambda i: sorted(vectors[i].items(), key=lambda x: (-x[1], x[0])))
+    def __init__(self, vectors: list[dict[int, float] | Vector], toxic: np.ndarray, clean: np.ndarray, ids: list[int]):
+        pairs = [_arrays(v) for v in vectors]
+        heaviest = [t[np.lexsort((t, -w))[:16]].tolist() for t, w in pairs]
+        order = sorted(range(len(pairs)), key=heaviest.__getitem__)
         self.toxic, self.clean, self.ids = toxic[order], clean[order], np.array(ids, np.int64)[order]
         self.place = np.argsort(np.array(order, np.int64))
         self.blocks = -(-len(order) // BLOCK)
-        rows: dict[int, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for term, weight in vectors[i].items():
-                rows.setdefault(term, []).append((at, weight))
-        self.postings = {}
-        for term, found in rows.items():
-            at, weight = np.array([x[0] for x in found]), np.array([x[1] for x in found])
-            blocks, starts = np.unique(at // BLOCK, return_index=True)
-            self.postings[term] = (blocks, np.maximum.reduceat(weight, starts), dict(zip(blocks.tolist(), zip(np.split(at % BLOCK, starts[1:]), np.split(weight, starts[1:]), strict=True), strict=True)))
-
-    def nearest(self, query: dict[int, float], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        self.rows = np.concatenate([[0], np.cumsum([len(pairs[i][0]) for i in order])]).astype(np.int64)
+        self.row_term = np.concatenate([np.zeros(0, np.int32), *(pairs[i][0] for i in order)]).astype(np.int32)
+        self.row_weight = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])
+        self.size = int(self.row_term.max()) + 1 if len(self.row_term) else 0
+        at = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(self.rows))
+        by_term = np.argsort(self.row_term, kind="stable")
+        self.at, self.weight, term = at[by_term], self.row_weight[by_term], self.row_term[by_term]
+        self.terms = np.searchsorted(term, np.arange(self.size + 1))
+        firsts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (self.at[1:] // BLOCK != self.at[:-1] // BLOCK)])) if len(term) else np.zeros(0, np.int64)
+        self.block = self.at[firsts] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, firsts) if len(firsts) else np.zeros(0)
+        self.block_terms = np.searchsorted(term[firsts], np.arange(self.size + 1))
+        self.query = np.zeros(self.size)
+
+    def _score(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, cosines) of all examples of some blocks with the query that is laid out."""
+        at, cosine = [], []
+        for block in blocks.tolist():
+            low, high = block * BLOCK, min((block + 1) * BLOCK, len(self.ids))
+            here = slice(self.rows[low], self.rows[high])
+            at.append(np.arange(low, high))
+            cosine.append(np.add.reduceat(self.query[self.row_term[here]] * self.row_weight[here], self.rows[low:high] - self.rows[low]))
+        return np.concatenate(at), np.concatenate(cosine)
+
+    def nearest(self, query: dict[int, float] | Vector) -> tuple[np.ndarray, np.ndarray]:
         """(positions, cosines) of the NEIGHBOURS nearest examples of positive cosine, and of all that tie with the last.
 
-        Blocks are scored by falling bound, as long as one may hold a nearer example than the last found. skip leaves
-        one example of the vector at that position out.
+        Blocks are scored by falling bound, as long as one may hold a nearer example than the last found; all that are
+        left are scored at once by the terms' postings where that is less work. Both are exact.
         """
-        terms = [(self.postings[t], w) for t, w in query.items() if t in self.postings]
-        bound = np.zeros(self.blocks)
-        for (blocks, most, _), weight in terms:
-            bound[blocks] += most * weight
+        terms, weights = _arrays(query)
+        known = terms < self.size
+        terms, weights = terms[known], weights[known]
+        low, high = self.block_terms[terms], self.block_terms[terms + 1]
+        held = _ranges(low, high)
+        bound = np.bincount(self.block[held], self.most[held] * np.repeat(weights, high - low), self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        bound = bound[order]
+        self.query[terms] = weights
         copies = self.toxic + self.clean
-        if skip >= 0:
-            copies = copies.copy()
-            copies[skip] -= 1
-        at, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or bound[block] < least - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for (_, _, parts), weight in terms:
-                if (part := parts.get(int(block))) is not None:
-                    score[part[0]] += part[1] * weight
-            new = np.flatnonzero(score > max(0.0, least - 1e-9))
-            at, cosine = np.append(at, new + block * BLOCK), np.append(cosine, score[new])
-            have = copies[at] > 0
+        at, cosine, least, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 2
+        low, high = self.terms[terms], self.terms[terms + 1]
+        by_terms = 2 * int((high - low).sum())  # a posting costs about as much as two entries of a row
+        while done < self.blocks and bound[done] > 0 and bound[done] >= least - 1e-9:
+            left = int(np.count_nonzero((bound[done:] > 0) & (bound[done:] >= least - 1e-9)))
+            if done and left * len(self.row_term) > by_terms * self.blocks:
+                held = _ranges(low, high)
+                score = np.bincount(self.at[held], self.weight[held] * np.repeat(weights, high - low), len(self.ids))
+                at, cosine, done = np.arange(len(self.ids)), score, self.blocks
+            else:
+                new, score = self._score(order[done : done + min(step, left)])
+                at, cosine, done, step = np.append(at, new), np.append(cosine, score), done + min(step, left), 2 * step
+            have = (copies[at] > 0) & (cosine > max(0.0, least - 1e-9))
             at, cosine = at[have], cosine[have]
-            order = np.lexsort((at, -cosine))
-            at, cosine = at[order], cosine[order]
+            near = np.lexsort((at, -cosine))
+            at, cosine = at[near], cosine[near]
             enough = np.searchsorted(np.cumsum(copies[at]), NEIGHBOURS)
             if enough < len(at):
                 least = cosine[enough]
                 near = cosine >= least - 1e-12
                 at, cosine = at[near], cosine[near]
+        self.query[terms] = 0.0
         return at, cosine
 
 
 @dataclass
 class Model:
-    """What scoring needs: the terms with their idf, the index, the votes of rows without terms and the calibration."""
+    """What scoring needs: the terms' weights, the index, the votes of rows without terms and the calibration."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray
     index: BlockMaxIndex
     prior: float
     blank: float
     steps: tuple[np.ndarray, np.ndarray]
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        """The unit TF-IDF vector of term counts."""
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = np.sqrt(sum(x * x for x in raw.values()))
-        return {t: float(x / norm) for t, x in raw.items()}
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> Vector:
+        """The unit vector of term counts."""
+        raw = (1 + np.log(counts)) * self.weights[terms]
+        return terms, raw / np.sqrt(raw @ raw)
 
-    def vote(self, vector: dict[int, float], skip: int = -1) -> tuple[float, np.ndarray]:
+    def vote(self, vector: Vector) -> tuple[float, np.ndarray]:
         """The distance-weighted share of toxic neighbours, drawn to the prior, and the neighbours' positions."""
-        if not vector:
+        if not len(vector[0]):
             return self.blank, np.zeros(0, np.int64)
-        at, cosine = self.index.nearest(vector, skip)
+        at, cosine = self.index.nearest(vector)
         toxic, clean = self.index.toxic[at].astype(float), self.index.clean[at].astype(float)
         weight = cosine**2
         return float((weight @ toxic + 0.5 * self.prior) / (weight @ (toxic + clean) + 0.5)), at
@@ -131,16 +164,17 @@ def isotonic(votes: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[np.nd
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.05) / (p[2] + 0.1) for p in pools])
 
 
-def _counted(terms: dict[str, int]):
-    """(doc_id, text_id, terms, counts) of each row, of the chosen terms alone."""
+def _counted(terms):
+    """(doc_id, text_id, terms, counts) of each row, of the examples' words alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = terms.get
-        for batch in batches:
-            found = [sorted(Counter(t for t in map(get, words(text)) if t is not None).items()) for text in batch.column(2).to_pylist()]
-            kinds = pa.list_(pa.int32())
-            columns = [pa.array([[x[i] for x in f] for f in found], kinds) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_id", "terms", "counts"])
+        get, kinds = terms.value.get, pa.list_(pa.int32())
+        for whole in batches:
+            for i in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(i, _SLICE)
+                found = [sorted(Counter(t for t in map(get, words(text)) if t is not None).items()) for text in batch.column(2).to_pylist()]
+                columns = [pa.array([[x[i] for x in f] for f in found], kinds) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_id", "terms", "counts"])
 
     return count
 
@@ -151,13 +185,24 @@ def _frequencies(n: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, np.int64)
         for batch in batches:
-            total += np.bincount(batch.column(0).values.to_numpy(zero_copy_only=False), minlength=n)
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=n)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["term", "rows"])
 
     return count
 
 
+def _bags(table) -> Iterator[Vector]:
+    """(terms, counts) of each row of a batch or table with these columns."""
+    terms, counts = (table.column(name) for name in ("terms", "counts"))
+    if isinstance(terms, pa.ChunkedArray):
+        terms, counts = terms.combine_chunks(), counts.combine_chunks()
+    ends = np.cumsum(pa.compute.list_value_length(terms).to_numpy(zero_copy_only=False)).tolist()
+    terms, counts = (x.flatten().to_numpy(zero_copy_only=False) for x in (terms, counts))
+    for low, high in zip([0, *ends], ends, strict=False):
+        yield terms[low:high], counts[low:high]
+
+
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [sorted(set(words(t))) for t in batch.column(1).to_pylist()]
@@ -179,44 +224,50 @@ def choose_examples(labels: DataFrame) -> DataFrame:
     return staged(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES), "examples")
 
 
-def choose_terms(docs: DataFrame, examples: DataFrame) -> list[str]:
-    """At most MAX_TERMS words that tell toxic from clean examples, by chi-square; examples of one text count once."""
+def example_words(docs: DataFrame, examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All words of the examples, and 1 + the root of each one's chi-square against the label; examples of one text
+    count once. What the labels say about a word thus raises its weight, and no word is left out."""
     rows = _rows(docs).join(F.broadcast(examples), "doc_id").dropDuplicates(["text_id"])  # at most MAX_EXAMPLES rows
     each = rows.select("toxic", "text").mapInArrow(_distinct_words, "toxic int, words array<string>")
     each = staged(each, "example-words")
     total = each.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     by_word = each.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-    n, t = F.lit(float(total.n)), F.lit(float(total.t))
-    a, b = F.col("t").cast("double"), (F.col("n") - F.col("t")).cast("double")
-    chi2 = n * F.pow(a * (n - t - b) - b * (t - a), 2) / (F.col("n") * (n - F.col("n")) * t * (n - t))
-    best = by_word.filter(F.col("n") >= LEAST_EXAMPLES).withColumn("chi2", F.when((F.col("n") < n) & (t > 0) & (t < n), chi2))
-    return [r.word for r in best.filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(MAX_TERMS).collect()]
+    found = by_word.toArrow().sort_by("word")
+    a, m = (found.column(x).to_numpy().astype(float) for x in ("t", "n"))
+    n, t, b = float(total.n), float(total.t), m - a
+    below = m * (n - m) * t * (n - t)
+    chi2 = np.divide(n * (a * (n - t - b) - b * (t - a)) ** 2, below, out=np.zeros(len(m)), where=below > 0)
+    return found.column("word").to_pylist(), 1 + np.sqrt(chi2)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """The model and every row's counts of its terms (doc_id, text_id, terms, counts).
 
-    Labels are learnt from the bounded examples alone; in how many rows a term is, from all rows.
+    Labels are learnt from the bounded examples alone, whose words are the terms; in how many rows a term is, from all
+    rows.
     """
     examples = choose_examples(labels)
-    terms = {w: i for i, w in enumerate(choose_terms(docs, examples))}
+    names, telling = example_words(docs, examples)
+    terms = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
     counted = staged(_rows(docs).mapInArrow(_counted(terms), "doc_id long, text_id long, terms array<int>, counts array<int>"), "term-counts")
+    terms.unpersist()
     n = counted.count()
-    df = np.zeros(len(terms))
-    frequencies = counted.select("terms").mapInArrow(_frequencies(len(terms)), "term int, rows long")
-    for row in frequencies.groupBy("term").agg(F.sum("rows").alias("rows")).collect():
-        df[row.term] = row["rows"]
-    known = counted.join(F.broadcast(examples), "doc_id").select("doc_id", "toxic", "terms", "counts").dropDuplicates(["doc_id"]).collect()
-    model = Model(terms, np.log((1 + n) / (1 + df)) + 1, None, 0.0, 0.0, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    groups: dict[tuple, list] = {}
-    for row in sorted(known, key=lambda r: r.doc_id):
-        group = groups.setdefault((tuple(row.terms), tuple(row.counts)), [0, 0, row.doc_id])
-        group[1 - row.toxic] += 1
-    blank = groups.pop(((), ()), [0, 0, 0])
-    toxic = sum(r.toxic for r in known)
-    model.prior = (toxic + 0.5) / (len(known) + 1)
+    df = np.zeros(len(names))
+    frequencies = counted.select("terms").mapInArrow(_frequencies(len(names)), "term int, rows long")
+    rows = frequencies.groupBy("term").agg(F.sum("rows").alias("rows")).toArrow()
+    df[rows.column("term").to_numpy()] = rows.column("rows").to_numpy()
+    known = counted.join(F.broadcast(examples), "doc_id").select("doc_id", "toxic", "terms", "counts").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    model = Model((np.log((1 + n) / (1 + df)) + 1) * telling, None, 0.0, 0.0, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    groups: dict[bytes, list] = {}
+    toxic = 0
+    for doc_id, label, bag in zip(known.column("doc_id").to_pylist(), known.column("toxic").to_pylist(), _bags(known), strict=True):
+        group = groups.setdefault(bag[0].tobytes() + bag[1].tobytes(), [0, 0, doc_id, bag])
+        group[1 - label] += 1
+        toxic += label
+    blank = groups.pop(b"", [0, 0, 0])
+    model.prior = (toxic + 0.5) / (known.num_rows + 1)
     model.blank = (blank[0] + 0.5 * model.prior) / (blank[0] + blank[1] + 0.5)
-    vectors = [model.vector(dict(zip(*key, strict=True))) for key in groups]
+    vectors = [model.vector(*g[3]) for g in groups.values()]
     counts = np.array([[g[0], g[1]] for g in groups.values()], np.int64).reshape(-1, 2)
     model.index = BlockMaxIndex(vectors, counts[:, 0], counts[:, 1], [g[2] for g in groups.values()])
     left_out = []  # each example's vote without itself
@@ -235,21 +286,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
 
 
 def _scored(model):
-    """(doc_id, text_id, score, evidence) of rows of term counts; equal counts are scored once."""
+    """(doc_id, text_id, score, evidence) of rows of term counts; equal texts are scored once."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = model.value, {}
         for batch in batches:
             scores, evidence = [], []
-            for terms, counts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                key = (tuple(terms), tuple(counts))
-                if key not in seen:
+            for text_id, bag in zip(batch.column(1).to_pylist(), _bags(batch), strict=True):
+                if text_id not in seen:
                     if len(seen) > _CACHE:
                         seen.clear()
-                    vote, at = m.vote(m.vector(dict(zip(*key, strict=True))))
-                    seen[key] = (m.score(vote), m.index.ids[at[:3]].tolist())
-                scores.append(seen[key][0])
-                evidence.append(seen[key][1])
+                    vote, at = m.vote(m.vector(*bag))
+                    seen[text_id] = (m.score(vote), m.index.ids[at[:3]].tolist())
+                scores.append(seen[text_id][0])
+                evidence.append(seen[text_id][1])
             columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "score", "evidence"])
 
@@ -259,11 +309,13 @@ def _scored(model):
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text_id, score, evidence) of each row of docs; text_id is the xxhash64 of the text.
 
-    score, 0 to 1, is the calibrated vote of the NEIGHBOURS nearest examples by the TF-IDF cosine of the chosen terms,
-    weighted by the squared cosine; evidence has up to three of them, nearest first. It depends on the text and the
-    model alone, so equal texts have equal scores. Texts without any chosen term, null and empty ones among them, take
-    the share of toxic examples without any. With no labels at all every score is that of the prior. An empty table
-    gives an empty result; other columns of docs are not read.
+    score, 0 to 1, is the calibrated vote of the NEIGHBOURS nearest examples, weighted by the squared cosine; evidence
+    has up to three of them, nearest first. The cosine is that of TF-IDF vectors of all words that any example has, a
+    word's weight raised by 1 + the root of its chi-square against the label; words that no example has can't bring an
+    example nearer and aren't part of the norm. It depends on the text and the model alone, so equal texts have equal
+    scores. Texts without any such word, null and empty ones among them, take the share of toxic examples without any.
+    With no labels at all every score is that of the prior. An empty table gives an empty result; other columns of docs
+    are not read.
     """
     model, counted = fit(docs, labels)
     return counted.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, text_id long, score double, evidence array<long>")

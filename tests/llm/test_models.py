@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -133,6 +134,18 @@ def test_held_out_labels_are_not_learnt(spark):
     assert one == two
 
 
+def test_every_word_of_an_example_counts(spark):
+    """Words that tell nothing about the label, and rare ones, still lead to the nearest examples."""
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    docs = [(i, f"subject{letters(i // 2)} matter{letters(i // 2)} of all") for i in range(1500)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    known = frame.select("doc_id", (F.col("doc_id") % 4 < 2).cast("int").alias("toxic"))
+    got = toxicity.digest(toxicity.score_documents(frame, known)).collect()
+    twins = [r for r in got if r.held_out and zlib.crc32(str(r.doc_id ^ 1).encode()) % 5]
+    assert len(twins) > 100 and all(r.evidence[0] == r.doc_id ^ 1 for r in twins)
+    assert len({r.score for r in twins}) > 1
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (99, 0)], "doc_id long, toxic int")
