@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,14 +16,16 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Characters of a block at most: longer runs without white space are cut, so that no lattice is longer.
-BLOCK = 20
+BLOCK = 32
 #: Each character's share of a weight, which cancels out and keeps a block's products within a double.
-_SCALE = 2e14
-#: Added to ranks: what another piece costs at least.
-_OFFSET = 300.0
+_SCALE = 1e9
+#: Added to ranks: Mandelbrot's constant of word frequencies.
+_OFFSET = 2.7
 #: Blocks whose best segmentation a worker keeps; when they are more, it starts anew.
 _CACHED = 300_000
 
+_WORD = re.compile(" *[^ ]+| +")
+
 _loaded: dict[tuple[str, float], Pieces] = {}
 
 
@@ -30,14 +33,15 @@ class Pieces:
     """The pieces of a model, each with a weight: (rank + _OFFSET) ** -sharpness.
 
     The rank is that of the model's own score, so early merges weigh most; pieces without one, and the bytes that
-    spell a character without a piece together, have the last rank. sharpness is at most 6.5.
+    spell a character without a piece together, have the last rank. sharpness is at most 4;
+    at 1 the weight is the frequency that the law of Zipf and Mandelbrot gives a piece of that rank.
     """
 
     def __init__(self, path: str, sharpness: float):
         import sentencepiece
 
-        if not 0 < sharpness <= 6.5:
-            raise ValueError("sharpness must be above 0 and at most 6.5")
+        if not 0 < sharpness <= 4:
+            raise ValueError("sharpness must be above 0 and at most 4")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -48,7 +52,7 @@ class Pieces:
             piece, score = model.id_to_piece(i), model.get_score(i)
             if model.is_byte(i):
                 self.spelling[i] = bytes([int(piece[3:5], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and SPACE not in piece[1:]:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and SPACE not in piece.lstrip(SPACE):
                 rank = -score if -n <= score <= 0 else n
                 piece = piece.replace(SPACE, " ")
                 self.spelling[i] = piece.encode()
@@ -58,7 +62,7 @@ class Pieces:
                 self.weight.setdefault(piece[:end], (0.0, -1))
         self.blocks: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.tables: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.tables: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]] = []
         self.known_edges: dict[str, list] = {}
         self.best, self.log_best, self.log_rest = (np.zeros(1024) for _ in range(3))
         names = sorted(self.weight)
@@ -89,19 +93,20 @@ class Pieces:
             out.append((i + 1, self.byte_weight, tuple(self.byte_ids[b] for b in block[i].encode("utf-8", "surrogatepass"))))
         return out
 
-    def _keep(self, blocks: list[str], ids: list[bytes], total: np.ndarray, top: np.ndarray) -> None:
-        """Adds blocks with the ids of their best segmentations and their rows of two tables: from each character the
-        weight of all ways to the block's end and of the best one."""
+    def _keep(self, blocks: list[str], ids: list[bytes], total: np.ndarray, top: np.ndarray, rest: np.ndarray) -> None:
+        """Adds blocks with the ids of their best segmentations and their rows of three tables: from each character the
+        weight of all ways to the block's end, of the best one, and of all others, which is summed and no difference."""
         place = len(self.blocks)
         while place + len(blocks) > len(self.best):
             self.best, self.log_best, self.log_rest = (np.append(x, np.zeros(len(x))) for x in (self.best, self.log_best, self.log_rest))
         here = slice(place, place + len(blocks))
         self.best[here] = np.minimum(1.0, top[:, 0] / total[:, 0])
         with np.errstate(divide="ignore"):
-            self.log_best[here], self.log_rest[here] = np.log(self.best[here]), np.log1p(-self.best[here])
+            self.log_best[here], self.log_rest[here] = np.log1p(-np.minimum(rest[:, 0] / total[:, 0], 1.0)), np.log(rest[:, 0] / total[:, 0])
+            self.log_best[here] = np.where(self.best[here] < 0.5, np.log(self.best[here]), self.log_best[here])
         self.blocks.update(zip(blocks, range(place, place + len(blocks)), strict=True))
         self.ids += ids
-        self.tables += [(total, top, r) for r in range(len(blocks))]
+        self.tables += [(total, top, r, rest) for r in range(len(blocks))]
 
     def learn(self, texts: list[list[str]]) -> None:
         """Puts the best segmentations of the texts' blocks into the cache, many blocks of a length at a time."""
@@ -122,9 +127,11 @@ class Pieces:
         size = len(blocks)
         total, best = np.zeros((size, n + 1)), np.zeros((size, n + 1))
         total[:, n] = best[:, n] = 1.0
+        rest = np.zeros((size, n + 1))
         after, piece = np.zeros((size, n), np.int64), np.full((size, n), -1, np.int64)
         for i in range(n - 1, -1, -1):
             rows, at = np.arange(size), np.zeros(size, np.int64)
+            held, first = np.zeros(size), np.zeros(size)  # the best piece's share of the total, and its weight
             for j in range(i + 1, n + 1):
                 key = at << 21 | points[rows, j - 1]
                 found = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
@@ -133,11 +140,15 @@ class Pieces:
                 if not len(rows):
                     break
                 weight = self.node_weight[at]
-                total[rows, i] += weight * total[rows, j]
+                share = weight * total[rows, j]
+                total[rows, i] += share
                 value = weight * best[rows, j]
                 more = value > best[rows, i]
+                rest[rows, i] += np.where(more, held[rows], share)
                 up = rows[more]
+                held[up], first[up] = share[more], weight[more]
                 best[up, i], after[up, i], piece[up, i] = value[more], j, self.node_id[at[more]]
+            rest[:, i] += first * rest[np.arange(size), after[:, i]]
         spelled = (piece < 0).any(axis=1)  # some characters may need bytes
         ids, count, at, rows = np.zeros((size, n), "<u4"), np.zeros(size, np.int64), np.zeros(size, np.int64), np.flatnonzero(~spelled)
         while len(rows):
@@ -148,31 +159,32 @@ class Pieces:
         good = np.flatnonzero(~spelled)
         data, ends = ids[good].tobytes(), (4 * (np.arange(len(good)) * n + count[good])).tolist()
         own = [data[4 * k * n : end] for k, end in enumerate(ends)]
-        self._keep([blocks[r] for r in good], own, total[good], best[good])
+        self._keep([blocks[r] for r in good], own, total[good], best[good], rest[good])
         for r in np.flatnonzero(spelled):
             self._spell(blocks[r])
 
     def _spell(self, block: str) -> None:
         n, step = len(block), []
-        total, top = np.zeros(n + 1), np.zeros(n + 1)
+        total, top, rest = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
         total[n] = top[n] = 1.0
         for i in range(n - 1, -1, -1):
             own = self.edges(block, i)
             total[i] = sum(w * total[j] for j, w, _ in own)
             first = max(own, key=lambda e: e[1] * top[e[0]])
             top[i] = first[1] * top[first[0]]
+            rest[i] = sum(w * total[j] for j, w, _ in own if j != first[0]) + first[1] * rest[first[0]]
             step.append(first)
         step.reverse()
         at, ids = 0, []
         while at < n:
             at, _, own_ids = step[at]
             ids += own_ids
-        self._keep([block], [np.array(ids, "<u4").tobytes()], total[None], top[None])
+        self._keep([block], [np.array(ids, "<u4").tobytes()], total[None], top[None], rest[None])
 
     def other(self, block: str, random: np.random.Generator, without_best: bool) -> tuple[bytes, float]:
         """A segmentation drawn by its weight, the best one left out if asked, and its probability among all."""
-        totals, tops, row = self.tables[self.blocks[block]]
-        total, top, n = totals[row].tolist(), tops[row].tolist(), len(block)
+        totals, tops, row, rests = self.tables[self.blocks[block]]
+        total, top, rest, n = totals[row].tolist(), tops[row].tolist(), rests[row].tolist(), len(block)
         edges = self.known_edges.get(block)
         if edges is None:
             edges = self.known_edges[block] = [None] * n
@@ -185,7 +197,7 @@ class Pieces:
             ways = [w * total[j] for j, w, _ in own]
             first = max(range(len(own)), key=lambda k: own[k][1] * top[own[k][0]]) if on_best else -1
             if on_best:
-                ways[first] -= own[first][1] * top[own[first][0]]
+                ways[first] = own[first][1] * rest[own[first][0]]
             point = draws[at] * sum(ways)
             k = 0
             while k < len(ways) - 1 and (point >= ways[k] or ways[k] <= 0):
@@ -201,9 +213,9 @@ class Pieces:
 
 
 def blocks_of(text: str) -> list[str]:
-    """The blocks of a text after the dummy space: each space starts one, each newline is one, none is over BLOCK long.
+    """The blocks of a text after the dummy space: a word with the spaces before it, or a newline; none is over BLOCK long.
 
-    No piece crosses them. Pieces are taken with a space for U+2581, so that character itself is spelled by its bytes
+    No piece crosses the ends of words; longer words are cut, and pieces across the cuts are not used. Pieces are taken with a space for U+2581, so that character itself is spelled by its bytes
     and decoding gives it back.
     """
     if not text:
@@ -212,15 +224,7 @@ def blocks_of(text: str) -> list[str]:
     for i, line in enumerate(text.split("\n")):
         if i:
             out.append("\n")
-        if i and not line:
-            continue
-        words = line.split(" ")
-        if i == 0:
-            out += [" " + w for w in words]
-        else:
-            if words[0]:
-                out.append(words[0])
-            out += [" " + w for w in words[1:]]
+        out += _WORD.findall(line if i else " " + line)
     if len(max(out, key=len)) > BLOCK:
         out = [b[i : i + BLOCK] for b in out for i in range(0, len(b), BLOCK)]
     return out
@@ -305,7 +309,7 @@ def sample_segmentations(blocks: list[str], pieces: Pieces, k: int, seed: int) -
                 ids, p = pieces.other(blocks[t], random, False)
         before = float(source.logs[:t].sum())
         remaining = math.exp(rest) - p
-        if remaining > 1e-12:
+        if remaining > 1e-12 * math.exp(rest):  # below is the rounding of the difference
             again = float(_truncated(np.array(before + math.log(remaining)), -value, random))
             heapq.heappush(queue, (-again, number, t, taken | {ids}, math.log(remaining)))
         path, left = follow(t + 1, source.parts[:t] + [ids], np.append(source.logs[:t], math.log(p)), -value)
@@ -350,7 +354,7 @@ def _encoder(path: str, k: int, sharpness: float, seed: int):
     return encode
 
 
-def encode_samples(docs: DataFrame, model: str, k: int = 2, sharpness: float = 6.5, seed: int = 0) -> DataFrame:
+def encode_samples(docs: DataFrame, model: str, k: int = 2, sharpness: float = 1.0, seed: int = 0) -> DataFrame:
     """(doc_id, sample, ids, log_prob, inclusion, round_trip): up to k distinct segmentations of each row's text.
 
     ids are little-endian unsigned 32-bit integers; decoding them gives the text back, as round_trip says. The random

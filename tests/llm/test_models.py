@@ -209,6 +209,20 @@ def test_samples_follow_the_lattice(pieces):
         assert all(np.isclose(s.log_prob, math.log(ways[s.ids] / total)) and 0 < s.inclusion <= 1 for s in run)
 
 
+@pytest.mark.parametrize("block", [" the", " information", "    a"])
+def test_alternatives_survive_rounding(block):
+    sharp = segmentation.Pieces.load(PIECES, 4.0)
+    sharp.learn([[block]])
+    ways = sorted((w for _, w in every_segmentation(block, sharp)), reverse=True)
+    assert np.isclose(sharp.log_rest[sharp.blocks[block]], math.log(sum(ways[1:]) / sum(ways)))
+    assert len(segmentation.sample_segmentations([block], sharp, 2, 0)) == 2
+
+
+def test_runs_of_spaces_have_their_pieces(pieces):
+    assert segmentation.blocks_of("a    b") == [" a", "    b"]
+    assert any(len(pieces.spelling[i]) > 1 for end, _, ids in pieces.edges("    b", 0) for i in ids)
+
+
 def test_round_trips(spark, odd, empty):
     got = segmentation.encode_samples(odd, PIECES, k=2).collect()
     assert all(r.round_trip for r in got)
