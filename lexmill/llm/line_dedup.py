@@ -110,9 +110,9 @@ def _suspects(filters, min_chars: int):
     return suspect
 
 
-def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(doc_id, key, first): the keys of at least min_chars code points that at least min_docs rows of docs hold, for
-    each doc_id that holds them; first is the smallest doc_id that does. Candidates pass the twice-seen filter and are
+def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, long_words: int | None = None, long_docs: int = 2) -> DataFrame:
+    """(doc_id, key, first): the keys of at least min_chars code points that at least min_docs rows of docs hold, or
+    long_docs rows if the key has long_words words or more, for each doc_id that holds them; first is the smallest doc_id that does. Candidates pass the twice-seen filter and are
     then counted by the key itself."""
     spark = docs.sparkSession
     bits = bytearray(1 << (CELL_BITS - 3))
@@ -124,7 +124,10 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     suspects = staged(rows.mapInArrow(_suspects(filters, min_chars), "doc_id long, key string"), "suspects")
     filters.unpersist()
     counted = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    repeated = staged(counted.filter(F.col("n") >= min_docs).select("key", "first"), "repeated-keys")
+    least = F.lit(min_docs)
+    if long_words is not None:
+        least = F.when(F.size(F.split("key", r"[\x20\x09-\x0D]+")) >= long_words, F.lit(long_docs)).otherwise(least)
+    repeated = staged(counted.filter(F.col("n") >= least).select("key", "first"), "repeated-keys")
     return suspects.join(repeated, "key").select("doc_id", "key", "first")
 
 
@@ -157,18 +160,21 @@ def _apply(keep_first: bool):
     return clean
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 2, keep_first: bool = False) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, min_chars: int = 1, min_docs: int = 2, keep_first: bool = False, long_words: int | None = None, long_docs: int = 2
+) -> DataFrame:
     """docs with the lines of each text that repeat in at least min_docs rows gone, and n_lines and n_dropped.
 
     A line's key is the line stripped of ASCII white space, A-Z in lower case; keys of fewer than min_chars code points
-    never repeat. A repeated key loses its lines everywhere, or everywhere but its first line in the row with the
+    never repeat. If long_words is given, a key of so many words or more repeats in long_docs rows already (two at
+    least). A repeated key loses its lines everywhere, or everywhere but its first line in the row with the
     smallest doc_id if keep_first. The lines that stay are joined by newlines. A null text, like an empty one, is one
     empty line and stays as it is. Each row counts as a document, repeated rows too; a null doc_id is one id of its own
     and is never first. An empty table gives an empty result. Columns n_lines and n_dropped of docs are replaced,
     all others stay.
     """
     docs = docs.drop("n_lines", "n_dropped").withColumn("doc_id", F.col("doc_id").cast("long"))
-    drops = repeated_keys(docs, min_chars, min_docs).groupBy("doc_id").agg(F.collect_set(F.struct("key", "first")).alias("__drops"))
+    drops = repeated_keys(docs, min_chars, min_docs, long_words, long_docs).groupBy("doc_id").agg(F.collect_set(F.struct("key", "first")).alias("__drops"))
     held = docs.alias("d").join(drops.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left").select("d.*", "x.__drops")
     fields = [f"`{name}` {kind}" for name, kind in docs.dtypes]
     return held.mapInArrow(_apply(keep_first), ", ".join([*fields, "n_lines long", "n_dropped long"]))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lexmill.llm import fingerprints, line_dedup, mixing, near_dedup, secrets, sharding, token_files
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -144,6 +145,13 @@ def test_first_line_stays(spark):
     assert got == {1: "y\nz", 2: "", 3: "x"}
 
 
+def test_pipeline_drops_long_lines_of_two_documents(spark):
+    long, short = " ".join(f"word{i}" for i in range(50)), " ".join(f"word{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, f"own one\n{long}\n{short}"), (2, f"own two\n{long.upper()}\n{short}")], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert got == {1: f"own one\n{long}\n{short}", 2: f"own two\n{short}"}
+
+
 def test_lines_of_odd_rows(odd, empty):
     got = line_dedup.drop_repeated_lines(odd, 1, 4)
     assert got.columns[:4] == ["doc_id", "text", "lang", "source"] and got.count() == odd.count()
