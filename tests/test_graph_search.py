@@ -138,3 +138,9 @@ def test_new_files_run_once(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_text("two")
     run()
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["one", "two"]
+
+
+def test_bm25_answers_more_than_ten_thousand_queries(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "epsilon zeta")], "doc_id long, text string")
+    queries = spark.range(10_050).select(F.col("id").alias("query_id"), F.lit("alpha").alias("question"))
+    assert search.bm25(docs, queries).select("query_id").distinct().count() == 10_050
