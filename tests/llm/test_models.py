@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,63 +165,100 @@ def pieces():
     return segmentation.Pieces.load(PIECES, 1.0)
 
 
-def every_segmentation(block, pieces):
+def plain_edges(block, model, sharpness):
+    """The pieces at the start of a block by looking each one up in the model itself: (end, weight, ids)."""
+    n, out = model.get_piece_size(), []
+    for end in range(1, len(block) + 1):
+        i = model.piece_to_id(block[:end].replace(" ", "\u2581"))
+        if "\u2581" in block[:end] or i == model.unk_id() or model.is_byte(i) or model.is_control(i):
+            continue
+        score = model.get_score(i)
+        out.append((end, ((-score if -n <= score <= 0 else n) + 2.7) ** -sharpness, (i,)))
+    if not out or out[0][0] != 1:
+        ids = tuple(model.piece_to_id(f"<0x{b:02X}>") for b in block[0].encode())
+        out.append((1, (n + 2.7) ** -sharpness, ids))
+    return out
+
+
+def every_segmentation(block, model, sharpness=1.0):
     if not block:
         return [((), 1.0)]
+    return [(ids + rest, weight * w) for end, weight, ids in plain_edges(block, model, sharpness) for rest, w in every_segmentation(block[end:], model, sharpness)]
+
+
+def samples(text, pieces, k, seeds):
+    """For each seed the samples of text: (ids, log probability, perturbed one, inclusion)."""
+    lattices = segmentation.Lattices(pieces)
+    keys = segmentation.row_keys(pa.array([7] * seeds), pa.array(range(seeds)), 0)
     out = []
-    for end, weight, ids in pieces.edges(block, 0):
-        out += [(ids + rest, weight * w) for rest, w in every_segmentation(block[end:], pieces)]
+    for found in lattices.sample([text] * seeds, keys, k):
+        own = []
+        for path, inclusion in found:
+            ids, _ = pieces.ids_of(lattices.mark.all[path.edges].astype(np.int64), np.array([len(path.edges)]))
+            own.append((tuple(ids.tolist()), path.log_prob, path.perturbed, inclusion))
+        out.append(own)
     return out
 
 
-def edges_of_suffix_agree(block, pieces):
-    return all([(j - i, w, ids) for j, w, ids in pieces.edges(block, i)] == list(pieces.edges(block[i:], 0)) for i in range(len(block)))
-
+@pytest.fixture(scope="module")
+def model():
+    import sentencepiece
 
-@pytest.mark.parametrize("block", [" thereof", "abc", " é漢", " ", " ▁a"])
-def test_lattice_sums_all_segmentations(pieces, block):
-    assert edges_of_suffix_agree(block, pieces)
-    pieces.learn([[block]])
-    ways = every_segmentation(block, pieces)
-    at = pieces.blocks[block]
-    total, top = (table[pieces.tables[at][2]][0] for table in pieces.tables[at][:2])
-    assert np.isclose(total, sum(w for _, w in ways)) and np.isclose(top, max(w for _, w in ways))
-    assert tuple(np.frombuffer(pieces.ids[at], "<u4").tolist()) in {ids for ids, w in ways if np.isclose(w, top)}
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES)
 
 
-def test_samples_follow_the_lattice(pieces):
-    text = "the ten"
-    blocks = segmentation.blocks_of(text)
-    pieces.learn([blocks])
+@pytest.mark.parametrize("text", ["thereof", "abc", "\u00e9\u6f22", " ", "\u2581a", "the ten"])
+def test_samples_follow_the_lattice(pieces, model, text):
     ways = Counter()
-    for a, x in every_segmentation(blocks[0], pieces):
-        for b, y in every_segmentation(blocks[1], pieces):
-            ways[np.array(a + b, "<u4").tobytes()] += x * y
-    total = sum(ways.values())
-    runs = [segmentation.sample_segmentations(blocks, pieces, 3, seed) for seed in range(3000)]
-    first, second = Counter(r[0].ids for r in runs), Counter(r[1].ids for r in runs)
-    for ids, w in ways.most_common(6):
+    blocks = segmentation.blocks_of(text)
+    whole = [((), 1.0)]
+    for block in blocks:
+        whole = [(a + b, x * y) for a, x in whole for b, y in every_segmentation(block, model)]
+    for ids, w in whole:
+        ways[ids] += w
+    total, n = sum(ways.values()), 4000
+    runs = samples(text, pieces, 3, n)
+    first = Counter(r[0][0] for r in runs)
+    second = Counter(r[1][0] for r in runs if len(r) > 1)
+    for ids, w in ways.most_common(5):
         p = w / total
-        assert abs(first[ids] / 3000 - p) < 0.035
+        assert abs(first[ids] / n - p) < 0.035
         without = sum(q / total * p / (1 - q / total) for other, q in ways.items() if other != ids)
-        assert abs(second[ids] / 3000 - without) < 0.035
+        assert abs(second[ids] / n - without) < 0.035
     for run in runs[:300]:
-        assert len({s.ids for s in run}) == len(run) == 3 and run[0].perturbed >= run[1].perturbed >= run[2].perturbed
-        assert all(np.isclose(s.log_prob, math.log(ways[s.ids] / total)) and 0 < s.inclusion <= 1 for s in run)
+        assert len({s[0] for s in run}) == len(run) == min(3, len(ways))
+        assert all(a[2] >= b[2] for a, b in zip(run, run[1:], strict=False))
+        assert all(np.isclose(s[1], math.log(ways[s[0]] / total)) and 0 < s[3] <= 1 for s in run)
+
+
+def test_inclusion_scores_weigh_samples_without_bias(pieces, model):
+    """The sum over samples of p / inclusion estimates 1, the Horvitz-Thompson way."""
+    runs = samples("thereof", pieces, 4, 3000)
+    assert abs(np.mean([sum(math.exp(s[1]) / s[3] for s in run) for run in runs]) - 1) < 0.05
 
 
-@pytest.mark.parametrize("block", [" the", " information", "    a"])
-def test_alternatives_survive_rounding(block):
-    sharp = segmentation.Pieces.load(PIECES, 4.0)
-    sharp.learn([[block]])
-    ways = sorted((w for _, w in every_segmentation(block, sharp)), reverse=True)
-    assert np.isclose(sharp.log_rest[sharp.blocks[block]], math.log(sum(ways[1:]) / sum(ways)))
-    assert len(segmentation.sample_segmentations([block], sharp, 2, 0)) == 2
+@pytest.mark.parametrize("block", ["the", "information", "   a"])
+def test_alternatives_survive_rounding(model, block):
+    sharp = segmentation.Pieces.load(PIECES, 6.0)
+    ways = sorted((w for _, w in every_segmentation(" " + block, model, 6.0)), reverse=True)
+    found = samples(block, sharp, 2, 5)
+    assert all(len(f) == 2 for f in found) and np.isclose(max(s[1] for f in found for s in f), math.log(ways[0] / sum(ways)))
 
 
-def test_runs_of_spaces_have_their_pieces(pieces):
+@pytest.mark.parametrize("text", ["information" * 400, "\u6f22\u5b57\u306e" * 700, "x" * 5000])
+def test_runs_without_spaces_have_one_lattice(pieces, model, text):
+    """Every character of a long run can be inside a piece: no place is a cut in all samples."""
+    assert segmentation.blocks_of(text) == [" " + text]
+    runs = samples(text, pieces, 2, 12)
+    assert all(len(f) == 2 and f[0][0] != f[1][0] for f in runs)
+    if text[0] == "i":
+        cuts = [set(np.cumsum([len(model.id_to_piece(i)) for i in ids]).tolist()) for run in runs for ids, *_ in run]
+        assert len(set.intersection(*cuts)) < 10
+
+
+def test_runs_of_spaces_have_their_pieces(pieces, model):
     assert segmentation.blocks_of("a    b") == [" a", "    b"]
-    assert any(len(pieces.spelling[i]) > 1 for end, _, ids in pieces.edges("    b", 0) for i in ids)
+    assert any(len(model.id_to_piece(i).rstrip("b")) > 1 for run in samples("    b", pieces, 2, 20) for ids, *_ in run for i in ids)
 
 
 def test_round_trips(spark, odd, empty):
@@ -228,18 +266,35 @@ def test_round_trips(spark, odd, empty):
     assert all(r.round_trip for r in got)
     by_id = Counter(r.doc_id for r in got)
     assert by_id[2] == 1 and by_id[4] == 2 and by_id[6] == 4
-    assert {(r.doc_id, r.sample, r.ids) for r in segmentation.encode_samples(odd.repartition(3), PIECES, k=2).collect()} == {(r.doc_id, r.sample, r.ids) for r in got}
+    again = segmentation.encode_samples(odd.repartition(3), PIECES, k=2).collect()
+    assert {(r.doc_id, r.sample, r.ids) for r in again} == {(r.doc_id, r.sample, r.ids) for r in got}
     assert segmentation.encode_samples(empty, PIECES).count() == 0
 
 
-def test_decoding_agrees_with_the_library(pieces):
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    for text in ["Hello  world", " a\n\tb ü 漢字 \U0001f600", "x"]:
-        blocks = segmentation.blocks_of(text)
-        pieces.learn([blocks])
-        for s in segmentation.sample_segmentations(blocks, pieces, 4, 1):
-            ids = np.frombuffer(s.ids, "<u4").tolist()
-            assert model.decode(ids) == text == segmentation.decode(s.ids, pieces)
-        assert segmentation.decode(np.array(model.encode(text), "<u4").tobytes(), pieces) == text
+def test_copies_have_samples_of_their_own(spark):
+    rows = spark.createDataFrame([(1, "several words make a text", i) for i in range(3)], "doc_id long, text string, copy int")
+    got = segmentation.encode_samples(rows, PIECES, k=1, copy=F.col("copy")).collect()
+    assert len({bytes(r.ids) for r in got}) == 3
+
+
+def test_a_cleared_cache_changes_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"text {i} with words{i * 37} of its own") for i in range(300)], "doc_id long, text string").coalesce(1)
+    keep = rows.collect()
+    keys = segmentation.row_keys(pa.array([r.doc_id for r in keep]), pa.array([0] * 300), 0)
+    pieces = segmentation.Pieces.load(PIECES, 1.0)
+    probs = []
+    for limit in (10, 1 << 20):
+        monkeypatch.setattr(segmentation, "_CACHED", limit)
+        lattices, own = segmentation.Lattices(pieces), []
+        for i in range(0, 300, 50):
+            own += [[p.log_prob for p, _ in f] for f in lattices.sample([r.text for r in keep[i : i + 50]], keys[i : i + 50], 2)]
+        probs.append(own)
+    assert np.allclose(probs[0], probs[1])
+
+
+def test_decoding_agrees_with_the_library(pieces, model):
+    for text in ["Plain words, and more.", "  two  spaces ", "\u00e9\U0001f600 \u6f22\u5b57\tx\ny", "\u2581 mark", "a\n\n b"]:
+        for ids, *_ in samples(text, pieces, 4, 2)[0]:
+            assert model.decode(list(ids)) == text == pieces.decode(np.array(ids, np.int32), np.array([len(ids)]))[0].decode()
+        own = np.array(model.encode(text), np.int32)
+        assert pieces.decode(own, np.array([len(own)]))[0].decode() == text
