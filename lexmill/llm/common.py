@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Multipliers of the splitmix64 finalizer (fixed values).
@@ -52,3 +54,51 @@ def mix(x: np.ndarray) -> np.ndarray:
 def random_table(n: int, seed: int) -> np.ndarray:
     """n uint64 that depend on the seed alone."""
     return mix(mix(np.arange(n, dtype=np.uint64) + np.uint64(seed << 32)))
+
+
+#: A value for each byte, and the base of running hashes and its inverse modulo 2 ** 64.
+_BYTE = random_table(256, 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Bytes of text that a task works on at once, but for a longer text.
+SLICE_BYTES = 1 << 20
+#: Which bytes are ASCII white space, and each byte with A-Z as a-z.
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_up, _down = _powers(1 << 12, _BASE), _powers(1 << 12, _INVERSE)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each span of a UTF-8 buffer, which depends on its bytes alone; A-Z count as a-z."""
+    global _up, _down
+    if len(data) >= len(_up):
+        n = 1 << int(len(data)).bit_length()
+        _up, _down = _powers(n, _BASE), _powers(n, _INVERSE)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[LOWER[data]] * _up[: len(data)], out=total[1:])
+        return mix((total[ends] - total[starts]) * _down[starts] + (ends - starts).astype(np.uint64))
+
+
+def text_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of the first, bytes, offsets) of runs of texts of about SLICE_BYTES; null texts are empty."""
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+        yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        at = end

@@ -1,25 +1,25 @@
-"""Line dedup: two Bloom filters find suspected repeats, and only those are counted exactly."""
+"""Line dedup: a once-seen and a twice-seen Bloom filter find suspected repeats, and only those are counted exactly."""
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, staged
+from .common import IS_SPACE, mix, span_hashes, staged, text_slices
 
 #: White space that a key loses at both ends, and letters that it holds in lower case (ASCII alone).
 _STRIP = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-#: Cells of the filters, in segments; a key sets one cell for each probe. The two filters of 2 ** 26 bits are 8 MB each
-#: at any input size; beyond some ten million keys more unrepeated ones are suspected, counted and cleared.
-CELL_BITS, SEGMENT_BITS, PROBES = 26, 16, 2
+#: Bits for each key, probes, and bits of a segment; all probes of a key are in its segment.
+KEY_BITS, PROBES, SEGMENT_BITS = 16, 4, 16
+#: Hashes of a range for which one once-seen filter is built, and hashes that a task holds before it hands them on.
+RANGE_HASHES, HELD_HASHES = 1 << 19, 1 << 20
+#: Bits of the twice-seen filter that are broadcast at most (32 MB); a larger one isn't built, hashes are joined instead.
+BROADCAST_BITS = 1 << 28
 
 
 def line_key(line: str) -> str:
@@ -27,108 +27,253 @@ def line_key(line: str) -> str:
     return line.strip(_STRIP).translate(_LOWER)
 
 
-def _keys(text: str | None) -> list[str]:
-    return [x.strip(_STRIP) for x in (text or "").translate(_LOWER).split("\n")]
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the key of each line of texts in a UTF-8 buffer; a text has one line more than newlines."""
+    breaks = np.flatnonzero(data == 10)
+    owner = np.searchsorted(offsets[1:], breaks, side="right")
+    many = np.bincount(owner, minlength=len(offsets) - 1) + 1
+    last = np.cumsum(many) - 1
+    starts, ends = np.empty(int(many.sum()), np.int64), np.empty(int(many.sum()), np.int64)
+    starts[last - many + 1], ends[last] = offsets[:-1], offsets[1:]
+    at = np.arange(len(breaks)) + owner
+    ends[at], starts[at + 1] = breaks, breaks + 1
+    solid = np.flatnonzero(~IS_SPACE[data])
+    low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    some = low < high
+    starts[some], ends[some] = solid[low[some]], solid[high[some] - 1] + 1
+    ends[~some] = starts[~some]
+    return np.repeat(np.arange(len(many)), many), starts, ends
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    """PROBES cells of each hash, as a row each."""
-    rows = [mix(hashes + np.uint64(i)) >> np.uint64(64 - CELL_BITS) for i in range(PROBES)]
-    return np.stack(rows).astype(np.uint32) if len(hashes) else np.zeros((PROBES, 0), np.uint32)
+def _long_enough(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_chars: int) -> np.ndarray:
+    if min_chars <= 1:
+        return ends - starts >= min_chars
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return points[ends] - points[starts] >= min_chars
 
 
-def _hashes(keys: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64, len(keys))
+def _text_keys(texts: pa.Array, min_chars: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of the first, bytes, text, hash, start, end) of the distinct keys of each text, a run of texts at a time."""
+    for row, data, offsets in text_slices(texts):
+        text, starts, ends = line_spans(data, offsets)
+        good = _long_enough(data, starts, ends, min_chars)
+        text, starts, ends = text[good], starts[good], ends[good]
+        hashes = span_hashes(data, starts, ends)
+        order = np.lexsort((hashes, text))
+        text, hashes = text[order], hashes[order]
+        new = np.append(True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])) if len(text) else np.zeros(0, bool)
+        order = order[new]
+        yield row, data, text[new], hashes[new], starts[order], ends[order]
 
 
-def _sightings(min_chars: int):
-    """For each task and segment: the cells that its keys set, twice where it has seen the key twice or more."""
+def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """PROBES bits below 2 ** bits of each hash, as a row each."""
+    with np.errstate(over="ignore"):
+        return np.stack([(mix(hashes + np.uint64(i)) >> np.uint64(64 - bits)).astype(np.int64) for i in range(1, PROBES + 1)])
+
+
+class Bloom:
+    """A Bloom filter of 64-bit hashes."""
+
+    def __init__(self, bits: int):
+        self.bits, self.data = bits, np.zeros(1 << bits, bool)
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.data[_bits(hashes, self.bits).ravel()] = True
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        return self.data[_bits(hashes, self.bits)].all(axis=0)
+
+
+def _twice_at_most(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each hash as often as given but twice at most."""
+    values, n = np.unique(hashes, return_counts=True)
+    return np.repeat(values, np.minimum(n, 2))
+
+
+def _hashed(min_chars: int):
+    """The hashes of the keys of a task's texts, each once a text and twice at most for HELD_HASHES of them."""
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        held: list[np.ndarray] = []
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            values = held[0] if held else np.zeros(0, np.uint64)
+            for i in range(0, len(values), 1 << 16):
+                part = values[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["n", "hashes"])
+            held.clear()
+
         for batch in batches:
-            keys: list[str] = []
-            for text in batch.column(0).to_pylist():
-                keys += {k for k in _keys(text) if len(k) >= min_chars}
-            values, n = np.unique(_hashes(keys), return_counts=True)
-            again = np.intersect1d(once, values, assume_unique=True)
-            twice = np.union1d(twice, np.concatenate([values[n > 1], again]))
-            once = np.union1d(once, values)
-        cells = np.sort(np.concatenate([_cells(once).ravel(), _cells(twice).ravel()]))
-        segment = cells >> np.uint32(SEGMENT_BITS)
-        names, starts = np.unique(segment, return_index=True)
-        low = (cells & np.uint32((1 << SEGMENT_BITS) - 1)).astype(np.uint16)
-        parts = [x.tobytes() for x in np.split(low, starts[1:])] if len(names) else []
-        for i in range(0, len(parts), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 256].astype(np.int32)), pa.array(parts[i : i + 256], pa.binary())], names=["segment", "cells"])
+            for _, _, _, hashes, _, _ in _text_keys(batch.column(0), min_chars):
+                held.append(hashes)
+                if sum(map(len, held)) > 2 * HELD_HASHES:
+                    held[:] = [_twice_at_most(np.concatenate(held))]
+                    if len(held[0]) > HELD_HASHES:
+                        yield from hand_on()
+        if held:
+            held[:] = [_twice_at_most(np.concatenate(held))]
+        yield from hand_on()
 
     return see
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of each segment that were set once and set twice; rows come ordered by segment."""
-    at, count = None, np.zeros(1 << SEGMENT_BITS, np.int64)
+def _dealt(bits: int, salt: int):
+    """Rows (part, hashes) of hashes by the first bits of their own mix."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("hashes").to_pylist():
+                hashes = np.frombuffer(data, np.uint64)
+                with np.errstate(over="ignore"):
+                    part = (mix(hashes ^ np.uint64(salt)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+                order = np.argsort(part, kind="stable")
+                names, starts = np.unique(part[order], return_index=True)
+                own = [x.tobytes() for x in np.split(hashes[order], starts[1:])] if len(names) else []
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(own, pa.binary())], names=["part", "hashes"])
+
+    return deal
 
-    def done() -> pa.RecordBatch:
-        bits = [np.packbits(count >= n, bitorder="little").tobytes() for n in (1, 2)]
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([b], pa.binary()) for b in bits)], names=["segment", "once", "twice"])
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
+    """(part, hashes) of each row, as rows come ordered by part."""
     for batch in batches:
-        for segment, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if segment != at:
+        for part, data in zip(batch.column("part").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            yield part, np.frombuffer(data, np.uint64)
+
+
+def _seen_again(bits: int):
+    """Rows (n, hashes): what each range's once-seen filter held already when it came again."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, once, twice = None, None, []
+
+        def done() -> pa.RecordBatch:
+            values = np.unique(np.concatenate([np.zeros(0, np.uint64), *twice]))
+            return pa.RecordBatch.from_arrays([pa.array([len(values)], pa.int64()), pa.array([values.tobytes()], pa.binary())], names=["n", "hashes"])
+
+        for part, hashes in _by_part(batches):
+            if part != at:
                 if at is not None:
                     yield done()
-                at, count = segment, np.zeros(1 << SEGMENT_BITS, np.int64)
-            count += np.bincount(np.frombuffer(cells, np.uint16), minlength=1 << SEGMENT_BITS)
+                at, once, twice = part, Bloom(bits), []
+            values, n = np.unique(hashes, return_counts=True)
+            seen = once.has(values) | (n > 1)
+            twice.append(values[seen])
+            once.add(values)
+        if at is not None:
+            yield done()
+
+    return again
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, bits): each segment of the twice-seen filter."""
+    at, own = None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(own.data, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    for part, hashes in _by_part(batches):
+        if part != at:
+            if at is not None:
+                yield done()
+            at, own = part, Bloom(SEGMENT_BITS)
+        own.add(hashes)
     if at is not None:
         yield done()
 
 
-def line_filters(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """(segment, once, twice): the bits of the filter of keys seen in any row of docs, and of that of keys seen in two."""
-    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sightings(min_chars), "segment int, cells binary")
-    merged = seen.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment int, once binary, twice binary")
-    return staged(merged, "line-filters")
+def _deal(hashes: DataFrame, bits: int, salt: int) -> DataFrame:
+    return hashes.mapInArrow(_dealt(bits, salt), "part long, hashes binary").repartition("part").sortWithinPartitions("part")
+
+
+def repeated_hashes(docs: DataFrame, min_chars: int = 1) -> tuple[DataFrame, int]:
+    """Rows (n, hashes) of the hashes of keys that two texts seem to hold, and how many they are.
+
+    All hashes are counted first; each range of about RANGE_HASHES of them has a once-seen filter of KEY_BITS a hash,
+    and a hash that its filter holds already goes to the twice-seen ones.
+    """
+    seen = staged(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_hashed(min_chars), "n long, hashes binary"), "line-hashes")
+    n = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = max(0, (max(1, n) - 1) // RANGE_HASHES).bit_length()
+    bits = max(10, (KEY_BITS * min(max(n, 1), RANGE_HASHES) - 1).bit_length())
+    twice = staged(_deal(seen, ranges, 1).mapInArrow(_seen_again(bits), "n long, hashes binary"), "repeated-hashes")
+    return twice, twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def twice_filter(twice: DataFrame, n: int) -> np.ndarray:
+    """The twice-seen filter of n hashes: 2 ** SEGMENT_BITS bits in bytes for each of its segments, made by tasks."""
+    bits = max(0, (KEY_BITS * max(1, n) - 1) >> SEGMENT_BITS).bit_length()
+    out = np.zeros((1 << bits, 1 << (SEGMENT_BITS - 3)), np.uint8)
+    for row in _deal(twice, bits, 2).mapInArrow(_segments, "part long, bits binary").toLocalIterator():
+        out[row.part] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a filter of twice_filter holds each hash."""
+    segments = (len(bits) - 1).bit_length()
+    with np.errstate(over="ignore"):
+        part = (mix(hashes ^ np.uint64(2)) >> np.uint64(64 - segments)).astype(np.int64) if segments else np.zeros(len(hashes), np.int64)
+    at = _bits(hashes, SEGMENT_BITS)
+    return ((bits[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
-def _suspects(filters, min_chars: int):
-    """The keys of each row that the twice-seen filter has, each once a row."""
+def _keys(filters, min_chars: int):
+    """The keys of each row that the twice-seen filter has, or all without one, each once a row, with their hashes."""
 
-    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.frombuffer(filters.value, np.uint8)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if filters is None else filters.value
         for batch in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [k for k in set(_keys(text)) if len(k) >= min_chars]
-                cells = _cells(_hashes(own))
-                hit = (twice[cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8) & np.uint8(1)).all(axis=0)
-                found = sorted(k for k, h in zip(own, hit, strict=True) if h)
-                ids += [doc_id] * len(found)
-                keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["doc_id", "key"])
+            for row, data, text, hashes, starts, ends in _text_keys(batch.column(2), min_chars):
+                hit = np.arange(len(hashes)) if bits is None else np.flatnonzero(in_filter(bits, hashes))
+                whole = data.tobytes()
+                keys = [whole[a:b].lower().decode() for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)]
+                take = pa.array(row + text[hit])
+                columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(hashes[hit].view(np.int64)), pa.array(keys, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "hash", "key"])
+
+    return found
 
-    return suspect
+
+def _named(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
 
 
 def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, long_words: int | None = None, long_docs: int = 2) -> DataFrame:
-    """(doc_id, key, first): the keys of at least min_chars code points that at least min_docs rows of docs hold, or
-    long_docs rows if the key has long_words words or more, for each doc_id that holds them; first is the smallest doc_id that does. Candidates pass the twice-seen filter and are
-    then counted by the key itself."""
+    """(doc_id, text_id, key, first): for each row, by doc_id and the xxhash64 of its text, its keys of at least
+    min_chars code points that at least min_docs rows of docs hold, or long_docs rows if the key has long_words words
+    or more; first is the smallest doc_id that holds it.
+
+    Suspects pass the twice-seen filter; they alone are shuffled, and counted by the key itself. A key that very many
+    rows hold is counted before the shuffle, and joined to its rows under one of 16 salts.
+    """
     spark = docs.sparkSession
-    bits = bytearray(1 << (CELL_BITS - 3))
-    size = 1 << (SEGMENT_BITS - 3)
-    for row in line_filters(docs, min_chars).select("segment", "twice").toLocalIterator():
-        bits[row.segment * size : (row.segment + 1) * size] = row.twice
-    filters = spark.sparkContext.broadcast(bytes(bits))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    suspects = staged(rows.mapInArrow(_suspects(filters, min_chars), "doc_id long, key string"), "suspects")
-    filters.unpersist()
+    twice, n = repeated_hashes(docs, min_chars)
+    kind = "doc_id long, text_id long, hash long, key string"
+    if KEY_BITS * n <= BROADCAST_BITS:
+        filters = spark.sparkContext.broadcast(twice_filter(twice, n))
+        suspects = staged(_named(docs).mapInArrow(_keys(filters, min_chars), kind), "suspects")
+        filters.unpersist()
+    else:
+        hashes = twice.mapInArrow(_listed, "hash long")
+        suspects = staged(_named(docs).mapInArrow(_keys(None, min_chars), kind).join(hashes, "hash", "left_semi").select("doc_id", "text_id", "hash", "key"), "suspects")
     counted = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     least = F.lit(min_docs)
     if long_words is not None:
         least = F.when(F.size(F.split("key", r"[\x20\x09-\x0D]+")) >= long_words, F.lit(long_docs)).otherwise(least)
     repeated = staged(counted.filter(F.col("n") >= least).select("key", "first"), "repeated-keys")
-    return suspects.join(repeated, "key").select("doc_id", "key", "first")
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    rows = suspects.withColumn("salt", F.pmod(F.hash("doc_id", "text_id"), F.lit(16)))
+    return rows.join(salted, ["key", "salt"]).select("doc_id", "text_id", "key", "first")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("hashes").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, np.int64))], names=["hash"])
 
 
 def _apply(keep_first: bool):
@@ -137,22 +282,27 @@ def _apply(keep_first: bool):
             names = batch.schema.names
             n_lines, n_dropped, kept = [], [], []
             for doc_id, text, drops in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("__drops").to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                n_lines.append(len(lines))
                 if not drops:
-                    kept.append(text)
+                    n_lines.append((text or "").count("\n") + 1)
                     n_dropped.append(0)
+                    kept.append(text)
                     continue
                 firsts = {x["key"]: x["first"] for x in drops}
+                lines = text.split("\n")
+                # only a line as long as some key, blanks apart, can be that key
+                sizes = {len(k) for k in firsts}
                 left = []
-                for line, key in zip(lines, _keys(text), strict=True):
-                    if key not in firsts:
+                for line in lines:
+                    bare = line.strip(_STRIP)
+                    key = bare.translate(_LOWER) if len(bare) in sizes else None
+                    if key is None or key not in firsts:
                         left.append(line)
-                    elif keep_first and firsts[key] == doc_id:
+                    elif keep_first and doc_id is not None and firsts[key] == doc_id:
                         left.append(line)
                         firsts[key] = None
-                kept.append("\n".join(left))
+                n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
+                kept.append("\n".join(left))
             columns = {x: batch.column(x) for x in names if x != "__drops"}
             columns |= {"text": pa.array(kept, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
@@ -169,13 +319,13 @@ def drop_repeated_lines(
     never repeat. If long_words is given, a key of so many words or more repeats in long_docs rows already (two at
     least). A repeated key loses its lines everywhere, or everywhere but its first line in the row with the
     smallest doc_id if keep_first. The lines that stay are joined by newlines. A null text, like an empty one, is one
-    empty line and stays as it is. Each row counts as a document, repeated rows too; a null doc_id is one id of its own
-    and is never first. An empty table gives an empty result. Columns n_lines and n_dropped of docs are replaced,
-    all others stay.
+    empty line and stays as it is. Each row counts as a document, repeated rows too; a null doc_id is never first. An
+    empty table gives an empty result. Columns n_lines and n_dropped of docs are replaced, all others stay.
     """
-    docs = docs.drop("n_lines", "n_dropped").withColumn("doc_id", F.col("doc_id").cast("long"))
-    drops = repeated_keys(docs, min_chars, min_docs, long_words, long_docs).groupBy("doc_id").agg(F.collect_set(F.struct("key", "first")).alias("__drops"))
-    held = docs.alias("d").join(drops.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left").select("d.*", "x.__drops")
+    docs = docs.drop("n_lines", "n_dropped").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    drops = repeated_keys(docs, min_chars, min_docs, long_words, long_docs).groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("key", "first")).alias("__drops"))
+    drops = drops.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text_id"), "__drops")
+    held = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text_id")), "left").drop("__id", "__text_id")
     fields = [f"`{name}` {kind}" for name, kind in docs.dtypes]
     return held.mapInArrow(_apply(keep_first), ", ".join([*fields, "n_lines long", "n_dropped long"]))
 
@@ -183,14 +333,3 @@ def drop_repeated_lines(
 def digest(cleaned: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of each row."""
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-
-
-def expected(texts: list[str | None], min_chars: int, min_docs: int) -> list[tuple[int, int, str]]:
-    """Brute force over a few texts, for tests."""
-    count = Counter(k for t in texts for k in {line_key(x) for x in (t or "").split("\n")} if len(k) >= min_chars)
-    out = []
-    for text in texts:
-        lines = (text or "").split("\n")
-        left = [x for x in lines if count[line_key(x)] < min_docs]
-        out.append((len(lines), len(lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()))
-    return out

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, random_table, staged
+from .common import IS_SPACE, SLICE_BYTES, mix, random_table, span_hashes, staged
 from .components import connected_components
 
 #: 42 bands of 6 samples: a pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42 = 3e-6.
@@ -25,53 +25,28 @@ WHOLE_MARGIN, SAMPLED_MARGIN = 0.04, 0.12
 #: Members of a bucket that meet in one block.
 BLOCK = 256
 
-_BYTE = random_table(256, 1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, i, 1 << 64)) for i in range(16)]
 #: Sample i of a set is the least a[i] * x + b[i] modulo 2 ** 32 of its hashes' upper halves x.
 _A = (random_table(SAMPLES, 2) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (random_table(SAMPLES, 3) >> np.uint64(32)).astype(np.uint32)
 _BAND_MIX = random_table(BANDS, 4)
-_SLICE_BYTES = 1 << 20
 _SET_BLOCK = 4096
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP, _DOWN = _powers(1 << 12, _BASE), _powers(1 << 12, _INVERSE)
-
-
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash and the start of each word of a UTF-8 buffer; A-Z count as a-z, white space is ASCII."""
-    global _UP, _DOWN
-    if len(data) >= len(_UP):
-        n = 1 << int(len(data)).bit_length()
-        _UP, _DOWN = _powers(n, _BASE), _powers(n, _INVERSE)
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~IS_SPACE[data]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * _UP[: len(data)], out=total[1:])
-    value = (total[ends] - total[starts]) * _DOWN[starts]
-    return mix(value + (ends - starts).astype(np.uint64)), starts
+    return span_hashes(data, starts, ends), starts
 
 
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: runs of so many words, or all words of a shorter text."""
     at = 0
     while at < len(texts):
-        parts, sizes, room = [], [], _SLICE_BYTES
+        parts, sizes, room = [], [], SLICE_BYTES
         while at < len(texts) and (room > 0 or not parts):
             part = (texts[at] or "").encode("utf-8", "surrogatepass")
             parts.append(part)
