@@ -102,3 +102,35 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
         yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+
+
+class Flat:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self._data, self.size = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.size + len(values) > len(self._data):
+            self._data = np.append(self._data, np.zeros_like(self._data))
+        self._data[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self._data[: self.size]
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def row_slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters each."""
+    at, room = 0, chars
+    for i, text in enumerate(texts):
+        room -= len(text)
+        if room <= 0 or i == len(texts) - 1:
+            yield at, i + 1
+            at, room = i + 1, chars

@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import Flat, mix, ranges, row_slices
 
 SPACE = "▁"
 #: Added to ranks: Mandelbrot's constant of word frequencies.
@@ -137,28 +137,6 @@ class _Numbers(dict):
         return number
 
 
-class _Flat:
-    """An array that grows at its end."""
-
-    def __init__(self, kind: type):
-        self._data, self.size = np.zeros(1024, kind), 0
-
-    def add(self, values: np.ndarray) -> None:
-        while self.size + len(values) > len(self._data):
-            self._data = np.append(self._data, np.zeros_like(self._data))
-        self._data[self.size : self.size + len(values)] = values
-        self.size += len(values)
-
-    @property
-    def all(self) -> np.ndarray:
-        return self._data[: self.size]
-
-
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All places of the ranges, one range after the other."""
-    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-
-
 def _uniform(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     """A number in (0, 1) for each key and place."""
     with np.errstate(over="ignore"):
@@ -213,9 +191,9 @@ class Lattices:
 
     def _clear(self) -> None:
         self.numbers = _Numbers()
-        self.base, self.size, self.first = _Flat(np.int64), _Flat(np.int64), _Flat(np.int64)
-        self.log_p, self.below, self.rest = _Flat(np.float64), _Flat(np.float64), _Flat(np.float64)
-        self.node, self.to, self.mark = _Flat(np.int32), _Flat(np.int32), _Flat(np.int32)
+        self.base, self.size, self.first = Flat(np.int64), Flat(np.int64), Flat(np.int64)
+        self.log_p, self.below, self.rest = Flat(np.float64), Flat(np.float64), Flat(np.float64)
+        self.node, self.to, self.mark = Flat(np.int32), Flat(np.int32), Flat(np.int32)
         self.first.add(np.zeros(1, np.int64))
 
     def learn(self, blocks: Sequence[str]) -> np.ndarray:
@@ -250,7 +228,7 @@ class Lattices:
         left = until - np.arange(len(points))  # characters from each place to its block's end
         order = to_node[np.argsort(left, kind="stable")]
         bounds = np.cumsum(np.bincount(left)).tolist()
-        edges = _ranges(first[order], many[order])
+        edges = ranges(first[order], many[order])
         ends = np.cumsum(many[order])
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             low, high = int(ends[a] - many[order[a]]), int(ends[b - 1])
@@ -370,7 +348,7 @@ class Lattices:
             inside = np.array([to[p[4]] >= 0 for p in picked])
             rows = np.array([p[0] for p in picked])
             own_block, sizes = np.array([p[5] for p in picked]), np.array([last[p[0]] - p[5] - 1 for p in picked])
-            later = _ranges(own_block + 1, sizes)
+            later = ranges(own_block + 1, sizes)
             walkers = np.concatenate([own_block[inside], later])  # by block, so that a text's follow each other
             nodes = np.concatenate([to[[p[4] for p in picked]].astype(np.int64)[inside], base[blocks[later]]])
             places = np.concatenate([np.array([p[6] for p in picked])[inside], place[later]])
@@ -426,16 +404,6 @@ _ROW = "doc_id long, sample int, ids binary, log_prob double, inclusion double,
 _KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.bool_()]
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about _SLICE characters each."""
-    at, room = 0, _SLICE
-    for i, text in enumerate(texts):
-        room -= len(text)
-        if room <= 0 or i == len(texts) - 1:
-            yield at, i + 1
-            at, room = i + 1, _SLICE
-
-
 def _encoded(doc_ids: pa.Array, texts: list[str], keys: np.ndarray, lattices: Lattices, k: int) -> pa.RecordBatch:
     pieces = lattices.pieces
     found = lattices.sample(texts, keys, k)
@@ -465,7 +433,7 @@ def _encoder(path: str, k: int, sharpness: float, seed: int):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = row_keys(batch.column(0), batch.column(2), seed)
-            for a, b in _slices(texts):
+            for a, b in row_slices(texts, _SLICE):
                 yield _encoded(batch.column(0).slice(a, b - a), texts[a:b], keys[a:b], lattices, k)
 
     return encode

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import string
 import unicodedata
@@ -11,33 +10,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Flat, ranges, row_slices
+
 #: What a file's rows are: the file's number, the document, the ids of the file's documents before it, its ids.
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
-#: Words whose ids a worker keeps; when they are more, it starts anew.
-_CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps, when they are more it starts anew, and characters that it encodes at once.
+_CACHED_WORDS, _SLICE = 600_000, 1 << 22
 #: Marks that may follow a run of letters and are a pre-token of their own.
 _TAIL = string.punctuation
 #: How the vocabulary marks the last token of a word.
 _WORD_END = "</w>"
 
+_loaded: dict[str, tuple[object, np.ndarray]] = {}
+
 
 def _lower(text: str) -> str:
     """The text in lower case, as the tokenizer makes it anyway, or as it is where the order of its steps could matter."""
     return text if "\u03a3" in text or "\u0130" in text or "<|" in text or not unicodedata.is_normalized("NFC", text) else text.lower()
-_BATCH_ROWS = 256
-
-_loaded: dict[str, tuple[object, dict[str, bytes], np.ndarray]] = {}
 
 
 class WordEncoder:
     """Encodes texts with a tokenizers file whose tokens never cross white space and mark word ends, keeping words' ids.
 
     Texts are cut at spaces and newlines alone, where the pre-tokenizer cuts anyway, so the ids are those of the
-    whole text.
+    whole text. The distinct words of many texts are looked up once; ids are gathered from one flat array.
     """
 
     def __init__(self, path: str):
@@ -48,61 +49,88 @@ class WordEncoder:
             tokenizer = Tokenizer.from_file(path)
             is_end = np.zeros(tokenizer.get_vocab_size(), bool)
             is_end[[i for token, i in tokenizer.get_vocab().items() if token.endswith(_WORD_END)]] = True
-            _loaded[path] = (tokenizer, {"": b""}, is_end)
-        self._tokenizer, self._words, self._is_end = _loaded[path]
-
-    def _learn(self, words: set[str]) -> None:
-        """Puts the ids of words into the cache: runs of letters, one pre-token each, many in one call."""
-        tails = {w: len(w.rstrip(_TAIL)) for w in words}
-        cut = {w: (w[:n], w[n:]) for w, n in tails.items() if 0 < n < len(w) and w[:n].isalpha()}
-        words = (words - cut.keys()) | {x for pair in cut.values() for x in pair if x not in self._words}
-        letters, others = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
-        for i in range(0, len(letters), 4096):
-            part = letters[i : i + 4096]
+            _loaded[path] = (tokenizer, is_end)
+        self._tokenizer, self._is_end = _loaded[path]
+        self._clear()
+
+    def _clear(self) -> None:
+        self._numbers: dict[str, int] = {"": 0}
+        self._ids, self._first, self._size = Flat(np.int32), Flat(np.int64), Flat(np.int64)
+        self._first.add(np.zeros(1, np.int64))
+        self._size.add(np.zeros(1, np.int64))
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self._numbers.update(zip(words, range(len(self._numbers), len(self._numbers) + len(words)), strict=True))
+        self._first.add(self._ids.size + np.cumsum(sizes) - sizes)
+        self._size.add(sizes)
+        self._ids.add(ids)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self._size.all[numbers]
+        return self._ids.all[ranges(self._first.all[numbers], sizes)], sizes
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds new words: runs of letters, one pre-token each, many in one call; marks after them once each."""
+        known, cut, letters, others = self._numbers, [], {}, {}
+        for word in words:
+            if word.isalpha():
+                letters[word] = None
+                continue
+            head = word.rstrip(_TAIL)
+            if head and len(head) < len(word) and head.isalpha():
+                tail = word[len(head) :]
+                cut.append((word, head, tail))
+                if head not in known:
+                    letters[head] = None
+                if tail not in known:
+                    others[tail] = None
+            else:
+                others[word] = None
+        names = list(letters)
+        for i in range(0, len(names), 4096):
+            part = names[i : i + 4096]
             (found,) = self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
+            ids = np.array(found.ids, np.int32)
             ends = np.flatnonzero(self._is_end[ids]) + 1
             if len(ends) != len(part):  # a letter's lower case can be more than letters
-                others += part
-                continue
-            data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-            for word, a, b in zip(part, bounds[:-1], bounds[1:], strict=True):
-                self._words[word] = data[a:b]
-        for i in range(0, len(others), 4096):
-            part = others[i : i + 4096]
-            for word, found in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._words[word] = np.array(found.ids, "<u4").tobytes()
-        for word, (head, tail) in cut.items():
-            self._words[word] = self._words[head] + self._words[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        gc.disable()  # nothing here is cyclic, and the many short lists would have the cache searched again and again
-        split = [_lower(text).replace("\n", " ").split(" ") for text in texts]
-        if len(self._words) > _CACHED_WORDS:
-            self._words.clear()
-            self._words[""] = b""
-        words = self._words
-        self._learn({w for ws in split for w in ws if w not in words})
-        get = words.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        gc.enable()
-        return out
+                others.update(dict.fromkeys(part))
+            else:
+                self._add(part, ids, np.diff(ends, prepend=0))
+        names = list(others)
+        for i in range(0, len(names), 4096):
+            part = names[i : i + 4096]
+            found = [x.ids for x in self._tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(part, np.array([x for ids in found for x in ids], np.int32), np.array([len(x) for x in found], np.int64))
+        if cut:
+            pairs = np.array([(known[head], known[tail]) for _, head, tail in cut])
+            ids, sizes = self._gather(pairs.ravel())
+            self._add([word for word, _, _ in cut], ids, sizes.reshape(-1, 2).sum(axis=1))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        if len(self._numbers) > _CACHED_WORDS:
+            self._clear()
+        split = pa.compute.split_pattern(pa.array([_lower(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        self._learn([w for w in names if w not in self._numbers])
+        numbers = np.fromiter(map(self._numbers.__getitem__, names), np.int64, len(names))
+        ids, sizes = self._gather(numbers[words.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pa.compute.list_value_length(split).to_numpy())])]
+        return ids, np.diff(ends)
 
 
 def _encoder(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = WordEncoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for i in range(0, whole.num_rows, _BATCH_ROWS):
-                batch = whole.slice(i, _BATCH_ROWS)
-                ids = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            texts = [t or "" for t in whole.column(1).to_pylist()]
+            for a, b in row_slices(texts, _SLICE):
+                ids, sizes = encoder.encode(texts[a:b])
+                ids, sizes = np.insert(ids, np.cumsum(sizes), np.int32(end_id)), sizes + 1
                 ends = np.cumsum(sizes)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                columns = [pa.array(np.full(len(ids), part, np.int32)), batch.column(0), pa.array(before + ends - sizes), pa.array(sizes), tokens]
+                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
+                columns = [pa.array(np.full(b - a, part, np.int32)), whole.column(0).slice(a, b - a), pa.array(before + ends - sizes), pa.array(sizes), tokens]
                 before += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "local_start", "n_tokens", "tokens"])
 

@@ -120,7 +120,10 @@ def test_word_encoder_equals_whole_texts():
 
     whole, words = Tokenizer.from_file(TOKENIZER), token_files.WordEncoder(TOKENIZER)
     for text in ["don't STOP, Σίσυφος ΑΣ. İstanbul", "a\x1cb c   x ﬁ①!!", "é É. 漢字,かな 12345...", "x<|endoftext|> y", "\n\n", "été.\r\nOk"]:
-        assert words.encode([text]) == [np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert words.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    many = ["some words, more WORDS.", "", "x y z!!!", "some words"] * 3
+    ids, sizes = words.encode(many)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in many]
 
 
 def test_token_files_of_nothing(spark, empty, tmp_path):
