@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,14 +12,17 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import ranges, row_slices, staged
 
 #: Bound of what is learnt: labelled examples (those of the smallest hash of doc_id), with all their words.
 MAX_EXAMPLES = 8000
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK = 15, 256
+#: A block's terms that so many of its examples have are laid out as a matrix; groups of alike examples, and terms that
+#: tell them apart.
+_DENSE, _GROUPS, _GROUP_TERMS = 12, 24, 512
 _WORD = re.compile(r"[^\W\d_]+")
-#: Scores that a task keeps by text, and rows that it handles at once.
-_CACHE, _SLICE = 50_000, 512
+#: Scores that a task keeps by text, characters that it counts and texts that it scores at once.
+_CACHE, _SLICE, _QUERIES = 50_000, 1 << 20, 128
 #: Terms and weights of a vector, in arrays.
 Vector = tuple[np.ndarray, np.ndarray]
 
@@ -35,91 +37,141 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All places of the ranges, one range after the other."""
-    size = ends - starts
-    return np.arange(size.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(size) else np.zeros(0, np.int64)
-
-
 def _arrays(vector: dict[int, float] | Vector) -> Vector:
     if isinstance(vector, dict):
         return np.fromiter(vector.keys(), np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
     return vector
 
 
+def _grouped(pairs: list[Vector], size: int) -> list[int]:
+    """An order of vectors that puts alike ones next to each other: by k-means over their commonest terms, then by
+    their heaviest ones."""
+    lengths = np.array([len(t) for t, _ in pairs])
+    term, weight = (np.concatenate([np.zeros(0, kind), *(p[i] for p in pairs)]) for i, kind in ((0, np.int64), (1, float)))
+    common = np.argsort(-np.bincount(term, minlength=size), kind="stable")[:_GROUP_TERMS]
+    column = np.full(size, -1)
+    column[common] = np.arange(len(common))
+    kept = column[term] >= 0
+    x = np.zeros((len(pairs), len(common)))
+    x[np.repeat(np.arange(len(pairs)), lengths)[kept], column[term[kept]]] = weight[kept]
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]
+    centres = x[np.random.default_rng(0).permutation(len(x))[:_GROUPS]]
+    group = np.zeros(len(x), np.int64)
+    for _ in range(8):
+        group = np.argmax(x @ centres.T, axis=1) if len(x) else group
+        for i in range(len(centres)):
+            if (group == i).any():
+                total = x[group == i].sum(axis=0)
+                centres[i] = total / max(np.sqrt(total @ total), 1e-9)
+    heaviest = [t[np.lexsort((t, -w))[:16]].tolist() for t, w in pairs]
+    return sorted(range(len(pairs)), key=lambda i: (group[i], heaviest[i]))
+
+
 class BlockMaxIndex:
-    """Unit vectors in blocks, with each term's greatest weight in each block; finds the nearest by exact cosine."""
+    """Unit vectors in blocks, with each term's greatest weight in each block; finds the nearest by exact cosine.
+
+    Each block keeps the terms that many of its examples have as a matrix, the others as postings. A query's rare terms
+    are scored by postings everywhere; a block's bound is the greatest such score in it, plus the query times the
+    greatest weights of the block's common terms.
+    """
 
     def __init__(self, vectors: list[dict[int, float] | Vector], toxic: np.ndarray, clean: np.ndarray, ids: list[int]):
         pairs = [_arrays(v) for v in vectors]
-        heaviest = [t[np.lexsort((t, -w))[:16]].tolist() for t, w in pairs]
-        order = sorted(range(len(pairs)), key=heaviest.__getitem__)
+        self.size = max((int(t.max()) + 1 for t, _ in pairs if len(t)), default=0)
+        order = _grouped(pairs, self.size) if pairs else []
         self.toxic, self.clean, self.ids = toxic[order], clean[order], np.array(ids, np.int64)[order]
         self.place = np.argsort(np.array(order, np.int64))
-        self.blocks = -(-len(order) // BLOCK)
         self.rows = np.concatenate([[0], np.cumsum([len(pairs[i][0]) for i in order])]).astype(np.int64)
         self.row_term = np.concatenate([np.zeros(0, np.int32), *(pairs[i][0] for i in order)]).astype(np.int32)
         self.row_weight = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])
-        self.size = int(self.row_term.max()) + 1 if len(self.row_term) else 0
-        at = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(self.rows))
-        by_term = np.argsort(self.row_term, kind="stable")
-        self.at, self.weight, term = at[by_term], self.row_weight[by_term], self.row_term[by_term]
-        self.terms = np.searchsorted(term, np.arange(self.size + 1))
-        firsts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (self.at[1:] // BLOCK != self.at[:-1] // BLOCK)])) if len(term) else np.zeros(0, np.int64)
-        self.block = self.at[firsts] // BLOCK
-        self.most = np.maximum.reduceat(self.weight, firsts) if len(firsts) else np.zeros(0)
-        self.block_terms = np.searchsorted(term[firsts], np.arange(self.size + 1))
-        self.query = np.zeros(self.size)
-
-    def _score(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, cosines) of all examples of some blocks with the query that is laid out."""
-        at, cosine = [], []
-        for block in blocks.tolist():
-            low, high = block * BLOCK, min((block + 1) * BLOCK, len(self.ids))
-            here = slice(self.rows[low], self.rows[high])
-            at.append(np.arange(low, high))
-            cosine.append(np.add.reduceat(self.query[self.row_term[here]] * self.row_weight[here], self.rows[low:high] - self.rows[low]))
-        return np.concatenate(at), np.concatenate(cosine)
+        self.starts = np.arange(0, len(order), BLOCK)
+        at = np.repeat(np.arange(len(order)), np.diff(self.rows))
+        common = np.zeros(len(at), bool)
+        self.matrices: list[tuple[np.ndarray, np.ndarray]] = []  # terms; weights by term and example
+        for low in self.starts.tolist():
+            here = slice(self.rows[low], self.rows[min(low + BLOCK, len(order))])
+            names, which, many = np.unique(self.row_term[here], return_inverse=True, return_counts=True)
+            dense = many >= _DENSE
+            common[here] = dense[which]
+            place = np.cumsum(dense) - 1
+            matrix = np.zeros((int(dense.sum()), min(BLOCK, len(order) - low)))
+            matrix[place[which[common[here]]], at[here][common[here]] - low] = self.row_weight[here][common[here]]
+            self.matrices.append((names[dense], matrix))
+        self.dense = np.unique(np.concatenate([np.zeros(0, np.int32), *(n for n, _ in self.matrices)]))
+        self.column = np.full(self.size + 1, -1, np.int64)
+        self.column[self.dense] = np.arange(len(self.dense))
+        rare = np.flatnonzero(~common)
+        rare = rare[np.argsort(self.row_term[rare], kind="stable")]
+        self.at, self.weight = at[rare], self.row_weight[rare]
+        self.terms = np.searchsorted(self.row_term[rare], np.arange(self.size + 1))
 
     def nearest(self, query: dict[int, float] | Vector) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, cosines) of the NEIGHBOURS nearest examples of positive cosine, and of all that tie with the last.
+        """(positions, cosines) of the NEIGHBOURS nearest examples of positive cosine, and of all that tie with the last."""
+        return self.nearest_each([_arrays(query)])[0]
+
+    def nearest_each(self, queries: list[Vector], left_out: list[tuple[int, int]] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """nearest for each query; left_out has a position for each of them, of which so many copies do not count.
 
-        Blocks are scored by falling bound, as long as one may hold a nearer example than the last found; all that are
-        left are scored at once by the terms' postings where that is less work. Both are exact.
+        Blocks are scored by falling bound, as long as one may hold a nearer example than the last found; what may be
+        among the nearest is then compared by its whole vector, so the result does not depend on the other queries.
         """
-        terms, weights = _arrays(query)
-        known = terms < self.size
-        terms, weights = terms[known], weights[known]
-        low, high = self.block_terms[terms], self.block_terms[terms + 1]
-        held = _ranges(low, high)
-        bound = np.bincount(self.block[held], self.most[held] * np.repeat(weights, high - low), self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        bound = bound[order]
-        self.query[terms] = weights
-        copies = self.toxic + self.clean
-        at, cosine, least, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 2
-        low, high = self.terms[terms], self.terms[terms + 1]
-        by_terms = 2 * int((high - low).sum())  # a posting costs about as much as two entries of a row
-        while done < self.blocks and bound[done] > 0 and bound[done] >= least - 1e-9:
-            left = int(np.count_nonzero((bound[done:] > 0) & (bound[done:] >= least - 1e-9)))
-            if done and left * len(self.row_term) > by_terms * self.blocks:
-                held = _ranges(low, high)
-                score = np.bincount(self.at[held], self.weight[held] * np.repeat(weights, high - low), len(self.ids))
-                at, cosine, done = np.arange(len(self.ids)), score, self.blocks
-            else:
-                new, score = self._score(order[done : done + min(step, left)])
-                at, cosine, done, step = np.append(at, new), np.append(cosine, score), done + min(step, left), 2 * step
-            have = (copies[at] > 0) & (cosine > max(0.0, least - 1e-9))
-            at, cosine = at[have], cosine[have]
+        many, wanted = len(self.ids), NEIGHBOURS + 1
+        if not many:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        owner = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        term, weight = (np.concatenate([np.zeros(0, kind), *(q[i] for q in queries)]) for i, kind in ((0, np.int64), (1, float)))
+        known = term < self.size
+        owner, term, weight = owner[known], term[known].astype(np.int64), weight[known]
+        low, sizes = self.terms[term], self.terms[term + 1] - self.terms[term]
+        held = ranges(low, sizes)
+        rare = np.bincount(np.repeat(owner * many, sizes) + self.at[held], self.weight[held] * np.repeat(weight, sizes), len(queries) * many).reshape(-1, many).astype(float, copy=False)
+        dense = np.zeros((len(queries), len(self.dense)))
+        column = self.column[term]
+        dense[owner[column >= 0], column[column >= 0]] = weight[column >= 0]
+        bound = np.maximum.reduceat(rare, self.starts, axis=1)
+        for i, (names, matrix) in enumerate(self.matrices):
+            if len(names):
+                bound[:, i] += dense[:, self.column[names]] @ matrix.max(axis=1)
+        score, least, open_blocks = np.full(rare.shape, -np.inf), np.zeros(len(queries)), bound > 0
+        for step in (2, 4, len(self.starts)):
+            pick = open_blocks & (bound >= least[:, None] - 1e-9)
+            if not pick.any():
+                break
+            if step < len(self.starts):
+                value = np.where(pick, bound, -np.inf)
+                pick &= value >= -np.partition(-value, step - 1, axis=1)[:, step - 1 : step]
+            open_blocks &= ~pick
+            for i, (names, matrix) in enumerate(self.matrices):
+                rows = np.flatnonzero(pick[:, i])
+                if len(rows):
+                    here = slice(self.starts[i], self.starts[i] + matrix.shape[1])
+                    score[rows, here] = rare[rows, here] + (dense[np.ix_(rows, self.column[names])] @ matrix if len(names) else 0.0)
+            if many > wanted:
+                least = np.maximum(np.partition(score, many - wanted, axis=1)[:, many - wanted], 0.0)
+        out, laid_out = [], np.zeros(self.size + 1)
+        for i, (terms, weights) in enumerate(queries):
+            at = np.flatnonzero((score[i] > 0) & (score[i] >= least[i] - 1e-9))
+            laid_out[terms[terms < self.size]] = weights[terms < self.size]
+            cosine = self._cosines(at, laid_out)
+            laid_out[terms[terms < self.size]] = 0.0
+            copies = self.toxic[at] + self.clean[at]
+            if left_out is not None:
+                copies[at == left_out[i][0]] -= left_out[i][1]
             near = np.lexsort((at, -cosine))
+            near = near[(copies[near] > 0) & (cosine[near] > 0)]
             at, cosine = at[near], cosine[near]
-            enough = np.searchsorted(np.cumsum(copies[at]), NEIGHBOURS)
+            enough = np.searchsorted(np.cumsum(copies[near]), NEIGHBOURS)
             if enough < len(at):
-                least = cosine[enough]
-                near = cosine >= least - 1e-12
-                at, cosine = at[near], cosine[near]
-        self.query[terms] = 0.0
-        return at, cosine
+                kept = cosine >= cosine[enough] - 1e-12
+                at, cosine = at[kept], cosine[kept]
+            out.append((at, cosine))
+        return out
+
+    def _cosines(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The cosines of examples with a query that is laid out by term, each by its own vector alone."""
+        sizes = self.rows[at + 1] - self.rows[at]
+        held = ranges(self.rows[at], sizes)
+        return np.add.reduceat(query[self.row_term[held]] * self.row_weight[held], np.cumsum(sizes) - sizes) if len(at) else np.zeros(0)
 
 
 @dataclass
@@ -135,16 +187,26 @@ class Model:
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> Vector:
         """The unit vector of term counts."""
         raw = (1 + np.log(counts)) * self.weights[terms]
-        return terms, raw / np.sqrt(raw @ raw)
+        return terms, raw / np.sqrt((raw * raw).sum()) if len(raw) else raw
 
-    def vote(self, vector: Vector) -> tuple[float, np.ndarray]:
-        """The distance-weighted share of toxic neighbours, drawn to the prior, and the neighbours' positions."""
-        if not len(vector[0]):
-            return self.blank, np.zeros(0, np.int64)
-        at, cosine = self.index.nearest(vector)
-        toxic, clean = self.index.toxic[at].astype(float), self.index.clean[at].astype(float)
-        weight = cosine**2
-        return float((weight @ toxic + 0.5 * self.prior) / (weight @ (toxic + clean) + 0.5)), at
+    def votes(self, vectors: list[Vector], left_out: list[tuple[int, int, int]] | None = None) -> list[tuple[float, np.ndarray]]:
+        """The distance-weighted share of toxic neighbours of each vector, drawn to the prior, and the neighbours' positions.
+
+        left_out has (position, toxic, clean): copies of an example that do not count for its own vector.
+        """
+        out = [(self.blank, np.zeros(0, np.int64))] * len(vectors)
+        some = [i for i, v in enumerate(vectors) if len(v[0])]
+        for j in range(0, len(some), _QUERIES):
+            part = some[j : j + _QUERIES]
+            skip = None if left_out is None else [(left_out[i][0], left_out[i][1] + left_out[i][2]) for i in part]
+            for i, (at, cosine) in zip(part, self.index.nearest_each([vectors[i] for i in part], skip), strict=True):
+                toxic, clean = self.index.toxic[at].astype(float), self.index.clean[at].astype(float)
+                if left_out is not None:
+                    toxic[at == left_out[i][0]] -= left_out[i][1]
+                    clean[at == left_out[i][0]] -= left_out[i][2]
+                weight = cosine**2
+                out[i] = (float((weight @ toxic + 0.5 * self.prior) / (weight @ (toxic + clean) + 0.5)), at)
+        return out
 
     def score(self, vote: float) -> float:
         """The vote as a calibrated probability; a hundredth of the vote itself keeps the order of votes."""
@@ -168,13 +230,17 @@ def _counted(terms):
     """(doc_id, text_id, terms, counts) of each row, of the examples' words alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, kinds = terms.value.get, pa.list_(pa.int32())
+        get, kinds = terms.value.get, pa.int32()
         for whole in batches:
-            for i in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(i, _SLICE)
-                found = [sorted(Counter(t for t in map(get, words(text)) if t is not None).items()) for text in batch.column(2).to_pylist()]
-                columns = [pa.array([[x[i] for x in f] for f in found], kinds) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_id", "terms", "counts"])
+            texts = [t or "" for t in whole.column(2).to_pylist()]
+            for a, b in row_slices(texts, _SLICE):
+                found = [words(t) for t in texts[a:b]]
+                flat = np.fromiter((get(w, -1) for ws in found for w in ws), np.int64)
+                row = np.repeat(np.arange(b - a), [len(ws) for ws in found])
+                pairs, counts = np.unique((row << 32 | flat)[flat >= 0], return_counts=True)
+                ends = pa.array(np.searchsorted(pairs, np.arange(b - a + 1) << 32).astype(np.int32))
+                columns = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32), kinds)) for x in (pairs & 0xFFFFFFFF, counts)]
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(a, b - a), whole.column(1).slice(a, b - a), *columns], names=["doc_id", "text_id", "terms", "counts"])
 
     return count
 
@@ -270,15 +336,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     vectors = [model.vector(*g[3]) for g in groups.values()]
     counts = np.array([[g[0], g[1]] for g in groups.values()], np.int64).reshape(-1, 2)
     model.index = BlockMaxIndex(vectors, counts[:, 0], counts[:, 1], [g[2] for g in groups.values()])
-    left_out = []  # each example's vote without itself
-    for vector, (t, c), place in zip(vectors, counts, model.index.place, strict=True):
-        for label, many in ((1, t), (0, c)):
-            if many:
-                model.index.toxic[place] -= label
-                model.index.clean[place] -= 1 - label
-                left_out.append((model.vote(vector)[0], label * many, many))
-                model.index.toxic[place] += label
-                model.index.clean[place] += 1 - label
+    apart = [(vector, place, label, many) for vector, pair, place in zip(vectors, counts.tolist(), model.index.place.tolist(), strict=True) for label, many in ((1, pair[0]), (0, pair[1])) if many]
+    alone = model.votes([a[0] for a in apart], [(place, label, 1 - label) for _, place, label, _ in apart])  # each example's vote without itself
+    left_out = [(vote, label * many, many) for (vote, _), (_, _, label, many) in zip(alone, apart, strict=True)]
     if sum(blank[:2]):
         left_out.append((model.blank, blank[0], blank[0] + blank[1]))
     model.steps = isotonic(*(np.array(x, float) for x in zip(*left_out, strict=True))) if left_out else model.steps
@@ -291,15 +351,13 @@ def _scored(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = model.value, {}
         for batch in batches:
-            scores, evidence = [], []
-            for text_id, bag in zip(batch.column(1).to_pylist(), _bags(batch), strict=True):
-                if text_id not in seen:
-                    if len(seen) > _CACHE:
-                        seen.clear()
-                    vote, at = m.vote(m.vector(*bag))
-                    seen[text_id] = (m.score(vote), m.index.ids[at[:3]].tolist())
-                scores.append(seen[text_id][0])
-                evidence.append(seen[text_id][1])
+            if len(seen) > _CACHE:
+                seen.clear()
+            text_ids = batch.column(1).to_pylist()
+            new = {t: bag for t, bag in zip(text_ids, _bags(batch), strict=True) if t not in seen}
+            votes = m.votes([m.vector(*bag) for bag in new.values()])
+            seen.update((t, (m.score(vote), m.index.ids[at[:3]].tolist())) for t, (vote, at) in zip(new, votes, strict=True))
+            scores, evidence = [seen[t][0] for t in text_ids], [seen[t][1] for t in text_ids]
             columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "score", "evidence"])
 
@@ -327,7 +385,8 @@ def digest(scored: DataFrame) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is below threshold, with all their columns."""
-    bad = staged(score_documents(docs, labels).filter(F.col("score") >= threshold).select(F.col("text_id").alias("__text_id")).distinct(), "toxic-texts")
-    text_id = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, text_id == F.col("__text_id"), "left_anti")
+    """The rows of docs whose score is below threshold, with all their columns; rows are told apart by doc_id and text."""
+    scored = score_documents(docs, labels).filter(F.col("score") >= threshold)
+    bad = staged(scored.select(F.col("doc_id").alias("__doc_id"), F.col("text_id").alias("__text_id")).distinct(), "toxic-texts")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__text_id"))
+    return docs.join(bad, same, "left_anti")
