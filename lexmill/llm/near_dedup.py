@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, SLICE_BYTES, mix, random_table, span_hashes, staged
@@ -22,8 +22,10 @@ SKETCH_SAMPLES, SKETCH_BITS = 512, 2048
 #: How far a sketch's estimate may be below the threshold: over four standard deviations, where all of both sets is
 #: folded and where only samples are.
 WHOLE_MARGIN, SAMPLED_MARGIN = 0.04, 0.12
-#: Members of a bucket that meet in one block.
-BLOCK = 256
+#: Members of a bucket in one part; blocks are pairs of parts.
+BLOCK = 4096
+#: Rows of candidates that are broadcast at most, to find their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, i, 1 << 64)) for i in range(16)]
 #: Sample i of a set is the least a[i] * x + b[i] modulo 2 ** 32 of its hashes' upper halves x.
@@ -120,7 +122,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
-_SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"
+_SIGNATURE = "doc_id long, text_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"
 
 
 def _signatures(words: int):
@@ -128,14 +130,14 @@ def _signatures(words: int):
         for batch in batches:
             sizes, ids, bands, sketches = [], [], [], []
             with np.errstate(over="ignore"):
-                for shingles in shingle_sets(batch.column(1).to_pylist(), words):
+                for shingles in shingle_sets(batch.column(2).to_pylist(), words):
                     sizes.append(len(shingles))
                     some = len(shingles) > 0
                     ids.append(np.array([mix(shingles).sum(), np.bitwise_xor.reduce(mix(shingles ^ _BAND_MIX[0]))], np.uint64).tobytes() if some else None)
                     bands.append(band_keys(minhash(shingles)) if some else None)
                     sketches.append(odd_sketch(shingles) if some else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "bands", "sketch"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "n_shingles", "set_id", "bands", "sketch"])
 
     return sign
 
@@ -171,24 +173,27 @@ def _crossing(percent: int):
     within a part are left to that part's own block.
     """
 
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        ids, comps, sizes, part = (block.column(x).to_numpy() for x in ("id", "component", "n_shingles", "part"))
+        ids, comps, sizes = (block.column(x).to_numpy() for x in ("id", "component", "n_shingles"))
+        in_low = pa.compute.equal(block.column("part"), block.column("low")).to_numpy(zero_copy_only=False)
         band, bands = block.column("band")[0].as_py(), np.stack(block.column("bands").to_numpy(zero_copy_only=False))
         sketches = _sketches(block.column("sketch"))
         one = block.column("low")[0].as_py() == block.column("high")[0].as_py()
         a, b = [], []
         for i in range(len(ids)):
             j = np.arange(i + 1, len(ids))
-            j = j[(comps[j] != comps[i]) & (one | (part[j] != part[i]))]
+            j = j[(comps[j] != comps[i]) & (one | (in_low[j] != in_low[i]))]
             j = j[may_link(sketches[j], sketches[i], sizes[j], np.full(len(j), sizes[i]), percent)]
             if len(j):
                 same = bands[j] == bands[i]
                 j = j[bands[i][same.argmax(axis=1)] == band]
                 a.append(np.full(len(j), ids[i]))
                 b.append(ids[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if len(a) > 1000 or i == len(ids) - 1:
+                x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                a, b = [], []
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -196,38 +201,20 @@ def _crossing(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(x).to_numpy() for x in ("band", "low", "high")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            keys = list(zip(*(batch.column(x).to_pylist() for x in ("band", "low", "high")), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and at != tuple(keys[i]):
-                    yield pairs(held)
+                if held and at != keys[i]:
+                    yield from pairs(held)
                     held = []
-                at = tuple(keys[i])
+                at = keys[i]
                 held.append(batch.slice(i, j - i))
         if held:
-            yield pairs(held)
+            yield from pairs(held)
 
     return cross
 
 
-@contextmanager
-def _reduced_join(spark: SparkSession) -> Iterator[None]:
-    """Joins run within test the large side with a Bloom filter of the small side's keys before it is shuffled.
-
-    Spark bounds the filter (spark.sql.optimizer.runtime.bloomFilter.maxNumBits); a full one only lets more rows pass.
-    """
-    names = ("applicationSideScanSizeThreshold", "creationSideThreshold")
-    names = [f"spark.sql.optimizer.runtime.bloomFilter.{x}" for x in names]
-    before = [spark.conf.get(x) for x in names]
-    for name, value in zip(names, ("0", "1g"), strict=True):
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in zip(names, before, strict=True):
-            spark.conf.set(name, value)
-
-
 def _confirm(percent: int):
     """Streams (pivot, part, member, shingles), each pivot's own set before its members', and keeps the true links."""
 
@@ -250,12 +237,14 @@ def _confirm(percent: int):
     return confirm
 
 
-def _confirmed(near: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of near whose full sets are linked. Each set is made once, and moved once for each pair's b and
-    for each a and 64th of its partners."""
-    ids = staged(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "near-ids").filter(F.col("id") > -(1 << 63))
-    with _reduced_join(near.sparkSession):
-        sets = staged(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(words), "id long, shingles binary"), "sets")
+def _confirmed(near: DataFrame, texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of near whose full sets are linked. Each class's set is made once, of the text of one of its
+    rows, and moved once for each pair's b and for each a and 64th of its partners."""
+    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    ids = staged(classes.select("id", "doc_id", "text_id").join(ids, "id", "left_semi"), "near-ids")
+    found = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["doc_id", "text_id"])
+    one = found.groupBy("id").agg(F.first("text").alias("text"))  # rows may repeat
+    sets = staged(one.mapInArrow(_sets(words), "id long, shingles binary"), "sets")
     near = near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)))
     members = near.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", F.col("b").alias("member"), "shingles")
     pivots = near.select("a", "part").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("member"), "shingles")
@@ -263,15 +252,37 @@ def _confirmed(near: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return staged(rows.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """members (band, id, component, ...) in blocks, the pairs (low, high) of parts of a band, as often as they meet others.
+
+    A component of at least block members has parts of its own, smaller ones share parts; two parts of one component
+    never meet. So a band of one great component and few others moves each member about once.
+    """
+    sizes = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.groupBy("band").agg(F.coalesce(F.sum(F.when(F.col("n") < block, F.col("n"))), F.lit(0)).alias("rest"))
+    owned = F.when(F.col("n") >= block, F.col("component"))
+    own_part = F.concat(F.lit("c"), F.col("component"), F.lit(":"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)))
+    shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.greatest(F.ceil(F.col("rest") / block), F.lit(1))))
+    placed = members.join(sizes, ["band", "component"]).join(small, "band").withColumn("owner", owned)
+    placed = staged(placed.withColumn("part", F.when(F.col("owner").isNotNull(), own_part).otherwise(shared)).drop("n", "rest"), "bucket-parts")
+    parts = placed.groupBy("band", "part", "owner").agg(F.count(F.lit(1)).alias("n"))
+    low, high = (parts.select("band", F.col("part").alias(x), F.col("owner").alias(f"{x}_owner")) for x in ("low", "high"))
+    one_owner = F.coalesce(F.col("low_owner") == F.col("high_owner"), F.lit(False))
+    meets = staged(low.join(high, "band").filter((F.col("low") <= F.col("high")) & ~one_owner).select("band", "low", "high"), "bucket-blocks")
+    as_low = placed.join(meets.withColumn("part", F.col("low")), ["band", "part"])
+    as_high = placed.join(meets.filter("low <> high").withColumn("part", F.col("high")), ["band", "part"])
+    return as_low.unionByName(as_high).drop("owner")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of docs, by the similarity of the sets of word shingles.
+    """(doc_id, n_shingles, component_id, kept, text_id, group_id) of each row of docs, by the similarity of the sets of word shingles.
 
     A text's set holds its distinct runs of so many words, A-Z counting as a-z and words parted by ASCII white space;
     a shorter text is one run; null, empty and blank texts have none. Texts are linked when 100 times the sets'
     intersection is at least percent times their union. component_id is the smallest doc_id reachable by links, kept
     is doc_id = component_id. Rows without a set, or without doc_id, are linked with nothing and kept. Rows with
-    equal sets count as one class. Rows that share a doc_id are judged each by its own text. An empty table gives an
-    empty result; other columns of docs are not read.
+    equal sets count as one class. Rows that share a doc_id are judged each by its own text; text_id, the xxhash64 of the
+    text, tells them apart, and group_id, a number without meaning, which of them are linked. An empty table gives an empty result; other columns of docs are not read.
 
     Steps: (1) classes of equal sets; (2) band keys of each class's MinHash samples, and in each bucket the pairs of
     its smallest member, the pivot, with the others; (3) the odd sketches' estimate, then the full sets, confirm
@@ -279,12 +290,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     their sketches, and what may be linked across components is confirmed likewise. Every pair of a bucket is thus
     either confirmed, refuted or already connected.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
     signed = staged(texts.mapInArrow(_signatures(words), _SIGNATURE), "signatures")
     whole = signed.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    first = F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("x")
-    classes = staged(whole.groupBy("set_id").agg(first, F.min("doc_id").alias("id")).select("set_id", "id", "x.*"), "classes")
-    texts = texts.withColumnRenamed("doc_id", "id")
+    first = F.min_by(F.struct("text_id", "n_shingles", "bands", "sketch"), "doc_id").alias("x")
+    classes = whole.groupBy("set_id").agg(first, F.min("doc_id").alias("doc_id"))
+    classes = staged(classes.select("set_id", F.monotonically_increasing_id().alias("id"), "doc_id", "x.*"), "classes")
 
     banded = classes.select("id", F.explode("bands").alias("band"))
     pivots = staged(banded.groupBy("band").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "pivots")
@@ -292,24 +304,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs = staged(buckets.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     sides = [classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab"]
     sketched = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "sa", "sb")
-    links = _confirmed(staged(sketched.mapInArrow(_sketched(percent), "a long, b long"), "near-pairs"), texts, words, percent)
+    links = _confirmed(staged(sketched.mapInArrow(_sketched(percent), "a long, b long"), "near-pairs"), texts, classes, words, percent)
     component = staged(connected_components(links), "components")
 
     named = buckets.join(component.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     named = staged(named, "named-buckets")
-    spread = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
-    mixed = staged(spread.filter("x <> y").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "mixed-buckets")
+    spread = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    mixed = staged(spread.filter("x <> y").select("band"), "mixed-buckets")
     if mixed.limit(1).count():
-        left = named.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        left = left.join(classes.select("id", "n_shingles", "bands", "sketch"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        left = left.select("band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "component", "n_shingles", "bands", "sketch")
+        left = _blocks(named.join(mixed, "band"), BLOCK).join(classes.select("id", "n_shingles", "bands", "sketch"), "id")
         blocks = left.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
         across = staged(blocks.mapInArrow(_crossing(percent), "a long, b long"), "near-pairs")
         if across.limit(1).count():
-            links = links.unionByName(_confirmed(across, texts, words, percent))
+            links = links.unionByName(_confirmed(across, texts, classes, words, percent))
             component = staged(connected_components(links), "components")
 
-    ids = staged(classes.select("set_id", "id").join(component.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component")), "set-components")
-    placed = signed.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left")
-    home = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return placed.select("doc_id", "n_shingles", home.alias("component_id"), F.coalesce(F.col("doc_id") == home, F.lit(True)).alias("kept"))
+    linked = component.join(classes.select(F.col("id").alias("node"), "set_id", "doc_id"), "node")
+    homes = linked.groupBy("component").agg(F.min("doc_id").alias("home"))
+    homes = staged(linked.join(homes, "component").select("set_id", "home", "component"), "set-homes")
+    ids = classes.select("set_id", "doc_id", "id").join(homes, "set_id", "left").select("set_id", F.coalesce("home", "doc_id").alias("home"), F.coalesce("component", "id").alias("group_id"))
+    placed = signed.select("doc_id", "text_id", "n_shingles", "set_id").join(staged(ids, "class-homes"), "set_id", "left")
+    home = F.when(F.col("doc_id").isNotNull(), F.coalesce("home", "doc_id"))
+    return placed.select("doc_id", "n_shingles", home.alias("component_id"), F.coalesce(F.col("doc_id") == home, F.lit(True)).alias("kept"), "text_id", F.when(F.col("doc_id").isNotNull(), F.col("group_id")).alias("group_id"))
