@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Multipliers of the splitmix64 finalizer (fixed values).
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -37,6 +38,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with a column of this name: 0, 1, ... among rows of equal keys, which are numbered within their parts first.
+
+    Which of the rows with equal keys has which number is left open; a key that very many rows share is spread over tasks.
+    """
+    cut = staged(rows.withColumn("__part", F.spark_partition_id()), "to-number")
+    counts = cut.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__here"))
+    ahead = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.withColumn("__before", F.coalesce(F.sum("__here").over(ahead), F.lit(0))).filter("__before > 0").drop("__here")
+    firsts = firsts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), "__before")
+    local = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(F.lit(0))) - 1
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = cut.withColumn("__local", local).join(firsts, same, "left")
+    return joined.select(*rows.columns, (F.col("__local") + F.coalesce("__before", F.lit(0))).cast("long").alias(name))
+
+
 def rows_each(df: DataFrame, rows: int) -> int:
     """How many buckets give about so many rows each: a power of two, from an exact count."""
     return 1 << max(0, (max(1, df.count()) - 1) // rows).bit_length()

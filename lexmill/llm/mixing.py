@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import numbered, staged
 
 #: A document of more than 1/LARGE of its source's size is rounded first; a source has fewer than LARGE of them.
 LARGE = 256
@@ -45,37 +45,43 @@ def source_targets(sized: DataFrame, weights: Sequence[float], cap: float) -> Da
     return staged(levelled.select("source", "source_size", "documents", target.alias("target")), "targets")
 
 
+def _pair(w: float, p: float, v: float, q: float, u: float) -> tuple[float, float]:
+    """The probabilities of two units of sizes w and v after mass has moved between them until one is integral.
+
+    Mass goes to the first by as much as it can take and the second can give, or the other way, with the chances that
+    keep both expectations; w * p + v * q does not change.
+    """
+    gain, loss = min(w * (1 - p), v * q), min(w * p, v * (1 - q))
+    moved = gain if u * (gain + loss) < loss else -loss
+    p, q = p + moved / w, q - moved / v
+    whole = lambda x: 0.0 if x < 1e-12 else 1.0 if x > 1 - 1e-12 else x
+    return whole(p), whole(q)
+
+
 def pivot(weights: np.ndarray, p: np.ndarray, random: np.random.Generator, tail: float = 0.0, tail_p: float = 0.0) -> tuple[np.ndarray, float]:
-    """The probabilities after pairing each unit, in the order given, with the pool of all later ones and the tail.
+    """The probabilities after pairing two units at a time, in the order given: what is left fractional of a pair meets
+    the next unit, and what is left of all meets the tail, a bundle of further units with one probability.
 
-    A pairing moves weight * probability between the unit and the pool, whose members share it by p * (1 - p), one way
-    or the other at random so that every probability keeps its expectation, until the unit or a member is integral.
-    All units but at most one end at 0 or 1; the total of weight * probability does not change. Returns the
-    probabilities and that of the tail.
+    All units but at most one end at 0 or 1, and none but the tail is left fractional if the tail can take or give as
+    much as the last one needs. Every expectation and the total of weight * probability are kept.
     """
-    w, p = np.append(weights, tail).astype(float), np.append(p, tail_p).astype(float)
-    for i in range(len(w) - 1):
-        while 0 < p[i] < 1:
-            pool = i + 1 + np.flatnonzero((p[i + 1 :] > 0) & (p[i + 1 :] < 1) & (w[i + 1 :] > 0))
-            if not len(pool):
-                break
-            share = p[pool] * (1 - p[pool])
-            all_share = float(w[pool] @ share)
-            gain = min(w[i] * (1 - p[i]), all_share / float((1 - p[pool]).max()))
-            loss = min(w[i] * p[i], all_share / float(p[pool].max()))
-            if random.random() * (gain + loss) < loss:
-                p[pool] -= share * (gain / all_share)
-                p[i] += gain / w[i]
-            else:
-                p[pool] += share * (loss / all_share)
-                p[i] -= loss / w[i]
-            p[p < 1e-12], p[p > 1 - 1e-12] = 0.0, 1.0
-    return p[:-1], float(p[-1])
+    w, p, u = weights.astype(float).tolist(), p.astype(float).tolist(), random.random(len(weights) + 1).tolist()
+    at = None
+    for i in range(len(w)):
+        if 0 < p[i] < 1:
+            if at is None:
+                at = i
+                continue
+            p[at], p[i] = _pair(w[at], p[at], w[i], p[i], u[i])
+            at = at if 0 < p[at] < 1 else i if 0 < p[i] < 1 else None
+    if at is not None and tail > 0 and 0 < tail_p < 1:
+        p[at], tail_p = _pair(w[at], p[at], tail, tail_p, u[-1])
+    return np.array(p), tail_p
 
 
 def _rounder(level: str, seed: int) -> Callable[[pa.Table], pa.Table]:
     def rounded(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("__size", "descending"), ("doc_id", "ascending")])
+        rows = rows.sort_by([("__size", "descending"), ("doc_id", "ascending"), ("__text_id", "ascending"), ("__number", "ascending")])
         name = repr((seed, level, rows["source"][0].as_py(), rows["__bucket"][0].as_py()))
         random = np.random.Generator(np.random.PCG64(zlib.crc32(name.encode())))
         p = rows["__p"].to_numpy()
@@ -88,28 +94,33 @@ def _rounder(level: str, seed: int) -> Callable[[pa.Table], pa.Table]:
     return rounded
 
 
-def copies(docs: DataFrame, weights: Sequence[float], cap: float = 3.0, seed: int = 0, size: Column | None = None) -> DataFrame:
+def copies(docs: DataFrame, weights: Sequence[float], cap: float = 3.0, seed: int = 0, size: Column | None = None, text_id: Column | None = None) -> DataFrame:
     """docs with size, source_size, target, copies: how often the mix takes each row, so that sources near their targets.
 
-    size is the number of words, or the column given; see source_targets for target. Each row's expected copies are target / source_size;
-    the whole part is taken surely, the fraction by dependent rounding that keeps both each row's expectation and,
-    but for the rounding of one smallest document, the source's total of words. Rows of no words are taken surely
-    floor(target / source_size) times. The random choices depend on seed, source and doc_id alone, so reruns and other
-    partitionings agree; rows alike in doc_id, source and size are interchangeable. Null texts have size 0; a null
-    source is a source; a null doc_id is one id. An empty table gives an empty result. Columns of docs named like a
-    new one are replaced, all others stay.
-
-    A source's fewer than LARGE large documents are rounded first, paired with the pool of its small ones, whose
-    common probability takes up what is left; then the small ones in groups of GROUP, the one residual of each group
-    in groups of GROUP again, and so on up to one group for each source.
+    size is the number of words, or the column given, text_id what tells rows of one doc_id apart, the hash of the
+    text or the column given; see source_targets for target. Each row's expected copies are target / source_size;
+    the whole part is taken surely, the fraction by pivotal rounding that keeps both each row's expectation and,
+    but for the rounding of one small document, the source's total of words. Rows of no words are taken surely
+    floor(target / source_size) times. The random choices depend on seed, source, doc_id and text_id alone, so reruns
+    and other partitionings agree; rows alike in all of them and size are interchangeable. Null texts have size 0; a
+    null source is a source; a null doc_id is one id. An empty table gives an empty result. Columns of docs named like
+    a new one are replaced, all others stay; give few columns, as all of them are moved through the tree.
+
+    A source's fewer than LARGE large documents are paired first, two at a time, and what is left with the bundle of
+    its small ones, whose common probability takes up the rest; then the small ones in groups of GROUP, two at a time,
+    the one residual of each group in groups of GROUP again, and so on up to one group for each source.
     """
     new = ["size", "source_size", "target", "copies"]
     counted = word_count(F.col("text").cast("string")) if size is None else size
-    rows = docs.withColumn("__size", counted).drop(*new)
-    return _rounded(rows, weights, cap, seed, [x for x in docs.columns if x not in new])
+    told = F.xxhash64(F.col("text").cast("string")) if text_id is None else text_id
+    rows = docs.withColumn("__size", counted).withColumn("__text_id", told).drop(*new)
+    done = _rounded(numbered(rows, ["source", "doc_id", "__text_id", "__size"], "__number"), weights, cap, seed)
+    keep = [F.col(x) for x in docs.columns if x not in new]
+    return done.select(*keep, F.col("__size").alias("size"), F.col("__source_size").cast("long").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
 
 
-def _rounded(rows: DataFrame, weights: Sequence[float], cap: float, seed: int, keep: list[str]) -> DataFrame:
+def _rounded(rows: DataFrame, weights: Sequence[float], cap: float, seed: int) -> DataFrame:
+    """rows (source, doc_id, __text_id, __number, __size, ...) with __source_size, __target and __copies."""
     targets = source_targets(rows.select("source", F.col("__size").alias("size")), weights, cap)
     table = targets.select(F.col("source").alias("__name"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("documents").alias("__documents"))
     rows = rows.join(table, F.col("source").eqNullSafe(F.col("__name")), "left").drop("__name")
@@ -117,7 +128,7 @@ def _rounded(rows: DataFrame, weights: Sequence[float], cap: float, seed: int, k
     rows = rows.withColumn("__rate", rate).withColumn("__whole", F.floor("__rate")).withColumn("__p", F.col("__rate") - F.col("__whole"))
     large = F.col("__size") * LARGE > F.col("__source_size")
     buckets = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("__documents") / GROUP, F.lit(1.0))))).cast("long")
-    rows = rows.withColumn("__buckets", buckets).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("__buckets")))
+    rows = rows.withColumn("__buckets", buckets).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "__text_id", "__number", F.lit(seed)), F.col("__buckets")))
     rows = staged(rows.withColumn("__large", large).withColumn("__tail", F.lit(0.0)).drop("__rate", "__documents"), "to-mix")
 
     sure = rows.filter("__size = 0 OR __p = 0").withColumn("__p", F.lit(0.0))
@@ -146,16 +157,28 @@ def _rounded(rows: DataFrame, weights: Sequence[float], cap: float, seed: int, k
     everything = finished[0]
     for part in finished[1:]:
         everything = everything.unionByName(part)
-    return everything.select(
-        *keep,
-        F.col("__size").alias("size"),
-        F.col("__source_size").cast("long").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__whole") + F.when(F.col("__p") >= 1, 1).otherwise(0)).cast("int").alias("copies"),
-    )
+    return everything.withColumn("__copies", (F.col("__whole") + F.when(F.col("__p") >= 1, 1).otherwise(0)).cast("int"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float], cap: float = 3.0, seed: int = 0) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes it; see copies."""
-    taken = copies(docs, weights, cap, seed)
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    """The rows of docs that the mix takes, each as often as it takes it, with all their columns; see copies.
+
+    The choice is made on sizes and hashes alone, and joined to the texts afterwards by source, doc_id and the hash of
+    the text; rows alike in all three are numbered.
+    """
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("source"), F.col("doc_id"), F.xxhash64(text).alias("text_id"), word_count(text).alias("words"))
+    taken = copies(slim, weights, cap, seed, F.col("words"), F.col("text_id"))
+    each = staged(taken.groupBy("source", "doc_id", "text_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").cast("int").alias("copies")), "copies")
+    each = each.select(*[F.col(x).alias(f"__{x}") for x in each.columns])
+    same = lambda rows: F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (rows == F.col("__text_id"))
+    single = docs.join(each.filter("__rows = 1 AND __copies > 0"), same(F.xxhash64(text)))
+    out = single.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    alike = each.filter("__rows > 1 AND __copies > 0")
+    if alike.limit(1).count():
+        # so many rows share so many copies: each has its part of them, as even as can be
+        held = numbered(docs.join(alike, same(F.xxhash64(text))), ["__source", "__doc_id", "__text_id"], "__n")
+        part = F.floor((F.col("__n") + 1) * F.col("__copies") / F.col("__rows")) - F.floor(F.col("__n") * F.col("__copies") / F.col("__rows"))
+        more = held.withColumn("__copies", part.cast("int")).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        out = out.unionByName(more.select(*docs.columns))
+    return out

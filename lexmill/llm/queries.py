@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates by sets of 4-word shingles at similarity 0.8."""
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def op3_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mix as large as the corpus with weights 5, 2, 1, no source above 3 times its size."""
     docs = _table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
-    taken = mixing.copies(sized, [5.0, 2.0, 1.0], cap=3.0, size=F.col("size"))
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("text_id"), mixing.word_count("text").alias("size"))
+    taken = mixing.copies(sized, [5.0, 2.0, 1.0], cap=3.0, size=F.col("size"), text_id=F.col("text_id"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
