@@ -70,6 +70,49 @@ def test_near_duplicates_of_a_large_mixed_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs, 4, 80)
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for g in range(6):
+        one, two = ([f"{side}{g}x{i}" for i in range(80)] for side in "ab")
+        near = [w if i else "changed" for i, w in enumerate(one)]
+        rows += [(10 * g, " ".join(one)), (10 * g, " ".join(two)), (10 * g + 1, " ".join(near)), (10 * g + 2, " ".join(two))]
+        want |= {10 * g: 10 * g, 10 * g + 1: 10 * g, 10 * g + 2: 10 * g}
+    rnd.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.group_id].add((r.doc_id, r.text_id))
+    assert sorted(map(len, groups.values())) == [2] * 12
+
+
+def test_small_blocks_change_nothing(spark, monkeypatch):
+    """Buckets of several components, in parts of two members, one component larger than a part."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    docs = [(i, " ".join(w if rnd.random() > rnd.choice([0.0, 0.01, 0.03, 0.06]) else f"x{rnd.random()}" for w in base)) for i in range(120)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs, 4, 80)
+
+
+def test_sketches_refuse_no_pair_above_the_threshold():
+    rnd = np.random.default_rng(2)
+    refused = 0
+    for n in (100, 400, 512, 600, 2000, 20_000):
+        for _ in range(150):
+            apart = n // 9  # (n - apart) / (n + apart) is just 0.8 or more
+            with np.errstate(over="ignore"):
+                whole = near_dedup.mix(rnd.integers(1, 1 << 62, n + apart).astype(np.uint64))
+            sets = [np.sort(whole[:n]), np.sort(whole[apart:])]
+            assert 100 * len(np.intersect1d(*sets)) >= 80 * len(np.union1d(*sets))
+            one, two = (np.frombuffer(near_dedup.odd_sketch(s), np.uint64)[None] for s in sets)
+            refused += not near_dedup.may_link(one, two, np.array([n]), np.array([n]), 80)[0]
+    assert refused == 0
+
+
 def test_sketch_estimates_high_similarity():
     rnd = np.random.default_rng(1)
     for n in (50, 400, 5000):
@@ -247,13 +290,36 @@ def test_pivot_keeps_totals_and_expectations():
     draws = np.array([mixing.pivot(w, p, np.random.default_rng(i))[0] for i in range(4000)])
     assert np.allclose(draws @ w, w @ p) and (((draws > 1e-9) & (draws < 1 - 1e-9)).sum(axis=1) <= 1).all()
     assert np.abs(draws.mean(axis=0) - p).max() < 0.04
+    with_tail = [mixing.pivot(w, p, np.random.default_rng(i), 500.0, 0.5) for i in range(4000)]
+    assert all(np.isclose(d @ w + 500 * t, w @ p + 250) and set(d) <= {0.0, 1.0} for d, t in with_tail)
+    assert abs(np.mean([t for _, t in with_tail]) - 0.5) < 0.01
+
+
+def test_each_row_keeps_its_expectation(spark):
+    """Over many seeds a row of any size is taken target / source_size times."""
+    docs = spark.createDataFrame([(i, "w " * (1 + 40 * (i % 7 == 0) + i % 3), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    total = Counter()
+    for seed in range(12):
+        for r in mixing.copies(docs, [5.0, 1.0], seed=seed).collect():
+            total[r.source] += r.copies - r.target / r.source_size
+    assert all(abs(x) / (12 * 20) < 0.1 for x in total.values())
+
+
+def test_rows_alike_share_the_copies(spark):
+    rows = [(1, "a b c", "s", "x")] * 50 + [(2, "d e f", "s", "y")] + [(None, "g h", None, None)] * 7
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, size string").repartition(3)
+    got = Counter((r.doc_id, r.text, r.size) for r in mixing.mix(frame, [5.0, 1.0]).collect())
+    assert set(got) <= {(1, "a b c", "x"), (2, "d e f", "y"), (None, "g h", None)}
+    want = brute_targets({"s": 153, None: 14}, [5.0, 1.0], 3.0)
+    assert abs(got[1, "a b c", "x"] * 3 + got[2, "d e f", "y"] * 3 - want["s"]) <= 3 and abs(got[None, "g h", None] * 2 - want[None]) <= 2
 
 
 def test_mix_of_odd_rows(odd, empty):
     got = mixing.copies(odd, [5.0, 2.0, 1.0])
     assert got.count() == odd.count() and got.filter("size = 0 AND doc_id IN (1, 2, 3)").count() == 3
-    assert mixing.mix(odd, [5.0, 2.0, 1.0]).columns == odd.columns
-    assert mixing.copies(empty, [1.0]).count() == 0
+    mixed = mixing.mix(odd, [5.0, 2.0, 1.0])
+    assert mixed.columns == odd.columns and {(r.size, r.copies) for r in mixed.collect()} == {("clash", "clash")}
+    assert mixing.copies(empty, [1.0]).count() == 0 and mixing.mix(empty, [1.0]).count() == 0
 
 
 # Fingerprints ----------------------------------------------------------------------------------------------------------
