@@ -19,14 +19,16 @@ from .common import Flat, ranges, row_slices
 
 #: What a file's rows are: the file's number, the document, the ids of the file's documents before it, its ids.
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
-#: Words whose ids a worker keeps, when they are more it starts anew, and characters that it encodes at once.
-_CACHED_WORDS, _SLICE = 600_000, 1 << 22
+#: Words whose ids a worker keeps from task to task (about 200 bytes each), when they are more it starts anew, and
+#: characters that it encodes at once.
+_CACHED_WORDS, _SLICE = 800_000, 1 << 22
 #: Marks that may follow a run of letters and are a pre-token of their own.
 _TAIL = string.punctuation
-#: How the vocabulary marks the last token of a word.
-_WORD_END = "</w>"
+#: The character that a byte-level tokenizer has for each byte: itself where it is printable, else the next free one.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
-_loaded: dict[str, tuple[object, np.ndarray]] = {}
+_loaded: dict[str, WordEncoder] = {}
 
 
 def _lower(text: str) -> str:
@@ -34,25 +36,39 @@ def _lower(text: str) -> str:
     return text if "\u03a3" in text or "\u0130" in text or "<|" in text or not unicodedata.is_normalized("NFC", text) else text.lower()
 
 
+def _is_plain(word: str) -> bool:
+    """Whether a word is letters that the tokenizer's normalizer leaves as they are."""
+    if word.isascii():
+        return word.isalpha() and word.islower()
+    return word.isalpha() and max(word) < "\u0600" and word.lower() == word and unicodedata.is_normalized("NFC", word)
+
+
+def _bytes_as_chars(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizers file whose tokens never cross white space and mark word ends, keeping words' ids.
+    """Encodes texts with a byte-level tokenizers file that lower-cases and whose tokens never cross white space, keeping
+    words' ids.
 
     Texts are cut at spaces and newlines alone, where the pre-tokenizer cuts anyway, so the ids are those of the
     whole text. The distinct words of many texts are looked up once; ids are gathered from one flat array.
     """
 
     def __init__(self, path: str):
-        if path not in _loaded:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            is_end = np.zeros(tokenizer.get_vocab_size(), bool)
-            is_end[[i for token, i in tokenizer.get_vocab().items() if token.endswith(_WORD_END)]] = True
-            _loaded[path] = (tokenizer, is_end)
-        self._tokenizer, self._is_end = _loaded[path]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
         self._clear()
 
+    @classmethod
+    def load(cls, path: str) -> WordEncoder:
+        """The encoder of a file, read once in each worker."""
+        if path not in _loaded:
+            _loaded[path] = cls(path)
+        return _loaded[path]
+
     def _clear(self) -> None:
         self._numbers: dict[str, int] = {"": 0}
         self._ids, self._first, self._size = Flat(np.int32), Flat(np.int64), Flat(np.int64)
@@ -70,14 +86,14 @@ class WordEncoder:
         return self._ids.all[ranges(self._first.all[numbers], sizes)], sizes
 
     def _learn(self, words: list[str]) -> None:
-        """Adds new words: runs of letters, one pre-token each, many in one call; marks after them once each."""
+        """Adds new words: plain runs of letters, one pre-token each, by the model alone; marks after them once each."""
         known, cut, letters, others = self._numbers, [], {}, {}
         for word in words:
-            if word.isalpha():
+            if _is_plain(word):
                 letters[word] = None
                 continue
             head = word.rstrip(_TAIL)
-            if head and len(head) < len(word) and head.isalpha():
+            if head and len(head) < len(word) and _is_plain(head):
                 tail = word[len(head) :]
                 cut.append((word, head, tail))
                 if head not in known:
@@ -87,15 +103,8 @@ class WordEncoder:
             else:
                 others[word] = None
         names = list(letters)
-        for i in range(0, len(names), 4096):
-            part = names[i : i + 4096]
-            (found,) = self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(found.ids, np.int32)
-            ends = np.flatnonzero(self._is_end[ids]) + 1
-            if len(ends) != len(part):  # a letter's lower case can be more than letters
-                others.update(dict.fromkeys(part))
-            else:
-                self._add(part, ids, np.diff(ends, prepend=0))
+        found = list(map(self._tokenizer.model.tokenize, map(_bytes_as_chars, names)))
+        self._add(names, np.array([x.id for tokens in found for x in tokens], np.int32), np.array(list(map(len, found)), np.int64))
         names = list(others)
         for i in range(0, len(names), 4096):
             part = names[i : i + 4096]
@@ -122,7 +131,7 @@ class WordEncoder:
 
 def _encoder(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, before = WordEncoder.load(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             texts = [t or "" for t in whole.column(1).to_pylist()]
             for a, b in row_slices(texts, _SLICE):
