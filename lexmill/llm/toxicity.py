@@ -84,17 +84,29 @@ class BlockMaxIndex:
         self.rows = np.concatenate([[0], np.cumsum([len(pairs[i][0]) for i in order])]).astype(np.int64)
         self.row_term = np.concatenate([np.zeros(0, np.int32), *(pairs[i][0] for i in order)]).astype(np.int32)
         self.row_weight = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])
-        self.starts = np.arange(0, len(order), BLOCK)
-        at = np.repeat(np.arange(len(order)), np.diff(self.rows))
+        self._lay_out()
+
+    def __getstate__(self) -> dict:
+        return {x: getattr(self, x) for x in ("size", "toxic", "clean", "ids", "place", "rows", "row_term", "row_weight")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lay_out()  # what can be made again isn't sent to the workers
+
+    def _lay_out(self) -> None:
+        """The blocks' matrices and the postings, from the vectors in order."""
+        many = len(self.ids)
+        self.starts = np.arange(0, many, BLOCK)
+        at = np.repeat(np.arange(many), np.diff(self.rows))
         common = np.zeros(len(at), bool)
         self.matrices: list[tuple[np.ndarray, np.ndarray]] = []  # terms; weights by term and example
         for low in self.starts.tolist():
-            here = slice(self.rows[low], self.rows[min(low + BLOCK, len(order))])
-            names, which, many = np.unique(self.row_term[here], return_inverse=True, return_counts=True)
-            dense = many >= _DENSE
+            here = slice(self.rows[low], self.rows[min(low + BLOCK, many)])
+            names, which, held = np.unique(self.row_term[here], return_inverse=True, return_counts=True)
+            dense = held >= _DENSE
             common[here] = dense[which]
             place = np.cumsum(dense) - 1
-            matrix = np.zeros((int(dense.sum()), min(BLOCK, len(order) - low)))
+            matrix = np.zeros((int(dense.sum()), min(BLOCK, many - low)))
             matrix[place[which[common[here]]], at[here][common[here]] - low] = self.row_weight[here][common[here]]
             self.matrices.append((names[dense], matrix))
         self.dense = np.unique(np.concatenate([np.zeros(0, np.int32), *(n for n, _ in self.matrices)]))
