@@ -55,7 +55,7 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text; sources are the owners and documents the repositories."""
-    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents"), owner="source", repository="doc_id", max_owners=2))
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents"), owner="source", repository="doc_id", max_owners=2, max_repositories=8))
 
 
 def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,5 +139,5 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, e.vec_id
   coalesce(c, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN least_id l ON l.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
 """,
-    "op7_ownership": secrets.oracle_sql(max_owners=2),
+    "op7_ownership": secrets.oracle_sql(max_owners=2, max_repositories=8),
 }

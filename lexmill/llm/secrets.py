@@ -30,12 +30,28 @@ KINDS = (ASSIGN, ACCESS, HEX, TOKEN)
 #: Marks put around matches; in the text they are first replaced by another character that no pattern has.
 _OPEN, _VALUE, _CLOSE, _SPARE = "\u0001", "\u0002", "\u0003", "\u0004"
 _NO_SPANS = "array<struct<start:int,rank:int,kind:string,end:int,hash:string,varied:boolean>>"
+_NO_RUNS = "array<struct<at:int,parts:array<string>>>"
+#: Matches of a text that are placed in one run.
+_RUN = 256
+#: Widely copied hashes that are broadcast at most; more are joined under one of _SALTS salts.
+BROADCAST_HASHES, _SALTS = 1_000_000, 16
 
 
-def _spans(text: Column, rank: int, kind: Kind) -> Column:
-    """The kind's matches in text as structs; positions count code points, the end is exclusive."""
+def _parts(text: Column, kind: Kind) -> Column:
+    """The text cut before each match of the kind, with marks before and after its value; without a match one part."""
     marked = F.regexp_replace(F.translate(text, _OPEN + _VALUE + _CLOSE, _SPARE * 3), kind.pattern, f"{_OPEN}$1{_VALUE}$2{_CLOSE}")
-    parts = F.split(marked, _OPEN)
+    return F.when(text.rlike(kind.pattern), F.split(marked, _OPEN)).otherwise(F.array(F.lit("")))
+
+
+def _spans(parts: Column, rank: int, kind: Kind) -> Column:
+    """The kind's matches of _parts as structs; positions count code points, the end is exclusive.
+
+    Matches are placed in runs of _RUN, so that the work is nearly in proportion to them.
+    """
+
+    def run(done: Column, own: Column) -> Column:
+        moved = F.aggregate(own, F.lit(0), lambda n, part: n + F.length(part) - 2)
+        return F.struct((done["at"] + moved).alias("at"), F.concat(done["runs"], F.array(F.struct(done["at"].alias("at"), own.alias("parts")))).alias("runs"))
 
     def step(done: Column, part: Column) -> Column:
         head = F.length(F.substring_index(part, _VALUE, 1))
@@ -54,9 +70,12 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
             F.when(size >= kind.least, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"),
         )
 
-    start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(_NO_SPANS).alias("spans"))
-    found = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda x: x["spans"])
-    return F.when(text.rlike(kind.pattern), found).otherwise(F.array().cast(_NO_SPANS))
+    none = F.array().cast(_NO_SPANS)
+    cut = F.transform(F.sequence(F.lit(2), F.size(parts), F.lit(_RUN)), lambda i: F.slice(parts, i, F.lit(_RUN)))
+    start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(_NO_RUNS).alias("runs"))
+    runs = F.aggregate(cut, start, run, lambda x: x["runs"])
+    found = F.flatten(F.transform(runs, lambda r: F.aggregate(r["parts"], F.struct(r["at"].alias("at"), none.alias("spans")), step, lambda x: x["spans"])))
+    return F.when(F.size(parts) > 1, found).otherwise(none)
 
 
 def find_candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
@@ -65,13 +84,20 @@ def find_candidates(docs: DataFrame, owner: str = "source", repository: str = "d
     A further token is a long run of letters, digits and +/_=- with both a letter and a digit, apart from base spans.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
+    cut = docs.select(
         F.col("doc_id"),
         F.col(owner).cast("string").alias("owner"),
         F.col(repository).cast("string").alias("repository"),
         F.xxhash64(text).alias("text_id"),
-        F.concat(*[_spans(text, i, kind) for i, kind in enumerate(KINDS) if kind.base]).alias("base"),
-        _spans(text, KINDS.index(TOKEN), TOKEN).alias("tokens"),
+        *[_parts(text, kind).alias(kind.name) for kind in KINDS],
+    )
+    rows = cut.select(
+        "doc_id",
+        "owner",
+        "repository",
+        "text_id",
+        F.concat(*[_spans(F.col(kind.name), i, kind) for i, kind in enumerate(KINDS) if kind.base]).alias("base"),
+        _spans(F.col(TOKEN.name), KINDS.index(TOKEN), TOKEN).alias("tokens"),
     )
     apart = F.filter("tokens", lambda t: t["varied"] & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return rows.select("doc_id", "owner", "repository", "text_id", F.array_sort("base").alias("base"), apart.alias("added"))
@@ -80,33 +106,40 @@ def find_candidates(docs: DataFrame, owner: str = "source", repository: str = "d
 def ownership(candidates: DataFrame) -> DataFrame:
     """(hash, owners, repositories): in how many distinct owners and repositories each candidate's hash is found.
 
-    A null owner or repository counts as one of its own.
+    A null owner or repository counts as one of its own. A text that several repositories hold counts for the smallest
+    of them alone, so that exact copies of one file are one find. Every count is reduced before it is shuffled.
     """
-    each = candidates.select("owner", "repository", F.explode(F.concat(F.col("base"), F.col("added"))["hash"]).alias("hash"))
-    by_repository = each.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = by_repository.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    each = candidates.select("owner", "repository", "text_id", F.explode(F.concat(F.col("base"), F.col("added"))["hash"]).alias("hash"))
+    owners = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
+    texts = each.groupBy("hash", "text_id").agg(F.min("repository").alias("repository"))
+    repositories = texts.groupBy("hash", "repository").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"))
+    return owners.join(repositories, "hash")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2, max_repositories: int = 8) -> DataFrame:
     """(doc_id, base, added, live, widespread) of each row of docs, the spans as arrays of structs without the secrets.
 
-    base holds all spans of the base kinds. A candidate whose hash at most max_owners distinct owners hold, and that
-    has both letters and digits, looks live; one that more owners hold is a widely copied example. added holds the
-    further tokens that look live; live and widespread count the candidates of either verdict. Null and empty texts
-    have no spans; repeated rows have equal results; a null owner is an owner; an empty table gives an empty result;
-    other columns of docs are not read.
+    base holds all spans of the base kinds. A candidate is a widely copied example if more than max_owners distinct
+    owners or more than max_repositories distinct repositories hold its hash, equal texts counting once; one that is
+    not, and has both letters and digits, looks live. added holds the further tokens that look live; live and
+    widespread count the candidates of either verdict. Null and empty texts have no spans; repeated rows have equal
+    results; a null owner is an owner; an empty table gives an empty result; other columns of docs are not read.
     """
     rows = staged(find_candidates(docs, owner, repository), "secret-candidates")
-    owned = staged(ownership(rows), "secret-owners")
-    some = rows.filter("size(base) + size(added) > 0").select("doc_id", "text_id", F.explode(F.concat("base", "added")).alias("span"))
-    judged = some.withColumn("hash", F.col("span.hash")).join(owned, "hash")
-    live = F.col("span.varied") & (F.col("owners") <= max_owners)
-    added = F.collect_set(F.when(live & (F.col("span.kind") == TOKEN.name), F.col("span")))
+    many = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
+    widely = staged(ownership(rows).filter(many).select("hash"), "widely-copied").withColumn("wide", F.lit(True))
+    some = rows.filter("size(base) + size(added) > 0").select("doc_id", "text_id", F.explode(F.concat("base", "added")).alias("span")).withColumn("hash", F.col("span.hash"))
+    if widely.count() <= BROADCAST_HASHES:
+        judged = some.join(F.broadcast(widely), "hash", "left")
+    else:  # a hash that very many rows hold meets its verdict in several tasks
+        salted = widely.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        judged = some.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_id"), F.lit(_SALTS))).join(salted, ["hash", "salt"], "left")
+    wide = F.coalesce("wide", F.lit(False))
+    live = F.col("span.varied") & ~wide
     tally = judged.groupBy("doc_id", "text_id").agg(
-        added.alias("added"),
+        F.collect_set(F.when(live & (F.col("span.kind") == TOKEN.name), F.col("span"))).alias("added"),
         F.count_distinct(F.when(live, F.struct("span.start", "span.rank"))).alias("live"),
-        F.count_distinct(F.when(F.col("owners") > max_owners, F.struct("span.start", "span.rank"))).alias("widespread"),
+        F.count_distinct(F.when(wide, F.struct("span.start", "span.rank"))).alias("widespread"),
     )
     tally = tally.select(F.col("doc_id").alias("id"), F.col("text_id").alias("of"), "added", "live", "widespread")
     whole = rows.drop("added").join(tally, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_id") == F.col("of")), "left")
@@ -133,35 +166,46 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def oracle_sql(max_owners: int = 2) -> str:
-    """The SQL that gives digest(scan(documents)) in DuckDB, whose patterns have no look-behind and need none here."""
-    marked = []
-    for rank, kind in enumerate(KINDS):
-        pattern = kind.pattern.replace("(?<![0-9a-f])", "").replace("(?<![A-Za-z0-9+/_=-])", "").replace("'", "''")
-        mark = f"regexp_replace(translate(text, chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)), '{pattern}', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g')"
-        marked.append(f"SELECT doc_id, source, {rank} AS rank, '{kind.name}' AS kind, {kind.least} AS least, string_split({mark}, chr(1)) AS parts FROM texts")
+def oracle_sql(max_owners: int = 2, max_repositories: int = 8) -> str:
+    """The SQL that gives digest(scan(documents)) in DuckDB, with patterns of its own.
+
+    It lists all matches of a kind and finds each one's place by the lengths of what regexp_split_to_array leaves
+    between them.
+    """
+    words, marks = "(?i:password|passwd|secret|token|api_?key)", "[\"'']?"
+    kinds = [
+        ("assign", f"{words}{marks} *[:=] *{marks}[A-Za-z0-9+/_.=-]+", f"^{words}{marks} *[:=] *{marks}", 6),
+        ("access", "AKIA[A-Z0-9]+", "", 20),
+        ("hex", "[0-9a-f]+", "", 24),
+        ("token", "[A-Za-z0-9+/_=-]+", "", 20),
+    ]
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, source, {rank} AS rank, '{name}' AS kind, {least} AS least, '{head}' AS head, regexp_extract_all(text, '{pattern}') AS found, regexp_split_to_array(text, '{pattern}') AS apart FROM texts"
+        for rank, (name, pattern, head, least) in enumerate(kinds)
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{name}') AS n_{name}" for name, *_ in kinds[:3])
     return f"""
 WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-marked AS ({' UNION ALL '.join(marked)}),
-parts AS (SELECT doc_id, source, rank, kind, least, generate_subscripts(parts, 1) AS pos, unnest(parts) AS part FROM marked WHERE len(parts) > 1),
+matched AS (SELECT * FROM ({each}) WHERE len(found) > 0),
+listed AS (SELECT doc_id, source, rank, kind, least, head, generate_subscripts(found, 1) AS pos, unnest(found) AS whole, unnest(apart[1:len(found)]) AS gap FROM matched),
 placed AS (
-  SELECT *, sum(length(part) - CASE WHEN pos > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id, rank ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start,
-    length(split_part(part, chr(2), 1)) AS head, split_part(split_part(part, chr(3), 1), chr(2), 2) AS value FROM parts),
+  SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, rank ORDER BY pos) AS stop,
+    CASE WHEN head = '' THEN whole ELSE regexp_replace(whole, head, '') END AS value FROM listed),
 spans AS (
-  SELECT doc_id, source, rank, kind, CAST(start AS BIGINT) AS start, CAST(start + head + length(value) AS BIGINT) AS stop, sha256(value) AS hash,
-    regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AS varied FROM placed WHERE pos > 1 AND length(value) >= least),
+  SELECT doc_id, source, rank, kind, CAST(stop - length(whole) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, sha256(value) AS hash,
+    regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AS varied FROM placed WHERE length(value) >= least),
 candidates AS (
-  SELECT * FROM spans s WHERE kind <> '{TOKEN.name}' OR (varied AND NOT EXISTS (
-    SELECT 1 FROM spans b WHERE b.doc_id = s.doc_id AND b.kind <> '{TOKEN.name}' AND b.start < s.stop AND s.start < b.stop))),
-owned AS (SELECT hash, count(DISTINCT source) AS owners FROM candidates GROUP BY hash),
-judged AS (SELECT c.*, owners, varied AND owners <= {max_owners} AS live, c.kind || ':' || start || ':' || stop AS span FROM candidates c JOIN owned USING (hash)),
+  SELECT * FROM spans s WHERE kind <> 'token' OR (varied AND NOT EXISTS (
+    SELECT 1 FROM spans b WHERE b.doc_id = s.doc_id AND b.kind <> 'token' AND b.start < s.stop AND s.start < b.stop))),
+owned AS (SELECT hash, count(DISTINCT coalesce(c.source, chr(0))) AS owners, count(DISTINCT text) AS repositories FROM candidates c JOIN texts USING (doc_id) GROUP BY hash),
+judged AS (SELECT c.*, owners > {max_owners} OR repositories > {max_repositories} AS wide, c.kind || ':' || start || ':' || stop AS span FROM candidates c JOIN owned USING (hash)),
 found AS (
-  SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in KINDS if k.base)},
-    coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE kind <> '{TOKEN.name}'), '') AS base,
-    coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE kind <> '{TOKEN.name}' OR live), '') AS spans,
-    count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE owners > {max_owners}) AS n_widespread
+  SELECT doc_id, {counts},
+    coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE kind <> 'token'), '') AS base,
+    coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE kind <> 'token' OR (varied AND NOT wide)), '') AS spans,
+    count(*) FILTER (WHERE varied AND NOT wide) AS n_live, count(*) FILTER (WHERE wide) AS n_widespread
   FROM judged GROUP BY doc_id)
-SELECT doc_id, {', '.join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in KINDS if k.base)}, sha256(coalesce(base, '')) AS base_sha256,
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_widespread, 0) AS n_widespread
 FROM documents LEFT JOIN found USING (doc_id)
 """

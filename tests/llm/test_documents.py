@@ -411,6 +411,23 @@ def test_ownership_parts_examples_from_live_tokens(spark):
     assert got[0].spans == "" and got[0].n_widespread == 1 and got[11].spans == ""
 
 
+def test_one_owner_with_many_repositories_copies_an_example(spark, monkeypatch):
+    example, own = "EXAMPLEtoken1234567890abcd", "Zx9Qw8Er7Ty6Ui5Op4As3Df2"
+    rows = [(i, f"file {i} see {example} here", "one") for i in range(12)] + [(100 + i, f"the same file with {own} end", "one") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for limit in (10, 0):
+        monkeypatch.setattr(secrets, "BROADCAST_HASHES", limit)
+        got = {r.doc_id: r for r in secrets.digest(secrets.scan(frame, max_owners=2, max_repositories=8)).collect()}
+        assert all(got[i].spans == "" and got[i].n_widespread == 1 and got[i].n_live == 0 for i in range(12))
+        assert all(got[100 + i].n_live == 1 and got[100 + i].spans.startswith("token:") for i in range(30))
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token={i:06d}" for i in range(3000))
+    (got,) = secrets.digest(secrets.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string"))).collect()
+    assert got.n_assign == 3000 and got.base_sha256 == hashlib.sha256(",".join(f"assign:{13 * i}:{13 * i + 12}" for i in range(3000)).encode()).hexdigest()
+
+
 def test_secrets_of_odd_rows(odd, empty):
     got = secrets.digest(secrets.scan(odd))
     assert got.count() == odd.count() and [r.n_assign for r in got.filter("doc_id = 9").collect()] == [1]
