@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,10 @@ from .components import connected_components
 
 #: Vectors that the quantisers are fitted on, at most: those of the smallest hash of vec_id.
 MAX_FITTED = 20_000
-#: Coarse cells at most, and rows for each below that; subspaces and codes of each.
-MAX_CELLS, CELL_ROWS, SUBSPACES, CODES = 1024, 256, 16, 256
-#: Rows of a list that meet in one block.
-BLOCK = 512
+#: Coarse cells at least and at most, and rows of the largest label for each between; subspaces and codes of each.
+MIN_CELLS, MAX_CELLS, CELL_ROWS, SUBSPACES, CODES = 16, 1024, 2048, 16, 256
+#: Rows of a list that meet in one block, and queries that are compared with it at once.
+BLOCK, QUERIES = 4096, 128
 #: Slack for rounding in distances before the exact rerank.
 SLACK = 1e-4
 
@@ -68,18 +70,25 @@ class Quantiser:
         error = sum(((p - w[codes[:, i]]) ** 2).sum(axis=1) for i, (p, w) in enumerate(zip(parts, self.words, strict=True)))
         return cell, codes.astype(np.uint8), np.sqrt(error)
 
-    def probes(self, x: np.ndarray, cell: np.ndarray, reach: float) -> list[np.ndarray]:
-        """The cells that may hold a vector within reach of each row: those whose border with its own cell is as near.
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """The distances of the centres from each other."""
+        square = (self.centres**2).sum(axis=1)
+        return np.sqrt(np.maximum(square[:, None] + square - 2 * self.centres @ self.centres.T, 0))
 
-        A vector in cell c is on c's side of the border between c and the row's cell, and the row is on the other.
+    def probes(self, x: np.ndarray, reach: float) -> np.ndarray:
+        """(row, cell): which cells may hold a vector within reach of each row.
+
+        A vector in cell c is on c's side of the border between c and any other centre, so the row is at most reach
+        beyond each of these borders; those with the row's nearest centres are looked at.
         """
         square = (x**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1) - 2 * x @ self.centres.T
-        own = np.take_along_axis(square, cell[:, None], axis=1)
-        apart = np.sqrt(np.maximum(((self.centres[:, None, :] - self.centres[None, :, :]) ** 2).sum(axis=2), 0)) if len(self.centres) <= 256 else None
-        out = []
-        for i, c in enumerate(cell):
-            gap = apart[c] if apart is not None else np.sqrt(((self.centres - self.centres[c]) ** 2).sum(axis=1))
-            out.append(np.flatnonzero(square[i] - own[i] <= 2 * (reach + SLACK) * gap))
+        near = np.argsort(square, axis=1)[:, :8]
+        out = np.ones(square.shape, bool)
+        for j in range(near.shape[1]):
+            other = near[:, j]
+            beyond = square - np.take_along_axis(square, other[:, None], axis=1)
+            out &= beyond <= 2 * (reach + SLACK) * self.apart[other] + 1e-9
         return out
 
     def tables(self, x: np.ndarray, cell: int) -> np.ndarray:
@@ -96,54 +105,98 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+_CODED = "label long, id long, many long, cell int, codes binary, error double, embedding array<double>"
 _ENTRY = "label long, cell int, block int, query boolean, id long, many long, codes binary, error double, embedding array<double>"
 
 
-def _entries(quantiser, blocks: int, reach: float):
-    """Each class once in its own list's block, and as a query in all blocks of the lists that it probes."""
+def _coder(quantiser):
+    """Each class with its cell, codes and coding error."""
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = quantiser.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                cell, codes, error = q.encode(_unit(_matrix(batch.column("embedding"))))
+                columns = [*(batch.column(x) for x in ("label", "id", "many")), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), batch.column("embedding")]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _CODED.split(", ")])
+
+    return code
+
+
+def _placed(quantiser, split, reach: float):
+    """Each class once as an entry of its own block, and as a query in every later block that it probes.
+
+    Blocks are ordered by cell and number, so that of two blocks the members of one are queries in the other and
+    never the other way round.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, blocks_of = quantiser.value, split.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                x = _matrix(batch.column("embedding"))
-                unit = _unit(x)
-                cell, codes, error = q.encode(unit)
-                probes = q.probes(unit, cell, reach)
-                own = batch.column("block").to_numpy()
-                row = np.concatenate([np.arange(len(x)), *(np.full(len(p) * blocks, i) for i, p in enumerate(probes))])
-                cells = np.concatenate([cell, *(np.repeat(p, blocks) for p in probes)])
-                block = np.concatenate([own, *(np.tile(np.arange(blocks), len(p)) for p in probes)])
-                query = np.arange(len(row)) >= len(x)
-                take = pa.array(row)
-                codes_of = [codes[i].tobytes() for i in row]
-                columns = [batch.column("label").take(take), pa.array(cells.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(query), batch.column("id").take(take), batch.column("many").take(take), pa.array(codes_of, pa.binary()), pa.array(error[row]), batch.column("embedding").take(take)]
+                probes = q.probes(_unit(_matrix(batch.column("embedding"))), reach)
+                row, cells, blocks, query = [], [], [], []
+                for i, (label, own, key) in enumerate(zip(batch.column("label").to_pylist(), batch.column("cell").to_pylist(), batch.column("id").to_pylist(), strict=True)):
+                    mine = zlib.crc32(key.to_bytes(8, "little", signed=True)) % blocks_of.get((label, own), 1)
+                    probes[i, own] = True
+                    for c in np.flatnonzero(probes[i, own:]).tolist():
+                        first = mine if c == 0 else 0
+                        many = blocks_of.get((label, own + c), 1)
+                        row += [i] * (many - first)
+                        cells += [own + c] * (many - first)
+                        blocks += range(first, many)
+                        query += [c > 0 or b > mine for b in range(first, many)]
+                take = pa.array(row, pa.int64())
+                columns = [batch.column("label").take(take), pa.array(cells, pa.int32()), pa.array(blocks, pa.int32()), pa.array(query, pa.bool_()), *(batch.column(x).take(take) for x in ("id", "many", "codes", "error", "embedding"))]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _ENTRY.split(", ")])
 
     return place
 
 
+@dataclass
+class _Rows:
+    """Rows of a block in arrays."""
+
+    ids: np.ndarray
+    many: np.ndarray
+    x: np.ndarray
+    codes: np.ndarray
+    error: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[pa.RecordBatch]) -> _Rows:
+        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, SUBSPACES)
+        return cls(batch.column("id").to_numpy(), batch.column("many").to_numpy(), _matrix(batch.column("embedding")), codes, batch.column("error").to_numpy())
+
+    def part(self, a: int, b: int) -> _Rows:
+        return _Rows(self.ids[a:b], self.many[a:b], self.x[a:b], self.codes[a:b], self.error[a:b])
+
+
 def _search(quantiser, cosine: float, reach: float):
     """Streams each block's entries, then its queries, and yields (id, links, root): with how many vectors of the block
-    each query is linked, and a member of the block's linked group that the query and its links share."""
-
-    def compare(list_rows: pa.RecordBatch, queries: pa.RecordBatch, q: Quantiser) -> pa.RecordBatch:
-        x, y = _matrix(queries.column("embedding")), _matrix(list_rows.column("embedding"))
-        ux, uy = _unit(x), _unit(y)
-        codes = np.frombuffer(b"".join(list_rows.column("codes").to_pylist()), np.uint8).reshape(-1, SUBSPACES)
-        error = list_rows.column("error").to_numpy()
-        ids, many, asked = list_rows.column("id").to_numpy(), list_rows.column("many").to_numpy(), queries.column("id").to_numpy()
-        tables = q.tables(ux, list_rows.column("cell")[0].as_py())
-        near = np.zeros((len(x), len(y)))
+    each row is linked, and a member of the block's linked group that the row and its links share. A pair of rows meets
+    in one block alone, and counts for both."""
+
+    def compare(held: _Rows, asked: _Rows, cell: int, first: int | None, q: Quantiser) -> tuple[np.ndarray, np.ndarray]:
+        """The linked pairs of asked and held; asked rows from the place first of held itself meet the later ones alone."""
+        tables = q.tables(_unit(asked.x), cell)
+        near = np.zeros((len(asked.ids), len(held.ids)))
         for s in range(SUBSPACES):
-            near += tables[:, s, codes[:, s]]
-        a, b = np.nonzero(np.sqrt(np.maximum(near, 0)) <= reach + error + SLACK)
-        norm = np.sqrt((x * x).sum(axis=1))[a] * np.sqrt((y * y).sum(axis=1))[b]
-        linked = (np.einsum("ij,ij->i", x[a], y[b]) / norm >= cosine) & (asked[a] != ids[b])
-        a, b = a[linked], b[linked]
-        links = np.bincount(a, weights=many[b], minlength=len(x)).astype(np.int64)
-        root = {}
+            near += tables[:, s, held.codes[:, s]]
+        may = np.sqrt(np.maximum(near, 0)) <= reach + held.error + SLACK
+        if first is not None:
+            may &= np.arange(len(held.ids)) > first + np.arange(len(asked.ids))[:, None]
+        a, b = np.nonzero(may)
+        norm = np.sqrt((asked.x * asked.x).sum(axis=1))[a] * np.sqrt((held.x * held.x).sum(axis=1))[b]
+        linked = (np.einsum("ij,ij->i", asked.x[a], held.x[b]) / norm >= cosine) & (asked.ids[a] != held.ids[b])
+        return a[linked], b[linked]
+
+    def answer(held: _Rows, asked: _Rows, cell: int, first: int | None, q: Quantiser) -> pa.RecordBatch:
+        a, b = compare(held, asked, cell, first, q)
+        root: dict[int, int] = {}
 
         def find(i: int) -> int:
             while root.setdefault(i, i) != i:
@@ -151,29 +204,44 @@ def _search(quantiser, cosine: float, reach: float):
                 i = root[i]
             return i
 
-        for i, j in zip(asked[a].tolist(), ids[b].tolist(), strict=True):
+        for i, j in zip(asked.ids[a].tolist(), held.ids[b].tolist(), strict=True):
             i, j = find(i), find(j)
             root[max(i, j)] = min(i, j)
-        out_id = np.concatenate([asked[links > 0], np.array(list(root), np.int64)])
-        out_n = np.concatenate([links[links > 0], np.zeros(len(root), np.int64)])
-        out_root = np.concatenate([asked[links > 0], np.array([find(i) for i in root], np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(out_id), pa.array(out_n), pa.array(out_root)], names=["id", "links", "root"])
+        ids = [asked.ids, held.ids, np.array(list(root), np.int64)]
+        links = [np.bincount(a, weights=held.many[b], minlength=len(asked.ids)), np.bincount(b, weights=asked.many[a], minlength=len(held.ids)), np.zeros(len(root))]
+        some = [links[0] > 0, links[1] > 0, np.ones(len(root), bool)]
+        roots = [ids[0], ids[1], np.array([find(i) for i in root], np.int64)]
+        columns = [np.concatenate([x[k] for x, k in zip(v, some, strict=True)]).astype(np.int64) for v in (ids, links, roots)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "links", "root"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, at, rows = quantiser.value, None, []
+        q, at, parts, held = quantiser.value, None, [], None
+
+        def within() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if held is None and parts:
+                held = _Rows.of(parts)
+                parts.clear()
+                for k in range(0, len(held.ids), QUERIES):
+                    yield answer(held, held.part(k, k + QUERIES), at[1], k, q)
+
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)] if len(keys) else []
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if at != tuple(keys[i][:3]):
-                    at, rows = tuple(keys[i][:3]), []
+                if at != tuple(keys[i][:3].tolist()):
+                    yield from within()
+                    at, parts, held = tuple(keys[i][:3].tolist()), [], None
                 part = batch.slice(i, j - i)
                 if not keys[i][3]:
-                    rows.append(part)
-                elif rows:
-                    held = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-                    for k in range(0, part.num_rows, 128):
-                        yield compare(held, part.slice(k, 128), q)
+                    parts.append(part)
+                    continue
+                yield from within()
+                if held is not None:
+                    asked = _Rows.of([part])
+                    for k in range(0, len(asked.ids), QUERIES):
+                        yield answer(held, asked.part(k, k + QUERIES), at[1], None, q)
+        yield from within()
 
     return search
 
@@ -191,8 +259,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     Equal vectors of a label are one class with a count. The quantisers are fitted on at most MAX_FITTED vectors, every
     class is indexed. A class probes every list that can hold a vector as near as cosine asks, and passes over an entry
     only if its distance from the entry's codes exceeds that reach by more than the entry's own coding error: by the
-    triangle inequality no link is lost. Blocks bound what meets in a task, and links within a block leave it as counts
-    and as a forest, never as all pairs.
+    triangle inequality no link is lost. A list of more than BLOCK rows, counted, is split, so blocks bound what meets in
+    a task; two blocks meet once, and links within a block leave it as counts and as a forest, never as all pairs.
     """
     spark = vectors.sparkSession
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
@@ -205,14 +273,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     links, component = None, None
     for (wide,) in sorted(classes.select(F.size("embedding")).distinct().toLocalIterator()):
         same = classes.filter(F.size("embedding") == wide)
-        n = same.count()
         sample = same.orderBy(F.xxhash64("id"), "id").limit(MAX_FITTED).select("embedding").toPandas()
         fitted = _unit(np.stack(sample["embedding"].to_numpy()))
-        quantiser = spark.sparkContext.broadcast(Quantiser.fit(fitted, max(1, min(MAX_CELLS, n // CELL_ROWS))))
         largest = same.groupBy("label").count().agg(F.max("count")).first()[0]
-        blocks = max(1, -(-largest // (BLOCK * max(1, len(quantiser.value.centres) // 2))))
-        keyed = same.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        spread = keyed.repartition(rows_each(keyed, 512)).mapInArrow(_entries(quantiser, blocks, reach), _ENTRY)
+        quantiser = spark.sparkContext.broadcast(Quantiser.fit(fitted, min(len(fitted), MAX_CELLS, max(MIN_CELLS, largest // CELL_ROWS))))
+        coded = staged(same.select("label", "id", "many", "embedding").mapInArrow(_coder(quantiser), _CODED), "vector-codes")
+        lists = coded.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)  # at most a row for BLOCK vectors
+        split = spark.sparkContext.broadcast({(r.label, r.cell): -(-r.n // BLOCK) for r in lists.toLocalIterator()})
+        spread = coded.repartition(rows_each(coded, 512)).mapInArrow(_placed(quantiser, split, reach), _ENTRY)
         ordered = spread.repartition("label", "cell", "block").sortWithinPartitions("label", "cell", "block", "query")
         found = staged(ordered.mapInArrow(_search(quantiser, cosine, reach), "id long, links long, root long"), "vector-links")
         links = found if links is None else links.unionByName(found)

@@ -72,6 +72,24 @@ def test_vectors_equal_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_vectors_in_small_blocks_equal_brute_force(spark, monkeypatch):
+    """One list larger than a block, probed across its own blocks and from other cells."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 5)
+    rnd = np.random.default_rng(7)
+    base = rnd.normal(size=(6, 24))
+    x = np.concatenate([base[rnd.integers(0, 6, 150)] + 0.12 * rnd.normal(size=(150, 24)), rnd.normal(size=(60, 24))])
+    label = [1 if i % 4 else 2 for i in range(len(x))]
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), y) for i, (v, y) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int"), 0.98).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label)) & ~np.eye(len(x), dtype=bool)
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(linked.sum(axis=1).tolist())) and linked.sum() > 200
+    least = np.arange(len(x))
+    for _ in range(50):
+        least = np.minimum(least, np.where(linked, least[None, :], len(x)).min(axis=1))
+    assert {r.vec_id: r.component_id for r in got} == dict(enumerate(least.tolist()))
+
+
 def test_vectors_of_nothing(spark):
     kinds = "vec_id long, embedding array<float>, label int"
     assert embedding_dedup.near_vectors(spark.createDataFrame([], kinds)).count() == 0
