@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 
 def first_wins(frame: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column]) -> DataFrame:
-    """The first row of each key in the order given; null keys are equal."""
+    """The first row of each key in the order given; null keys are equal.
+
+    With names alone the least struct is aggregated, so tasks keep one row a key before anything is shuffled; an order
+    that is no name needs a sorted window.
+    """
+    if all(isinstance(x, str) for x in [*keys, *order]) and not any(t.startswith(("map", "variant")) for _, t in frame.dtypes):
+        rest = [c for c in frame.columns if c not in keys]
+        # nulls sort first in structs as in windows
+        best = F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")
+        return frame.groupBy(*keys).agg(best).select(*[F.col(c) if c in keys else F.col(f"__row.`{c}`").alias(c) for c in frame.columns]) if rest else frame.distinct()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return frame.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 

@@ -24,6 +24,10 @@ from .chunking import amendment_date, amendment_law, amendment_type, extract
 from .dedup import first_wins
 
 
+#: Patterns of a user's that are tried on every article, at most.
+MOST_PATTERNS = 1000
+
+
 def groups(text: Column, pattern: str, *numbers: int) -> Column:
     """An array of structs g1, g2, ...: the groups of every match."""
     return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), n).alias(f"g{i}") for i, n in enumerate(numbers, 1)])
@@ -86,9 +90,17 @@ def topics(articles: DataFrame) -> DataFrame:
 
 
 def topics_by_patterns(articles: DataFrame, patterns: DataFrame) -> DataFrame:
-    """All topics whose pattern an article matches; patterns (topic_name, pattern) is a small table of the user's."""
-    hit = F.expr("regexp_like(text, pattern)")
-    return articles.join(F.broadcast(patterns.limit(10_000)), hit).select("law_id", "article_number", "topic_name").distinct()
+    """All topics whose pattern an article matches; patterns (topic_name, pattern) is a table of the user's.
+
+    At most MOST_PATTERNS patterns are taken, more are an error: each is tried on every article.
+    """
+    given = patterns.select("topic_name", "pattern").limit(MOST_PATTERNS + 1).collect()
+    if len(given) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    if not given:
+        return articles.select("law_id", "article_number", F.lit("").alias("topic_name")).limit(0)
+    hits = F.filter(F.array(*[F.when(F.col("text").rlike(r.pattern), F.lit(r.topic_name)) for r in given]), lambda x: x.isNotNull())
+    return articles.select("law_id", "article_number", F.explode(F.array_distinct(hits)).alias("topic_name")).distinct()
 
 
 def amendments(files: DataFrame) -> DataFrame:
