@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -9,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,22 +86,20 @@ class BlockMaxIndex:
         self.rows = np.concatenate([[0], np.cumsum([len(pairs[i][0]) for i in order])]).astype(np.int64)
         self.row_term = np.concatenate([np.zeros(0, np.int32), *(pairs[i][0] for i in order)]).astype(np.int32)
         self.row_weight = np.concatenate([np.zeros(0), *(pairs[i][1] for i in order)])
-        self._lay_out()
+        self.matrices: list[tuple[np.ndarray, np.ndarray]] | None = None
 
-    def __getstate__(self) -> dict:
-        return {x: getattr(self, x) for x in ("size", "toxic", "clean", "ids", "place", "rows", "row_term", "row_weight")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._lay_out()  # what can be made again isn't sent to the workers
+    def vector(self, place: int) -> Vector:
+        """The vector of the example at a place."""
+        here = slice(self.rows[place], self.rows[place + 1])
+        return self.row_term[here], self.row_weight[here]
 
     def _lay_out(self) -> None:
-        """The blocks' matrices and the postings, from the vectors in order."""
+        """The blocks' matrices and the postings, from the vectors in order; workers make them when they first search."""
         many = len(self.ids)
         self.starts = np.arange(0, many, BLOCK)
         at = np.repeat(np.arange(many), np.diff(self.rows))
         common = np.zeros(len(at), bool)
-        self.matrices: list[tuple[np.ndarray, np.ndarray]] = []  # terms; weights by term and example
+        self.matrices = []  # terms; weights by term and example
         for low in self.starts.tolist():
             here = slice(self.rows[low], self.rows[min(low + BLOCK, many)])
             names, which, held = np.unique(self.row_term[here], return_inverse=True, return_counts=True)
@@ -127,6 +127,8 @@ class BlockMaxIndex:
         Blocks are scored by falling bound, as long as one may hold a nearer example than the last found; what may be
         among the nearest is then compared by its whole vector, so the result does not depend on the other queries.
         """
+        if self.matrices is None:
+            self._lay_out()
         many, wanted = len(self.ids), NEIGHBOURS + 1
         if not many:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
@@ -188,13 +190,12 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    """What scoring needs: the terms' weights, the index, the votes of rows without terms and the calibration."""
+    """What votes need: the terms' weights, the index, the share of toxic examples, of all and of those without terms."""
 
     weights: np.ndarray
     index: BlockMaxIndex
     prior: float
     blank: float
-    steps: tuple[np.ndarray, np.ndarray]
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> Vector:
         """The unit vector of term counts."""
@@ -220,9 +221,10 @@ class Model:
                 out[i] = (float((weight @ toxic + 0.5 * self.prior) / (weight @ (toxic + clean) + 0.5)), at)
         return out
 
-    def score(self, vote: float) -> float:
-        """The vote as a calibrated probability; a hundredth of the vote itself keeps the order of votes."""
-        return float(0.99 * np.interp(vote, *self.steps) + 0.01 * vote)
+
+def calibrated(vote: float, steps: tuple[np.ndarray, np.ndarray]) -> float:
+    """The vote as a calibrated probability; a hundredth of the vote itself keeps the order of votes."""
+    return float(0.99 * np.interp(vote, *steps) + 0.01 * vote)
 
 
 def isotonic(votes: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +244,7 @@ def _counted(terms):
     """(doc_id, text_id, terms, counts) of each row, of the examples' words alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, kinds = terms.value.get, pa.int32()
+        get, kinds = {w: i for i, w in enumerate(terms.value.to_pylist())}.get, pa.int32()
         for whole in batches:
             texts = [t or "" for t in whole.column(2).to_pylist()]
             for a, b in row_slices(texts, _SLICE):
@@ -302,7 +304,7 @@ def choose_examples(labels: DataFrame) -> DataFrame:
     return staged(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES), "examples")
 
 
-def example_words(docs: DataFrame, examples: DataFrame) -> tuple[list[str], np.ndarray]:
+def example_words(docs: DataFrame, examples: DataFrame) -> tuple[pa.Array, np.ndarray]:
     """All words of the examples, and 1 + the root of each one's chi-square against the label; examples of one text
     count once. What the labels say about a word thus raises its weight, and no word is left out."""
     rows = _rows(docs).join(F.broadcast(examples), "doc_id").dropDuplicates(["text_id"])  # at most MAX_EXAMPLES rows
@@ -315,18 +317,33 @@ def example_words(docs: DataFrame, examples: DataFrame) -> tuple[list[str], np.n
     n, t, b = float(total.n), float(total.t), m - a
     below = m * (n - m) * t * (n - t)
     chi2 = np.divide(n * (a * (n - t - b) - b * (t - a)) ** 2, below, out=np.zeros(len(m)), where=below > 0)
-    return found.column("word").to_pylist(), 1 + np.sqrt(chi2)
+    return found.column("word").combine_chunks(), 1 + np.sqrt(chi2)
+
 
+def _without_themselves(model):
+    """(vote, toxic, n) of examples (place, label, many): the vote of an example's vector without its own."""
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            places, labels, many = (batch.column(i).to_pylist() for i in range(3))
+            votes = m.votes([m.index.vector(p) for p in places], [(p, x, 1 - x) for p, x in zip(places, labels, strict=True)])
+            toxic = [x * n for x, n in zip(labels, many, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in votes], pa.float64()), pa.array(toxic, pa.int64()), pa.array(many, pa.int64())], names=["vote", "toxic", "n"])
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and every row's counts of its terms (doc_id, text_id, terms, counts).
+    return vote
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], tuple[np.ndarray, np.ndarray], DataFrame]:
+    """The model, the calibration and every row's counts of its terms (doc_id, text_id, terms, counts).
 
     Labels are learnt from the bounded examples alone, whose words are the terms; in how many rows a term is, from all
-    rows.
+    rows. The driver holds the examples' vectors; what the votes of each of them would be without it, tasks find out.
     """
+    spark = docs.sparkSession
     examples = choose_examples(labels)
     names, telling = example_words(docs, examples)
-    terms = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+    terms = spark.sparkContext.broadcast(names)
     counted = staged(_rows(docs).mapInArrow(_counted(terms), "doc_id long, text_id long, terms array<int>, counts array<int>"), "term-counts")
     terms.unpersist()
     n = counted.count()
@@ -335,43 +352,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     rows = frequencies.groupBy("term").agg(F.sum("rows").alias("rows")).toArrow()
     df[rows.column("term").to_numpy()] = rows.column("rows").to_numpy()
     known = counted.join(F.broadcast(examples), "doc_id").select("doc_id", "toxic", "terms", "counts").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    model = Model((np.log((1 + n) / (1 + df)) + 1) * telling, None, 0.0, 0.0, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    model = Model((np.log((1 + n) / (1 + df)) + 1) * telling, None, 0.0, 0.0)
     groups: dict[bytes, list] = {}
     toxic = 0
     for doc_id, label, bag in zip(known.column("doc_id").to_pylist(), known.column("toxic").to_pylist(), _bags(known), strict=True):
-        group = groups.setdefault(bag[0].tobytes() + bag[1].tobytes(), [0, 0, doc_id, bag])
+        group = groups.setdefault(hashlib.sha256(bag[0].tobytes() + bag[1].tobytes()).digest() if len(bag[0]) else b"", [0, 0, doc_id, bag])
         group[1 - label] += 1
         toxic += label
     blank = groups.pop(b"", [0, 0, 0])
     model.prior = (toxic + 0.5) / (known.num_rows + 1)
     model.blank = (blank[0] + 0.5 * model.prior) / (blank[0] + blank[1] + 0.5)
-    vectors = [model.vector(*g[3]) for g in groups.values()]
     counts = np.array([[g[0], g[1]] for g in groups.values()], np.int64).reshape(-1, 2)
-    model.index = BlockMaxIndex(vectors, counts[:, 0], counts[:, 1], [g[2] for g in groups.values()])
-    apart = [(vector, place, label, many) for vector, pair, place in zip(vectors, counts.tolist(), model.index.place.tolist(), strict=True) for label, many in ((1, pair[0]), (0, pair[1])) if many]
-    alone = model.votes([a[0] for a in apart], [(place, label, 1 - label) for _, place, label, _ in apart])  # each example's vote without itself
-    left_out = [(vote, label * many, many) for (vote, _), (_, _, label, many) in zip(alone, apart, strict=True)]
+    model.index = BlockMaxIndex([model.vector(*g[3]) for g in groups.values()], counts[:, 0], counts[:, 1], [g[2] for g in groups.values()])
+    sent = spark.sparkContext.broadcast(model)
+    apart = [(place, label, many) for pair, place in zip(counts.tolist(), model.index.place.tolist(), strict=True) for label, many in ((1, pair[0]), (0, pair[1])) if many]
+    table = pa.table({x: pa.array([a[i] for a in apart], pa.int64()) for i, x in enumerate(("place", "label", "many"))})
+    left_out = spark.createDataFrame(table).repartition(spark.sparkContext.defaultParallelism).mapInArrow(_without_themselves(sent), "vote double, toxic long, n long").toArrow().sort_by([("vote", "ascending"), ("toxic", "ascending"), ("n", "ascending")])
+    votes, hits, many = (left_out.column(x).to_numpy().astype(float) for x in ("vote", "toxic", "n"))
     if sum(blank[:2]):
-        left_out.append((model.blank, blank[0], blank[0] + blank[1]))
-    model.steps = isotonic(*(np.array(x, float) for x in zip(*left_out, strict=True))) if left_out else model.steps
-    return model, counted
+        votes, hits, many = np.append(votes, model.blank), np.append(hits, blank[0]), np.append(many, blank[0] + blank[1])
+    return sent, isotonic(votes, hits, many), counted
 
 
-def _scored(model):
+def _scored(model, steps: tuple[np.ndarray, np.ndarray]):
     """(doc_id, text_id, score, evidence) of rows of term counts; equal texts are scored once."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = model.value, {}
-        for batch in batches:
-            if len(seen) > _CACHE:
-                seen.clear()
-            text_ids = batch.column(1).to_pylist()
-            new = {t: bag for t, bag in zip(text_ids, _bags(batch), strict=True) if t not in seen}
-            votes = m.votes([m.vector(*bag) for bag in new.values()])
-            seen.update((t, (m.score(vote), m.index.ids[at[:3]].tolist())) for t, (vote, at) in zip(new, votes, strict=True))
-            scores, evidence = [seen[t][0] for t in text_ids], [seen[t][1] for t in text_ids]
-            columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "score", "evidence"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2000):
+                batch = whole.slice(i, 2000)
+                if len(seen) > _CACHE:
+                    seen.clear()
+                text_ids = batch.column(1).to_pylist()
+                new = {t: bag for t, bag in zip(text_ids, _bags(batch), strict=True) if t not in seen}
+                votes = m.votes([m.vector(*bag) for bag in new.values()])
+                seen.update((t, (calibrated(vote, steps), m.index.ids[at[:3]].tolist())) for t, (vote, at) in zip(new, votes, strict=True))
+                columns = [batch.column(0), batch.column(1), pa.array([seen[t][0] for t in text_ids], pa.float64()), pa.array([seen[t][1] for t in text_ids], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "score", "evidence"])
 
     return score
 
@@ -387,8 +405,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     With no labels at all every score is that of the prior. An empty table gives an empty result; other columns of docs
     are not read.
     """
-    model, counted = fit(docs, labels)
-    return counted.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, text_id long, score double, evidence array<long>")
+    model, steps, counted = fit(docs, labels)
+    return counted.mapInArrow(_scored(model, steps), "doc_id long, text_id long, score double, evidence array<long>")
 
 
 def digest(scored: DataFrame) -> DataFrame:
