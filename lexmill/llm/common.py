@@ -17,11 +17,14 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a temporary one if driver and executors are one machine (local mode), else the warehouse.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="lexmill-shared-")
+        named = tempfile.mkdtemp(prefix="lexmill-shared-") if context.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lexmill-shared"
         context.setCheckpointDir(named)
     return named.rstrip("/")
 

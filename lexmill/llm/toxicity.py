@@ -23,6 +23,8 @@ NEIGHBOURS, BLOCK = 15, 256
 #: tell them apart.
 _DENSE, _GROUPS, _GROUP_TERMS = 12, 24, 512
 _WORD = re.compile(r"[^\W\d_]+")
+#: Scores are first made in single precision; what may be among the nearest by this much is compared again.
+_SLACK = 1e-5
 #: Scores that a task keeps by text, characters that it counts and texts that it scores at once.
 _CACHE, _SLICE, _QUERIES = 50_000, 1 << 20, 128
 #: Terms and weights of a vector, in arrays.
@@ -106,7 +108,7 @@ class BlockMaxIndex:
             dense = held >= _DENSE
             common[here] = dense[which]
             place = np.cumsum(dense) - 1
-            matrix = np.zeros((int(dense.sum()), min(BLOCK, many - low)))
+            matrix = np.zeros((int(dense.sum()), min(BLOCK, many - low)), np.float32)
             matrix[place[which[common[here]]], at[here][common[here]] - low] = self.row_weight[here][common[here]]
             self.matrices.append((names[dense], matrix))
         self.dense = np.unique(np.concatenate([np.zeros(0, np.int32), *(n for n, _ in self.matrices)]))
@@ -138,17 +140,17 @@ class BlockMaxIndex:
         owner, term, weight = owner[known], term[known].astype(np.int64), weight[known]
         low, sizes = self.terms[term], self.terms[term + 1] - self.terms[term]
         held = ranges(low, sizes)
-        rare = np.bincount(np.repeat(owner * many, sizes) + self.at[held], self.weight[held] * np.repeat(weight, sizes), len(queries) * many).reshape(-1, many).astype(float, copy=False)
-        dense = np.zeros((len(queries), len(self.dense)))
+        rare = np.bincount(np.repeat(owner * many, sizes) + self.at[held], self.weight[held] * np.repeat(weight, sizes), len(queries) * many).reshape(-1, many).astype(np.float32)
+        dense = np.zeros((len(queries), len(self.dense)), np.float32)
         column = self.column[term]
         dense[owner[column >= 0], column[column >= 0]] = weight[column >= 0]
         bound = np.maximum.reduceat(rare, self.starts, axis=1)
         for i, (names, matrix) in enumerate(self.matrices):
             if len(names):
                 bound[:, i] += dense[:, self.column[names]] @ matrix.max(axis=1)
-        score, least, open_blocks = np.full(rare.shape, -np.inf), np.zeros(len(queries)), bound > 0
-        for step in (2, 4, len(self.starts)):
-            pick = open_blocks & (bound >= least[:, None] - 1e-9)
+        score, least, open_blocks = np.full(rare.shape, -np.inf, np.float32), np.zeros(len(queries), np.float32), bound > 0
+        for step in (3, len(self.starts)):
+            pick = open_blocks & (bound >= least[:, None] - _SLACK)
             if not pick.any():
                 break
             if step < len(self.starts):
@@ -159,12 +161,12 @@ class BlockMaxIndex:
                 rows = np.flatnonzero(pick[:, i])
                 if len(rows):
                     here = slice(self.starts[i], self.starts[i] + matrix.shape[1])
-                    score[rows, here] = rare[rows, here] + (dense[np.ix_(rows, self.column[names])] @ matrix if len(names) else 0.0)
+                    score[rows, here] = rare[rows, here] + (dense[np.ix_(rows, self.column[names])] @ matrix if len(names) else np.float32(0))
             if many > wanted:
                 least = np.maximum(np.partition(score, many - wanted, axis=1)[:, many - wanted], 0.0)
         out, laid_out = [], np.zeros(self.size + 1)
         for i, (terms, weights) in enumerate(queries):
-            at = np.flatnonzero((score[i] > 0) & (score[i] >= least[i] - 1e-9))
+            at = np.flatnonzero((score[i] > 0) & (score[i] >= least[i] - _SLACK))
             laid_out[terms[terms < self.size]] = weights[terms < self.size]
             cosine = self._cosines(at, laid_out)
             laid_out[terms[terms < self.size]] = 0.0
