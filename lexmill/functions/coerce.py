@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arabic import western_digits
-from .vocabulary import ENUM_DEFAULTS, FALSE_WORDS, LAW_ALIASES, LAWS, ROUTES, TRUE_WORDS
+from .vocabulary import AUDIT_FALSE_WORDS, AUDIT_TRUE_WORDS, ENUM_DEFAULTS, FALSE_WORDS, LAW_ALIASES, LAWS, ROUTES, TRUE_WORDS
 
 
 def blank_to_null(text: Column) -> Column:
@@ -26,6 +26,19 @@ def bool_optional(text: Column) -> Column:
     return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
 
 
+def bool_of_audit(text: Column) -> Column:
+    """True or false for a word that auditors use, whose lists are shorter and have one word more, otherwise null."""
+    word = F.lower(F.trim(text))
+    return F.when(word.isin(AUDIT_TRUE_WORDS), True).when(word.isin(AUDIT_FALSE_WORDS), False)
+
+
+def alibi(json: Column) -> Column:
+    """An alibi as text: of an object its time, place and witnesses joined by dashes, otherwise the text itself."""
+    witnesses = F.nullif(F.array_join(F.from_json(F.get_json_object(json, "$.supporting_witnesses"), "array<string>"), "، "), F.lit(""))
+    parts = F.concat_ws(" — ", _field(json, "time"), _field(json, "location"), F.concat(F.lit("شهود: "), witnesses))
+    return F.nullif(F.when(F.trim(json).startswith("{"), parts).otherwise(F.trim(json)), F.lit(""))
+
+
 def age(text: Column) -> Column:
     """The first whole number in a text."""
     return F.regexp_extract(western_digits(text, eastern=True), r"(\d+)", 1).try_cast("int")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lexmill.functions.articles import normalize_article
 from lexmill.functions.coerce import law_code, salvage_json
@@ -20,6 +22,11 @@ AGENTS = ["data_ingestion", "procedural_auditor", "legal_researcher", "evidence_
 META_FIELDS = ["case_number", "court", "court_level", "jurisdiction", "prosecutor_name", "referral_order_text", "filing_date", "referral_date"]
 
 
+# What a stage's output never changes in a case, entities that are lists, what a prosecution answer is known by.
+CASE_FIELDS = ["case_id", "case_number", "court", "court_level", "jurisdiction", "filing_date", "referral_date", "prosecutor_name", "referral_order_text", "current_agent", "last_updated", "extraction_notes", "source_documents"]
+PROSECUTION_FIELDS = ["prosecution_narrative", "prosecution_arguments"]
+
+
 class LanguageModel(Protocol):
     """Answers a prompt; made once in each task."""
 
@@ -148,21 +155,94 @@ def defence_arguments(formal: Column, substantive: Column) -> Column:
     return F.concat(F.transform(formal, shape("formal")), F.transform(substantive, shape("substantive")))
 
 
-def run_stages(cases: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+def run_stages(cases: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], folder: str | None = None) -> DataFrame:
     """(case_id, agent, status): every stage's own result on the cases; stages see the cases alone, not each other.
 
     A stage that cannot be planned gives each case a row with the error's first 200 characters, and the others run on.
+    With a folder, each stage's result is written below it first, so one that fails while it runs is state likewise.
     """
     out = None
     for name, stage in stages:
         try:
             one = stage(cases).select("case_id", F.lit(name).alias("agent"), F.lit("done").alias("status"))
+            if folder is not None:
+                path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+                one.write.parquet(path)
+                one = cases.sparkSession.read.schema(one.schema).parquet(path)
         except Exception as e:
             one = cases.select("case_id", F.lit(name).alias("agent"), F.lit(str(e)[:200]).alias("status"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def stage_output(frame: DataFrame, case_id: str = "case_id") -> DataFrame:
+    """A stage's columns but for those of the case itself, which no stage may change; its id stays as the key."""
+    return frame.select(case_id, *[c for c in frame.columns if c not in CASE_FIELDS and c != case_id])
+
+
+def null_to_blank(value: Column, kind) -> Column:
+    """The value with every null text in it as a blank one and every null array as an empty one, at any depth."""
+    if isinstance(kind, StringType):
+        return F.coalesce(value, F.lit(""))
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.transform(value, lambda x: null_to_blank(x, kind.elementType)), F.array().cast(kind))
+    if isinstance(kind, StructType):
+        return F.struct(*[null_to_blank(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+    return value
+
+
+def without_nulls(frame: DataFrame) -> DataFrame:
+    """frame with null_to_blank of every column."""
+    return frame.select(*[null_to_blank(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in frame.schema.fields])
+
+
+def stage_input(cases: DataFrame, tables: Mapping[str, tuple[DataFrame, Sequence[str]]], skip_invalidated: bool = True) -> DataFrame:
+    """(case_id, context): what a stage's prompt shows of each case, a JSON object of arrays.
+
+    tables names frames (case_id, ...) and the fields to show of each, sorted; null fields are left out, rows of void
+    sources too; a case without rows of a table has an empty array.
+    """
+    out = cases.select("case_id").distinct()
+    for name, (frame, fields) in tables.items():
+        rows = frame.filter(~F.coalesce("invalidated", F.lit(False))) if skip_invalidated and "invalidated" in frame.columns else frame
+        listed = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        out = out.join(listed, "case_id", "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+    return out.select("case_id", F.to_json(F.struct(*tables)).alias("context"))
+
+
+def extraction_error(answer: Column, lists: Sequence[str] = tuple(ENTITY_KEYS)) -> Column:
+    """Why an extracted answer is rejected, or null: it must be an object, its lists arrays, its case_meta an object."""
+    json = F.try_parse_json(salvage_json(answer))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(json, path, "variant"))
+    is_object, absent = lambda k: k.startswith("OBJECT"), lambda k: k.isNull() | k.isin("VOID", "NULL")
+    error = F.when(F.coalesce(~is_object(F.schema_of_variant(json)), F.lit(True)), "not an object")
+    for name in lists:
+        error = error.when(~absent(kind(f"$.{name}")) & ~kind(f"$.{name}").startswith("ARRAY"), f"{name} is not a list")
+    return error.when(~absent(kind("$.case_meta")) & ~is_object(kind("$.case_meta")), "case_meta is not an object")
+
+
+def prosecution_answer(answer: Column) -> Column:
+    """The answer as a JSON object: an array of the one object that has its fields gives that object, another array is
+    its arguments, anything else an empty object."""
+    json = salvage_json(answer)
+    variant = F.try_parse_json(json)
+    items = F.try_variant_get(variant, "$", "array<variant>")
+    one = F.to_json(F.get(items, F.lit(0)))
+    known = F.lit(False)
+    for name in PROSECUTION_FIELDS:
+        known = known | F.get_json_object(one, f"$.{name}").isNotNull()
+    bare = F.concat(F.lit('{"prosecution_narrative":{},"prosecution_arguments":'), F.to_json(variant), F.lit("}"))
+    return F.when(json.startswith("{"), F.to_json(variant)).when((F.size(items) == 1) & F.coalesce(known, F.lit(False)), one).when(items.isNotNull(), bare).otherwise("{}")
+
+
+def defence_summary(documents: DataFrame) -> DataFrame:
+    """(case_id, has_alibi, arguments): whether any defence document of a case has an alibi, and all their arguments in
+    order of document."""
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("arguments", F.array().cast("array<string>")).alias("arguments"))))
+    each = documents.groupBy("case_id").agg(F.bool_or(F.coalesce(F.col("has_alibi"), F.lit(False))).alias("has_alibi"), ordered.alias("x"))
+    return each.select("case_id", "has_alibi", F.flatten(F.transform("x", lambda d: d["arguments"])).alias("arguments"))
+
+
 def sanitised(messages: Sequence[Mapping[str, object]]) -> list[dict[str, str]]:
     """Messages with a known role and text that is not blank; other roles count as the user's."""
     texts = [(str(m.get("role") or "user"), str(m.get("content") or "").strip()) for m in messages]

@@ -13,6 +13,8 @@ from lexmill.functions.vocabulary import NODE_LABELS, RELATIONS
 from .chunking import pack_lines
 from .dedup import last_wins
 
+#: Targets of a node in one row, at most about so many.
+TARGETS = 4096
 EDGE = "rel string, src_id string, dst_id string, position int, confidence double, reference_type string, amendment_id string, amendment_type string, amendment_date string"
 
 
@@ -164,23 +166,36 @@ def first_variant(wanted: DataFrame, articles: DataFrame, variants: Column) -> D
 
 
 def within_hops(pairs: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, node, distance): nodes that at most so many edges (src, dst) lead to, each at its least distance."""
-    seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")).distinct()
+    """(start, node, distance): nodes that at most so many edges (src, dst) lead to, each at its least distance.
+
+    Each round joins the last frontier alone; a node that several rounds reach is settled once, by the least distance,
+    at the end, and a step back to where the last edge came from is left out before.
+    """
+    frontier = starts.select(F.col("node").alias("start"), "node", F.lit(None).cast("string").alias("came")).distinct()
+    seen = frontier.select("start", "node", F.lit(0).alias("distance"))
     for d in range(1, depth + 1):
-        ahead = seen.filter(F.col("distance") == d - 1).join(pairs, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(d).alias("distance")).distinct()
-        seen = seen.unionByName(ahead.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
-    return seen.filter("distance > 0")
+        step = frontier.join(pairs, (F.col("node") == F.col("src")) & ~F.col("dst").eqNullSafe(F.col("came")) & (F.col("dst") != F.col("start")))
+        frontier = step.groupBy("start", F.col("dst").alias("node")).agg(F.when(F.min("src") == F.max("src"), F.min("src")).alias("came"))
+        seen = seen.unionByName(frontier.select("start", "node", F.lit(d).alias("distance")))
+    return seen.groupBy("start", "node").agg(F.min("distance").alias("distance")).filter("distance > 0")
 
 
 def pagerank(pairs: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after so many rounds over the edges (src, dst): 1 - damping plus what the neighbours hand on."""
+    """(node, rank) after so many rounds over the edges (src, dst): 1 - damping plus what the neighbours hand on.
+
+    Every node's row holds its targets, so a round joins ranks to nodes and sums what targets are given; a node of very
+    many targets has them in rows of TARGETS each. Lineage is cut every fifth round, where the session's checkpoint
+    folder is.
+    """
     pairs = pairs.distinct()
     degree = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = pairs.join(degree, "src").checkpoint()
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / TARGETS))
+    links = pairs.join(degree, "src").groupBy("src", "degree", part.alias("part")).agg(F.collect_list("dst").alias("targets")).drop("part").checkpoint()
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct().checkpoint()
     ranks = nodes.withColumn("rank", F.lit(1.0))
     for i in range(rounds):
-        given = links.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
+        given = links.join(ranks, F.col("src") == F.col("node")).select(F.explode("targets").alias("node"), (F.col("rank") / F.col("degree")).alias("given"))
+        given = given.groupBy("node").agg(F.sum("given").alias("given"))
         ranks = nodes.join(given, "node", "left").select("node", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("given", F.lit(0.0))).alias("rank"))
         if i % 5 == 4:
             ranks = ranks.checkpoint()
@@ -225,3 +240,113 @@ def schedule_graph(entries: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]
     nodes = {"ScheduleEntry": e.select("id", "law_id", "table_number", "entry_number", "name", "latin_name"), "Substance": e.select(F.col("substance_id").alias("id"), F.coalesce("latin_name", "name").alias("name")).dropDuplicates(["id"])}
     edges = edge("HAS_SCHEDULE", e, "law_id", "schedule_id").unionByName(edge("CONTAINS_ENTRY", e, "schedule_id", "id", position=F.col("entry_number")))
     return nodes, edges.unionByName(edge("DEFINES_SUBSTANCE", e, "id", "substance_id"))
+
+
+# Building from chunks --------------------------------------------------------------------------------------------------
+
+
+def law_texts(chunks: DataFrame) -> DataFrame:
+    """(law_id, articles, text): each law's articles and preambles in order of pos, an array of structs and one text."""
+    of_law = chunks.filter(F.col("chunk_type").isin("article", "preamble")).groupBy("law_id").agg(F.array_sort(F.collect_list(F.struct("pos", "article_number", "page_content"))).alias("articles"))
+    return of_law.select("law_id", "articles", F.array_join(F.transform("articles", lambda a: a["page_content"]), "\n\n").alias("text"))
+
+
+def amendment_groups(chunks: DataFrame) -> DataFrame:
+    """(law_id, amendment_law_number, amendment_date, amended_article_numbers, text) of amended chunks: the distinct
+    articles in the order in which they come first, and their texts."""
+    keys = ["law_id", "amendment_law_number", "amendment_date"]
+    rows = F.array_sort(F.collect_list(F.struct("pos", "article_number", "page_content")))
+    each = chunks.filter("chunk_type = 'amended_article'").groupBy(*keys).agg(rows.alias("x"))
+    numbers = F.array_distinct(F.filter(F.transform("x", lambda r: r["article_number"]), lambda n: n.isNotNull()))
+    return each.select(*keys, numbers.alias("amended_article_numbers"), F.array_join(F.transform("x", lambda r: r["page_content"]), "\n\n").alias("text"))
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """(chunk_type, n), "unknown" where there is none, the most first."""
+    return chunks.groupBy(F.coalesce("chunk_type", F.lit("unknown")).alias("chunk_type")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "chunk_type")
+
+
+def corpus_counts(documents: DataFrame) -> DataFrame:
+    """One row: rulings, principles and total of documents (doc_type)."""
+    return documents.agg(F.count_if(F.col("doc_type") == "ruling").alias("rulings"), F.count_if(F.col("doc_type") == "principle").alias("principles"), F.count(F.lit(1)).alias("total"))
+
+
+def graph_from_chunks(chunks: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(nodes, edges, counters) of chunks (law_id, law_title, pos, chunk_type, article_number, page_content,
+    amendment_law_number, amendment_date, amendment_type), in one call.
+
+    Articles and preambles become articles; amended ones with a number and date become amendments of their law and the
+    versions that they make, without either an article and a skip; anything else, and chunks without law or text, are
+    skipped. counters has laws, articles, amendments and skipped.
+    """
+    usable = F.col("law_id").isNotNull() & (F.coalesce("page_content", F.lit("")) != "")
+    amended = F.coalesce(F.col("chunk_type") == "amended_article", F.lit(False))
+    dated = F.col("amendment_law_number").isNotNull() & F.col("amendment_date").isNotNull()
+    kind = F.when(~usable, "skipped").when(F.coalesce(F.col("chunk_type").isin("article", "preamble"), F.lit(False)), "article").when(amended & dated, "amendment").when(amended, "undated").otherwise("skipped")
+    routed = chunks.withColumn("kind", kind)
+    laws = chunks.filter("law_id IS NOT NULL").groupBy(F.col("law_id").alias("id")).agg(F.coalesce(F.min_by("law_title", "pos"), F.first("law_id")).alias("title"))
+    articles = article_nodes(routed.filter("kind IN ('article', 'undated')").select("law_id", "article_number", "pos", F.col("page_content").alias("text")))
+    year = F.substring_index("amendment_date", "-", 1)
+    changes = routed.filter("kind = 'amendment'").select(
+        stable_id(F.col("law_id"), F.col("amendment_law_number"), year).alias("amendment_id"),
+        "law_id",
+        "amendment_law_number",
+        "amendment_date",
+        F.coalesce("amendment_type", F.lit("modification")).alias("amendment_type"),
+        F.array_compact(F.array("article_number")).alias("amended_article_numbers"),
+        F.substring("page_content", 1, 500).alias("description"),
+    )
+    versions, links = apply_amendments(articles, changes)
+    heads = changes.groupBy(F.col("amendment_id").alias("id")).agg(F.first("law_id").alias("law_id"), F.first("amendment_law_number").alias("amendment_law_number"), F.min("amendment_date").alias("amendment_date"))
+    edges = edge("CONTAINS", articles, "law_id", "id", position=F.col("position")).unionByName(links)
+    counters = routed.agg(
+        F.count_distinct("law_id").alias("laws"),
+        F.count_if(F.col("kind").isin("article", "undated")).alias("articles"),
+        F.count_if(F.col("kind") == "amendment").alias("amendments"),
+        F.count_if(F.col("kind").isin("skipped", "undated")).alias("skipped"),
+    )
+    return {"Law": laws, "Article": versions, "Amendment": heads}, edges, counters
+
+
+def import_counts(chunks: DataFrame) -> DataFrame:
+    """(law_id, articles, amendments, tables, characters): each law's counts, and those of all laws with law_id null."""
+    of_kind = lambda *kinds: F.count_if(F.coalesce(F.col("chunk_type"), F.lit("")).isin(*kinds))
+    return chunks.filter("law_id IS NOT NULL").rollup("law_id").agg(of_kind("article", "preamble").alias("articles"), of_kind("amended_article").alias("amendments"), of_kind("table").alias("tables"), F.coalesce(F.sum(F.length("page_content")), F.lit(0)).alias("characters"))
+
+
+def ingest_summary(chunks: DataFrame, short: float = 50.0, long: float = 5000.0) -> DataFrame:
+    """(law_id, chunks, mean_chars, warning, status) of each law: a mean length below short or above long is a warning,
+    a law without any text an error."""
+    size = F.length(F.coalesce("page_content", F.lit("")))
+    report = chunks.groupBy("law_id").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg(size), 4).alias("mean_chars"), F.sum(size).alias("__all"))
+    warning = F.when(F.col("mean_chars") < short, "short").when(F.col("mean_chars") > long, "long")
+    status = F.when(F.col("__all") == 0, "error").when(warning.isNotNull(), "warning").otherwise("ok")
+    return report.select("law_id", "chunks", "mean_chars", warning.alias("warning"), status.alias("status"))
+
+
+def rule_graph(rules: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """LegalRule and LegalConcept nodes and their edges, from (article_id, rule_id, rule_text, concepts, penalty).
+
+    penalty, a struct or map, is kept as JSON, {} where it is null; blank concepts are left out and equal ones are one.
+    """
+    nodes_rules = rules.groupBy(F.col("rule_id").alias("id")).agg(F.max_by(F.struct(F.col("rule_text").alias("text"), F.coalesce(F.to_json("penalty"), F.lit("{}")).alias("penalty")), "article_id").alias("x")).select("id", "x.*")
+    named = rules.select("rule_id", F.explode("concepts").alias("name")).withColumn("name", F.trim("name")).filter("name <> ''").withColumn("id", stable_id(F.col("name")))
+    nodes = {"LegalRule": nodes_rules, "LegalConcept": named.select("id", "name").distinct()}
+    return nodes, edge("CONTAINS_RULE", rules, "article_id", "rule_id").unionByName(edge("RELATES_TO", named, "rule_id", "id"))
+
+
+def section_graph(articles: DataFrame, sections: DataFrame, exceptions: DataFrame, concepts: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Section, Exception and Concept nodes and their edges.
+
+    sections (law_id, section_id, title, pos) contain articles (id, law_id, section_id); exceptions (article_id, text)
+    and concepts (article_id, name) hang on articles. Of rows with one key the first in order stays; equal edges are one.
+    """
+    e = exceptions.withColumn("id", stable_id(F.col("article_id"), F.col("text")))
+    c = concepts.withColumn("name", F.trim("name")).filter("name <> ''").withColumn("id", stable_id(F.col("name")))
+    nodes = {
+        "Section": sections.groupBy(F.col("section_id").alias("id")).agg(F.min_by(F.struct("law_id", "title"), "pos").alias("x")).select("id", "x.*"),
+        "Exception": e.select("id", "text").distinct(),
+        "Concept": c.select("id", "name").distinct(),
+    }
+    edges = edge("HAS_SECTION", sections, "law_id", "section_id").unionByName(edge("HAS_ARTICLE", articles.filter("section_id IS NOT NULL"), "section_id", "id"))
+    return nodes, edges.unionByName(edge("HAS_EXCEPTION", e, "article_id", "id")).unionByName(edge("MENTIONS", c, "article_id", "id"))

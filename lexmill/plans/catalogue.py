@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions import arabic, articles, coerce
+from lexmill.functions import arabic, coerce
 from lexmill.operators import cases, chunking, dedup, graph, quality, search
+from lexmill.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,11 +176,11 @@ def last_write_wins(spark, sf_dir):
     return dedup.last_wins(lines, "l_suppkey", "pos").drop("pos")
 
 
-@query("""SELECT DISTINCT a.l_suppkey AS from_key, b.l_suppkey AS to_key FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey
-  WHERE a.l_suppkey <> b.l_suppkey AND a.l_quantity >= 49 AND b.l_quantity >= 49""")
+@query("""SELECT DISTINCT a.l_suppkey AS from_key, b.l_suppkey AS to_key FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) a
+  JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey WHERE a.l_suppkey <> b.l_suppkey""")
 def reference_self_join(spark, sf_dir):
-    big = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_suppkey").distinct()
-    a, b = big.withColumnRenamed("l_suppkey", "from_key"), big.withColumnRenamed("l_suppkey", "to_key")
+    each = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    a, b = each.withColumnRenamed("l_suppkey", "from_key"), each.withColumnRenamed("l_suppkey", "to_key")
     return a.join(b, "l_orderkey").filter("from_key <> to_key").select("from_key", "to_key").distinct()
 
 
@@ -207,9 +208,13 @@ def forward_fill_context(spark, sf_dir):
 # Chunks and extraction -------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, pos, sha256(piece) AS piece_sha256 FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS piece FROM documents) WHERE piece <> ''""")
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM (
+    SELECT doc_id, generate_subscripts(x, 1) AS pos, trim(unnest(x)) AS s FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(1), ' '), '([.؛;])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents)) WHERE s <> ''),
+  r AS (SELECT doc_id, i, 0 AS pos FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, r.pos + CASE WHEN length(p.s) < 40 THEN 0 ELSE 1 END FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1)
+  SELECT doc_id, CAST(pos AS BIGINT) AS pos, sha256(string_agg(s, ' ' ORDER BY i)) AS piece_sha256 FROM r JOIN p USING (doc_id, i) GROUP BY doc_id, pos""")
 def sentence_chunks(spark, sf_dir):
-    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "piece")).filter("piece <> ''")
+    text = F.translate("text", "\u0001", " ")
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.merge_short_sentences(text)).alias("pos", "piece"))
     return each.select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2("piece", 256).alias("piece_sha256"))
 
 
@@ -258,59 +263,11 @@ def amendment_type_case(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", chain.otherwise("other").alias("kind"))
 
 
-_STEMS = [(1, "Amr_Ihala"), (2, "mahdar dabt 3"), (3, "forensic-report"), (4, "محضر_الاستجواب"), (5, "أقوال_الشهود_2"), (6, "unknown"), (7, "مذكرة الدفاع"), (8, "criminal_record"), (9, None)]
-_ROUTED = {1: "amr_ihala", 2: "mahdar_dabt", 3: "taqrir_tibbi", 4: "mahdar_istijwab", 5: "aqwal_shuhud", 6: None, 7: "mozakeret_difa", 8: "sawabiq", 9: None}
-
-
-@query(f"SELECT * FROM (VALUES {literal([(i, s, _ROUTED[i]) for i, s in _STEMS])}) t(id, stem, document_type)")
-def filename_route(spark, sf_dir):
-    return rows(spark, _STEMS, "id int, stem string").select("id", "stem", coerce.route(F.col("stem")).alias("document_type"))
-
-
-_ARABIC = [(1, "المادّة ١٢ـ مكرر"), (2, "إِرْهابٌ  وأسلحةٌ"), (3, "الآثار ئؤى"), (4, None), (5, "")]
-_PLAIN = {1: "الماده ١٢ مكرر", 2: "ارهاب واسلحه", 3: "الاثار يوي", 4: None, 5: ""}
-
-
-@query(f"SELECT * FROM (VALUES {literal([(i, _PLAIN[i], None if t is None else t.replace('١٢', '12')) for i, t in _ARABIC])}) t(id, plain, digits)")
-def arabic_normalize(spark, sf_dir):
-    text = F.col("text")
-    return rows(spark, _ARABIC, "id int, text string").select("id", arabic.normalize_for_topics(text).alias("plain"), arabic.western_digits(text).alias("digits"))
-
-
 @query("SELECT n_nationkey, substring(sha256(n_name || '|' || CAST(n_regionkey AS VARCHAR) || '|' || coalesce(nullif(n_name, 'FRANCE'), 'None')), 1, 16) AS id FROM nation")
 def stable_ids(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", arabic.stable_id(F.col("n_name"), F.col("n_regionkey"), F.nullif("n_name", F.lit("FRANCE"))).alias("id"))
 
 
-_NUMBERS = [(1, "٧٨أ"), (2, "86 مكررا ( أ )"), (3, "1 ف( 1 )"), (4, "309 / ب"), (5, "25 مكرراً"), (6, "78(أ)"), (7, None), (8, " ")]
-_FORMS = {
-    1: ("78 (أ)", "78 (أ)|78/أ"),
-    2: ("86 مكرر (أ)", "86 مكرر (أ)|86 مكرر/أ"),
-    3: ("1 ف(1)", "1 ف(1)|1 ف 1|1/ف (1)"),
-    4: ("309/ب", "309/ب"),
-    5: ("25 مكرر", "25 مكرر"),
-    6: ("78 (أ)", "78 (أ)|78/أ"),
-    7: (None, ""),
-    8: (None, ""),
-}
-
-
-@query(f"SELECT * FROM (VALUES {literal([(i, *_FORMS[i]) for i, _ in _NUMBERS])}) t(id, standard, variants)")
-def article_number_variants(spark, sf_dir):
-    text = F.col("text")
-    return rows(spark, _NUMBERS, "id int, text string").select("id", articles.normalize_article(text).alias("standard"), F.array_join(articles.article_variants(text), "|").alias("variants"))
-
-
-_VALUES = [(1, "نحو 30", "نعم", "weak"), (2, "٤٥ سنة", "1", "STRONG"), (3, None, None, None), (4, "unknown", "لا", "x"), (5, "7", "No", " moderate ")]
-_READ = [(1, 30, True, True, "WEAK"), (2, 45, True, True, "STRONG"), (3, None, False, None, "MODERATE"), (4, None, False, False, "MODERATE"), (5, 7, False, False, "MODERATE")]
-
-
-@query(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join('NULL' if v is None else repr(v) for v in r) + ')' for r in _READ)}) t(id, age, required, optional, strength)")
-def bool_age_enum_coercion(spark, sf_dir):
-    given = rows(spark, _VALUES, "id int, age string, flag string, strength string")
-    return given.select("id", coerce.age(F.col("age")).alias("age"), coerce.bool_required(F.col("flag")).alias("required"), coerce.bool_optional(F.col("flag")).alias("optional"), coerce.enum_value(F.col("strength"), "strength", ["WEAK", "MODERATE", "STRONG"]).alias("strength"))
-
-
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_parse_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json(coerce.salvage_json(F.col("props")), "k bigint")["k"].alias("k"))
@@ -357,16 +314,15 @@ def bm25_topk(spark, sf_dir):
 
 
 _VECTOR = """v AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round((1 + list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / 2, 6) AS score
-  FROM embeddings q, embeddings e WHERE q.vec_id < 40),
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
 vector AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v QUALIFY rank <= 10)"""
 
 
 def _vector(spark, sf_dir, k=10):
+    """The stated queries of a search: every vector whose id is divisible by 20, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    asked = vectors.filter("doc_id < 40").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    score = F.round((1 + search.cosine(F.col("embedding"), F.col("query_embedding"))) / 2, 6)
-    scored = vectors.join(F.broadcast(asked), how="cross").withColumn("score", score).drop("query_embedding")  # 40 queries of a top-k search
-    return search.top(scored, k)
+    asked = vectors.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return search.nearest(vectors, asked, k, digits=6)
 
 
 @query(f"WITH {_VECTOR} SELECT query_id, doc_id, score, rank FROM vector")
@@ -374,14 +330,22 @@ def vector_cosine_topk(spark, sf_dir):
     return _vector(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH s AS (SELECT e.vec_id, e.label, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) ** 2)) AS score
-  FROM embeddings q, embeddings e WHERE q.vec_id = 0)
-  SELECT vec_id, label, round(score, 4) AS score FROM (SELECT * FROM s ORDER BY score, vec_id LIMIT 20) WHERE label <= 4""")
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) ** 2)), 6) AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
+  SELECT query_id, vec_id, label, score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 20) WHERE label <= 4""")
 def vector_l2_topk_filtered(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    asked = vectors.filter("doc_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("query_embedding"))
-    best = search.nearest(vectors, asked, 20, measure="l2")
-    return best.filter("label <= 4").select(F.col("doc_id").alias("vec_id"), "label", F.round("score", 4).alias("score"))
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    best = search.nearest(vectors, asked, 20, key="vec_id", measure="l2", digits=6)
+    return best.join(vectors.select("vec_id", "label"), "vec_id").filter("label <= 4").select("query_id", "vec_id", "label", "score")
+
+
+@query(f"""WITH {_VECTOR}, h AS (SELECT v.*, e.label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM v JOIN embeddings e ON e.vec_id = v.doc_id QUALIFY place <= 15),
+  l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY doc_id % 3 DESC, place) = 1)
+  SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM l QUALIFY rank <= 5""")
+def latest_of_vector_hits(spark, sf_dir):
+    chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit("law").alias("law_id"), F.col("label").cast("string").alias("article_number"), (F.col("vec_id") % 3).alias("version"))
+    return search.latest_of_hits(_vector(spark, sf_dir, 15), chunks, 5).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 _FUSED = f"""{_BM25}, {_VECTOR}, l AS (SELECT * FROM lexical WHERE score > 0),
@@ -401,11 +365,12 @@ def ensemble_hybrid(spark, sf_dir):
     return search.fuse(_lexical(spark, sf_dir), _vector(spark, sf_dir), normalise=False).select("query_id", "doc_id", F.round("score", 8).alias("score"))
 
 
-@query(f"""WITH {_VECTOR} SELECT 1 AS pinned, 7 AS doc_id, 1.0::DOUBLE AS score UNION ALL SELECT 0, doc_id, score FROM vector WHERE query_id = 0 AND score >= 0.6 AND doc_id <> 7""")
+@query(f"""WITH {_VECTOR} SELECT 1 AS pinned, vec_id AS query_id, vec_id + 1 AS doc_id, 1.0::DOUBLE AS score FROM embeddings WHERE vec_id % 20 = 0
+  UNION ALL SELECT 0, query_id, doc_id, score FROM vector WHERE score >= 0.6 AND doc_id <> query_id + 1""")
 def threshold_pin_exact(spark, sf_dir):
-    hits = _vector(spark, sf_dir).filter("query_id = 0 AND score >= 0.6").select("doc_id", "score")
-    pins = rows(spark, [(7, 1.0)], "doc_id long, score double")
-    return dedup.pinned_first(hits, pins, ["doc_id"], "score").select("pinned", F.col("doc_id").cast("int").alias("doc_id"), "score")
+    hits = _vector(spark, sf_dir).filter("score >= 0.6").select("query_id", "doc_id", "score")
+    pins = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("doc_id"), F.lit(1.0).alias("score"))
+    return dedup.pinned_first(hits, pins, ["query_id", "doc_id"], "score").select("pinned", "query_id", "doc_id", "score")
 
 
 @query(f"""WITH {_VECTOR}, b AS (SELECT query_id, doc_id % 7 AS table_id, doc_id, score FROM vector QUALIFY row_number() OVER (PARTITION BY query_id, doc_id % 7 ORDER BY score DESC, doc_id) = 1)
@@ -419,9 +384,7 @@ def table_dedupe_top5(spark, sf_dir):
   r AS (SELECT *, sum(chars + 1 + CASE WHEN rank > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b)
   SELECT query_id, doc_id, CAST(used AS BIGINT) AS used FROM r WHERE used <= 9000""")
 def context_budget(spark, sf_dir):
-    blocks = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", F.col("text").alias("block"))
-    ranked = blocks.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
-    return search.within_budget(ranked).select("query_id", "doc_id", "used")
+    return search.first_blocks(table(spark, sf_dir, "documents"), "source", "doc_id", "text").select(F.col("source").alias("query_id"), "doc_id", "used")
 
 
 @query(f"""WITH {_VECTOR} SELECT query_id, 'article' AS type, CAST(doc_id AS VARCHAR) AS article_number, printf('%.3f', score) AS score FROM vector WHERE rank <= 3
@@ -477,8 +440,6 @@ def _unrolled(rounds: int) -> str:
 def pagerank(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-checkpoints-"))
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return graph.pagerank(both, rounds=10).select("node", F.round("rank", 6).alias("rank"))

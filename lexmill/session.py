@@ -18,3 +18,9 @@ def get_spark(master: str | None = None, app: str = "lexmill", **conf: str) -> S
     if master:
         builder = builder.master(master)
     return builder.config(map=settings).getOrCreate()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, one in the warehouse, which all executors share."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
