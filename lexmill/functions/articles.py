@@ -22,6 +22,11 @@ def article_token(text: Column) -> Column:
     return F.trim(F.regexp_replace(collapse(western_digits(text)), rf"{BIS}[اأإآى\u064b-\u0652]?", BIS))
 
 
+def ordinal_token(text: Column) -> Column:
+    """article_token with one spelling of "firstly" and "secondly"."""
+    return F.regexp_replace(article_token(text), "(أولا|ثانيا)ً", "$1")
+
+
 def _spaced(text: Column) -> Column:
     return collapse(_apply(collapse(text), [(r"\s*/\s*", "/"), (r"\s*\(\s*", " ("), (r"\s*\)\s*", ")")]))
 

@@ -36,8 +36,8 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def split_before(text: Column, pattern: str) -> Column:
-    """The text cut before each match of pattern."""
-    return F.split(F.regexp_replace(text, f"({pattern})", f"{_BREAK}$1"), _BREAK)
+    """The text cut before each match of pattern; the mark for the cuts counts as a space if the text holds it."""
+    return F.split(F.regexp_replace(F.translate(text, _BREAK, " "), f"({pattern})", f"{_BREAK}$1"), _BREAK)
 
 
 def split_articles(files: DataFrame, text: str = "text") -> DataFrame:
@@ -246,6 +246,15 @@ def char_windows(text: Column, size: int = 2000, overlap: int = 200) -> Column:
     return F.when(n > 0, F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+def document_index(documents: DataFrame, text: str = "text", size: int = 2000, overlap: int = 200) -> DataFrame:
+    """documents with page_content, chunk_index and chunk_total in place of the text: a long one in windows of so many
+    characters, a short one as it is with both null."""
+    windows = documents.withColumn("__w", char_windows(F.coalesce(F.col(text), F.lit("")), size, overlap)).withColumn("__w", F.when(F.length(text) <= size, F.array(text)).otherwise(F.col("__w")))
+    each = windows.select("*", F.posexplode("__w").alias("__at", "page_content"))
+    many = F.size("__w") > 1
+    return each.select(*[c for c in documents.columns if c != text], "page_content", F.when(many, F.col("__at")).alias("chunk_index"), F.when(many, F.size("__w")).alias("chunk_total"))
+
+
 def ruling_parts(rulings: DataFrame, key: str, text: str, whole_words: int = RULING_WORDS, overlap: int = RULING_OVERLAP) -> DataFrame:
     """rulings with sub_index, chunk_total, word_count, chunk_id: whole if short, else in word windows."""
     parts = rulings.select("*", F.posexplode(word_windows(F.col(text), whole_words, overlap)).alias("sub_index", "page_content"))

@@ -9,11 +9,14 @@ from lexmill.functions.arabic import normalize_for_topics, stable_id, western_di
 from lexmill.functions.articles import article_token
 from lexmill.functions.vocabulary import (
     ANY_ARTICLE,
+    CRIME_WORDS,
     DEATH,
     DEFINITION,
     FINE,
     FIRST_ARTICLE_BODY,
     HARD_LABOUR,
+    PENALTY_TYPES,
+    PENALTY_WORDS,
     PRISON,
     REFERENCE,
     TOPIC_CONFIDENCE,
@@ -144,6 +147,29 @@ def classified_rules(chunks: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return first_wins(rows, ["law_id", "rule_type", "key"], ["text"]).drop("key")
 
 
+def sentence_rules(articles: DataFrame) -> DataFrame:
+    """(article_id, rule_id, rule_text, concepts, penalty) of the sentences of articles (article_id, text) that name a
+    crime or a penalty; of an article without any its first 2000 characters, as one rule without concepts.
+
+    penalty is (type, min_value, max_value, notes): the first type by its words, a length of time as both values, the
+    sentence as notes if it has a type.
+    """
+    text = F.col("text")
+    sentences = F.filter(F.transform(F.split(text, r"(?<=[.؟!\n])\s+"), F.trim), lambda s: s != "")
+    has_any = lambda s, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(s, w))
+    found = F.filter(sentences, lambda s: has_any(s, CRIME_WORDS + PENALTY_WORDS))
+    each = articles.select("article_id", (F.size(found) > 0).alias("__any"), F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array(F.substring(F.trim(text), 1, 2000)))).alias("pos", "rule_text"))
+    rule = F.col("rule_text")
+    kind = F.lit(None).cast("string")
+    for name, words in reversed(PENALTY_TYPES):
+        kind = F.when(has_any(rule, words), name).otherwise(kind)
+    kind = F.when(F.col("__any"), kind)
+    value = F.when(F.col("__any"), whole_number(extract(rule, r"([0-9٠-٩]+)\s*(?:سنوات|سنة|شهر|أشهر|يوم|أيام)")))
+    concepts = F.filter(F.array(*map(F.lit, CRIME_WORDS)), lambda w: F.col("__any") & F.contains(rule, w))
+    penalty = F.struct(kind.alias("type"), value.alias("min_value"), value.alias("max_value"), F.when(kind.isNotNull(), rule).otherwise("").alias("notes"))
+    return each.select("article_id", stable_id(F.col("article_id"), F.col("pos")).alias("rule_id"), "rule_text", concepts.alias("concepts"), penalty.alias("penalty"))
+
+
 def keyword_entities(frame: DataFrame, keywords: dict[str, list[str]], text: str = "text") -> DataFrame:
     """frame with a column for each kind of keyword: those that the text holds."""
     return frame.select("*", *[F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col(text), w)).alias(kind) for kind, words in keywords.items()])

@@ -396,3 +396,39 @@ def dangling_references(spark, sf_dir):
     art = _articles(spark, sf_dir)
     found = extraction.references(art.filter("ref > 0"))
     return quality.dangling(found, art.filter("k % 3 <> 0")).select("law_id", "to_article", "from_article")
+
+
+# Rules, windows, principles --------------------------------------------------------------------------------------------
+
+
+@query(f"""{_SQL} SELECT k, CASE WHEN k % 3 = 0 THEN 'سجن' WHEN k % 3 = 1 THEN 'غرامة' END AS kind, CASE WHEN k % 3 = 0 THEN CAST(b AS BIGINT) END AS years, count(*) AS n FROM (
+    SELECT *, 1 AS x FROM base WHERE k % 3 <> 2 UNION ALL SELECT *, 2 FROM base WHERE k % 6 = 5 AND k % 11 <> 0) GROUP BY ALL""")
+def rules_of_sentences(spark, sf_dir):
+    art = _articles(spark, sf_dir).withColumnRenamed("k", "article_id")
+    rules = extraction.sentence_rules(art).filter("penalty.type IS NOT NULL OR (size(concepts) = 0 AND rule_text LIKE 'نص عام%')").select(F.col("article_id").alias("k"), F.col("penalty.type").alias("kind"), F.col("penalty.min_value").alias("years"))
+    return rules.groupBy("k", "kind", "years").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 2000 THEN CAST(i AS INTEGER) END AS chunk_index, CASE WHEN length(text) > 2000 THEN CAST(ceil(length(text) / 1800.0) AS INTEGER) END AS chunk_total,
+  sha256(CASE WHEN length(text) > 2000 THEN substring(text, CAST(1800 * i + 1 AS BIGINT), 2000) ELSE text END) AS sha FROM documents, generate_series(0, CASE WHEN length(text) > 2000 THEN CAST(ceil(length(text) / 1800.0) AS BIGINT) - 1 ELSE 0 END) t(i)""")
+def char_window_index(spark, sf_dir):
+    found = chunking.document_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "chunk_index", "chunk_total", F.sha2("page_content", 256).alias("sha"))
+
+
+@query("SELECT vec_id, greatest(1, least(CAST(label AS BIGINT), (SELECT count(*) FROM benchmark), 4)) AS k FROM embeddings")
+def clamped_principles(spark, sf_dir):
+    total = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("total"))
+    return table(spark, sf_dir, "embeddings").join(F.broadcast(total), how="cross").select("vec_id", search.clamped(F.col("label").cast("long"), F.col("total")).alias("k"))  # one row
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE contains(text, 'license') OR contains(text, 'token')")
+def substring_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return search.holding(docs, "text", "license", "doc_id").unionByName(search.holding(docs, "text", "token", "doc_id")).select("doc_id", "n_chars").distinct()
+
+
+@query("SELECT o_custkey AS case_id, 'orders' AS entity, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT o_custkey, 'urgent', count(*) FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
+def entity_counts_by_case(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "case_id")
+    return cases.entity_counts({"orders": rows, "urgent": rows.filter("o_orderpriority = '1-URGENT'")})
