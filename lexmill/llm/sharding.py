@@ -30,15 +30,16 @@ def rendezvous_shard(key: Column, weights: Sequence[float], seed: int = 0) -> Co
     return (-best["tie"]).cast("int")
 
 
-def slots(rows: DataFrame, group: str, key: str, order: Sequence[str], bucket_rows: int = 500) -> DataFrame:
+def slots(rows: DataFrame, group: str, key: str, order: Sequence[str], bucket_rows: int = 100_000) -> DataFrame:
     """rows with slot: their number 0, 1, ... within group, without gaps, and without sorting a group in one task.
 
-    Hash buckets of the key cut each group into pieces; a piece's first slot is the count of the pieces before it.
+    Hash buckets of the key and the order cut each group into pieces of about bucket_rows / groups rows; a piece's
+    first slot is the count of the pieces before it.
     """
     spare = [f"__{name}_{len(rows.columns)}" for name in ("bucket", "before", "here")]
     bucket, before, here = spare
     n = rows_each(rows.select(group), bucket_rows)
-    cut = rows.withColumn(bucket, F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(n)))
+    cut = rows.withColumn(bucket, F.pmod(F.xxhash64(key, *order, F.lit("slot")), F.lit(n)))
     counts = cut.groupBy(group, bucket).agg(F.count(F.lit(1)).alias(here))
     ahead = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(group, bucket, F.coalesce(F.sum(here).over(ahead), F.lit(0)).alias(before))

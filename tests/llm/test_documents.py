@@ -1,6 +1,8 @@
 """The operators on documents against brute force, and on odd and empty tables."""
 
 import hashlib
+import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -370,6 +373,25 @@ def test_fingerprints_of_odd_rows(spark, odd, empty):
     assert [r.near_next for r in alone] == [1.0]
 
 
+def plain_likeness(one, two):
+    """The likeness of two texts by loops of its own: grams hashed one by one, windows, sets."""
+    sets = [set(plain_winnow(t, fingerprints.GRAM, fingerprints.WINDOW)[0]) if t else set() for t in (one, two)]
+    return 1.0 if not any(sets) else len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_likenesses_equal_plain_loops(spark):
+    rnd = random.Random(12)
+    texts = {i: "".join(rnd.choice("abcd efgh\n\U0001f600") for _ in range(rnd.choice([0, 1, 9, 15, 16, 47, 90, 130]))) for i in range(30)}
+    texts[7], texts[6] = texts[20] + texts[21], texts[20] + texts[22]
+    order = sorted(texts, reverse=True)
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        n = len(texts[i])
+        edited = texts[i][: n - n // 2] + texts[j][: n // 2]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == n
+        assert abs(got[i].near_edited - plain_likeness(texts[i], edited)) < 1e-12 and abs(got[i].near_next - plain_likeness(texts[i], texts[j])) < 1e-12
+
+
 def test_next_document_over_partitions(spark):
     texts = {i: f"text number {i} " * (i % 5 + 1) for i in range(0, 400, 3)}
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
@@ -457,3 +479,70 @@ def test_shard_weights(spark):
     frame = spark.range(20_000).select(sharding.rendezvous_shard(F.col("id"), [1.0, 3.0, 0.0]).alias("s"))
     got = {r.s: r["count"] for r in frame.groupBy("s").count().collect()}
     assert set(got) == {0, 1} and abs(got[1] / 20_000 - 0.75) < 0.02
+
+
+def plain_shard(key, weights, seed):
+    best = None
+    for shard, weight in enumerate(weights):
+        h = xxhash.xxh64_intdigest(("\0null" if key is None else str(key)).encode(), 42)
+        for number in (seed, shard):
+            h = xxhash.xxh64_intdigest(number.to_bytes(4, "little"), h)
+        score = -weight / math.log(((h >> 11) + 0.5) / 2**53) if weight else -1.0
+        if best is None or score > best[0]:
+            best = (score, shard)
+    return best[1]
+
+
+def test_shards_equal_brute_force(spark):
+    keys = [None, *range(-3, 400)]
+    frame = spark.createDataFrame([(k, "t") for k in keys], "doc_id long, text string")
+    for weights in ([1.0] * 8, [1.0, 2.5, 0.0, 0.5]):
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_documents(frame, weights, grown=1.0, seed=3).collect()}
+        assert got == {k: (plain_shard(k, weights, 3), plain_shard(k, [*weights, 1.0], 3)) for k in keys}
+
+
+def test_slots_of_many_pieces(spark):
+    frame = spark.createDataFrame([(i // 3, i % 2, "x") for i in range(2000)], "doc_id long, shard int, bucket string")
+    got = sharding.slots(frame, "shard", "doc_id", ["doc_id"], bucket_rows=50)
+    assert got.columns == ["doc_id", "shard", "bucket", "slot"]
+    slots = defaultdict(list)
+    for r in got.collect():
+        slots[r.shard].append(r.slot)
+    assert {k: sorted(v) for k, v in slots.items()} == {0: list(range(1000)), 1: list(range(1000))}
+
+
+# Token files' layout ---------------------------------------------------------------------------------------------------
+
+
+def test_orc_layout(spark, tmp_path):
+    """Stripes, row index stride, run-length encoding and Bloom filters as the files themselves state them."""
+    rows = [(i * 3, " ".join(f"word{(i * 7 + j) % 50}" for j in range(20))) for i in range(20_000)]
+    path = str(tmp_path / "t")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), path, TOKENIZER, stripe_bytes=1 << 16, index_rows=1000)
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    orc = jvm.org.apache.orc.OrcFile
+    last, stripes = -1, 0
+    for name in sorted(f for f in os.listdir(path) if f.endswith(".orc")):
+        reader = orc.createReader(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), orc.readerOptions(conf))
+        if not reader.getNumberOfRows():
+            continue
+        assert reader.getRowIndexStride() == 1000 and reader.getCompressionKind().toString() == "ZSTD"
+        own = reader.getStripes()
+        stripes += own.size()
+        columns = list(reader.getSchema().getFieldNames())
+        number = 1 + columns.index("doc_id")
+        stats = reader.getStripeStatistics()
+        spans = sorted((stats[i].getColumnStatistics()[number].getMinimum(), stats[i].getColumnStatistics()[number].getMaximum()) for i in range(own.size()))
+        assert spans[0][0] > last and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+        last = spans[-1][1]
+        records = reader.rows()
+        footer = records.readStripeFooter(own[0])
+        kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+        assert {(number, "ROW_INDEX"), (number, "BLOOM_FILTER_UTF8")} <= kinds
+        assert footer.getColumns(number).getKind().toString() == "DIRECT_V2"  # run-length encoding, version 2
+        assert footer.getColumns(2 + columns.index("tokens")).getKind().toString() == "DIRECT_V2"
+        records.close()
+    assert stripes > 3
+    few = token_files.read_token_files(spark, path, [9, 8997])
+    assert sorted(r.doc_id for r in few.collect()) == [9, 8997] and "PushedFilters: [In(doc_id, [9,8997])]" in few._jdf.queryExecution().toString()
