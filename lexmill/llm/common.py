@@ -29,9 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders that this driver made below the shared folder and has not discarded.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/lexmill/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lexmill/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -41,6 +47,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """The folders that are there to be discarded, oldest first."""
+    return list(_made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that staged or new_path made, once nothing that reads them is needed any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
+
+
 def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """rows with a column of this name: 0, 1, ... among rows of equal keys, which are numbered within their parts first.
 
