@@ -23,7 +23,7 @@ SKETCH_SAMPLES, SKETCH_BITS = 512, 2048
 #: folded and where only samples are.
 WHOLE_MARGIN, SAMPLED_MARGIN = 0.04, 0.12
 #: Members of a bucket in one part; blocks are pairs of parts.
-BLOCK = 4096
+BLOCK = 1024
 #: Rows of candidates that are broadcast at most, to find their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
