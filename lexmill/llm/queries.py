@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, secrets, segmentation, sharding, token_files, toxicity
+from . import embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, secrets, segmentation, sharding, token_files, toxicity, vector_codes
 from .common import new_path
 
 
@@ -74,6 +74,11 @@ def op10_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.score_documents(_table(spark, sf_dir, "documents"), labels))
 
 
+def op12_active_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four parts of every vector, by codebooks of 256 entries after four rounds."""
+    return vector_codes.digest(*vector_codes.compress(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_odd_sketch": op1_odd_sketch,
     "op2_orc_tokens": op2_orc_tokens,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_rendezvous": op8_rendezvous,
     "op9_product_quantisation": op9_product_quantisation,
     "op10_nearest_toxicity": op10_nearest_toxicity,
+    "op12_active_lloyd": op12_active_lloyd,
 }
 
 ORACLES = {
@@ -140,4 +146,5 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, e.vec_id
 FROM embeddings e LEFT JOIN least_id l ON l.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
 """,
     "op7_ownership": secrets.oracle_sql(max_owners=2, max_repositories=8),
+    "op12_active_lloyd": vector_codes.oracle_sql(),
 }

@@ -312,7 +312,7 @@ def test_alternatives_survive_rounding(model, block):
     assert all(len(f) == 2 for f in found) and np.isclose(max(s[1] for f in found for s in f), math.log(ways[0] / sum(ways)))
 
 
-@pytest.mark.parametrize("text", ["information" * 400, "\u6f22\u5b57\u306e" * 700, "x" * 5000])
+@pytest.mark.parametrize("text", ["information" * 400, "\u6570\u636e\u4e00\u4e2a" * 700, "x" * 5000])
 def test_runs_without_spaces_have_one_lattice(pieces, model, text):
     """Every character of a long run can be inside a piece: no place is a cut in all samples."""
     assert segmentation.blocks_of(text) == [" " + text]
@@ -363,5 +363,5 @@ def test_decoding_agrees_with_the_library(pieces, model):
     for text in ["Plain words, and more.", "  two  spaces ", "\u00e9\U0001f600 \u6f22\u5b57\tx\ny", "\u2581 mark", "a\n\n b"]:
         for ids, *_ in samples(text, pieces, 4, 2)[0]:
             assert model.decode(list(ids)) == text == pieces.decode(np.array(ids, np.int32), np.array([len(ids)]))[0].decode()
-        own = np.array(model.encode(text), np.int32)
-        assert pieces.decode(own, np.array([len(own)]))[0].decode() == text
+        own = model.encode(text)  # the library itself reads a mark in the text as a space
+        assert pieces.decode(np.array(own, np.int32), np.array([len(own)]))[0].decode() == model.decode(own)
