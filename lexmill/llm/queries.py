@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, secrets, segmentation, sharding, token_files, toxicity, vector_codes
+from . import embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, prefix_trie, secrets, segmentation, sharding, token_files, toxicity, vector_codes
 from .common import new_path
 
 
@@ -79,6 +79,11 @@ def op12_active_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(*vector_codes.compress(_table(spark, sf_dir, "embeddings")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_odd_sketch": op1_odd_sketch,
     "op2_orc_tokens": op2_orc_tokens,
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_product_quantisation": op9_product_quantisation,
     "op10_nearest_toxicity": op10_nearest_toxicity,
     "op12_active_lloyd": op12_active_lloyd,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -147,4 +153,5 @@ FROM embeddings e LEFT JOIN least_id l ON l.a = e.vec_id LEFT JOIN degree d ON d
 """,
     "op7_ownership": secrets.oracle_sql(max_owners=2, max_repositories=8),
     "op12_active_lloyd": vector_codes.oracle_sql(),
+    "op13_prefix_trie": prefix_trie.oracle_sql(),
 }
