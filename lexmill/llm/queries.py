@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, prefix_trie, secrets, segmentation, sharding, token_files, toxicity, vector_codes
+from . import embedding_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, prefix_trie, secrets, segmentation, sharding, token_files, toxicity, vector_codes
 from .common import new_path
 
 
@@ -74,6 +74,12 @@ def op10_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.score_documents(_table(spark, sf_dir, "documents"), labels))
 
 
+def op11_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1, capacity=4096)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op12_active_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of four parts of every vector, by codebooks of 256 entries after four rounds."""
     return vector_codes.digest(*vector_codes.compress(_table(spark, sf_dir, "embeddings")))
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_rendezvous": op8_rendezvous,
     "op9_product_quantisation": op9_product_quantisation,
     "op10_nearest_toxicity": op10_nearest_toxicity,
+    "op11_grouping_genetic": op11_grouping_genetic,
     "op12_active_lloyd": op12_active_lloyd,
     "op13_prefix_trie": op13_prefix_trie,
 }
