@@ -9,25 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.arabic import western_digits
+from lexmill.functions.arabic import tokens, western_digits
 from lexmill.functions.articles import article_token
-from lexmill.functions.vocabulary import (
-    ADDITION_WORDS,
-    ARTICLE_HEAD,
-    BOOKS,
-    CASE_NUMBER,
-    CHAMBER,
-    DELETION_WORDS,
-    GREGORIAN,
-    LAW_AND_YEAR,
-    MONTHS,
-    SESSION_DATE,
-    TABLE_HEAD,
-)
+from lexmill.functions.reading import read_articles, read_gregorian, read_law_and_years, read_ruling, read_tables
+from lexmill.functions.vocabulary import ADDITION_WORDS, BOOKS, DELETION_WORDS
 
 TABLE_CHARS = 1200
 BOOK_WORDS, BOOK_OVERLAP, RULING_WORDS, RULING_OVERLAP = 400, 50, 300, 40
-_BREAK = "\u0001"
 
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
@@ -35,22 +23,13 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def split_before(text: Column, pattern: str) -> Column:
-    """The text cut before each match of pattern; the mark for the cuts counts as a space if the text holds it."""
-    return F.split(F.regexp_replace(F.translate(text, _BREAK, " "), f"({pattern})", f"{_BREAK}$1"), _BREAK)
-
-
 def split_articles(files: DataFrame, text: str = "text") -> DataFrame:
     """files with pos, article_number, page_content: one row for each article, what stands before the first has no number.
 
-    Bodies that are blank are left out; a text without any header is one row without a number.
+    Bodies that are blank are left out; a text without any header is one row without a number; a null text has none.
     """
-    head = ARTICLE_HEAD.replace("(?U)", "(?Um)")
-    pieces = files.select("*", F.posexplode(split_before(F.col(text), head.replace(r"^\s*", r"^\s*?"))).alias("pos", "piece"))
-    first = ARTICLE_HEAD
-    number = extract(F.col("piece"), first)
-    body = F.trim(F.regexp_replace(F.when(number.isNotNull(), F.regexp_replace("piece", first, "")).otherwise(F.col("piece")), r"^\s+|\s+$", ""))
-    return pieces.select(*files.columns, "pos", article_token(number).alias("article_number"), body.alias("page_content")).filter("page_content <> ''")
+    pieces = files.select("*", F.explode(read_articles(F.col(text))).alias("piece"))
+    return pieces.select(*files.columns, "piece.pos", article_token(F.col("piece.number")).alias("article_number"), F.col("piece.body").alias("page_content"))
 
 
 def chunk_type(number: Column) -> Column:
@@ -59,11 +38,8 @@ def chunk_type(number: Column) -> Column:
 
 def split_tables(files: DataFrame, text: str = "text") -> DataFrame:
     """files with pos, table_number, page_content: one row for each table, its header kept; no header gives number 0."""
-    pieces = files.select("*", F.posexplode(split_before(F.col(text), TABLE_HEAD)).alias("pos", "piece"))
-    number = western_digits(extract(F.col("piece"), TABLE_HEAD))
-    headed = F.col(text).rlike(TABLE_HEAD)
-    rows = pieces.select(*files.columns, "pos", F.coalesce(number, F.lit("0")).alias("table_number"), F.trim("piece").alias("page_content"))
-    return rows.filter("page_content <> ''").filter(~headed | (F.col("table_number") != "0"))
+    pieces = files.select("*", F.explode(read_tables(F.col(text))).alias("piece"))
+    return pieces.select(*files.columns, "piece.pos", western_digits(F.col("piece.number")).alias("table_number"), F.col("piece.body").alias("page_content"))
 
 
 def pack_lines(text: Column, most: int = TABLE_CHARS) -> Column:
@@ -139,19 +115,24 @@ def split_recursively(frame: DataFrame, text: str, size: int, overlap: int) -> D
 
 def ruling_fields(text: Column) -> list[Column]:
     """case_number, case_year, ruling_date and chamber from the first 1000 characters."""
-    head = F.substring(text, 1, 1000)
+    head = read_ruling(F.substring(text, 1, 1000))
     return [
-        western_digits(F.regexp_replace(extract(head, CASE_NUMBER, 1), " ", "")).alias("case_number"),
-        western_digits(extract(head, CASE_NUMBER, 2)).alias("case_year"),
-        F.trim(extract(head, SESSION_DATE)).alias("ruling_date"),
-        F.trim(extract(head, CHAMBER)).alias("chamber"),
+        western_digits(head["case_number"]).alias("case_number"),
+        western_digits(head["case_year"]).alias("case_year"),
+        head["ruling_date"].alias("ruling_date"),
+        head["chamber"].alias("chamber"),
     ]
 
 
 def amendment_type(text: Column) -> Column:
-    """addition, deletion or modification by the words of the first 800 characters, in this order."""
-    head = F.substring(text, 1, 800)
-    return F.when(head.rlike("|".join(ADDITION_WORDS)), "addition").when(head.rlike("|".join(DELETION_WORDS)), "deletion").otherwise("modification")
+    """addition, deletion or modification by the words of the first 800 characters, in this order.
+
+    The words count whole, but for a joined "and" or "so" before them.
+    """
+    words = tokens(F.substring(text, 1, 800))
+    bare = F.array_union(words, F.transform(words, lambda w: F.regexp_replace(w, "^[وف]", "")))
+    has = lambda some: F.arrays_overlap(bare, F.array(*map(F.lit, some)))
+    return F.when(has(ADDITION_WORDS), "addition").when(has(DELETION_WORDS), "deletion").otherwise("modification")
 
 
 def amendment_law(name: Column, text: Column) -> tuple[Column, Column]:
@@ -165,8 +146,7 @@ def amendment_law(name: Column, text: Column) -> tuple[Column, Column]:
     numbers = F.filter(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), lambda n: ~F.array_contains(years, n))
     loose = (F.size(numbers) > 0) & (F.size(years) > 0)
     head = F.substring(text, 1, 1000)
-    firsts, seconds = (F.regexp_extract_all(head, F.lit(LAW_AND_YEAR), i) for i in (1, 2))
-    pairs = F.arrays_zip(F.transform(firsts, lambda x: western_digits(x).try_cast("int")).alias("a"), F.transform(seconds, lambda x: western_digits(x).try_cast("int")).alias("b"))
+    pairs = read_law_and_years(head)
     ordered = F.transform(pairs, lambda p: F.when(p["a"].between(1800, 2100), F.struct(p["b"].alias("n"), p["a"].alias("y"))).otherwise(F.struct(p["a"].alias("n"), p["b"].alias("y"))))
     found = F.get(F.filter(ordered, lambda p: p["y"].between(1800, 2100) & p["n"].between(1, 9999)), F.lit(0))
     number = F.coalesce(extract(name, tail, 1), F.when(loose, F.element_at(numbers, -1)), found["n"].cast("string"))
@@ -176,10 +156,7 @@ def amendment_law(name: Column, text: Column) -> tuple[Column, Column]:
 
 def amendment_date(text: Column, year: Column) -> Column:
     """The Gregorian date in the text as yyyy-mm-dd, or the year's first day."""
-    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
-    day = F.lpad(western_digits(F.coalesce(extract(text, GREGORIAN, 1), F.lit("01"))), 2, "0")
-    found = F.concat_ws("-", western_digits(extract(text, GREGORIAN, 3)), F.try_element_at(months, F.regexp_extract(text, GREGORIAN, 2)), day)
-    return F.when(text.rlike(GREGORIAN), found).otherwise(F.concat(year, F.lit("-01-01")))
+    return F.coalesce(read_gregorian(text), F.concat(year, F.lit("-01-01")))
 
 
 def book_title(stem: Column) -> Column:

@@ -7,21 +7,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.arabic import normalize_for_topics, stable_id, western_digits
 from lexmill.functions.articles import article_token
-from lexmill.functions.vocabulary import (
-    ANY_ARTICLE,
-    CRIME_WORDS,
-    DEATH,
-    DEFINITION,
-    FINE,
-    FIRST_ARTICLE_BODY,
-    HARD_LABOUR,
-    PENALTY_TYPES,
-    PENALTY_WORDS,
-    PRISON,
-    REFERENCE,
-    TOPIC_CONFIDENCE,
-    TOPICS,
-)
+from lexmill.functions.reading import read_definitions, read_first_article, read_penalties, read_references, read_touched_articles
+from lexmill.functions.vocabulary import CRIME_WORDS, PENALTY_TYPES, PENALTY_WORDS, TOPIC_CONFIDENCE, TOPICS
 
 from .chunking import amendment_date, amendment_law, amendment_type, extract
 from .dedup import first_wins
@@ -31,45 +18,27 @@ from .dedup import first_wins
 MOST_PATTERNS = 1000
 
 
-def groups(text: Column, pattern: str, *numbers: int) -> Column:
-    """An array of structs g1, g2, ...: the groups of every match."""
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), n).alias(f"g{i}") for i, n in enumerate(numbers, 1)])
-
-
 def whole_number(text: Column) -> Column:
     return F.regexp_replace(western_digits(text), ",", "").try_cast("bigint")
 
 
 def penalties(articles: DataFrame) -> DataFrame:
     """(law_id, article_number, penalty_type, min_value, max_value, unit) of articles (law_id, article_number, text)."""
-    text = F.col("text")
-    nothing = F.lit(None).cast("bigint")
-    span = lambda kind, unit: lambda g: F.struct(F.lit(kind).alias("penalty_type"), whole_number(g["g1"]).alias("min_value"), whole_number(g["g2"]).alias("max_value"), unit(g).alias("unit"))
-    flag = lambda kind, pattern: F.when(text.rlike(pattern), F.array(F.struct(F.lit(kind).alias("penalty_type"), nothing.alias("min_value"), nothing.alias("max_value"), F.lit(None).cast("string").alias("unit"))))
-    kind = "array<struct<penalty_type:string,min_value:bigint,max_value:bigint,unit:string>>"
-    none = F.array().cast(kind)
-    found = F.concat(
-        F.transform(groups(text, PRISON, 1, 2, 3), span("سجن", lambda g: g["g3"])).cast(kind),
-        F.transform(groups(text, FINE, 1, 2), span("غرامة", lambda g: F.lit("جنيه"))).cast(kind),
-        F.coalesce(flag("إعدام", DEATH).cast(kind), none),
-        F.coalesce(flag("أشغال_شاقة", HARD_LABOUR).cast(kind), none),
-    )
-    return articles.select("law_id", "article_number", F.explode(F.array_distinct(found)).alias("p")).select("law_id", "article_number", "p.*")
+    return articles.select("law_id", "article_number", F.explode(read_penalties(F.col("text"))).alias("p")).select("law_id", "article_number", "p.*")
 
 
 def definitions(articles: DataFrame) -> DataFrame:
-    """(law_id, term, definition_text, defined_in_article)."""
-    each = articles.select("law_id", "article_number", F.posexplode(groups(F.col("text"), DEFINITION, 1, 2)).alias("pos", "g"))
-    rows = each.select("law_id", F.trim("g.g1").alias("term"), F.trim("g.g2").alias("definition_text"), F.col("article_number").alias("defined_in_article"), "pos")
+    """(law_id, term, definition_text, defined_in_article): each law's first definition of a term, over several lines
+    if it goes on there."""
+    each = articles.select("law_id", F.col("article_number").alias("defined_in_article"), F.posexplode(read_definitions(F.col("text"))).alias("pos", "d"))
+    rows = each.select("law_id", "d.term", "d.definition_text", "defined_in_article", "pos")
     return first_wins(rows, ["law_id", "term"], ["defined_in_article", "pos"]).drop("pos")
 
 
 def references(articles: DataFrame) -> DataFrame:
     """(law_id, from_article, to_article, reference_type): distinct mentions of other articles."""
-    both = F.flatten(F.transform(groups(F.col("text"), REFERENCE, 1, 2), lambda g: F.array(g["g1"], g["g2"])))
-    each = articles.select("law_id", F.col("article_number").alias("from_article"), F.explode(F.array_distinct(both)).alias("to_article"))
-    to = article_token(F.col("to_article"))
-    rows = each.filter("to_article <> ''").withColumn("to_article", to).filter("to_article <> from_article")
+    each = articles.select("law_id", F.col("article_number").alias("from_article"), F.explode(read_references(F.col("text"))).alias("to_article"))
+    rows = each.withColumn("to_article", article_token(F.col("to_article"))).filter("to_article <> from_article")
     return rows.distinct().withColumn("reference_type", F.lit("mentions"))
 
 
@@ -113,10 +82,10 @@ def amendments(files: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     number, year = amendment_law(F.col("name"), text)
-    touched = F.filter(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ANY_ARTICLE), 1), article_token)), lambda x: x != "")
+    touched = F.array_distinct(F.transform(read_touched_articles(text), article_token))
     rows = files.select("law_id", text, number.alias("amendment_law_number"), year.alias("year"), touched.alias("amended_article_numbers"))
     rows = rows.filter((F.col("amendment_law_number").isNotNull()) & F.col("year").isNotNull() & (F.size("amended_article_numbers") > 0))
-    described = F.substring(F.trim(F.coalesce(extract(text, FIRST_ARTICLE_BODY), text)), 1, 500)
+    described = F.substring(F.trim(F.coalesce(read_first_article(text), text)), 1, 500)
     return rows.select(
         stable_id(F.col("law_id"), F.col("amendment_law_number"), F.col("year")).alias("amendment_id"),
         "law_id",
