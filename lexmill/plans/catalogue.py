@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import arabic, coerce
-from lexmill.operators import cases, chunking, dedup, graph, quality, search
-from lexmill.session import checkpoint_folder
+from lexmill.operators import cases, chunking, dedup, graph, quality, search, vector_index
+from lexmill.session import checkpoint_folder, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -330,6 +330,21 @@ def vector_cosine_topk(spark, sf_dir):
     return _vector(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _stored(spark, sf_dir, measure):
+    """The path of a new index of all vectors."""
+    path = new_folder(spark, "vector-index")
+    vector_index.write_vector_index(table(spark, sf_dir, "embeddings"), path, key="vec_id", measure=measure)
+    return path
+
+
+@query(f"WITH {_VECTOR} SELECT query_id, doc_id AS vec_id, score, rank FROM vector")
+def vector_index_topk(spark, sf_dir):
+    """The same search through a stored index."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found = vector_index.search_vector_index(spark, _stored(spark, sf_dir, "cosine"), asked, 10, key="vec_id", digits=6)
+    return found.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) ** 2)), 6) AS score
   FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
   SELECT query_id, vec_id, label, score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 20) WHERE label <= 4""")
@@ -340,6 +355,15 @@ def vector_l2_topk_filtered(spark, sf_dir):
     return best.join(vectors.select("vec_id", "label"), "vec_id").filter("label <= 4").select("query_id", "vec_id", "label", "score")
 
 
+@query(ORACLES["vector_l2_topk_filtered"])
+def vector_index_l2_filtered(spark, sf_dir):
+    """The same through a stored index of distances, filtered after the search."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    best = vector_index.search_vector_index(spark, _stored(spark, sf_dir, "l2"), asked, 20, key="vec_id", digits=6)
+    return best.join(vectors.select("vec_id", "label"), "vec_id").filter("label <= 4").select("query_id", "vec_id", "label", "score")
+
+
 @query(f"""WITH {_VECTOR}, h AS (SELECT v.*, e.label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM v JOIN embeddings e ON e.vec_id = v.doc_id QUALIFY place <= 15),
   l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY doc_id % 3 DESC, place) = 1)
   SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM l QUALIFY rank <= 5""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +26,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset, one in the warehouse, which all executors share."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder that nothing else uses, where all executors can read and write."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/lexmill/{label}-{uuid.uuid4().hex}"
