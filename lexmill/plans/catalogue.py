@@ -427,6 +427,89 @@ def hybrid_rule_score(spark, sf_dir):
     return hits.select("query_id", "doc_id", F.round(0.5 * F.col("score") + 0.3 * F.col("n") / most + 0.2 * F.col("score") / best, 5).alias("score"))
 
 
+#: Titles of suppliers as laws: single words, with prefixes, one inside another; questions of orders that name one.
+_TITLES = """SELECT s_suppkey, 'l' || s_suppkey AS law_id, CASE s_suppkey % 4 WHEN 0 THEN 'قانون ' || s_suppkey WHEN 1 THEN 'لائحة' || s_suppkey WHEN 2 THEN 'دستور' || substring('ابتثجحخدذرزسشصضطظعغفقكلمنهوي', CAST(1 + s_suppkey % 28 AS INTEGER), 1)
+  ELSE 'نظام' END AS law_title FROM supplier"""
+_NAMED = """SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 9 = 0 THEN 'سؤال بلا اسم ' || o_orderkey ELSE 'ما حكم ' || CASE o_orderkey % 3 WHEN 0 THEN 'و' WHEN 1 THEN 'بال' ELSE '' END || law_title ||
+  CASE o_orderkey % 2 WHEN 0 THEN 'ية وغيره' ELSE '0' END END AS question FROM orders JOIN titles ON s_suppkey = 1 + o_custkey % (SELECT count(*) FROM supplier)"""
+
+
+@query(f"""WITH titles AS ({_TITLES}), named AS ({_NAMED}), laws AS (SELECT law_id, trim(regexp_replace(regexp_replace(law_title, '[\\x{{0610}}-\\x{{061a}}\\x{{064b}}-\\x{{065f}}]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM titles),
+  asked AS (SELECT query_id, trim(regexp_replace(regexp_replace(question, '[\\x{{0610}}-\\x{{061a}}\\x{{064b}}-\\x{{065f}}]', '', 'g'), '\\s+', ' ', 'g')) AS q FROM named)
+  SELECT query_id, (SELECT law_id FROM laws WHERE contains(q, title) AND title <> '' ORDER BY length(title) DESC, law_id DESC LIMIT 1) AS law_id FROM asked""")
+def longest_title_in_text(spark, sf_dir):
+    titles = spark.sql(_TITLES.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    named = spark.sql(_NAMED.replace("FROM orders", "FROM {orders}").replace("JOIN titles", "JOIN {titles}").replace("FROM supplier", "FROM {supplier}"), orders=table(spark, sf_dir, "orders"), titles=titles, supplier=table(spark, sf_dir, "supplier"))
+    return search.asked_law(named, titles.select("law_id", "law_title")).select("query_id", "law_id")
+
+
+#: Questions of the benchmark that name an article of a law; documents are articles, their sources laws.
+_ASKED = """asked AS (SELECT item_id, text || CASE item_id % 3 WHEN 0 THEN ' المادة ' || (item_id * 7 % 300) || ' من قانون ' || (SELECT max(source) FROM documents WHERE doc_id = item_id * 7 % 300) WHEN 1 THEN ' المادة ' || item_id ELSE '' END AS text,
+  CASE WHEN item_id % 3 < 2 THEN CASE item_id % 3 WHEN 0 THEN item_id * 7 % 300 ELSE item_id END END AS number, CASE WHEN item_id % 3 = 0 THEN (SELECT max(source) FROM documents WHERE doc_id = item_id * 7 % 300) END AS law FROM benchmark)"""
+_AMENDED = "SELECT o_orderkey % (SELECT 1 + max(doc_id) FROM documents) AS id, o_orderkey AS amendment_id, substring(CAST(o_orderdate AS VARCHAR), 1, 10) AS date, CASE WHEN o_custkey % 5 > 0 THEN 'addition' END AS type, CAST(o_custkey AS VARCHAR) AS law_number, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE repeat('وصف ' || o_orderkey, 40) END AS description FROM orders"
+_PENAL = "SELECT p_partkey AS id, CASE WHEN p_size % 7 > 0 THEN 'سجن' END AS type, CAST(p_size AS BIGINT) AS min_value, CASE WHEN p_size % 2 = 0 THEN CAST(p_size + 3 AS BIGINT) END AS max_value, 'سنة' AS unit FROM part"
+_MEANT = "SELECT s_suppkey % 100 AS id, s_name AS term, 'معنى ' || s_suppkey AS definition FROM supplier"
+_TOPIC = "SELECT doc_id AS id, CASE quality WHEN 1 THEN 'good' END AS name FROM labels"
+_WHOLE = f"""WITH {_ASKED}, {_BM25.replace("FROM benchmark", "FROM asked").split(", scores AS")[0].split("scores AS")[0].rstrip().rstrip(",")},
+scored AS (SELECT item_id AS query_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) * CASE WHEN doc_id = any_value(number) THEN 10 ELSE 1 END, 6) AS score
+  FROM q JOIN idf USING (term) JOIN p USING (term) JOIN dl USING (doc_id) JOIN asked USING (item_id), n GROUP BY 1, 2),
+lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 15) WHERE score > 0),
+near AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, e.label, round((1 + list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / 2, 6) AS score FROM embeddings q JOIN asked ON item_id = q.vec_id, embeddings e),
+vector AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near WHERE doc_id IN (SELECT doc_id FROM documents) QUALIFY rank <= 15),
+f AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.doc_id, v.doc_id) AS doc_id, coalesce(0.4 / (60 + l.rank), 0) + coalesce(0.6 / (60 + v.rank), 0) AS fused, l.rank AS lr, v.rank AS vr
+  FROM lexical l FULL JOIN vector v ON l.query_id = v.query_id AND l.doc_id = v.doc_id),
+s AS (SELECT *, round((fused - min(fused) OVER w) / CASE WHEN max(fused) OVER w > min(fused) OVER w THEN max(fused) OVER w - min(fused) OVER w ELSE 1e-9 END, 6) AS score,
+  coalesce(lr, max(lr) OVER w + vr, vr) AS insertion FROM f WINDOW w AS (PARTITION BY query_id)),
+pin AS (SELECT item_id AS query_id, doc_id FROM asked JOIN documents ON doc_id = number AND source = law),
+hits AS (SELECT query_id, doc_id, 1.0 AS score, 0 AS insertion, 1 AS pinned FROM pin UNION ALL SELECT query_id, doc_id, score, insertion, 0 FROM s ANTI JOIN pin USING (query_id, doc_id) WHERE score >= 0.5),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, score DESC, insertion, doc_id) AS place FROM hits),
+am AS (SELECT id, '    التعديلات:' || chr(10) || string_agg('      • [' || coalesce(type, '?') || '] ' || date || ' بموجب قانون ' || law_number || CASE WHEN description = '' THEN '' ELSE ': ' || substring(description, 1, 200) END, chr(10) ORDER BY date, amendment_id) AS note
+  FROM (SELECT * FROM ({_AMENDED}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY date, amendment_id) <= 3) GROUP BY 1),
+pe AS (SELECT id, '    العقوبات:' || chr(10) || string_agg('      • ' || type || ' من ' || min_value || coalesce(' إلى ' || max_value, '') || ' ' || unit, chr(10) ORDER BY type, min_value) AS note FROM ({_PENAL}) WHERE type IS NOT NULL GROUP BY 1),
+de AS (SELECT id, '    التعريفات:' || chr(10) || string_agg('      • ' || term || ': ' || definition, chr(10) ORDER BY term) AS note FROM (SELECT * FROM ({_MEANT}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY term) <= 5) GROUP BY 1),
+tp AS (SELECT id, '    الموضوعات: ' || string_agg(name, ', ') AS note FROM ({_TOPIC}) WHERE name IS NOT NULL GROUP BY 1),
+ab AS (SELECT query_id, place, CASE WHEN place = 1 THEN chr(10) || chr(10) ELSE chr(10) || chr(10) || repeat('-', 60) || chr(10) || chr(10) END || '[' || place || '] القانون: ' || coalesce('قانون ' || source, '') || ' (ID: ' || source || ')' || chr(10) || '    المادة ' || d.doc_id || ' | درجة الصلة: ' || printf('%.3f', round(score, 3)) || chr(10)
+    || chr(10) || regexp_replace(coalesce(text, ''), '(?m)^(.*\\S)', '    \\1', 'g') || coalesce(chr(10) || am.note, '') || coalesce(chr(10) || pe.note, '') || coalesce(chr(10) || de.note, '') || coalesce(chr(10) || tp.note, '') || chr(10) AS block
+  FROM placed JOIN documents d USING (doc_id) LEFT JOIN am ON am.id = d.doc_id LEFT JOIN pe ON pe.id = d.doc_id LEFT JOIN de ON de.id = d.doc_id LEFT JOIN tp ON tp.id = d.doc_id),
+ar AS (SELECT query_id, place, block, sum(length(block)) OVER (PARTITION BY query_id ORDER BY place) AS used FROM ab),
+one AS (SELECT * FROM (SELECT query_id, label, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM near QUALIFY r <= 15) WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, doc_id) = 1),
+tb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS place, chr(10) || '[جدول ' || label || '] من src' || (label % 3) || ' | درجة الصلة: ' || printf('%.3f', round(score, 3)) || chr(10) || substring(trim(repeat('صف ' || doc_id || ' ', 200)), 1, 700) || chr(10) AS block FROM one QUALIFY place <= 5),
+who AS (SELECT query_id FROM ab UNION SELECT query_id FROM tb),
+a AS (SELECT who.query_id, coalesce(max(used) FILTER (WHERE used <= 9000), 0) AS used, coalesce(string_agg(block, '' ORDER BY place) FILTER (WHERE used <= 9000), '') AS text FROM who LEFT JOIN ar USING (query_id) GROUP BY 1),
+head AS (SELECT *, chr(10) || chr(10) || repeat('=', 60) || chr(10) || 'الجداول القانونية ذات الصلة:' || chr(10) AS h FROM a),
+room AS (SELECT *, used + CASE WHEN used + length(h) <= 9000 THEN length(h) ELSE 0 END AS begin FROM head),
+tr AS (SELECT tb.query_id, tb.place, block, begin + sum(length(block)) OVER (PARTITION BY tb.query_id ORDER BY tb.place) AS total FROM tb JOIN room USING (query_id)),
+t AS (SELECT query_id, count(*) AS n, coalesce(string_agg(block, '' ORDER BY place) FILTER (WHERE total <= 9000), '') AS text FROM tr GROUP BY 1),
+contexts AS (SELECT query_id, room.text || CASE WHEN n > 0 AND used < 9000 THEN CASE WHEN begin > used THEN h ELSE '' END || t.text ELSE '' END AS context FROM room LEFT JOIN t USING (query_id))"""
+
+
+def _retrieved(spark, sf_dir):
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    asked = spark.sql(f"WITH {_ASKED.replace('FROM documents', 'FROM {docs}').replace('FROM benchmark', 'FROM {items}')} SELECT item_id AS query_id, text AS question FROM asked", docs=docs, items=table(spark, sf_dir, "benchmark"))
+    embedding = vectors.select(F.col("vec_id").alias("id"), "embedding")
+    questions = asked.join(embedding.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding")), "query_id", "left")
+    articles = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("law_id"), F.col("doc_id").cast("string").alias("article_number"), "text").join(embedding, "id", "left")
+    laws = docs.select(F.col("source").alias("law_id")).filter("law_id IS NOT NULL").distinct().withColumn("law_title", F.concat(F.lit("قانون "), "law_id"))
+    chunks = vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("table_id"), F.expr("repeat('صف ' || vec_id || ' ', 200)").alias("text"), "embedding", F.expr("'src' || label % 3").alias("law_id"), F.col("label").alias("table_number"))
+    about = {"amendments": (_AMENDED, "orders"), "penalties": (_PENAL, "part"), "definitions": (_MEANT, "supplier"), "topics": (_TOPIC, "labels")}
+    rows = {name: spark.sql(sql.replace(f"FROM {own}", "FROM {own}").replace("FROM documents", "FROM {docs}").replace("VARCHAR", "STRING"), own=table(spark, sf_dir, own), docs=docs) if "FROM documents" in sql else spark.sql(sql.replace(f"FROM {own}", "FROM {own}"), own=table(spark, sf_dir, own)) for name, (sql, own) in about.items()}
+    return search.answer_context(articles, chunks, questions, laws, rows)
+
+
+@query(f"{_WHOLE} SELECT query_id, CAST(length(context) AS BIGINT) AS chars, sha256(context) AS sha FROM contexts")
+def whole_retrieval(spark, sf_dir):
+    """Every question's context: two searches, the named article, neighbours, tables, one budget."""
+    contexts, _ = _retrieved(spark, sf_dir)
+    return contexts.select("query_id", F.length("context").cast("long").alias("chars"), F.sha2("context", 256).alias("sha"))
+
+
+@query(f"""{_WHOLE} SELECT query_id, 'article' AS type, source AS law_id, CAST(doc_id AS VARCHAR) AS article_number, printf('%.3f', round(score, 3)) AS score FROM placed JOIN documents USING (doc_id)
+  UNION ALL SELECT query_id, 'table', 'src' || (label % 3), CAST(label AS VARCHAR), printf('%.3f', round(score, 3)) FROM tb""")
+def sources_of_retrieval(spark, sf_dir):
+    _, found = _retrieved(spark, sf_dir)
+    return found.select("query_id", "type", "law_id", F.col("article_number").cast("string").alias("article_number"), "score")
+
+
 # Case files ------------------------------------------------------------------------------------------------------------
 
 

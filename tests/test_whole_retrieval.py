@@ -37,15 +37,71 @@ def test_named_article_is_pinned(articles, questions, laws):
 
 def test_contexts_and_sources(spark, articles, questions, laws):
     chunks = spark.createDataFrame([(f"c{i}", f"t{i % 3}", f"سطر {i}", [1.0, float(i)], "l1", str(i % 3)) for i in range(9)], "id string, table_id string, text string, embedding array<double>, law_id string, table_number string")
-    topics = articles.select("id", F.array(F.struct(F.lit("سرقة").alias("name")), F.struct(F.lit(None).cast("string").alias("name"))).alias("topics"))
-    contexts, sources = search.answer_context(articles, chunks, questions, laws, [topics], k=5, threshold=0.1, budget=600)
+    topics = articles.select("id", F.lit("سرقة").alias("name")).unionByName(articles.select("id", F.lit(None).cast("string").alias("name")))
+    contexts, sources = search.answer_context(articles, chunks, questions, laws, {"topics": topics}, k=5, threshold=0.1, budget=600)
     text = {r.query_id: r.context for r in contexts.collect()}
     assert set(text) == {"q1", "q2"} and all(len(t) <= 600 for t in text.values())
-    assert "المادة 3" in text["q1"].split("\n")[0] and "topics: سرقة" in text["q1"]
+    assert text["q1"].split("\n")[3].startswith("    المادة 3 |") and "    الموضوعات: سرقة\n" in text["q1"]
     kinds = [(r.query_id, r.type) for r in sources.collect()]
     assert kinds.count(("q1", "table")) == 3 and ("q1", "article") in kinds
 
 
+def test_the_named_article_comes_first_and_weak_tables_stay_out(spark, articles, questions, laws):
+    chunks = spark.createDataFrame([("near", "t1", "x", [1.0, 3.0], "l1", "1"), ("far", "t2", "y", [-1.0, -3.0], "l1", "2")], "id string, table_id string, text string, embedding array<double>, law_id string, table_number string")
+    contexts, found = search.answer_context(articles, chunks, questions, laws, k=5, threshold=0.5)
+    got = {r.query_id: r.context for r in contexts.collect()}
+    assert got["q1"].startswith("\n\n[1] القانون: قانون العقوبات (ID: l1)\n    المادة 3 | درجة الصلة: 1.000\n")
+    assert "[جدول 1] من l1" in got["q1"] and "جدول 2" not in got["q1"]
+    assert [(r.article_number, r.score) for r in found.filter("type = 'table' AND query_id = 'q1'").collect()] == [("1", "1.000")]
+
+
+@pytest.mark.parametrize("budget", [0, 3, 60, 90, 150, 200, 260, 400, 2000])
+def test_budgets_of_articles_and_tables(spark, budget):
+    """Against a plain loop: each side stops at its own first overflow, the tables' head must fit."""
+    cases = [(["a" * 10, "b" * 80, "c"], ["\nt1\n", "\nlong" + "x" * 90 + "\n", "\nt3\n"]), ([], ["\nt\n"]), (["z" * 500], ["\nt\n"]), (["q"], [])]
+    frame = spark.createDataFrame(list(enumerate(cases)), "i int, c struct<a: array<string>, t: array<string>>")
+    got = {r.i: r.x for r in frame.select("i", search.filled(F.col("c.a"), F.col("c.t"), budget).alias("x")).collect()}
+    for i, (blocks, tables) in enumerate(cases):
+        text = ""
+        for j, block in enumerate(blocks):
+            piece = (search.RULE if j else "\n\n") + block + "\n"
+            if len(text) + len(piece) > budget:
+                break
+            text += piece
+        if tables and len(text) < budget:
+            text += search.TABLES_HEAD if len(text) + len(search.TABLES_HEAD) <= budget else ""
+            for block in tables:
+                if len(text) + len(block) > budget:
+                    break
+                text += block
+        assert got[i] == text
+
+
+def test_what_a_block_shows(spark, articles, questions, laws):
+    rows = {
+        "amendments": spark.createDataFrame([("a3", i, f"200{i}", None if i else "addition", "7", "d" * 300) for i in (4, 0, 2, 1)], "id string, amendment_id int, date string, type string, law_number string, description string"),
+        "penalties": spark.createDataFrame([("a3", "سجن", 1, None, "سنة"), ("a3", None, 2, 3, "سنة"), ("zz", "x", 1, 1, "y")], "id string, type string, min_value long, max_value long, unit string"),
+        "definitions": spark.createDataFrame([("a3", f"t{i}", "m") for i in range(7)], "id string, term string, definition string"),
+    }
+    chunks = spark.createDataFrame([], "id string, table_id string, text string, embedding array<double>, law_id string, table_number string")
+    contexts, _ = search.answer_context(articles, chunks, questions.filter("query_id = 'q1'"), laws, rows, k=1)
+    block = contexts.first().context.split(search.RULE)[0]
+    assert block.count("      • ") == 3 + 1 + 5 and "[addition] 2000 بموجب قانون 7: " + "d" * 200 + "\n" in block and "d" * 201 not in block
+    assert "      • [?] 2001 بموجب قانون 7" in block and "2004" not in block and "      • سجن من 1 سنة\n" in block
+
+
+def test_titles_by_containment(spark):
+    """Against plain containment: prefixes, suffixes, one-letter names, names in names, marks and spaces."""
+    names = ["الدستور", "قانون", "قانون العقوبات", "ق", "نظام  عام", "", None, "اب", "العقوبات"]
+    laws = spark.createDataFrame([(f"l{i}", n) for i, n in enumerate(names)], "law_id string, law_title string")
+    texts = ["والدستورية", "مادة من قانون العقوبات", "بالقانون", "نظام عام", "نِظام عام", "", None, "xاب", "عقوبات", "قانون الـعقوبات"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, question string")
+    plain = lambda x: " ".join("".join(c for c in x if not "\u0610" <= c <= "\u061a" and not "\u064b" <= c <= "\u065f").split())
+    want = {i: max(((len(plain(n)), f"l{j}") for j, n in enumerate(names) if n and t is not None and plain(n) in plain(t)), default=(0, None))[1] for i, t in enumerate(texts)}
+    assert {r.query_id: r.law_id for r in search.asked_law(asked, laws).collect()} == want
+    assert search.asked_law(asked, laws.limit(0)).filter("law_id IS NOT NULL").count() == 0
+
+
 def test_nearest_answers_all_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 7)
     x = np.random.default_rng(0).normal(size=(60, 5))
