@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, row_slices, staged
+from .common import mix, staged
 from .token_files import WordEncoder
 
 #: Tokens of a sequence, pieces of a shard, islands of a shard, solutions of an island.
@@ -20,8 +21,8 @@ ROUNDS, CHILDREN = 3, 40
 LEFT_OVER = 8
 #: Tasks that evolve islands, where there are so many.
 TASKS = 20_000
-#: Characters that are encoded at once.
-_SLICE = 1 << 22
+#: Bytes of text that are encoded at once, and bytes of ids that a task holds before it writes them.
+_SLICE, _HELD = 1 << 20, 16 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 _ISLANDS = "shard int, island int, seed long, tags array<long>, lengths array<int>, bins array<array<int>>"
@@ -34,9 +35,12 @@ def _cutter(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.load(path)
         for whole in batches:
-            texts, doc_ids = [t or "" for t in whole.column(1).to_pylist()], whole.column(0)
-            for a, b in row_slices(texts, _SLICE):
-                ids, sizes = encoder.encode(texts[a:b])
+            doc_ids, texts = whole.columns
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy())
+            b = 0
+            while b < len(texts):
+                a, b = b, max(b + 1, int(np.searchsorted(ends, (ends[b - 1] if b else 0) + _SLICE, side="right")))
+                ids, sizes = encoder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 ids, sizes = np.insert(ids, np.cumsum(sizes), np.int32(end_id)).astype("<u4"), sizes + 1
                 count = -(-sizes // capacity)
                 row = np.repeat(np.arange(b - a), count)
@@ -268,7 +272,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
 
     ids_crc32 is the unsigned CRC-32 of the ids as they are stored.
     """
-    pieces = staged(token_pieces(docs, tokenizer, end_id, capacity).withColumns({"ids_crc32": F.crc32("ids"), "tag": F.monotonically_increasing_id()}), "pieces")
+    pieces = token_pieces(docs, tokenizer, end_id, capacity).withColumns({"ids_crc32": F.crc32("ids"), "tag": F.monotonically_increasing_id()})
+    pieces = staged(pieces, "pieces", **{"parquet.block.size": _HELD, "parquet.enable.dictionary#ids": "false"})
     return pieces.join(pack(pieces.select("tag", "length"), capacity, **options), "tag").drop("tag")
 
 
