@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import arabic, coerce
-from lexmill.operators import cases, chunking, dedup, graph, quality, search, vector_index
+from lexmill.operators import cases, chunking, dedup, graph, lexical_index, quality, search, vector_index
 from lexmill.session import checkpoint_folder, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,6 +313,15 @@ def bm25_topk(spark, sf_dir):
     return _lexical(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(ORACLES["bm25_topk"])
+def lexical_index_topk(spark, sf_dir):
+    """The same search through a stored index."""
+    path = new_folder(spark, "lexical-index")
+    lexical_index.write_lexical_index(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    found, _ = lexical_index.search_lexical_index(spark, path, _questions(spark, sf_dir), 10)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 _VECTOR = """v AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round((1 + list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / 2, 6) AS score
   FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
 vector AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v QUALIFY rank <= 10)"""
