@@ -21,8 +21,8 @@ ROUNDS, CHILDREN = 3, 40
 LEFT_OVER = 8
 #: Tasks that evolve islands, where there are so many.
 TASKS = 20_000
-#: Bytes of text that are encoded at once, and bytes of ids that a task holds before it writes them.
-_SLICE, _HELD = 1 << 22, 16 << 20
+#: Bytes of text that are encoded at once, words that a worker keeps, bytes of ids that a task holds before it writes them.
+_SLICE, _CACHED_WORDS, _HELD = 1 << 22, 400_000, 16 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 _ISLANDS = "shard int, island int, seed long, tags array<long>, lengths array<int>, bins array<array<int>>"
@@ -33,7 +33,8 @@ _ISLANDS = "shard int, island int, seed long, tags array<long>, lengths array<in
 
 def _cutter(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.load(path)
+        encoder = WordEncoder.load(path, _CACHED_WORDS)
+        pa.set_memory_pool(pa.system_memory_pool())  # which gives memory back between slices
         for whole in batches:
             doc_ids, texts = whole.columns
             ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy())
@@ -41,7 +42,6 @@ def _cutter(path: str, end_id: int, capacity: int):
             while b < len(texts):
                 a, b = b, max(b + 1, int(np.searchsorted(ends, (ends[b - 1] if b else 0) + _SLICE, side="right")))
                 ids, sizes = encoder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
-                pa.default_memory_pool().release_unused()
                 ids, sizes = np.insert(ids, np.cumsum(sizes), np.int32(end_id)).astype("<u4"), sizes + 1
                 count = -(-sizes // capacity)
                 row = np.repeat(np.arange(b - a), count)
@@ -64,9 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
     end id alone; null and repeated doc_ids are kept, each row with pieces of its own; no rows give none.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # parts of an even size, whatever the input's files, so that no batch of texts is large
-    even = docs.sparkSession.sql("SELECT /*+ REBALANCE(doc_id) */ * FROM {texts}", texts=texts)
-    return even.mapInArrow(_cutter(tokenizer, end_id, capacity), _PIECES)
+    return texts.mapInArrow(_cutter(tokenizer, end_id, capacity), _PIECES)
 
 
 # One shard ---------------------------------------------------------------------------------------------------------------

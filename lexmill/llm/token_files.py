@@ -55,7 +55,8 @@ class WordEncoder:
     whole text. The distinct words of many texts are looked up once; ids are gathered from one flat array.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = _CACHED_WORDS):
+        self._cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,10 +64,10 @@ class WordEncoder:
         self._clear()
 
     @classmethod
-    def load(cls, path: str) -> WordEncoder:
-        """The encoder of a file, read once in each worker."""
+    def load(cls, path: str, cached: int = _CACHED_WORDS) -> WordEncoder:
+        """The encoder of a file, read once in each worker; it keeps about so many words."""
         if path not in _loaded:
-            _loaded[path] = cls(path)
+            _loaded[path] = cls(path, cached)
         return _loaded[path]
 
     def _clear(self) -> None:
@@ -117,7 +118,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
-        if len(self._numbers) > _CACHED_WORDS:
+        if len(self._numbers) > self._cached:
             self._clear()
         split = pa.compute.split_pattern(pa.array([_lower(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
         words = split.flatten().dictionary_encode()
