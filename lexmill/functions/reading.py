@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocabulary import BIS, CURRENCIES, DEFINING_WORDS, MONTHS, YEARS
+from .vocabulary import BIS, CURRENCIES, DEFINING_WORDS, MONTHS, ORDINALS, YEARS
 
 _TOKEN = re.compile("(?P<number>[0-9٠-٩]+)|(?P<word>(?:[^\\W\\d_]|[ً-ْٰ])+)|\\S")
 #: What may close the number of an article at the start of a line.
@@ -269,6 +269,32 @@ def first_article(text: str) -> str | None:
     return (body[1:] if body[:1] in (":", "：") and body else body).strip() or None if found else None
 
 
+def outline(text: str) -> list[dict]:
+    """Heads of a text with their places in characters: law, section, chapter, and each article with its body up to the
+    next; sections and chapters are numbered or have one of the first four ordinals, articles one of ten."""
+    t, out = Words(text), []
+    for i, token in enumerate(t.tokens):
+        start, found = t.starts[i], None
+        if token.endswith("قانون") and t.at(i + 1) == "رقم" and t.number(i + 2) and t.at(i + 3) == "لسنة" and t.number(i + 4):
+            found = ("law", t.between(i, i + 5))
+        elif token.endswith(("باب", "فصل")) and (t.number(i + 1) or t.at(i + 1) in ORDINALS[:4]):
+            found = ("section" if token.endswith("باب") else "chapter", t.between(i, i + 2))
+        elif token.endswith("مادة"):
+            j = i + 1
+            while t.at(j) in ("(", ":", "-"):
+                j += 1
+            if t.number(j) or t.at(j) in ORDINALS:
+                start = t.starts[i - 1] if i and t.at(i - 1) == "(" else start
+                found = ("article", t.at(j) if t.number(j) else None)
+        if found:
+            out.append({"kind": found[0], "at": start, "value": found[1], "body": None})
+    end = len(text)
+    for head in reversed(out):
+        if head["kind"] == "article":
+            head["body"], end = text[head["at"] : end].strip(), head["at"]
+    return out
+
+
 def _column(read: Callable[[str], object], kind: str) -> Callable[[Column], Column]:
     """A column function of a reader; its type needs a session, so the function for tasks is made when it is called."""
 
@@ -292,5 +318,6 @@ read_articles = _column(articles, _PIECES)
 read_tables = _column(tables, _PIECES)
 read_law_and_years = _column(law_and_years, "array<struct<a: int, b: int>>")
 read_gregorian = _column(gregorian, "string")
+read_outline = _column(outline, "array<struct<kind: string, at: int, value: string, body: string>>")
 read_first_article = _column(first_article, "string")
 read_ruling = _column(ruling, "struct<case_number: string, case_year: string, ruling_date: string, chamber: string>")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.arabic import tokens, western_digits
 from lexmill.functions.articles import article_token
-from lexmill.functions.reading import read_articles, read_gregorian, read_law_and_years, read_ruling, read_tables
+from lexmill.functions.reading import read_articles, read_gregorian, read_law_and_years, read_outline, read_ruling, read_tables
 from lexmill.functions.vocabulary import ADDITION_WORDS, BOOKS, DELETION_WORDS
 
 TABLE_CHARS = 1200
@@ -192,6 +192,26 @@ def carried_forward(frame: DataFrame, column: str, group: str, order: list[str])
     return frame.withColumn(column, F.last(column, ignorenulls=True).over(upto))
 
 
+#: How many characters before an article a head is looked for.
+REACH = 500
+
+
+def articles_in_context(texts: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
+    """(key, at, article_number, law, section, chapter, page_content) of each article of texts (key, text).
+
+    Of the heads of a kind within so many characters before an article the first one counts; an article without any has
+    what the one before it had. Heads and articles are rows with their place in the text; article_number is in Western
+    digits, null for ordinals; texts without articles and null ones have no rows; keys are distinct.
+    """
+    rows = texts.select(key, F.explode(read_outline(F.col(text))).alias("h")).select(key, "h.*")
+    near = Window.partitionBy(key).orderBy("at").rangeBetween(-reach, -1)
+    kinds = ("law", "section", "chapter")
+    seen = rows.withColumns({k: F.first(F.when(F.col("kind") == k, F.col("value")), ignorenulls=True).over(near) for k in kinds}).filter("kind = 'article'")
+    upto = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    carried = [F.last(k, ignorenulls=True).over(upto).alias(k) for k in kinds]
+    return seen.select(key, "at", western_digits(F.col("value")).alias("article_number"), *carried, F.col("body").alias("page_content"))
+
+
 def latest_versions(chunks: DataFrame) -> DataFrame:
     """For each law and article the amended chunk of the latest date, else the first original one, else the first.
 
@@ -225,8 +245,8 @@ def char_windows(text: Column, size: int = 2000, overlap: int = 200) -> Column:
 
 def document_index(documents: DataFrame, text: str = "text", size: int = 2000, overlap: int = 200) -> DataFrame:
     """documents with page_content, chunk_index and chunk_total in place of the text: a long one in windows of so many
-    characters, a short one as it is with both null."""
-    windows = documents.withColumn("__w", char_windows(F.coalesce(F.col(text), F.lit("")), size, overlap)).withColumn("__w", F.when(F.length(text) <= size, F.array(text)).otherwise(F.col("__w")))
+    characters, a short, empty or null one as it is with both null."""
+    windows = documents.withColumn("__w", F.when(F.length(text) > size, char_windows(F.col(text), size, overlap)).otherwise(F.array(text)))
     each = windows.select("*", F.posexplode("__w").alias("__at", "page_content"))
     many = F.size("__w") > 1
     return each.select(*[c for c in documents.columns if c != text], "page_content", F.when(many, F.col("__at")).alias("chunk_index"), F.when(many, F.size("__w")).alias("chunk_total"))

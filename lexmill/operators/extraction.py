@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +13,48 @@ from lexmill.functions.vocabulary import CRIME_WORDS, PENALTY_TYPES, PENALTY_WOR
 
 from .chunking import amendment_date, amendment_law, amendment_type, extract
 from .dedup import first_wins
+from .search import contained
 
 
-#: Patterns of a user's that are tried on every article, at most.
-MOST_PATTERNS = 1000
+#: Patterns that name no word of the text are tried on every article, so many in one pass.
+PATTERN_BLOCK = 200
+
+
+def required_literals(pattern: str) -> list[str] | None:
+    """Strings of which a text that the pattern matches holds at least one; None if there are none to tell.
+
+    Each alternative at the top gives its longest run of plain characters. Groups, classes, and characters that may be
+    missing give nothing; with flags other than U, or backreferences to quoting, nothing is told.
+    """
+    flags = pattern[2 : pattern.index(")")] if pattern.startswith("(?") and ")" in pattern and pattern[2:3].isalpha() else ""
+    if set(flags) - {"U"} or "(?" in pattern[len(flags) + 3 if flags else 0 :] or "\\Q" in pattern:
+        return None
+    pattern = pattern[len(flags) + 3 :] if flags else pattern
+    best, runs, run, depth, i = [], [""], "", 0, 0
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        if c == "\\":
+            c, i = (pattern[i : i + 1] or " "), i + 1
+            plain = not c.isalnum()
+        elif c == "[":
+            i = pattern.find("]", i + 1 + (pattern[i : i + 1] == "^")) + 1 or len(pattern)
+            plain = False
+        else:
+            plain = c not in "(){}*+?.^$|"
+        if depth == 0 and plain:
+            run += c
+            continue
+        if c in "*?{" and not plain and depth == 0:
+            run = run[:-1]
+        runs.append(run)
+        run = ""
+        if c == "{" and not plain:
+            i = pattern.find("}", i) + 1 or len(pattern)
+        depth += (c == "(" and not plain) - (c == ")" and not plain)
+        if c == "|" and not plain and depth == 0:
+            best, runs = [*best, max(runs, key=len)], [""]
+    best.append(max([*runs, run], key=len))
+    return best if all(best) else None
 
 
 def whole_number(text: Column) -> Column:
@@ -62,17 +101,28 @@ def topics(articles: DataFrame) -> DataFrame:
 
 
 def topics_by_patterns(articles: DataFrame, patterns: DataFrame) -> DataFrame:
-    """All topics whose pattern an article matches; patterns (topic_name, pattern) is a table of the user's.
+    """(law_id, article_number, topic_name): all topics of which an article (law_id, article_number, text) matches a
+    pattern; patterns (topic_name, pattern) is a table of the user's with any number of rows.
 
-    At most MOST_PATTERNS patterns are taken, more are an error: each is tried on every article.
+    A pattern's required words lead to the articles that hold one of them, and it is tried on those alone. Patterns
+    without any are tried on every article, PATTERN_BLOCK of them in a pass. Null texts match nothing.
     """
-    given = patterns.select("topic_name", "pattern").limit(MOST_PATTERNS + 1).collect()
-    if len(given) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns")
-    if not given:
-        return articles.select("law_id", "article_number", F.lit("").alias("topic_name")).limit(0)
-    hits = F.filter(F.array(*[F.when(F.col("text").rlike(r.pattern), F.lit(r.topic_name)) for r in given]), lambda x: x.isNotNull())
-    return articles.select("law_id", "article_number", F.explode(F.array_distinct(hits)).alias("topic_name")).distinct()
+
+    @F.pandas_udf("array<string>")
+    def literals(values: pd.Series) -> pd.Series:
+        return values.map(lambda p: None if p is None else required_literals(p))
+
+    given = patterns.filter("pattern IS NOT NULL").select("topic_name", "pattern").distinct().withColumn("literals", literals("pattern"))
+    rows = articles.select("law_id", "article_number", "text", F.xxhash64("law_id", "article_number", "text").alias("__key"))
+    texts = rows.filter("text IS NOT NULL").select("__key", "text").distinct()
+    named = given.filter("literals IS NOT NULL").select("topic_name", "pattern", F.explode("literals").alias("literal"))
+    may = contained(texts, named, "__key", "text", "literal").select("__key", "topic_name", "pattern").distinct()
+    hits = may.join(texts, "__key").filter(F.rlike("text", F.col("pattern"))).select("__key", "topic_name")
+    wide = [r for r in given.filter("literals IS NULL").select("topic_name", "pattern").toLocalIterator()]
+    for i in range(0, len(wide), PATTERN_BLOCK):
+        tried = F.array(*[F.when(F.col("text").rlike(r.pattern), F.lit(r.topic_name)) for r in wide[i : i + PATTERN_BLOCK]])
+        hits = hits.unionByName(texts.select("__key", F.explode(F.filter(tried, lambda x: x.isNotNull())).alias("topic_name")))
+    return rows.join(hits.distinct(), "__key").select("law_id", "article_number", "topic_name").distinct()
 
 
 def amendments(files: DataFrame) -> DataFrame:

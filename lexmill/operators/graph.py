@@ -19,11 +19,15 @@ EDGE = "rel string, src_id string, dst_id string, position int, confidence doubl
 
 
 def edge(rel: str, frame: DataFrame, src: str | Column, dst: str | Column, **props: Column) -> DataFrame:
-    """Edges (EDGE) of one relation, one for each pair of ends."""
+    """Edges (EDGE) of one relation, one for each pair of ends: of several the last by date and position, and by the other
+    properties where those are equal, so that any partitioning gives the same."""
     kinds = dict(x.split(" ") for x in EDGE.split(", "))
     ends = {"rel": F.lit(rel), "src_id": F.col(src) if isinstance(src, str) else src, "dst_id": F.col(dst) if isinstance(dst, str) else dst}
     columns = [(ends | props).get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()]
-    return frame.select(*columns).dropDuplicates(["rel", "src_id", "dst_id"])
+    own = [name for name in kinds if name not in ends]
+    order = F.struct(*[F.coalesce(F.col(c), F.lit(-1)) if kinds[c] in ("int", "double") else F.coalesce(F.col(c), F.lit("")) for c in sorted(own, key=lambda c: (c != "amendment_date", c != "position"))])
+    last = frame.select(*columns).groupBy(*ends).agg(F.max_by(F.struct(*own), order).alias("last"))
+    return last.select(*ends, *[F.col(f"last.{c}").alias(c) for c in own]).select(*kinds)
 
 
 def article_nodes(articles: DataFrame) -> DataFrame:

@@ -71,6 +71,16 @@ def topics_by_pattern(spark, sf_dir):
     return extraction.topics_by_patterns(_articles(spark, sf_dir), patterns)
 
 
+@query(f"""{_SQL}, w AS (SELECT DISTINCT 'مصطلح' || (k % 50) AS term, k % 50 AS n FROM base)
+  SELECT law_id, article_number, 't' || (k % 50) AS topic_name FROM base WHERE k % 4 = 0 UNION ALL SELECT law_id, article_number, 'range' FROM base WHERE k % 3 = 0 UNION ALL SELECT law_id, article_number, 'either' FROM base WHERE k % 6 IN (1, 2)""")
+def topics_by_many_patterns(spark, sf_dir):
+    """A pattern for each term of the texts, one of two words, and one that names no word."""
+    art = _articles(spark, sf_dir)
+    terms = art.select((F.col("k") % 50).alias("n")).distinct().select(F.concat(F.lit("t"), "n").alias("topic_name"), F.concat(F.lit('["]مصطلح'), "n", F.lit('["]')).alias("pattern"))
+    more = spark.createDataFrame([("range", r"[0-9]+\s+\S+\s+[0-9]+\s+[^\s.]+[.]"), ("either", "سرقة|سلاح")], "topic_name string, pattern string")
+    return extraction.topics_by_patterns(art, terms.unionByName(more))
+
+
 @query(f"""{_SQL}, p AS ({_PENALTIES}), d AS ({_DEFINITIONS}), t AS ({_TOPICS}) SELECT law_id, count(*) AS articles,
   (SELECT count(*) FROM p WHERE p.law_id = base.law_id) AS penalties, (SELECT count(*) FROM d WHERE d.law_id = base.law_id) AS definitions,
   (SELECT count(*) FROM t WHERE t.law_id = base.law_id) AS topics FROM base GROUP BY law_id""")
@@ -137,6 +147,27 @@ def ruling_heads(spark, sf_dir):
     return _articles(spark, sf_dir).withColumn("t", text).select("k", *chunking.ruling_fields(F.col("t")))
 
 
+#: Articles of a customer's orders, some after a section's or a chapter's head, of very different lengths.
+_OUTLINE = """SELECT o_custkey AS doc_id, o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'الباب ' || (o_orderkey % 90) || chr(10) ELSE '' END AS sec,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'الفصل ' || (o_orderkey % 70) || chr(10) ELSE '' END AS cha, 'المادة ' || o_orderkey || ': ' || repeat('كلمة ', CAST(o_orderkey % 120 AS INTEGER)) || chr(10) AS art FROM orders"""
+
+
+@query(f"""WITH o AS ({_OUTLINE}), p AS (SELECT *, coalesce(sum(length(sec) + length(cha) + length(art)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM o),
+  a AS (SELECT doc_id, k, begin + length(sec) + length(cha) AS place, trim(art, ' ' || chr(10)) AS body FROM p),
+  h AS (SELECT doc_id, 'section' AS kind, begin AS place, trim(sec, chr(10)) AS value FROM p WHERE sec <> '' UNION ALL SELECT doc_id, 'chapter', begin + length(sec), trim(cha, chr(10)) FROM p WHERE cha <> ''),
+  s AS (SELECT a.*, (SELECT min_by(value, h.place) FROM h WHERE h.doc_id = a.doc_id AND kind = 'section' AND h.place < a.place AND h.place >= a.place - 500) AS section,
+    (SELECT min_by(value, h.place) FROM h WHERE h.doc_id = a.doc_id AND kind = 'chapter' AND h.place < a.place AND h.place >= a.place - 500) AS chapter FROM a),
+  nexts AS (SELECT *, lead(place) OVER (PARTITION BY doc_id ORDER BY place) AS next_place FROM s), heads AS (SELECT doc_id, k, (SELECT string_agg(value, chr(10) ORDER BY h.place) FROM h WHERE h.doc_id = n.doc_id AND h.place > n.place AND (n.next_place IS NULL OR h.place < n.next_place)) AS rest FROM nexts n)
+  SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(k AS STRING) AS article_number, last_value(section IGNORE NULLS) OVER w AS section, last_value(chapter IGNORE NULLS) OVER w AS chapter,
+    sha256(CASE WHEN rest IS NULL THEN body ELSE art || rest END) AS sha FROM nexts JOIN heads USING (doc_id, k) JOIN (SELECT k, art FROM p) USING (k) WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def articles_with_context(spark, sf_dir):
+    made = spark.sql(_OUTLINE.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    listed = F.array_sort(F.collect_list(F.struct("k", F.concat("sec", "cha", "art").alias("t"))))
+    texts = made.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "").alias("text"))
+    found = chunking.articles_in_context(texts)
+    return found.select("doc_id", F.col("at").alias("place"), "article_number", "section", "chapter", F.sha2("page_content", 256).alias("sha"))
+
+
 # The graph -------------------------------------------------------------------------------------------------------------
 
 _ID = "substring(sha256(law_id || '|' || article_number || '|' || k), 1, 16)"

@@ -177,6 +177,40 @@ def test_ordinals_breaks_and_patterns(spark):
     frame = spark.createDataFrame([("مادة أولاً", "a\u0001\nالمادة 1: x")], "law_id string, t string").withColumn("n", F.col("law_id"))
     assert frame.select(article_columns.ordinal_token(F.col("n")).alias("x")).first().x.endswith("أولا")
     assert [r.page_content for r in chunking.split_articles(frame, "t").orderBy("pos").collect()] == ["a\u0001", "x"]
-    many = spark.range(extraction.MOST_PATTERNS + 1).select(F.lit("t").alias("topic_name"), F.lit("x").alias("pattern"))
-    with pytest.raises(ValueError):
-        extraction.topics_by_patterns(spark.createDataFrame([("l", "1", "x")], "law_id string, article_number string, text string"), many)
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [("abc", ["abc"]), ("ab*c", ["a"]), ("ab+c", ["ab"]), ("a|bc", ["a", "bc"]), ("(ab|c)de", ["de"]), (r"x\.y", ["x.y"]), (r"\d+", None), ("a|.*", None), ("(?U)word", ["word"]), ("(?i)word", None), ("[abc]def{2}", ["de"]), ("^x$", ["x"]), ("a(?!b)", None), ("[]x]y", ["y"]), ("", None), (r"\Qa.b\E", None), ("colou?r", ["colo"])],
+)
+def test_words_that_a_pattern_needs(pattern, want):
+    assert extraction.required_literals(pattern) == want
+
+
+def test_patterns_find_what_plain_matching_finds(spark, monkeypatch):
+    import re
+
+    monkeypatch.setattr(extraction, "PATTERN_BLOCK", 2)
+    texts = ["the theft of 3 cars", "a colour", "color x.y", "", None, "no 12 34", "theft"]
+    patterns = [("a", "theft"), ("b", "colou?r"), ("c", r"x\.y|cars"), ("d", r"\d+ \d+"), ("e", "^$"), ("f", "[xyz]"), ("a", "cars"), ("g", "nothing here"), ("h", "th|co")]
+    articles = spark.createDataFrame([("l", str(i), t) for i, t in enumerate(texts)], "law_id string, article_number string, text string")
+    got = {(r.article_number, r.topic_name) for r in extraction.topics_by_patterns(articles, spark.createDataFrame(patterns, "topic_name string, pattern string")).collect()}
+    assert got == {(str(i), n) for i, t in enumerate(texts) if t is not None for n, p in patterns if re.search(p, t)}
+    assert extraction.topics_by_patterns(articles, spark.createDataFrame([], "topic_name string, pattern string")).count() == 0
+
+
+def test_heads_within_reach(spark):
+    text = "قانون رقم 5 لسنة 1999\nالباب الأول\nمادة 1: a\n" + "x" * 600 + "\nمادة (٢) b\nالفصل 3 المادة الثالث c"
+    frame = spark.createDataFrame([(1, text), (2, None), (3, "no article"), (4, "الباب الثاني " + "y" * 500 + " مادة 9: z")], "doc_id int, text string")
+    got = [tuple(r)[:-1] for r in chunking.articles_in_context(frame).orderBy("doc_id", "at").collect()]
+    assert [(g[0], *g[2:]) for g in got] == [(1, "1", "قانون رقم 5 لسنة 1999", "الباب الأول", None), (1, "2", "قانون رقم 5 لسنة 1999", "الباب الأول", None), (1, None, "قانون رقم 5 لسنة 1999", "الباب الأول", "الفصل 3"), (4, "9", None, None, None)]
+    short = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "doc_id int, text string")
+    assert sorted((r.doc_id, r.page_content, r.chunk_index) for r in chunking.document_index(short).collect() if r.doc_id) == [(1, None, None), (2, "", None), (3, "x", None)]
+
+
+def test_of_equal_edges_the_last_stays(spark):
+    rows = [("a", "b", 3, "2001"), ("a", "b", 9, "2000"), ("a", "b", 5, "2001"), ("a", "c", None, None)]
+    frame = spark.createDataFrame(rows, "s string, d string, p int, t string")
+    for parts in (1, 4):
+        got = graph.edge("R", frame.repartition(parts), "s", "d", position=F.col("p"), amendment_date=F.col("t")).collect()
+        assert sorted((r.src_id, r.dst_id, r.position, r.amendment_date) for r in got) == [("a", "b", 5, "2001"), ("a", "c", None, None)]
