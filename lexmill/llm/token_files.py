@@ -103,9 +103,11 @@ class WordEncoder:
                     others[tail] = None
             else:
                 others[word] = None
-        names = list(letters)
-        found = list(map(self._tokenizer.model.tokenize, map(_bytes_as_chars, names)))
-        self._add(names, np.array([x.id for tokens in found for x in tokens], np.int32), np.array(list(map(len, found)), np.int64))
+        names, tokenize = list(letters), self._tokenizer.model.tokenize
+        for i in range(0, len(names), 4096):
+            part = names[i : i + 4096]
+            found = list(map(tokenize, map(_bytes_as_chars, part)))
+            self._add(part, np.array([x.id for tokens in found for x in tokens], np.int32), np.array(list(map(len, found)), np.int64))
         names = list(others)
         for i in range(0, len(names), 4096):
             part = names[i : i + 4096]
