@@ -18,7 +18,8 @@ _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 KEY_BITS, PROBES, SEGMENT_BITS = 16, 4, 16
 #: Hashes of a range for which one once-seen filter is built, and hashes that a task holds before it hands them on.
 RANGE_HASHES, HELD_HASHES = 1 << 19, 1 << 20
-#: Bits of the twice-seen filter that are broadcast at most (32 MB); a larger one isn't built, hashes are joined instead.
+#: Bits of the twice-seen filter that are broadcast at most (32 MB); a larger one stays with tasks, a segment each, and
+#: hashes go to it.
 BROADCAST_BITS = 1 << 28
 
 
@@ -220,23 +221,117 @@ def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bits[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
+_KEYS = "doc_id long, text_id long, hash long, key string"
+_PROBES = "part long, probe boolean, doc_id long, text_id long, hashes binary"
+
+
+def _key_rows(batch: pa.RecordBatch, min_chars: int, wanted) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_id, hash, key) of the keys of rows (doc_id, text_id, text) that wanted(row, text, hashes) tells."""
+    for row, data, text, hashes, starts, ends in _text_keys(batch.column(2), min_chars):
+        hit = np.flatnonzero(wanted(row, text, hashes))
+        whole = data.tobytes()
+        keys = [whole[a:b].lower().decode() for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)]
+        take = pa.array(row + text[hit])
+        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(hashes[hit].view(np.int64)), pa.array(keys, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "hash", "key"])
+
+
 def _keys(filters, min_chars: int):
-    """The keys of each row that the twice-seen filter has, or all without one, each once a row, with their hashes."""
+    """The keys of each row that the twice-seen filter has, each once a row, with their hashes."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if filters is None else filters.value
+        bits = filters.value
         for batch in batches:
-            for row, data, text, hashes, starts, ends in _text_keys(batch.column(2), min_chars):
-                hit = np.arange(len(hashes)) if bits is None else np.flatnonzero(in_filter(bits, hashes))
-                whole = data.tobytes()
-                keys = [whole[a:b].lower().decode() for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)]
-                take = pa.array(row + text[hit])
-                columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(hashes[hit].view(np.int64)), pa.array(keys, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "hash", "key"])
+            yield from _key_rows(batch, min_chars, lambda row, text, hashes: in_filter(bits, hashes))
 
     return found
 
 
+def _probing(min_chars: int, bits: int):
+    """Rows (part, probe, doc_id, text_id, hashes): the hashes of each row's keys by the segment that may hold them."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, text, hashes, _, _ in _text_keys(batch.column(2), min_chars):
+                part = _segment(hashes, bits)
+                order = np.lexsort((part, text))
+                text, part, hashes = text[order], part[order], hashes[order]
+                first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (part[1:] != part[:-1]))) if len(text) else np.zeros(0, np.int64)
+                data, at = hashes.tobytes(), 8 * np.append(first, len(hashes))
+                blobs = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                take = pa.array(row + text[first])
+                columns = [pa.array(part[first]), pa.array(np.ones(len(first), bool)), batch.column(0).take(take), batch.column(1).take(take), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "probe", "doc_id", "text_id", "hashes"])
+
+    return probe
+
+
+def _segment(hashes: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(hashes ^ np.uint64(3)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def _tested(bits: int):
+    """(doc_id, text_id, hashes) of the probes that the twice-seen filter has; each part's filter comes before its probes."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, Bloom(bits)
+        for batch in batches:
+            parts, probes = batch.column("part").to_numpy(), batch.column("probe").to_numpy(zero_copy_only=False)
+            if not len(parts):
+                continue
+            cuts = np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]) | (probes[1:] != probes[:-1])))
+            for a, b in zip(cuts, np.append(cuts[1:], len(parts)), strict=True):
+                if parts[a] != at:
+                    at, own = parts[a], Bloom(bits)
+                blobs = batch.column("hashes").slice(a, b - a).to_pylist()
+                hashes = np.frombuffer(b"".join(blobs), np.uint64)
+                if not probes[a]:
+                    own.add(hashes)
+                    continue
+                row = np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs])
+                hit = own.has(hashes)
+                rows, first = np.unique(row[hit], return_index=True)
+                found = [x.tobytes() for x in np.split(hashes[hit], first[1:])] if len(rows) else []
+                take = pa.array(a + rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_id").take(take), pa.array(found, pa.binary())], names=["doc_id", "text_id", "hashes"])
+
+    return test
+
+
+def _suspected(min_chars: int):
+    """The keys of rows (doc_id, text_id, text, found) whose hashes are among those found for the row."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(b"".join(x), np.uint64) for x in batch.column(3).to_pylist()]
+            size = np.array([len(x) for x in found])
+            owner, values = np.repeat(np.arange(len(found)), size), np.concatenate([np.zeros(0, np.uint64), *found])
+            known = np.unique(mix(values ^ mix(owner.astype(np.uint64))))
+            yield from _key_rows(batch, min_chars, lambda row, text, hashes, known=known: np.isin(mix(hashes ^ mix((row + text).astype(np.uint64))), known))
+
+    return keys
+
+
+def _suspects(docs: DataFrame, twice: DataFrame, n: int, min_chars: int) -> DataFrame:
+    """The keys of docs that the twice-seen filter has, when it is too large for one machine.
+
+    The filter lies in segments of about RANGE_HASHES hashes, one at a time in a task. Rows send the 8 bytes of each of
+    their keys' hashes to its segment; what passes comes back to its row, and only rows with a suspect send their text.
+    """
+    ranges = max(0, (max(1, n) - 1) // RANGE_HASHES).bit_length()
+    bits = max(10, (KEY_BITS * min(max(n, 1), RANGE_HASHES) - 1).bit_length())
+    none = [F.lit(None).cast("long").alias(x) for x in ("doc_id", "text_id")]
+    hashes = twice.mapInArrow(_dealt(ranges, 3), "part long, hashes binary").select("part", F.lit(False).alias("probe"), *none, "hashes")
+    probes = _named(docs).mapInArrow(_probing(min_chars, ranges), _PROBES)
+    met = hashes.unionByName(probes).repartition("part").sortWithinPartitions("part", "probe")
+    passed = met.mapInArrow(_tested(bits), "doc_id long, text_id long, hashes binary")
+    mine = staged(passed.groupBy("doc_id", "text_id").agg(F.collect_set("hashes").alias("found")), "suspect-hashes")
+    mine = mine.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text_id"), "found")
+    rows = _named(docs).join(mine, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_id") == F.col("__text_id"))).select("doc_id", "text_id", "text", "found")
+    return rows.mapInArrow(_suspected(min_chars), _KEYS)
+
+
 def _named(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
@@ -252,14 +347,12 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, long_words: in
     """
     spark = docs.sparkSession
     twice, n = repeated_hashes(docs, min_chars)
-    kind = "doc_id long, text_id long, hash long, key string"
     if KEY_BITS * n <= BROADCAST_BITS:
         filters = spark.sparkContext.broadcast(twice_filter(twice, n))
-        suspects = staged(_named(docs).mapInArrow(_keys(filters, min_chars), kind), "suspects")
+        suspects = staged(_named(docs).mapInArrow(_keys(filters, min_chars), _KEYS), "suspects")
         filters.unpersist()
     else:
-        hashes = twice.mapInArrow(_listed, "hash long")
-        suspects = staged(_named(docs).mapInArrow(_keys(None, min_chars), kind).join(hashes, "hash", "left_semi").select("doc_id", "text_id", "hash", "key"), "suspects")
+        suspects = staged(_suspects(docs, twice, n, min_chars), "suspects")
     counted = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     least = F.lit(min_docs)
     if long_words is not None:
@@ -270,12 +363,6 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, long_words: in
     return rows.join(salted, ["key", "salt"]).select("doc_id", "text_id", "key", "first")
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for data in batch.column("hashes").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data, np.int64))], names=["hash"])
-
-
 def _apply(keep_first: bool):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -225,6 +225,19 @@ def test_line_filters_hold_every_repeat_and_little_else(spark, monkeypatch):
     assert hit[:500].all() and hit[500:].mean() < 0.01
 
 
+def test_a_filter_beyond_one_machine_suspects_the_same(spark, monkeypatch):
+    """With segments of 64 hashes that stay with tasks: the same keys as with a broadcast filter, and suspects alone."""
+    docs = [(i if i % 9 else None, "\n".join([f"own line {i} {j}" for j in range(12)] + [f"shared {i % 90}", f"Shared {i % 70} "])) for i in range(400)] + [(7, None), (8, ""), (9, "shared 1"), (9, "shared 1")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(line_dedup, "RANGE_HASHES", 64)
+    want = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_repeated_lines(frame, 1, 3).collect())
+    monkeypatch.setattr(line_dedup, "BROADCAST_BITS", 1)
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_repeated_lines(frame, 1, 3).collect()) == want
+    twice, n = line_dedup.repeated_hashes(frame)
+    suspects = [r.key for r in line_dedup._suspects(frame, twice, n, 1).collect()]
+    assert sum(k.startswith("own") for k in suspects) < 40 and sum(k.startswith("shared") for k in suspects) >= 790
+
+
 def test_rows_that_share_an_id_keep_lines_of_their_own(spark):
     rows = [(1, "x\nmine"), (1, "yours\nx"), (None, "x\nz"), (None, "own"), (None, "x\nz")]
     got = Counter((r.doc_id, r.text, r.n_dropped) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), 1, 3).collect())
