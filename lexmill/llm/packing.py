@@ -22,7 +22,7 @@ LEFT_OVER = 8
 #: Tasks that evolve islands, where there are so many.
 TASKS = 20_000
 #: Bytes of text that are encoded at once, words that a worker keeps, bytes of ids that a task holds before it writes them.
-_SLICE, _CACHED_WORDS, _HELD = 1 << 21, 300_000, 16 << 20
+_SLICE, _CACHED_WORDS, _HELD = 1 << 22, 700_000, 16 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 _ISLANDS = "shard int, island int, seed long, tags array<long>, lengths array<int>, bins array<array<int>>"
