@@ -274,7 +274,7 @@ def json_parse_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json(coerce.salvage_json(F.col("props")), "k bigint")["k"].alias("k"))
 
 
-@query("""WITH new AS (SELECT o_orderkey, o_custkey + 1 AS o_custkey, 'new' AS o_orderstatus FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT -o_orderkey, o_custkey, 'more' FROM orders WHERE o_orderkey % 7 = 0)
+@query("""WITH new AS (SELECT o_orderkey, o_custkey + 1 AS o_custkey, 'new' AS o_orderstatus FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT -1 - o_orderkey, o_custkey, 'more' FROM orders WHERE o_orderkey % 7 = 0)
   SELECT o_orderkey, o_custkey, o_orderstatus FROM new UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new)""")
 def stored_upsert(spark, sf_dir):
     """Orders as a stored table, changed and added to twice by the same rows."""
@@ -282,7 +282,7 @@ def stored_upsert(spark, sf_dir):
     store = stored.KeyedTable(spark, new_folder(spark, "keyed-table"), "o_orderkey")
     store.create(orders)
     changed = orders.filter("o_orderkey % 5 = 0").select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.lit("new").alias("o_orderstatus"))
-    new = changed.unionByName(orders.filter("o_orderkey % 7 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.lit("more").alias("o_orderstatus")))
+    new = changed.unionByName(orders.filter("o_orderkey % 7 = 0").select((F.lit(-1).cast("long") - F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.lit("more").alias("o_orderstatus")))
     store.upsert(new)
     store.upsert(new)
     return store.read()
