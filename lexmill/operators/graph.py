@@ -24,10 +24,13 @@ def edge(rel: str, frame: DataFrame, src: str | Column, dst: str | Column, **pro
     kinds = dict(x.split(" ") for x in EDGE.split(", "))
     ends = {"rel": F.lit(rel), "src_id": F.col(src) if isinstance(src, str) else src, "dst_id": F.col(dst) if isinstance(dst, str) else dst}
     columns = [(ends | props).get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()]
-    own = [name for name in kinds if name not in ends]
-    order = F.struct(*[F.coalesce(F.col(c), F.lit(-1)) if kinds[c] in ("int", "double") else F.coalesce(F.col(c), F.lit("")) for c in sorted(own, key=lambda c: (c != "amendment_date", c != "position"))])
-    last = frame.select(*columns).groupBy(*ends).agg(F.max_by(F.struct(*own), order).alias("last"))
-    return last.select(*ends, *[F.col(f"last.{c}").alias(c) for c in own]).select(*kinds)
+    rows = frame.select(*columns)
+    if not props:
+        return rows.distinct()
+    # as a struct date, position and the others are compared in this order, nulls first
+    order = sorted(props, key=lambda c: (c != "amendment_date", c != "position", c))
+    last = rows.groupBy(*ends).agg(F.max(F.struct(*order)).alias("last"))
+    return last.select(*[F.col(f"last.{c}") if c in props else F.col(c) if c in ends else F.lit(None).cast(kinds[c]).alias(c) for c in kinds])
 
 
 def article_nodes(articles: DataFrame) -> DataFrame:
