@@ -226,7 +226,8 @@ def latest_versions(chunks: DataFrame) -> DataFrame:
 
 def merge_short_sentences(text: Column, least: int = 40) -> Column:
     """Sentences of a text, pieces of fewer than so many characters joined to the one before."""
-    pieces = F.filter(F.transform(F.split(text, r"(?<=[.؛;])\s+"), F.trim), lambda s: s != "")
+    bare = lambda s: F.regexp_replace(s, r"^\p{Zs}+|\p{Zs}+$", "")  # noqa: E731 - as a lambda of one argument: F.trim itself would get the place as the characters to trim
+    pieces = F.filter(F.transform(F.split(text, r"(?<=[.؛;])\s+"), bare), lambda s: s != "")
 
     def add(done: Column, piece: Column) -> Column:
         last = F.element_at(done, -1)

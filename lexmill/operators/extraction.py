@@ -174,7 +174,7 @@ def sentence_rules(articles: DataFrame) -> DataFrame:
     sentence as notes if it has a type.
     """
     text = F.col("text")
-    sentences = F.filter(F.transform(F.split(text, r"(?<=[.؟!\n])\s+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(text, r"(?<=[.؟!\n])\s+"), lambda s: F.trim(s)), lambda s: s != "")
     has_any = lambda s, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(s, w))
     found = F.filter(sentences, lambda s: has_any(s, CRIME_WORDS + PENALTY_WORDS))
     each = articles.select("article_id", (F.size(found) > 0).alias("__any"), F.posexplode(F.when(F.size(found) > 0, found).otherwise(F.array(F.substring(F.trim(text), 1, 2000)))).alias("pos", "rule_text"))

@@ -1,6 +1,8 @@
 """What went wrong on larger or odder inputs than those of the other tests."""
 
-from lexmill.operators import search
+from pyspark.sql import functions as F
+
+from lexmill.operators import chunking, extraction, search
 
 
 def test_a_context_ends_at_its_first_long_text_in_whatever_task_that_is(spark):
@@ -9,3 +11,13 @@ def test_a_context_ends_at_its_first_long_text_in_whatever_task_that_is(spark):
     docs = spark.createDataFrame(rows, "g string, i long, t string").repartitionByRange(2, "i")  # 0 and 1, 2 and 3 in one task
     found = sorted(map(tuple, search.first_blocks(docs, "g", "i", "t", 100).collect()))
     assert found == [("g", 0, 41), ("n", 1, 100), ("o", 0, 100)]
+
+
+def test_pieces_lose_white_space_at_their_ends_and_nothing_else(spark):
+    long = "word " * 12
+    text = f"{long}. 0{long}.  {long}2. 3{long}3. 4444 "
+    kept = [f"{long}.", f"0{long}.", f"{long}2.", f"3{long}3. 4444"]
+    found = spark.createDataFrame([(text,)], "t string").select(chunking.merge_short_sentences(F.col("t")).alias("p")).first().p
+    assert found == kept
+    articles = spark.createDataFrame([(1, "سرقة 0 ثم 0. 1 سرقة 1")], "article_id int, text string")
+    assert sorted(r.rule_text for r in extraction.sentence_rules(articles).collect()) == ["1 سرقة 1", "سرقة 0 ثم 0."]
