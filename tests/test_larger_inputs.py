@@ -21,3 +21,10 @@ def test_pieces_lose_white_space_at_their_ends_and_nothing_else(spark):
     assert found == kept
     articles = spark.createDataFrame([(1, "سرقة 0 ثم 0. 1 سرقة 1")], "article_id int, text string")
     assert sorted(r.rule_text for r in extraction.sentence_rules(articles).collect()) == ["1 سرقة 1", "سرقة 0 ثم 0."]
+
+
+def test_scores_of_sources_are_printed_from_their_exact_value(spark):
+    scores = [(k * 1000 + 500) / 1_000_000 for k in range(1000)]
+    rows = spark.createDataFrame([(i, "law", "1", "t", "", s) for i, s in enumerate(scores)], "query_id int, law_id string, article_number string, law_title string, text string, score double")
+    found = {r.query_id: r.score for r in search.sources(rows, rows.limit(0)).collect()}
+    assert found == {i: f"{s:.3f}" for i, s in enumerate(scores)}
