@@ -1,5 +1,7 @@
 """What went wrong on larger or odder inputs than those of the other tests."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexmill.operators import chunking, extraction, search
@@ -28,3 +30,31 @@ def test_scores_of_sources_are_printed_from_their_exact_value(spark):
     rows = spark.createDataFrame([(i, "law", "1", "t", "", s) for i, s in enumerate(scores)], "query_id int, law_id string, article_number string, law_title string, text string, score double")
     found = {r.query_id: r.score for r in search.sources(rows, rows.limit(0)).collect()}
     assert found == {i: f"{s:.3f}" for i, s in enumerate(scores)}
+
+
+class _Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_a_task_of_a_search_keeps_little_however_large_its_batches_are(monkeypatch):
+    rnd = np.random.default_rng(3)
+    q, x = rnd.normal(size=(300, 8)), rnd.normal(size=(20_000, 8))
+    x[5000:9000] = q[0]  # copies
+    x[9000:9500] = q[1] * (1 + rnd.random((500, 1)))
+    vectors = pa.array(list(x))
+    batch = pa.record_batch([pa.array(np.arange(20_000)[::-1].copy()), vectors], names=["key", "embedding"])
+    taken, nonzero = [], np.nonzero
+    monkeypatch.setattr(search.np, "nonzero", lambda a: taken.append(int(a.sum())) or nonzero(a))
+    for measure in ("cosine", "l2"):
+        (found,) = search._best_of_task(_Held(q), 5, measure, 6)(iter([batch]))
+        assert found.num_rows < 300 * 5 * 4
+        got = {}
+        for place, key, score in zip(*[c.to_pylist() for c in found.columns]):
+            got.setdefault(place, []).append((round(-score if measure == "cosine" else score, 6), key))
+        cosine = (1 + q @ x.T / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))) / 2
+        whole = -cosine if measure == "cosine" else np.stack([((x - row) ** 2).sum(axis=1) for row in q])
+        for i in (0, 1, 2, 299):
+            want = sorted((round(s, 6), 19_999 - k) for k, s in enumerate(whole[i]))[:5]
+            assert sorted(got[i])[:5] == want
+    assert max(taken) <= 256 * 1024
