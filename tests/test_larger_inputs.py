@@ -58,3 +58,21 @@ def test_a_task_of_a_search_keeps_little_however_large_its_batches_are(monkeypat
             want = sorted((round(s, 6), 19_999 - k) for k, s in enumerate(whole[i]))[:5]
             assert sorted(got[i])[:5] == want
     assert max(taken) <= 256 * 1024
+
+
+def test_laws_of_one_title_do_not_multiply_the_questions_that_name_it(spark, monkeypatch):
+    laws = spark.range(400).select(F.format_string("l%03d", "id").alias("law_id"), F.when(F.col("id") < 300, "نظام").otherwise(F.concat(F.lit("قانون "), "id")).alias("law_title"))
+    questions = spark.range(50).select(F.col("id").alias("query_id"), F.concat(F.lit("ما النظام في قانون "), F.col("id") + 340, F.lit("0")).alias("question"))
+    rows, contained = [], search.contained
+
+    def counted(*args):
+        found = contained(*args)
+        rows.append(found.count())
+        return found
+
+    monkeypatch.setattr(search, "contained", counted)
+    for most in (search.MOST_RUNS, 10):
+        monkeypatch.setattr(search, "MOST_RUNS", most)
+        found = {r.query_id: r.law_id for r in search.asked_law(questions, laws).collect()}
+        assert found == {i: f"l{i + 340}" for i in range(50)}
+    assert rows == [100, 100]
