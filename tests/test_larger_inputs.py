@@ -1,9 +1,12 @@
 """What went wrong on larger or odder inputs than those of the other tests."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lexmill.functions import reading
 from lexmill.operators import chunking, extraction, search
 
 
@@ -76,3 +79,15 @@ def test_laws_of_one_title_do_not_multiply_the_questions_that_name_it(spark, mon
         found = {r.query_id: r.law_id for r in search.asked_law(questions, laws).collect()}
         assert found == {i: f"l{i + 340}" for i in range(50)}
     assert rows == [100, 100]
+
+
+def test_articles_of_a_long_law_are_read_without_all_its_tokens():
+    law = "قانون عام\n" + "\n".join(f"المادة {i}: " + "نص " * 200 for i in range(1500))
+    tracemalloc.start()
+    found = reading.articles(law)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1501 and found[-1] == {"pos": 1500, "number": "1499", "body": ("نص " * 200).strip()}
+    assert peak < 4 * 2 * len(law)  # the text has two bytes a character
+    odd = "مادة 1\n\n  المادة (2) : ب\nنص مادة 3: لا\nالمادةة 4: لا\n مادة\n5 مكرر (أ) - ج\nمادة 6x\nمادة"
+    assert [(a["number"], a["body"]) for a in reading.articles(odd)] == [("2", "ب\nنص مادة 3: لا\nالمادةة 4: لا"), ("5 مكرر (أ)", "ج\nمادة 6x\nمادة")]
