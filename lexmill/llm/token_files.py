@@ -19,7 +19,7 @@ from .common import Flat, ranges, row_slices
 
 #: What a file's rows are: the file's number, the document, the ids of the file's documents before it, its ids.
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
-#: Words whose ids a worker keeps from task to task (about 200 bytes each), when they are more it starts anew, and
+#: Words whose ids a worker keeps from task to task (about 50 bytes each), when they are more it starts anew, and
 #: characters that it encodes at once.
 _CACHED_WORDS, _SLICE = 800_000, 1 << 22
 #: Marks that may follow a run of letters and are a pre-token of their own.
@@ -47,12 +47,19 @@ def _bytes_as_chars(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
 
 
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of large strings and where each begins and ends."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset) if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8), offsets
+
+
 class WordEncoder:
     """Encodes texts with a byte-level tokenizers file that lower-cases and whose tokens never cross white space, keeping
     words' ids.
 
     Texts are cut at spaces and newlines alone, where the pre-tokenizer cuts anyway, so the ids are those of the
-    whole text. The distinct words of many texts are looked up once; ids are gathered from one flat array.
+    whole text. The distinct words of many texts are looked up once, by their hash and then their bytes; a word takes
+    about 50 bytes, as its bytes and ids are in flat arrays.
     """
 
     def __init__(self, path: str, cached: int = _CACHED_WORDS):
@@ -71,63 +78,93 @@ class WordEncoder:
         return _loaded[path]
 
     def _clear(self) -> None:
-        self._numbers: dict[str, int] = {"": 0}
-        self._ids, self._first, self._size = Flat(np.int32), Flat(np.int64), Flat(np.int64)
-        self._first.add(np.zeros(1, np.int64))
-        self._size.add(np.zeros(1, np.int64))
-
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self._numbers.update(zip(words, range(len(self._numbers), len(self._numbers) + len(words)), strict=True))
-        self._first.add(self._ids.size + np.cumsum(sizes) - sizes)
-        self._size.add(sizes)
-        self._ids.add(ids)
+        # words by number: their bytes and ids, each in one flat array; hashes in order with the number of each
+        self._hashes, self._of_hash = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._bytes, self._byte_ends = Flat(np.uint8), Flat(np.int64)
+        self._ids, self._ends = Flat(np.int32), Flat(np.int64)
+        self._byte_ends.add(np.zeros(1, np.int64))
+        self._ends.add(np.zeros(1, np.int64))
 
     def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = self._size.all[numbers]
-        return self._ids.all[ranges(self._first.all[numbers], sizes)], sizes
-
-    def _learn(self, words: list[str]) -> None:
-        """Adds new words: plain runs of letters, one pre-token each, by the model alone; marks after them once each."""
-        known, cut, letters, others = self._numbers, [], {}, {}
-        for word in words:
+        first = self._ends.all[numbers]
+        sizes = self._ends.all[numbers + 1] - first
+        return self._ids.all[ranges(first, sizes)], sizes
+
+    def _find(self, hashes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The numbers of words, of equal hashes only the first is found; -1 where the bytes are not those of a known word."""
+        out = np.full(len(hashes), -1)
+        if not len(self._hashes):
+            return out
+        at = np.minimum(np.searchsorted(self._hashes, hashes), len(self._hashes) - 1)
+        may = np.flatnonzero(self._hashes[at] == hashes)
+        number, sizes = self._of_hash[at[may]].astype(np.int64), offsets[may + 1] - offsets[may]
+        first = self._byte_ends.all[number]
+        alike = self._byte_ends.all[number + 1] - first == sizes
+        may, number, first, sizes = may[alike], number[alike], first[alike], sizes[alike]
+        differ = data[ranges(offsets[may], sizes)] != self._bytes.all[ranges(first, sizes)]
+        total = np.concatenate([[0], np.cumsum(differ)])
+        ends = np.cumsum(sizes)
+        same = total[ends] == total[ends - sizes]
+        out[may[same]] = number[same]
+        return out
+
+    def _add(self, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keeps these words; their numbers."""
+        known = self._ends.size - 1
+        numbers = np.arange(known, known + len(words))
+        data, offsets = _bytes_of(words)
+        self._byte_ends.add(self._bytes.size + offsets[1:] - offsets[0])
+        self._bytes.add(data[offsets[0] : offsets[-1]])
+        self._ends.add(self._ids.size + np.cumsum(sizes))
+        self._ids.add(ids)
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self._hashes, hashes[order])
+        self._hashes = np.insert(self._hashes, at, hashes[order])
+        self._of_hash = np.insert(self._of_hash, at, numbers[order])
+        return numbers
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words, which are known afterwards.
+
+        Of new words plain runs of letters, one pre-token each, go through the model alone, marks after them once each.
+        """
+        names = words.to_pylist()
+        hashes = np.fromiter(map(hash, names), np.int64, len(names))
+        out = self._find(hashes, *_bytes_of(words))
+        letters, others, cut, heads = [], [], [], []
+        for i in np.flatnonzero(out < 0).tolist():
+            word = names[i]
             if _is_plain(word):
-                letters[word] = None
+                letters.append(i)
                 continue
             head = word.rstrip(_TAIL)
             if head and len(head) < len(word) and _is_plain(head):
-                tail = word[len(head) :]
-                cut.append((word, head, tail))
-                if head not in known:
-                    letters[head] = None
-                if tail not in known:
-                    others[tail] = None
+                cut.append(i)
+                heads.append((head, word[len(head) :]))
             else:
-                others[word] = None
-        names, tokenize = list(letters), self._tokenizer.model.tokenize
-        for i in range(0, len(names), 4096):
-            part = names[i : i + 4096]
-            found = list(map(tokenize, map(_bytes_as_chars, part)))
-            self._add(part, np.array([x.id for tokens in found for x in tokens], np.int32), np.array(list(map(len, found)), np.int64))
-        names = list(others)
-        for i in range(0, len(names), 4096):
-            part = names[i : i + 4096]
-            found = [x.ids for x in self._tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self._add(part, np.array([x for ids in found for x in ids], np.int32), np.array([len(x) for x in found], np.int64))
+                others.append(i)
+        tokenize, encode = self._tokenizer.model.tokenize, self._tokenizer.encode_batch_fast
+        by_model = lambda part: [[x.id for x in tokens] for tokens in map(tokenize, map(_bytes_as_chars, part))]
+        by_all = lambda part: [x.ids for x in encode(part, add_special_tokens=False)]
+        for rows, tokens in ((letters, by_model), (others, by_all)):
+            for i in range(0, len(rows), 4096):
+                some = rows[i : i + 4096]
+                found = tokens([names[j] for j in some])
+                ids = np.array([x for own in found for x in own], np.int32)
+                out[some] = self._add(words.take(pa.array(some)), hashes[some], ids, np.array(list(map(len, found)), np.int64))
         if cut:
-            pairs = np.array([(known[head], known[tail]) for _, head, tail in cut])
-            ids, sizes = self._gather(pairs.ravel())
-            self._add([word for word, _, _ in cut], ids, sizes.reshape(-1, 2).sum(axis=1))
+            parts = pa.array([x for pair in heads for x in pair], pa.large_string()).dictionary_encode()
+            ids, sizes = self._gather(self._numbers(parts.dictionary)[parts.indices.to_numpy()])
+            out[cut] = self._add(words.take(pa.array(cut)), hashes[cut], ids, sizes.reshape(-1, 2).sum(axis=1))
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
-        if len(self._numbers) > self._cached:
+        if len(self._hashes) > self._cached:
             self._clear()
         split = pa.compute.split_pattern(pa.array([_lower(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
         words = split.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        self._learn([w for w in names if w not in self._numbers])
-        numbers = np.fromiter(map(self._numbers.__getitem__, names), np.int64, len(names))
-        ids, sizes = self._gather(numbers[words.indices.to_numpy()])
+        ids, sizes = self._gather(self._numbers(words.dictionary)[words.indices.to_numpy()])
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(pa.compute.list_value_length(split).to_numpy())])]
         return ids, np.diff(ends)
 

@@ -1,6 +1,7 @@
 """Packing: pieces against the tokenizers library, bins that hold, few of them, on odd and empty tables."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lexmill.llm import packing
+from lexmill.llm import packing, token_files
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -108,3 +109,24 @@ def test_documents_are_cut_and_packed(spark, odd, empty):
     rows = packing.sequences(whole).collect()
     assert all(len(r.ids) == 4 * r.n_tokens for r in rows) and sum(r.n_tokens for r in rows) == sum(r.length for r in got)
     assert packing.pack_documents(empty, TOKENIZER).count() == 0
+
+
+def test_words_of_an_encoder_take_little_memory_and_equal_hashes_differ(monkeypatch):
+    """A worker's words are in flat arrays; words of one hash are told apart by their bytes."""
+    words = [f"{chr(97 + i % 26)}{i:07d}x" for i in range(60_000)]
+    words = ["".join(chr(97 + int(c)) if c.isdigit() else c for c in w) for w in words]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    encoder = token_files.WordEncoder(TOKENIZER, 1_000_000)
+    encoder.encode(["warm up"])
+    tracemalloc.start()
+    ids, sizes = encoder.encode([" ".join(words)])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 130 * len(words) and ids.tolist() == tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    monkeypatch.setattr(token_files, "hash", lambda word: len(word) % 2, raising=False)
+    odd = ["aa bb cc, dd aa", "", "bb. cc aa!? 12 12x Ä ä ça", "aa dd  bb\n\ncc"]
+    clashing = token_files.WordEncoder(TOKENIZER)
+    for _ in range(2):
+        ids, sizes = clashing.encode(odd)
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+        assert ids.tolist() == [x for own in want for x in own] and sizes.tolist() == [len(own) for own in want]
