@@ -404,9 +404,11 @@ _ROW = "doc_id long, sample int, ids binary, log_prob double, inclusion double,
 _KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.bool_()]
 
 
-def _encoded(doc_ids: pa.Array, texts: list[str], keys: np.ndarray, lattices: Lattices, k: int) -> pa.RecordBatch:
+def _encoded(doc_ids: pa.Array, texts: list[str], keys: np.ndarray, lattices: Lattices, k: int, fill: bool) -> pa.RecordBatch:
     pieces = lattices.pieces
     found = lattices.sample(texts, keys, k)
+    if fill:
+        found = [[own[j % len(own)] for j in range(k)] for own in found]
     row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
     number = [j for f in found for j in range(len(f))]
     paths = [x for f in found for x in f]
@@ -427,20 +429,23 @@ def _encoded(doc_ids: pa.Array, texts: list[str], keys: np.ndarray, lattices: La
     return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, _KINDS, strict=True)], names=[x.split()[0] for x in _ROW.split(", ")])
 
 
-def _encoder(path: str, k: int, sharpness: float, seed: int):
+def _encoder(path: str, sharpness: float, seed: int, fill: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(Pieces.load(path, sharpness))  # dropped with the task
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            keys = row_keys(batch.column(0), batch.column(2), seed)
+            doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            keys, wanted = row_keys(doc_ids, batch.column(2), seed), batch.column(3).to_numpy()
             for a, b in row_slices(texts, _SLICE):
-                yield _encoded(batch.column(0).slice(a, b - a), texts[a:b], keys[a:b], lattices, k)
+                for k in np.unique(wanted[a:b]).tolist():
+                    own = a + np.flatnonzero(wanted[a:b] == k)
+                    yield _encoded(doc_ids.take(pa.array(own)), [texts[i] for i in own.tolist()], keys[own], lattices, k, fill)
 
     return encode
 
 
-def encode_samples(docs: DataFrame, model: str, k: int = 2, sharpness: float = 1.0, seed: int = 0, copy: Column | None = None) -> DataFrame:
-    """(doc_id, sample, ids, log_prob, inclusion, round_trip): up to k distinct segmentations of each row's text.
+def encode_samples(docs: DataFrame, model: str, k: int | Column = 2, sharpness: float = 1.0, seed: int = 0, copy: Column | None = None, fill: bool = False) -> DataFrame:
+    """(doc_id, sample, ids, log_prob, inclusion, round_trip): up to k distinct segmentations of each row's text; k may
+    differ from row to row, and is 1 at least. With fill a text with fewer segmentations gives them in turn, k in all.
 
     ids are little-endian unsigned 32-bit integers; decoding them gives the text back, as round_trip says. The random
     choices are seeded by seed, doc_id and copy (0 if not given), so a row has the same samples in any run and
@@ -449,8 +454,9 @@ def encode_samples(docs: DataFrame, model: str, k: int = 2, sharpness: float = 1
     time, or short ones together, with its lattice: about 150 bytes for each character of a run without spaces.
     """
     number = F.lit(0) if copy is None else copy
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), number.cast("long").alias("copy"))
-    return rows.mapInArrow(_encoder(model, k, sharpness, seed), _ROW)
+    wanted = k if isinstance(k, Column) else F.lit(k)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), number.cast("long").alias("copy"), wanted.cast("int").alias("k"))
+    return rows.mapInArrow(_encoder(model, sharpness, seed, fill), _ROW)
 
 
 def digest(samples: DataFrame) -> DataFrame:

@@ -172,3 +172,13 @@ def test_of_repeated_rows_the_same_one_stays(spark):
     rows = [(7, "one text that is here several times", f"s{i}") for i in range(6)]
     kept = [corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows).repartition(n), "").collect() for n in (1, 4)]
     assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
+def test_copies_are_sampled_together_and_none_is_lost(spark):
+    """The copies of a document have distinct samples while its text has as many; then they are given in turn."""
+    rows = [(1, "several words make this text of some length", "s")] * 40 + [(2, None, "s")] * 3 + [(3, "a", "s")] * 20 + [(4, "one copy alone", "s")]
+    got = corpus_pipeline.encode(spark, frame(spark, rows), "").collect()
+    assert Counter(r.doc_id for r in got) == {1: 40, 2: 3, 3: 20, 4: 1} and all(r.round_trip for r in got)
+    first = [r for r in got if r.doc_id == 1]
+    assert max(r.sample for r in first) == corpus_pipeline.TOGETHER - 1
+    assert len({bytes(r.ids) for r in first}) >= 16 and Counter(r.sample for r in first) == {n: 3 - (n >= 8) for n in range(16)}
