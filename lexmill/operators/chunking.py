@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.arabic import tokens, western_digits
 from lexmill.functions.articles import article_token
-from lexmill.functions.reading import read_articles, read_gregorian, read_law_and_years, read_outline, read_ruling, read_tables
+from lexmill.functions.reading import HEAD, read_articles, read_gregorian, read_law_and_years, read_outline, read_ruling, read_tables
 from lexmill.functions.vocabulary import ADDITION_WORDS, BOOKS, DELETION_WORDS
 
 TABLE_CHARS = 1200
@@ -135,18 +135,18 @@ def amendment_type(text: Column) -> Column:
     return F.when(has(ADDITION_WORDS), "addition").when(has(DELETION_WORDS), "deletion").otherwise("modification")
 
 
-def amendment_law(name: Column, text: Column) -> tuple[Column, Column]:
+def amendment_law(name: Column, text: Column, pairs: Column | None = None) -> tuple[Column, Column]:
     """(number, year) of an amending law: from the file's name, else from the first fitting mention in the text's head.
 
     A name ends in _num<N>_<year>.txt or _<N>_<year>.txt, or holds a year from 1900 to 2099 and another number. In the
-    text the number from 1800 to 2100 is the year and the other, below 10000, the number.
+    text the number from 1800 to 2100 is the year and the other, below 10000, the number; pairs are those of the head
+    where they are read already.
     """
     tail = r"(?i)_(?:num)?([0-9]+)_([0-9]{4})\.txt$"
     years = F.regexp_extract_all(name, F.lit(r"((?:19|20)\d{2})"), 1)
     numbers = F.filter(F.regexp_extract_all(name, F.lit(r"(\d+)"), 1), lambda n: ~F.array_contains(years, n))
     loose = (F.size(numbers) > 0) & (F.size(years) > 0)
-    head = F.substring(text, 1, 1000)
-    pairs = read_law_and_years(head)
+    pairs = read_law_and_years(F.substring(text, 1, HEAD)) if pairs is None else pairs
     ordered = F.transform(pairs, lambda p: F.when(p["a"].between(1800, 2100), F.struct(p["b"].alias("n"), p["a"].alias("y"))).otherwise(F.struct(p["a"].alias("n"), p["b"].alias("y"))))
     found = F.get(F.filter(ordered, lambda p: p["y"].between(1800, 2100) & p["n"].between(1, 9999)), F.lit(0))
     number = F.coalesce(extract(name, tail, 1), F.when(loose, F.element_at(numbers, -1)), found["n"].cast("string"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.arabic import normalize_for_topics, stable_id, western_digits
 from lexmill.functions.articles import article_token
-from lexmill.functions.reading import read_definitions, read_first_article, read_penalties, read_references, read_touched_articles
-from lexmill.functions.vocabulary import CRIME_WORDS, PENALTY_TYPES, PENALTY_WORDS, TOPIC_CONFIDENCE, TOPICS
+from lexmill.functions.reading import PENALTY_MARKS, REFERENCE_MARKS, read_amendment, read_definitions, read_penalties, read_references
+from lexmill.functions.vocabulary import CRIME_WORDS, DEFINING_WORDS, PENALTY_TYPES, PENALTY_WORDS, TOPIC_CONFIDENCE, TOPICS
 
-from .chunking import amendment_date, amendment_law, amendment_type, extract
+from .chunking import amendment_law, amendment_type, extract
 from .dedup import first_wins
 from .search import contained
 
@@ -61,22 +64,27 @@ def whole_number(text: Column) -> Column:
     return F.regexp_replace(western_digits(text), ",", "").try_cast("bigint")
 
 
+def with_any(articles: DataFrame, marks: Sequence[str]) -> DataFrame:
+    """The articles whose text holds one of these, so that the others never go to a reader."""
+    return articles.filter(reduce(Column.__or__, [F.contains("text", F.lit(m)) for m in marks]))
+
+
 def penalties(articles: DataFrame) -> DataFrame:
     """(law_id, article_number, penalty_type, min_value, max_value, unit) of articles (law_id, article_number, text)."""
-    return articles.select("law_id", "article_number", F.explode(read_penalties(F.col("text"))).alias("p")).select("law_id", "article_number", "p.*")
+    return with_any(articles, PENALTY_MARKS).select("law_id", "article_number", F.explode(read_penalties(F.col("text"))).alias("p")).select("law_id", "article_number", "p.*")
 
 
 def definitions(articles: DataFrame) -> DataFrame:
     """(law_id, term, definition_text, defined_in_article): each law's first definition of a term, over several lines
     if it goes on there."""
-    each = articles.select("law_id", F.col("article_number").alias("defined_in_article"), F.posexplode(read_definitions(F.col("text"))).alias("pos", "d"))
+    each = with_any(articles, DEFINING_WORDS).select("law_id", F.col("article_number").alias("defined_in_article"), F.posexplode(read_definitions(F.col("text"))).alias("pos", "d"))
     rows = each.select("law_id", "d.term", "d.definition_text", "defined_in_article", "pos")
     return first_wins(rows, ["law_id", "term"], ["defined_in_article", "pos"]).drop("pos")
 
 
 def references(articles: DataFrame) -> DataFrame:
     """(law_id, from_article, to_article, reference_type): distinct mentions of other articles."""
-    each = articles.select("law_id", F.col("article_number").alias("from_article"), F.explode(read_references(F.col("text"))).alias("to_article"))
+    each = with_any(articles, REFERENCE_MARKS).select("law_id", F.col("article_number").alias("from_article"), F.explode(read_references(F.col("text"))).alias("to_article"))
     rows = each.withColumn("to_article", article_token(F.col("to_article"))).filter("to_article <> from_article")
     return rows.distinct().withColumn("reference_type", F.lit("mentions"))
 
@@ -130,22 +138,25 @@ def amendments(files: DataFrame) -> DataFrame:
 
     Files without a number and year, or without any article, are left out.
     """
-    text = F.col("text")
-    number, year = amendment_law(F.col("name"), text)
-    touched = F.array_distinct(F.transform(read_touched_articles(text), article_token))
-    rows = files.select("law_id", text, number.alias("amendment_law_number"), year.alias("year"), touched.alias("amended_article_numbers"))
+    text, found = F.col("text"), F.col("__read")
+    # as a generated row what was read passes the filter below, which else would read again
+    read = files.select("*", F.explode(F.array(read_amendment(text))).alias("__read"))
+    number, year = amendment_law(F.col("name"), text, found["pairs"])
+    touched = F.array_distinct(F.transform(found["touched"], article_token))
+    rows = read.select("law_id", text, "__read", number.alias("amendment_law_number"), year.alias("year"), touched.alias("amended_article_numbers"))
     rows = rows.filter((F.col("amendment_law_number").isNotNull()) & F.col("year").isNotNull() & (F.size("amended_article_numbers") > 0))
-    described = F.substring(F.trim(F.coalesce(read_first_article(text), text)), 1, 500)
+    described = F.substring(F.trim(F.coalesce(found["first"], text)), 1, 500)
+    date = F.coalesce(found["day"], F.concat("year", F.lit("-01-01")))
     return rows.select(
         stable_id(F.col("law_id"), F.col("amendment_law_number"), F.col("year")).alias("amendment_id"),
         "law_id",
         "amendment_law_number",
         F.format_string("قانون رقم %s لسنة %s", "amendment_law_number", "year").alias("amendment_law_title"),
-        amendment_date(text, F.col("year")).alias("amendment_date"),
+        date.alias("amendment_date"),
         amendment_type(text).alias("amendment_type"),
         "amended_article_numbers",
         described.alias("description"),
-        amendment_date(text, F.col("year")).alias("effective_date"),
+        date.alias("effective_date"),
     )
 
 

@@ -91,3 +91,18 @@ def test_articles_of_a_long_law_are_read_without_all_its_tokens():
     assert peak < 4 * 2 * len(law)  # the text has two bytes a character
     odd = "مادة 1\n\n  المادة (2) : ب\nنص مادة 3: لا\nالمادةة 4: لا\n مادة\n5 مكرر (أ) - ج\nمادة 6x\nمادة"
     assert [(a["number"], a["body"]) for a in reading.articles(odd)] == [("2", "ب\nنص مادة 3: لا\nالمادةة 4: لا"), ("5 مكرر (أ)", "ج\nمادة 6x\nمادة")]
+
+
+def test_texts_go_to_a_reader_once_and_only_where_it_may_find_something(spark):
+    files = spark.createDataFrame([("l", "x_1_2000.txt", "المادة 3 الموافق 5 مايو سنة 1999. المادة الأولى: وصف")], "law_id string, name string, text string")
+    found = extraction.amendments(files)
+    evaluated = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ")
+    assert evaluated(found) == 1
+    row = found.first()
+    assert (row.amendment_date, row.effective_date, row.amended_article_numbers, row.description) == ("1999-05-05", "1999-05-05", ["3"], "وصف")
+    rows = [("l", "1", "السجن مدة من 1 إلى 3 سنوات"), ("l", "2", "نص"), ("l", "3", None), ("l", "4", 'يعني "ب": ج. مادة 1')]
+    articles = spark.createDataFrame(rows, "law_id string, article_number string, text string")
+    assert [r.article_number for r in extraction.with_any(articles, reading.PENALTY_MARKS).collect()] == ["1"]
+    assert [r.min_value for r in extraction.penalties(articles).collect()] == [1]
+    assert [r.to_article for r in extraction.references(articles).collect()] == ["1"]
+    assert [r.term for r in extraction.definitions(articles).collect()] == ["ب"]
