@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexmill.functions import reading
-from lexmill.operators import chunking, extraction, search
+from lexmill.operators import chunking, extraction, graph, search
 
 
 def test_a_context_ends_at_its_first_long_text_in_whatever_task_that_is(spark):
@@ -106,3 +106,13 @@ def test_texts_go_to_a_reader_once_and_only_where_it_may_find_something(spark):
     assert [r.min_value for r in extraction.penalties(articles).collect()] == [1]
     assert [r.to_article for r in extraction.references(articles).collect()] == ["1"]
     assert [r.term for r in extraction.definitions(articles).collect()] == ["ب"]
+
+
+def test_facts_that_nodes_and_edges_read_can_be_kept(spark):
+    articles = graph.article_nodes(spark.createDataFrame([("l", "1", 1, "السجن مدة من 1 إلى 3 سنوات. جريمة سرقة"), ("l", "2", 2, 'يعني "ب": ج. مادة 1')], "law_id string, article_number string, pos int, text string"))
+    found = [extraction.penalties(articles), extraction.definitions(articles), extraction.references(articles), extraction.topics(articles)]
+    kept = []
+    nodes, edges = graph.build_facts(articles, *found, keep=lambda facts: kept.append(facts) or spark.createDataFrame(facts.collect(), facts.schema))
+    assert kept == [found[0], found[1], found[3]]
+    counted = lambda n, e: sorted(map(tuple, graph.statistics(n, e, spark).collect()))
+    assert counted(nodes, edges) == counted(*graph.build_facts(articles, *found))
