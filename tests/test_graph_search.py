@@ -144,3 +144,19 @@ def test_bm25_answers_more_than_ten_thousand_queries(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "epsilon zeta")], "doc_id long, text string")
     queries = spark.range(10_050).select(F.col("id").alias("query_id"), F.lit("alpha").alias("question"))
     assert search.bm25(docs, queries).select("query_id").distinct().count() == 10_050
+
+
+def test_bm25_reads_texts_once_and_shuffles_no_pairs(spark, monkeypatch):
+    texts = ["a b_c a", "é-b٣ a", None, "", "..., \x0b", "b_c b_c x", *[f"w{i % 5} a" * (i % 3) for i in range(60)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a a b_c w3"), (2, "b٣ x"), (3, "none"), (4, "w1a w4")], "query_id long, question string")
+    found = search.bm25(docs, asked)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.doc_id): r.score for r in found.collect()}
+    also = spark.createDataFrame([(1, 5), (2, 0)], "query_id long, doc_id long")
+    few = {(r.query_id, r.doc_id): r.score for r in search.bm25(docs, asked, most=2, also=also).collect()}
+    ranked = lambda scores: {q: sorted((-round(s, 9), d) for (p, d), s in scores.items() if p == q)[:2] for q in (1, 2, 4)}
+    assert ranked(few) == ranked(got) and (1, 5) in few and (2, 0) not in few and len(few) < len(got)
+    monkeypatch.setattr(search, "MOST_WORDS", 0)
+    joined = {(r.query_id, r.doc_id): r.score for r in search.bm25(docs, asked).collect()}
+    assert joined.keys() == got.keys() and all(abs(joined[k] - got[k]) < 1e-9 for k in got)
