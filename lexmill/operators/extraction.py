@@ -113,7 +113,8 @@ def topics_by_patterns(articles: DataFrame, patterns: DataFrame) -> DataFrame:
     pattern; patterns (topic_name, pattern) is a table of the user's with any number of rows.
 
     A pattern's required words lead to the articles that hold one of them, and it is tried on those alone. Patterns
-    without any are tried on every article, PATTERN_BLOCK of them in a pass. Null texts match nothing.
+    without any are tried on every article, PATTERN_BLOCK of them in a pass. So are no more than PATTERN_BLOCK patterns
+    in all, each where the article holds one of its words; then no texts are joined. Null texts match nothing.
     """
 
     @F.pandas_udf("array<string>")
@@ -123,6 +124,14 @@ def topics_by_patterns(articles: DataFrame, patterns: DataFrame) -> DataFrame:
     given = patterns.filter("pattern IS NOT NULL").select("topic_name", "pattern").distinct().withColumn("literals", literals("pattern"))
     rows = articles.select("law_id", "article_number", "text", F.xxhash64("law_id", "article_number", "text").alias("__key"))
     texts = rows.filter("text IS NOT NULL").select("__key", "text").distinct()
+    few = given.limit(PATTERN_BLOCK + 1).collect()
+    if len(few) <= PATTERN_BLOCK:
+        held = lambda r: reduce(Column.__or__, [F.contains("text", F.lit(x)) for x in r.literals]) if r.literals else F.lit(True)
+        if not few:
+            return articles.select("law_id", "article_number", F.lit(None).cast("string").alias("topic_name")).limit(0)
+        tried = [F.when(held(r) & F.col("text").rlike(r.pattern), F.struct(F.lit(r.topic_name).cast(given.schema["topic_name"].dataType).alias("topic_name"))) for r in few]
+        hits = F.filter(F.array(*tried), lambda x: x.isNotNull())
+        return articles.select("law_id", "article_number", F.inline(hits)).distinct()
     named = given.filter("literals IS NOT NULL").select("topic_name", "pattern", F.explode("literals").alias("literal"))
     may = contained(texts, named, "__key", "text", "literal").select("__key", "topic_name", "pattern").distinct()
     hits = may.join(texts, "__key").filter(F.rlike("text", F.col("pattern"))).select("__key", "topic_name")

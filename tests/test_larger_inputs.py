@@ -116,3 +116,29 @@ def test_facts_that_nodes_and_edges_read_can_be_kept(spark):
     assert kept == [found[0], found[1], found[3]]
     counted = lambda n, e: sorted(map(tuple, graph.statistics(n, e, spark).collect()))
     assert counted(nodes, edges) == counted(*graph.build_facts(articles, *found))
+
+
+def test_few_patterns_join_no_texts(spark):
+    rows = [("l", "1", "سرقة 12 يوم."), ("l", "2", "سلاح"), ("l", "2", "سلاح"), ("l", "3", None), (None, "4", "x سرقة")]
+    articles = spark.createDataFrame(rows, "law_id string, article_number string, text string")
+    patterns = spark.createDataFrame([("theft", "سرقة"), ("either", "سلاح|سرقة"), ("days", "[0-9]+"), ("none", None)], "topic_name string, pattern string")
+    found = extraction.topics_by_patterns(articles, patterns)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [("l", "1", "days"), ("l", "1", "either"), ("l", "1", "theft"), ("l", "2", "either"), (None, "4", "either"), (None, "4", "theft")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert extraction.topics_by_patterns(articles, patterns.limit(0)).count() == 0
+
+
+def test_topic_makes_the_bare_text_once(spark):
+    texts = spark.createDataFrame([("قَتَلَ قاتل",), ("مُخدّرات وسلاح",), ("لا شيء",), (None,)], "text string")
+    found = texts.select(extraction.topic(F.col("text")).alias("t"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert [r.t for r in found.collect()] == ["قتل", "مخدرات", None, None]
+
+
+def test_outlines_go_to_arrow_before_the_next_texts_are_read(spark):
+    assert reading._AT_ONCE <= 1 << 16
+    texts = ["المادة 1: أ" * 2 + "\n", None, "", "الباب 3\nالمادة 5: ب " + "كلمة " * 20_000, "الفصل 2"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(reading.read_outline(F.col("t")).alias("o")).collect()
+    want = [None if t is None else [(h["kind"], h["at"], h["value"], h["body"]) for h in reading.outline(t)] for t in texts]
+    assert [None if r.o is None else [tuple(h) for h in r.o] for r in found] == want
