@@ -91,15 +91,15 @@ def references(articles: DataFrame) -> DataFrame:
 
 def topic(text: Column) -> Column:
     """The first topic whose words the text holds."""
-    bare = normalize_for_topics(text)
-    chain = None
-    for name, words in TOPICS:
-        hit = None
-        for word in words:
-            has = F.contains(bare, normalize_for_topics(F.lit(word)))
-            hit = has if hit is None else hit | has
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return chain
+
+    def first(bare: Column) -> Column:
+        chain = F
+        for name, words in TOPICS:
+            chain = chain.when(reduce(Column.__or__, [F.contains(bare, normalize_for_topics(F.lit(word))) for word in words]), name)
+        return chain
+
+    # the bare text is bound once, as the only element of an array, else each word would make it again
+    return F.get(F.transform(F.array(normalize_for_topics(text)), first), F.lit(0))
 
 
 def topics(articles: DataFrame) -> DataFrame:
