@@ -160,3 +160,15 @@ def test_bm25_reads_texts_once_and_shuffles_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(search, "MOST_WORDS", 0)
     joined = {(r.query_id, r.doc_id): r.score for r in search.bm25(docs, asked).collect()}
     assert joined.keys() == got.keys() and all(abs(joined[k] - got[k]) < 1e-9 for k in got)
+
+
+def test_reference_self_join_meets_each_pair_once(spark, tmp_path):
+    from lexmill.plans import catalogue
+
+    lines = [(1, 5), (1, 5), (1, 7), (2, 7), (2, 5), (2, 9), (3, 1), (None, 4), (None, 6)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalogue.QUERIES["reference_self_join"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "<" in plan.split("Join Inner")[1].split("\n")[0]
+    assert sorted(map(tuple, found.collect())) == [(5, 7), (5, 9), (7, 5), (7, 9), (9, 5), (9, 7)]
+    assert found.columns == ["from_key", "to_key"]
