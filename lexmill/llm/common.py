@@ -120,15 +120,15 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 _up, _down = _powers(1 << 12, _BASE), _powers(1 << 12, _INVERSE)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The 64-bit hash of each span of a UTF-8 buffer, which depends on its bytes alone; A-Z count as a-z."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """The 64-bit hash of each span of a UTF-8 buffer, which depends on its bytes alone; A-Z count as a-z if lower."""
     global _up, _down
     if len(data) >= len(_up):
         n = 1 << int(len(data)).bit_length()
         _up, _down = _powers(n, _BASE), _powers(n, _INVERSE)
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[LOWER[data]] * _up[: len(data)], out=total[1:])
+        np.cumsum(_BYTE[LOWER[data] if lower else data] * _up[: len(data)], out=total[1:])
         return mix((total[ends] - total[starts]) * _down[starts] + (ends - starts).astype(np.uint64))
 
 

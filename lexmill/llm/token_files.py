@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -15,18 +18,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Flat, ranges, row_slices
+from .common import Flat, ranges, row_slices, span_hashes
 
 #: What a file's rows are: the file's number, the document, the ids of the file's documents before it, its ids.
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
 #: Words whose ids a worker keeps from task to task (about 50 bytes each), when they are more it starts anew, and
-#: characters that it encodes at once.
-_CACHED_WORDS, _SLICE = 800_000, 1 << 22
+#: characters that it encodes at once, and bytes of words that it hashes at once.
+_CACHED_WORDS, _SLICE, _HASHED = 800_000, 1 << 22, 1 << 15
 #: Marks that may follow a run of letters and are a pre-token of their own.
 _TAIL = string.punctuation
 #: The character that a byte-level tokenizer has for each byte: itself where it is printable, else the next free one.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+#: The same as a table by byte, with the space as it is, so that words can be joined by it.
+_CHAR_OF_BYTE = "".join(chr(b if b == 0x20 else _BYTE_CHARS.get(b, b)) for b in range(256))
 
 _loaded: dict[str, WordEncoder] = {}
 
@@ -36,15 +41,40 @@ def _lower(text: str) -> str:
     return text if "\u03a3" in text or "\u0130" in text or "<|" in text or not unicodedata.is_normalized("NFC", text) else text.lower()
 
 
-def _is_plain(word: str) -> bool:
-    """Whether a word is letters that the tokenizer's normalizer leaves as they are."""
-    if word.isascii():
-        return word.isalpha() and word.islower()
-    return word.isalpha() and max(word) < "\u0600" and word.lower() == word and unicodedata.is_normalized("NFC", word)
+def _is_plain(letter: str) -> bool:
+    """Whether a character is a letter that the tokenizer's normalizer leaves as it is, whatever stands beside it."""
+    return letter.isalpha() and letter.lower() == letter and unicodedata.is_normalized("NFC", letter)
 
 
-def _bytes_as_chars(word: str) -> str:
-    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+#: Words of such letters alone; below U+0600 no letter composes with one before it.
+_PLAIN = "^[" + "".join(f"\\x{{{c:x}}}" for c in range(0x600) if _is_plain(chr(c))) + "]+$"
+
+
+def _as_chars(words: pa.Array) -> list[str]:
+    """The words with a character for each byte, as a byte-level model has them; no word holds a space."""
+    joined = pa.compute.binary_join_element_wise(words, *(pa.scalar(x, pa.large_string()) for x in ("", " ")))
+    data, offsets = _bytes_of(joined)
+    return codecs.charmap_decode(data[offsets[0] : offsets[-1]], "strict", _CHAR_OF_BYTE)[0].split(" ")[:-1]
+
+
+def _hashes_of(words: pa.Array) -> np.ndarray:
+    """A hash of each word, of _HASHED bytes of words at a time."""
+    data, offsets = _bytes_of(words)
+    out, a = np.zeros(len(words), np.uint64), 0
+    while a < len(words):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _HASHED, side="right")) - 1)
+        at = offsets[a : b + 1] - offsets[a]
+        out[a:b] = span_hashes(data[offsets[a] : offsets[b]], at[:-1], at[1:], lower=False)
+        a = b
+    return out
+
+
+def _tails(words: pa.Array, heads: pa.Array) -> pa.Array:
+    """What follows each word's head."""
+    data, offsets = _bytes_of(words)
+    sizes = np.diff(offsets) - pa.compute.binary_length(heads).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(data[ranges(offsets[1:] - sizes, sizes)]))
 
 
 def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +109,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         # words by number: their bytes and ids, each in one flat array; hashes in order with the number of each
-        self._hashes, self._of_hash = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._hashes, self._of_hash = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self._bytes, self._byte_ends = Flat(np.uint8), Flat(np.int64)
         self._ids, self._ends = Flat(np.int32), Flat(np.int64)
         self._byte_ends.add(np.zeros(1, np.int64))
@@ -123,39 +153,44 @@ class WordEncoder:
         self._of_hash = np.insert(self._of_hash, at, numbers[order])
         return numbers
 
+    def _by_model(self, words: pa.Array) -> tuple[list[int], list[int]]:
+        """The ids of words that are one pre-token each, and how many each has."""
+        found = list(map(self._tokenizer.model.tokenize, _as_chars(words)))
+        return list(map(attrgetter("id"), chain.from_iterable(found))), list(map(len, found))
+
+    def _by_all(self, words: pa.Array) -> tuple[list[int], list[int]]:
+        found = [x.ids for x in self._tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        return list(chain.from_iterable(found)), list(map(len, found))
+
     def _numbers(self, words: pa.Array) -> np.ndarray:
         """The numbers of distinct words, which are known afterwards.
 
         Of new words plain runs of letters, one pre-token each, go through the model alone, marks after them once each.
+        Only those that neither is are Python strings one by one.
         """
-        names = words.to_pylist()
-        hashes = np.fromiter(map(hash, names), np.int64, len(names))
+        hashes = _hashes_of(words)
         out = self._find(hashes, *_bytes_of(words))
-        letters, others, cut, heads = [], [], [], []
-        for i in np.flatnonzero(out < 0).tolist():
-            word = names[i]
-            if _is_plain(word):
-                letters.append(i)
-                continue
-            head = word.rstrip(_TAIL)
-            if head and len(head) < len(word) and _is_plain(head):
-                cut.append(i)
-                heads.append((head, word[len(head) :]))
-            else:
-                others.append(i)
-        tokenize, encode = self._tokenizer.model.tokenize, self._tokenizer.encode_batch_fast
-        by_model = lambda part: [[x.id for x in tokens] for tokens in map(tokenize, map(_bytes_as_chars, part))]
-        by_all = lambda part: [x.ids for x in encode(part, add_special_tokens=False)]
-        for rows, tokens in ((letters, by_model), (others, by_all)):
+        new = np.flatnonzero(out < 0)
+        if not len(new):
+            return out
+        names = words.take(pa.array(new))
+        heads = pa.compute.ascii_rtrim(names, characters=_TAIL)
+        plain = pa.compute.match_substring_regex(heads, _PLAIN).to_numpy(zero_copy_only=False)
+        whole = (pa.compute.binary_length(heads).to_numpy() == pa.compute.binary_length(names).to_numpy()) & plain
+        for which, tokens in ((whole, self._by_model), (~plain, self._by_all)):
+            rows = np.flatnonzero(which)
             for i in range(0, len(rows), 4096):
                 some = rows[i : i + 4096]
-                found = tokens([names[j] for j in some])
-                ids = np.array([x for own in found for x in own], np.int32)
-                out[some] = self._add(words.take(pa.array(some)), hashes[some], ids, np.array(list(map(len, found)), np.int64))
-        if cut:
-            parts = pa.array([x for pair in heads for x in pair], pa.large_string()).dictionary_encode()
-            ids, sizes = self._gather(self._numbers(parts.dictionary)[parts.indices.to_numpy()])
-            out[cut] = self._add(words.take(pa.array(cut)), hashes[cut], ids, sizes.reshape(-1, 2).sum(axis=1))
+                part = names.take(pa.array(some))
+                ids, sizes = tokens(part)
+                out[new[some]] = self._add(part, hashes[new[some]], np.array(ids, np.int32), np.array(sizes, np.int64))
+        cut = np.flatnonzero(plain & ~whole)
+        if len(cut):
+            part, heads = names.take(pa.array(cut)), heads.take(pa.array(cut))
+            parts = pa.concat_arrays([heads, _tails(part, heads)]).dictionary_encode()
+            numbers = self._numbers(parts.dictionary)[parts.indices.to_numpy()].reshape(2, -1)
+            ids, sizes = self._gather(numbers.T.ravel())
+            out[new[cut]] = self._add(part, hashes[new[cut]], ids, sizes.reshape(-1, 2).sum(axis=1))
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -130,3 +130,24 @@ def test_words_of_an_encoder_take_little_memory_and_equal_hashes_differ(monkeypa
         ids, sizes = clashing.encode(odd)
         want = [tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
         assert ids.tolist() == [x for own in want for x in own] and sizes.tolist() == [len(own) for own in want]
+
+
+def test_known_words_of_an_encoder_are_never_python_strings(monkeypatch):
+    """New plain words and heads go to the model once, known ones are found by their bytes; odd letters and equal hashes
+    give the tokenizer's ids."""
+    rnd = random.Random(5)
+    letters = [*"abzéñıσςйאا中Éǅ́ͅİΣ", *",.!'|=<09"]
+    words = sorted({"".join(rnd.choices(letters, k=rnd.randint(1, 6))) for _ in range(3000)} | {"don't", "x's", "a.", "b.", "a", "été,"})
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    chars, seen = token_files._as_chars, []
+    monkeypatch.setattr(token_files, "_as_chars", lambda part: seen.extend(part.to_pylist()) or chars(part))
+    encoder = token_files.WordEncoder(TOKENIZER)
+    for _ in range(2):
+        ids, sizes = encoder.encode(words)
+        assert ids.tolist() == [x for own in want for x in own] and sizes.tolist() == [len(own) for own in want]
+    assert {"a", "b", "été"} <= set(seen) and len(seen) == len(set(seen))
+    monkeypatch.setattr(token_files, "_hashes_of", lambda part: np.arange(len(part), dtype=np.uint64) % 2)
+    clashing = token_files.WordEncoder(TOKENIZER)
+    for _ in range(2):
+        assert clashing.encode(words[:400])[0].tolist() == [x for own in want[:400] for x in own]
