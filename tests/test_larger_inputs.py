@@ -1,5 +1,8 @@
 """What went wrong on larger or odder inputs than those of the other tests."""
 
+import hashlib
+import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -142,3 +145,40 @@ def test_outlines_go_to_arrow_before_the_next_texts_are_read(spark):
     found = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(reading.read_outline(F.col("t")).alias("o")).collect()
     want = [None if t is None else [(h["kind"], h["at"], h["value"], h["body"]) for h in reading.outline(t)] for t in texts]
     assert [None if r.o is None else [tuple(h) for h in r.o] for r in found] == want
+
+
+def test_amendments_are_ordered_within_their_article_and_applied_once(spark):
+    rnd = random.Random(8)
+    pick = lambda *values: rnd.choice(values)
+    originals = [(pick("l", "m", None), pick("1", "2", None), k) for k in range(5)] + [("l", "1", 9), ("l", "1", 10)]
+    articles = graph.article_nodes(spark.createDataFrame([(*o, "t") for o in originals], "law_id string, article_number string, pos int, text string"))
+    rows = [(f"a{k:02d}", pick("l", "m", None), pick("1", "2", None), pick("2001-01-01", "2002-01-01", None), pick("addition", "modification", "deletion", None), rnd.choices(["1", "2", "3", "4", None], k=rnd.randint(0, 4)), f"d{k}") for k in range(60)]
+    amendments = spark.createDataFrame(rows, "amendment_id string, law_id string, amendment_law_number string, amendment_date string, amendment_type string, amended_article_numbers array<string>, description string")
+    kept = []
+    versions, edges = graph.apply_amendments(articles, amendments, keep=lambda changes: kept.append(changes) or spark.createDataFrame(changes.collect(), changes.schema))
+    windows = re.findall(r"\], \[(law_id#\d+[^\]]*)\], \[turn|\], \[(law_id#\d+[^\]]*)\], \[amendment_law", kept[0]._jdf.queryExecution().executedPlan().toString())
+    assert len(kept) == 1 and windows and all("article_number#" in (a or b) for a, b in windows)
+
+    # one amendment after the other
+    old = {}
+    for r in articles.collect():
+        old.setdefault((r.law_id, r.article_number), {})[r.id] = ("original", None, r.text)
+    want, last = set(), lambda x: (x is not None, x or "")
+    for number, law, law_number, date, kind, numbers, text in sorted(rows, key=lambda r: (last(r[3]), last(r[2]), r[0])):
+        for article in dict.fromkeys(numbers):
+            own = old.setdefault((law, article), {})
+            before = {} if law is None or article is None else dict(own)
+            want |= {("AMENDED_BY", i, number) for i in before}
+            tag = {"addition": "added", "modification": "amended"}.get(kind)
+            there = any(t == "added" for t, _, _ in own.values()) or any(t == "original" for t, _, _ in before.values())
+            if tag == "added" or (tag and there):
+                new = hashlib.sha256("|".join(str(x) for x in (law, article, tag, date)).encode()).hexdigest()[:16]
+                want |= {("SUPERSEDES", new, i) for i, (t, _, _) in before.items() if i != new and t != "amended" and (tag == "amended" or t == "original")}
+                want |= {("AMENDED_BY", new, number)} if tag == "added" else set()
+                own.setdefault(new, (tag, date, text))
+        want.add(("HAS_AMENDMENT", law, number))
+    assert {(e.rel, e.src_id, e.dst_id) for e in edges.collect()} == want and edges.count() == len(want)
+    made = sorted(((r.law_id, r.article_number, r.id, r.version, r.text, r.is_addition, r.is_amended) for r in versions.filter("is_addition OR is_amended").collect()), key=str)
+    assert made == sorted(((*at, i, date, text, tag == "added", tag == "amended") for at, own in old.items() for i, (tag, date, text) in own.items() if tag != "original"), key=str)
+    plain = graph.apply_amendments(articles, amendments)
+    assert sorted(map(tuple, plain[1].collect()), key=str) == sorted(map(tuple, edges.collect()), key=str)
