@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexmill.functions import reading
-from lexmill.operators import chunking, extraction, graph, search
+from lexmill.operators import chunking, extraction, graph, lexical_index, search
 
 
 def test_a_context_ends_at_its_first_long_text_in_whatever_task_that_is(spark):
@@ -182,3 +182,31 @@ def test_amendments_are_ordered_within_their_article_and_applied_once(spark):
     assert made == sorted(((*at, i, date, text, tag == "added", tag == "amended") for at, own in old.items() for i, (tag, date, text) in own.items() if tag != "original"), key=str)
     plain = graph.apply_amendments(articles, amendments)
     assert sorted(map(tuple, plain[1].collect()), key=str) == sorted(map(tuple, edges.collect()), key=str)
+
+
+def test_an_index_of_texts_takes_less_disk_than_they_do(spark, tmp_path):
+    rnd = random.Random(11)
+    words = [f"{rnd.getrandbits(40):x}" for _ in range(3000)]
+    texts = [" ".join(words[int(3000 * rnd.random() ** 3)] for _ in range(150)) for _ in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    whole, status = sum(map(len, texts)), spark._jsc.sc().statusStore()
+    stages = lambda: spark._jsc.sc().dagScheduler().nextStageId()
+
+    def written():
+        total = 0
+        for i in range(begun, stages()):
+            try:
+                total += status.lastStageAttempt(i).shuffleWriteBytes()
+            except Exception:  # noqa: BLE001 - a skipped stage has no attempt
+                continue
+        return total
+
+    docs.write.parquet(f"{tmp_path}/docs")
+    begun = stages()
+    lexical_index.write_lexical_index(spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/index")
+    stored = sum(f.stat().st_size for f in tmp_path.joinpath("index").rglob("*.parquet"))
+    assert stored + written() < whole
+    begun = stages()
+    questions = spark.createDataFrame([(i, " ".join(rnd.choices(words[:50], k=8))) for i in range(40)], "query_id int, question string")
+    found, _ = lexical_index.search_lexical_index(spark, f"{tmp_path}/index", questions, 5)
+    assert found.count() == 200 and written() < whole
