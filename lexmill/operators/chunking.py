@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.arabic import tokens, western_digits
 from lexmill.functions.articles import article_token
-from lexmill.functions.reading import HEAD, read_articles, read_gregorian, read_law_and_years, read_outline, read_ruling, read_tables
+from lexmill.functions.reading import HEAD, read_articles, read_articles_of_part, read_gregorian, read_law_and_years, read_outline, read_ruling, read_tables
 from lexmill.functions.vocabulary import ADDITION_WORDS, BOOKS, DELETION_WORDS
+from lexmill.session import new_folder
 
 TABLE_CHARS = 1200
 BOOK_WORDS, BOOK_OVERLAP, RULING_WORDS, RULING_OVERLAP = 400, 50, 300, 40
@@ -32,6 +33,33 @@ def split_articles(files: DataFrame, text: str = "text") -> DataFrame:
     return pieces.select(*files.columns, "piece.pos", article_token(F.col("piece.number")).alias("article_number"), F.col("piece.body").alias("page_content"))
 
 
+def split_articles_of_parts(parts: DataFrame, key: str, part: str = "part", text: str = "text") -> DataFrame:
+    """(key, pos, article_number, page_content): what split_articles gives of texts that are too long for a row.
+
+    Rows (key, part, text) are the lines of a text in some parts, by their order, each with a line break after it; an
+    article may run over many parts, but its head lies in one. Parts are read by themselves and their pieces written;
+    then only their numbers of heads and their first and last pieces meet.
+    """
+
+    def stored(frame: DataFrame, label: str) -> DataFrame:
+        folder = new_folder(frame.sparkSession, label)
+        frame.write.parquet(folder)
+        return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+    pieces = parts.select(key, part, F.explode(read_articles_of_part(F.col(text))).alias("piece")).select(key, part, "piece.*")
+    pieces = stored(pieces, "pieces")
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = pieces.groupBy(F.col(key).alias("__key"), F.col(part).alias("__part")).agg(F.max("last").alias("__heads"))
+    heads = stored(heads.withColumn("__before", F.coalesce(F.sum("__heads").over(before), F.lit(0))), "heads")  # as files, Spark knows whether they are small
+    placed = pieces.join(heads, F.col(key).eqNullSafe(F.col("__key")) & F.col(part).eqNullSafe(F.col("__part")))
+    placed = placed.select(key, part, (F.col("__before") + F.col("pos")).cast("int").alias("pos"), "number", "body", ((F.col("pos") == 0) | (F.col("pos") == F.col("last"))).alias("edge"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(part, "body"))), lambda x: x["body"]), "")
+    edges = placed.filter("edge").groupBy(key, "pos").agg(F.max("number").alias("number"), joined.alias("body"))
+    edges = edges.withColumn("body", F.regexp_replace("body", r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")).filter("body <> ''")
+    whole = placed.filter("NOT edge").select(key, "pos", "number", "body").unionByName(edges)
+    return whole.select(key, "pos", article_token(F.col("number")).alias("article_number"), F.col("body").alias("page_content"))
+
+
 def chunk_type(number: Column) -> Column:
     return F.when(number.isNull(), "preamble").otherwise("article")
 

@@ -210,3 +210,31 @@ def test_an_index_of_texts_takes_less_disk_than_they_do(spark, tmp_path):
     questions = spark.createDataFrame([(i, " ".join(rnd.choices(words[:50], k=8))) for i in range(40)], "query_id int, question string")
     found, _ = lexical_index.search_lexical_index(spark, f"{tmp_path}/index", questions, 5)
     assert found.count() == 200 and written() < whole
+
+
+def test_articles_of_a_text_in_parts_are_those_of_the_whole(spark):
+    rnd = random.Random(5)
+    lines = ["المادة 1: أ", " مادة (2 مكرر) - ب", "المادة 3:", "نص", "\t", "", "المادة 4\u00a0نص\u2003", "مادة 5", "النص مادة 6: لا", "المادة ٧ : \x1cج\x1f"]
+    laws = {f"l{i}": [[rnd.choice(lines) for _ in range(rnd.randint(1, 4))] for _ in range(rnd.randint(1, 9))] for i in range(60)}
+    laws |= {"blank": [[""], [" "]], "none": [["نص"], [""], ["نص"]], None: [["نص", "مادة 1: أ"], ["ب"], ["مادة 2: ج"]]}
+    rows = [(law, p * 10 - 20, "\n".join(part)) for law, parts in laws.items() for p, part in enumerate(parts)]
+    rnd.shuffle(rows)
+    parts = spark.createDataFrame([*rows, ("l0", 1000, None)], "law_id string, part long, text string")
+    found = sorted(map(tuple, chunking.split_articles_of_parts(parts, "law_id").collect()), key=str)
+    whole = spark.createDataFrame([(law, "".join("\n".join(p) + "\n" for p in parts)) for law, parts in laws.items()], "law_id string, text string")
+    want = chunking.split_articles(whole).select("law_id", "pos", "article_number", "page_content")
+    assert found == sorted(map(tuple, want.collect()), key=str) and len(found) > 300
+
+
+def test_no_row_holds_a_whole_law(spark, tmp_path, monkeypatch):
+    from lexmill.plans import legal
+
+    keys = "SELECT id AS o_orderkey, id % 10 AS o_custkey FROM range(100000)"
+    spark.sql(keys).write.parquet(f"{tmp_path}/orders.parquet")
+    longest = []
+    split = lambda parts, key: longest.append(parts.agg(F.max(F.length("text")), F.sum(F.length("text"))).first()) or parts.select(key, F.lit(0).alias("pos"), F.lit("").alias("article_number"), F.lit("").alias("page_content"))
+    for name in ("split_articles", "split_articles_of_parts"):
+        monkeypatch.setattr(chunking, name, lambda parts, key="law_id": split(parts, key))
+    legal.articles_of_law_texts(spark, str(tmp_path)).count()
+    (most, whole), = longest
+    assert whole > 5_000_000 and most < 50_000
